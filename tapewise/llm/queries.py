@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, ogg, quality, sharding
-from .common import table, text_or_empty
+from . import licenses, minhash, mixing, ogg, packing, quality, secrets, sharding, urls, vectors
+from .common import materialise, table, text_or_empty
 
 #: Target shares of the mixture: one large source is held to 20 parts, every other source gets 4.
 TARGET_WEIGHTS, OTHER_WEIGHT = {"src0": 20}, 4
@@ -54,5 +54,80 @@ def op8_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pfair_mix, op3_stratified_shards, op4_ogg_media, op8_quality_trees)}
-ORACLE_SQL: dict[str, str] = {}
+def tokenizer_path() -> str:
+    """Where the public tokenizer's file lies; a parameter of the operators."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan_licenses(docs, licenses.fit_licenses(spark))
+
+
+def op5_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    found = secrets.find_secrets(docs)
+    counts = [F.expr(f"cast(size(filter(spans, s -> s.rank = {i})) AS bigint)").alias(f"n_{k.name}") for i, k in enumerate(secrets.BASE)]
+    return found.select(
+        "doc_id", *counts, F.sha2(secrets.span_text("spans", len(secrets.BASE)), 256).alias("base_sha256"), secrets.span_text("spans").alias("spans"),
+        F.size("live").cast("long").alias("n_live"), (F.size("spans") - F.size("live")).cast("long").alias("n_example"),
+    )
+
+
+def op7_exact_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = docs.select("doc_id", F.explode(packing.token_pieces(F.col("text"), tokenizer_path())).alias("p")).select("doc_id", "p.*")
+    return packing.pack(materialise(pieces, "pieces"), ["doc_id", "piece", "ids_crc32"])
+
+
+def op9_url_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op10_pivot_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.similar_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_pfair_mix, op2_license_scan, op3_stratified_shards, op4_ogg_media, op5_superminhash, op6_secret_owners, op7_exact_complement_packing,
+        op8_quality_trees, op9_url_links, op10_pivot_permutations,
+    )
+}
+
+
+def _secrets_sql() -> str:
+    parts = []
+    for i, k in enumerate(secrets.KINDS):
+        p = k.pattern.replace("'", "''")
+        parts.append(f"""
+            SELECT doc_id, source, {i} AS rank, '{k.name}' AS kind, unnest(string_split_regex(text, '{p}')[:-2]) AS gap,
+                   unnest(regexp_extract_all(text, '{p}')) AS found, unnest(regexp_extract_all(text, '{p}', {k.group})) AS value,
+                   generate_subscripts(regexp_extract_all(text, '{p}'), 1) AS i FROM documents WHERE text IS NOT NULL""")
+    least = "[" + ", ".join(str(k.least) for k in secrets.KINDS) + "]"
+    joined = "coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank){}, '')"
+    counts = ", ".join(f"count(*) FILTER (rank = {i}) AS n_{k.name}" for i, k in enumerate(secrets.BASE))
+    return f"""
+    WITH raw AS ({" UNION ALL ".join(parts)}),
+    placed AS (SELECT *, sum(length(gap) + length(found)) OVER (PARTITION BY doc_id, rank ORDER BY i) AS e FROM raw),
+    spans AS MATERIALIZED (SELECT doc_id, source, rank, kind, CAST(e - length(found) AS BIGINT) AS s, CAST(e AS BIGINT) AS e, value
+                           FROM placed WHERE length(value) >= {least}[rank + 1]),
+    owners AS (SELECT value, count(DISTINCT coalesce(source, '')) AS owners FROM spans GROUP BY 1),
+    per_doc AS (SELECT doc_id, {counts}, sha256({joined.format(f" FILTER (rank < {len(secrets.BASE)})")}) AS base_sha256, {joined.format("")} AS spans,
+                       count(*) FILTER (owners < {secrets.EXAMPLE_OWNERS}) AS n_live, count(*) FILTER (owners >= {secrets.EXAMPLE_OWNERS}) AS n_example
+                FROM spans JOIN owners USING (value) GROUP BY 1)
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+           coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+    FROM documents LEFT JOIN per_doc USING (doc_id)
+    """
+
+
+ORACLE_SQL: dict[str, str] = {"op6_secret_owners": _secrets_sql(), "op9_url_links": urls.oracle_sql()}
