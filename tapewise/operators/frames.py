@@ -74,4 +74,4 @@ def rising(column: str) -> Column:
 def islands(bars: DataFrame, column: str, out: str) -> DataFrame:
     """Number of the current run of a true flag, from 1 per symbol; null outside of runs. The last run ends with the data."""
     starts = windowed(bars, lambda b: b.withColumn("_start", rising(column).cast("long")), back=1)
-    return running_sum(starts, "_start", "_run").withColumn(out, F.when(F.col(column), F.col("_run"))).drop("_start", "_run")
+    return running_sum(starts, "_start", "_runs_so_far").withColumn(out, F.when(F.col(column), F.col("_runs_so_far"))).drop("_start", "_runs_so_far")
