@@ -119,5 +119,5 @@ def day_bias(bars: DataFrame, condition: str, first: int = 9, end: int = 16) ->
 
 
 def cube_quality(events: DataFrame, dims: list[Column | str], mfe: str = "mfe_up", mae: str = "mae_up") -> DataFrame:
-    """Events and mean excursions for every combination of the dimensions and all their margins (null: all)."""
-    return events.cube(*dims).agg(F.count("*").alias("events"), F.round(F.avg(mfe), 4).alias("mfe"), F.round(F.avg(mae), 4).alias("mae"))
+    """Events and total excursions for every combination of the dimensions and all their margins (null: all)."""
+    return events.cube(*dims).agg(F.count("*").alias("events"), F.round(F.sum(mfe), 4).alias("mfe"), F.round(F.sum(mae), 4).alias("mae"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bar_queries, research_queries, zone_queries  # noqa: F401  they register themselves
+from . import bar_queries, registry_queries, research_queries, stream_queries, zone_queries  # noqa: F401  they register themselves
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

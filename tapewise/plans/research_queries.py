@@ -333,7 +333,7 @@ def day_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regimes.day_bias(signals.fair_value_gap(keyed_event_bars(spark, sf_dir)), "fvg_bull")
 
 
-@query("""SELECT symbol, premium, hour, count(*) AS events, round(avg(mfe_up), 4) AS mfe, round(avg(mae_up), 4) AS mae FROM (
+@query("""SELECT symbol, premium, hour, count(*) AS events, round(sum(mfe_up), 4) AS mfe, round(sum(mae_up), 4) AS mae FROM (
         SELECT f.symbol, p.premium::INT AS premium, CAST(hour(f.ny) AS INT) AS hour, mfe_up, mae_up FROM fwd f JOIN prem p USING (symbol, bar_no) WHERE mfe_up IS NOT NULL) GROUP BY CUBE (symbol, premium, hour)""", fwd=_FWD, prem=_PREMIUM)
 def entry_quality_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = outcomes.forward_excursion(signals.dealing_range(keyed_event_bars(spark, sf_dir)), 60).where("mfe_up is not null")
