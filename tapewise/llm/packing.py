@@ -191,7 +191,8 @@ def pack(pieces: DataFrame, keys: list[str], length: str = "length", capacity: i
             offset += x
         sequence += many
     places = spark.createDataFrame(
-        pd.DataFrame(np.array(rows, np.int64).reshape(-1, 5), columns=["_length", "_from", "_to", "_sequence", "offset"])
+        pd.DataFrame(np.array(rows, np.int64).reshape(-1, 5), columns=["_length", "_from", "_to", "_sequence", "offset"]),
+        "_length long, _from long, _to long, _sequence long, offset long",
     )
     names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     hashed = pieces.select(*names).withColumn("_length", F.col(length).cast("long")).withColumn("_hash", seeded_hash(seed, *keys))
