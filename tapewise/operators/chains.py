@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import BY_CHUNK, windowed
+from .frames import by_chunk, windowed
 from .joins import forward_join
 
 ARROW = "→"
@@ -16,7 +16,7 @@ def chained(bars: DataFrame, state: str = "state", most: int = 3) -> DataFrame:
 
     def build(b: DataFrame) -> DataFrame:
         for k in range(1, most + 1):
-            parts = [F.lag(state, i).over(BY_CHUNK) for i in range(k, 0, -1)]
+            parts = [F.lag(state, i).over(by_chunk()) for i in range(k, 0, -1)]
             b = b.withColumn(f"chain_{k}", F.when(parts[0].isNotNull(), F.concat_ws(ARROW, *parts)))
         return b
 
@@ -45,7 +45,7 @@ def top_chains(lifts: DataFrame, n: int = 15) -> DataFrame:
 
 def transitions(bars: DataFrame, state: str = "state") -> DataFrame:
     """Per symbol: how often ``prev`` is followed by ``cur``, and the share among all that follows ``prev``."""
-    pairs = windowed(bars, lambda b: b.withColumn("prev", F.lag(state).over(BY_CHUNK)), back=1).where("prev is not null")
+    pairs = windowed(bars, lambda b: b.withColumn("prev", F.lag(state).over(by_chunk())), back=1).where("prev is not null")
     counts = pairs.groupBy("symbol", "prev", F.col(state).alias("cur")).agg(F.count("*").alias("n"))
     return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("symbol", "prev")), 6))
 
@@ -100,7 +100,7 @@ def lead_lag(bars: DataFrame, other: DataFrame, lags: int = 5) -> DataFrame:
     """Correlation of close-to-close returns of two series of a symbol for shifts of -lags..lags bars."""
 
     def returns(df: DataFrame, name: str) -> DataFrame:
-        r = windowed(df, lambda b: b.withColumn(name, F.col("close") / F.lag("close").over(BY_CHUNK) - 1), back=1)
+        r = windowed(df, lambda b: b.withColumn(name, F.col("close") / F.lag("close").over(by_chunk()) - 1), back=1)
         return r.select("symbol", "bar_no", name)
 
     a = returns(bars, "ra").withColumn("lag", F.explode(F.sequence(F.lit(-lags), F.lit(lags)))).withColumn("_to", F.col("bar_no") + F.col("lag"))

@@ -14,20 +14,23 @@ from pyspark.sql import functions as F
 
 from ..sources.bars import keyed
 
-BY_CHUNK = Window.partitionBy("symbol", "chunk").orderBy("bar_no")
+
+def by_chunk() -> WindowSpec:
+    """The bars of a chunk in order."""
+    return Window.partitionBy("symbol", "chunk").orderBy("bar_no")
 
 
 def last(n: int, including: bool = True) -> WindowSpec:
     """The last ``n`` bars, with the current one or before it."""
-    return BY_CHUNK.rowsBetween(1 - n, 0) if including else BY_CHUNK.rowsBetween(-n, -1)
+    return by_chunk().rowsBetween(1 - n, 0) if including else by_chunk().rowsBetween(-n, -1)
 
 
 def next_(n: int, including: bool = False) -> WindowSpec:
-    return BY_CHUNK.rowsBetween(0 if including else 1, n)
+    return by_chunk().rowsBetween(0 if including else 1, n)
 
 
 def windowed(bars: DataFrame, build: Callable[[DataFrame], DataFrame], back: int = 0, ahead: int = 0) -> DataFrame:
-    """``build(bars)`` with windows over BY_CHUNK that reach ``back`` bars back and ``ahead`` bars ahead at most.
+    """``build(bars)`` with windows over by_chunk that reach ``back`` bars back and ``ahead`` bars ahead at most.
 
     Each chunk gets copies of the bars it needs from its neighbours; the copies are dropped afterwards. With
     chunks much longer than the reach, few rows are copied. Reaches may exceed the chunk length.
@@ -43,7 +46,7 @@ def running_sum(bars: DataFrame, value: str, out: str) -> DataFrame:
     """Sum of ``value`` over all bars of the symbol up to the current one."""
     before = Window.partitionBy("symbol").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     left = bars.groupBy("symbol", "chunk").agg(F.sum(value).alias("_s")).withColumn("_before", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s")
-    within = F.coalesce(F.sum(value).over(BY_CHUNK.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    within = F.coalesce(F.sum(value).over(by_chunk().rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
     return bars.withColumn("_within", within).join(left, ["symbol", "chunk"]).withColumn(out, F.col("_before") + F.col("_within")).drop("_before", "_within")
 
 
@@ -52,7 +55,7 @@ def carried(bars: DataFrame, values: dict[str, str], including: bool = True) ->
     before = Window.partitionBy("symbol").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     left = bars.groupBy("symbol", "chunk").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("bar_no"))).alias(f"_l_{o}") for o, c in values.items()])
     left = left.select("symbol", "chunk", *[F.last(f"_l_{o}", ignorenulls=True).over(before).alias(f"_b_{o}") for o in values])
-    frame = BY_CHUNK.rowsBetween(Window.unboundedPreceding, 0 if including else -1)
+    frame = by_chunk().rowsBetween(Window.unboundedPreceding, 0 if including else -1)
     for o, c in values.items():
         bars = bars.withColumn(f"_w_{o}", F.last(c, ignorenulls=True).over(frame))
     bars = bars.join(left, ["symbol", "chunk"])
@@ -68,7 +71,7 @@ def flag(condition: Column) -> Column:
 
 def rising(column: str) -> Column:
     """A flag that is true now and was not at the bar before (look-back 1)."""
-    return F.col(column) & ~F.coalesce(F.lag(column).over(BY_CHUNK), F.lit(False))
+    return F.col(column) & ~F.coalesce(F.lag(column).over(by_chunk()), F.lit(False))
 
 
 def islands(bars: DataFrame, column: str, out: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import CHICAGO, local, session_map, trading_weekday
 from ..sources.store import stage
-from .frames import BY_CHUNK, windowed
+from .frames import by_chunk, windowed
 from .joins import forward_join
 
 
@@ -15,7 +15,7 @@ def level_rows(bars: DataFrame, levels: list[str]) -> DataFrame:
     """Bars x levels in long form: symbol, level, price, and the bar; rows without a price are dropped."""
     names = ", ".join(f"'{c}', `{c}`" for c in levels)
     keep = ["symbol", "bar_no", "chunk", "chunk_len", "ts", "high", "low", "close", "_before"]
-    with_before = windowed(bars, lambda b: b.withColumn("_before", F.lag("close").over(BY_CHUNK)), back=1)
+    with_before = windowed(bars, lambda b: b.withColumn("_before", F.lag("close").over(by_chunk())), back=1)
     long = with_before.select(*keep, F.expr(f"stack({len(levels)}, {names}) AS (level, price)"))
     return long.where("price is not null")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import BY_CHUNK, flag, next_, windowed
+from .frames import by_chunk, flag, next_, windowed
 from .joins import forward_join
 
 #: Fixed values of the cost model, in points: half a point of slippage each way, and commission.
@@ -20,7 +20,7 @@ def forward_excursion(bars: DataFrame, n: int, truncate: bool = False) -> DataFr
         full = F.lit(True) if truncate else F.count("close").over(next_(n)) == n
         up, down = F.max("high").over(next_(n)) - F.col("close"), F.col("close") - F.min("low").over(next_(n))
         b = b.withColumn("mfe_up", F.when(full, up)).withColumn("mae_up", F.when(full, down))
-        return b.withColumn("net", F.lead("close", n).over(BY_CHUNK) - F.col("close"))
+        return b.withColumn("net", F.lead("close", n).over(by_chunk()) - F.col("close"))
 
     return windowed(bars, build, ahead=n)
 
@@ -71,7 +71,7 @@ def entries(bars: DataFrame, signal: str, offset: int = 1, atr: str = "atr", sto
     """
 
     def build(b: DataFrame) -> DataFrame:
-        b = b.withColumn("_open", F.lead("open", offset).over(BY_CHUNK)).withColumn("_no", F.lead("bar_no", offset).over(BY_CHUNK))
+        b = b.withColumn("_open", F.lead("open", offset).over(by_chunk())).withColumn("_no", F.lead("bar_no", offset).over(by_chunk()))
         return b
 
     e = windowed(bars, build, ahead=offset).where(F.col(signal) & F.col("_no").isNotNull() & F.col(atr).isNotNull())

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import bucket_label, local
-from .frames import BY_CHUNK, flag, islands, next_, windowed
+from .frames import by_chunk, flag, islands, next_, windowed
 
 
 def unpivot(bars: DataFrame, columns: list[str], name: str = "column", value: str = "value") -> DataFrame:
@@ -57,10 +57,10 @@ def phases(bars: DataFrame, column: str, window: int = 30) -> DataFrame:
 
     def build(b: DataFrame) -> DataFrame:
         on = F.col("_run").isNotNull()
-        before, after = F.lag("_run").over(BY_CHUNK), F.lead("_run").over(BY_CHUNK)
+        before, after = F.lag("_run").over(by_chunk()), F.lead("_run").over(by_chunk())
         b = b.withColumn("_start", flag(on & ~before.eqNullSafe(F.col("_run")))).withColumn("_end", flag(on & ~after.eqNullSafe(F.col("_run"))))
         soon = F.max(F.col("_start").cast("int")).over(next_(window)) == 1
-        just = F.max(F.col("_end").cast("int")).over(BY_CHUNK.rowsBetween(1 - window, 0)) == 1
+        just = F.max(F.col("_end").cast("int")).over(by_chunk().rowsBetween(1 - window, 0)) == 1
         return b.withColumn("phase", F.when(on, "during").when(soon, "before").when(just, "after").otherwise("neutral")).drop("_start", "_end", "_run")
 
     return windowed(runs, build, back=window + 1, ahead=window + 1)
@@ -93,12 +93,12 @@ def forward_regimes(bars: DataFrame, regime: str, horizons: tuple[int, ...] = (1
     """Where the regime changes: median net move and efficiency of the next bars per symbol, new regime and horizon."""
 
     def build(b: DataFrame) -> DataFrame:
-        b = b.withColumn("_d", F.abs(F.lead("close").over(BY_CHUNK) - F.col("close")))
+        b = b.withColumn("_d", F.abs(F.lead("close").over(by_chunk()) - F.col("close")))
         for h in horizons:
-            net = F.lead("close", h).over(BY_CHUNK) - F.col("close")
-            path = F.sum("_d").over(BY_CHUNK.rowsBetween(0, h - 1))
+            net = F.lead("close", h).over(by_chunk()) - F.col("close")
+            path = F.sum("_d").over(by_chunk().rowsBetween(0, h - 1))
             b = b.withColumn(f"_n{h}", net).withColumn(f"_k{h}", F.try_divide(F.abs(net), path))
-        return b.withColumn("_change", flag(F.col(regime) != F.lag(regime).over(BY_CHUNK))).drop("_d")
+        return b.withColumn("_change", flag(F.col(regime) != F.lag(regime).over(by_chunk()))).drop("_d")
 
     b = windowed(bars, build, back=1, ahead=max(horizons)).where("_change")
     long = b.select("symbol", F.col(regime).alias("regime"), F.expr(f"stack({len(horizons)}, {', '.join(f'{h}, _n{h}, _k{h}' for h in horizons)}) AS (horizon, net, ker)")).where("net is not null")

@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from ..functions.clock import CHICAGO, local, minute_of_day
 from ..sources.bars import keyed
 from ..sources.store import stage
-from .frames import BY_CHUNK, carried, flag, last, rising, running_sum, windowed
+from .frames import by_chunk, carried, flag, last, rising, running_sum, windowed
 
 SIDES = ("bull", "bear")
 
 
 def _true_range() -> Column:
-    before = F.lag("close").over(BY_CHUNK)
+    before = F.lag("close").over(by_chunk())
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
 
 
@@ -54,7 +54,7 @@ def fair_value_gap(bars: DataFrame, min_gap: float = 0.0, max_age: int = 0, pref
     """
 
     def births(b: DataFrame) -> DataFrame:
-        high, low = F.lag("high", 2).over(BY_CHUNK), F.lag("low", 2).over(BY_CHUNK)
+        high, low = F.lag("high", 2).over(by_chunk()), F.lag("low", 2).over(by_chunk())
         b = b.withColumn(f"{prefix}_bull", flag(F.col("low") - high > min_gap)).withColumn(f"{prefix}_bear", flag(low - F.col("high") > min_gap))
         for side, top, bottom in (("bull", F.col("low"), high), ("bear", low, F.col("high"))):
             new = F.col(f"{prefix}_{side}")
@@ -149,7 +149,7 @@ def adx(bars: DataFrame, n: int = 14, out: str = "adx") -> DataFrame:
     """Mean directional index in its simple form: means of clipped moves over the mean true range, then of their contrast."""
 
     def build(b: DataFrame) -> DataFrame:
-        up, down = F.greatest(F.col("high") - F.lag("high").over(BY_CHUNK), F.lit(0.0)), F.greatest(F.lag("low").over(BY_CHUNK) - F.col("low"), F.lit(0.0))
+        up, down = F.greatest(F.col("high") - F.lag("high").over(by_chunk()), F.lit(0.0)), F.greatest(F.lag("low").over(by_chunk()) - F.col("low"), F.lit(0.0))
         b = b.withColumn("_up", up).withColumn("_down", down).withColumn("_tr", _true_range())
         for c in ("_up", "_down", "_tr"):
             b = b.withColumn(c, F.avg(c).over(last(n)))
@@ -164,9 +164,9 @@ def efficiency_ratio(bars: DataFrame, n: int = 20, out: str = "ker") -> DataFram
     """Net move of n bars over the length of the path; null where the path is flat or the window not full."""
 
     def build(b: DataFrame) -> DataFrame:
-        b = b.withColumn("_d", F.abs(F.col("close") - F.lag("close").over(BY_CHUNK)))
+        b = b.withColumn("_d", F.abs(F.col("close") - F.lag("close").over(by_chunk())))
         path = F.sum("_d").over(last(n))
-        return b.withColumn(out, F.try_divide(F.abs(F.col("close") - F.lag("close", n).over(BY_CHUNK)), path)).drop("_d")
+        return b.withColumn(out, F.try_divide(F.abs(F.col("close") - F.lag("close", n).over(by_chunk())), path)).drop("_d")
 
     return windowed(bars, build, back=n + 1)
 
@@ -183,9 +183,9 @@ def hurst(bars: DataFrame, n: int = 100, lags: tuple[int, int] = (2, 19), revert
         b = b.withColumn("_log", F.when(F.col("close") > 0, F.ln("close")))
         names = []
         for k in range(first, final + 1):
-            b = b.withColumn(f"_r{k}", F.col("_log") - F.lag("_log", k).over(BY_CHUNK))
+            b = b.withColumn(f"_r{k}", F.col("_log") - F.lag("_log", k).over(by_chunk()))
         for k in range(first, final + 1):
-            inside = BY_CHUNK.rowsBetween(k - n, -1)
+            inside = by_chunk().rowsBetween(k - n, -1)
             b = b.withColumn(f"_s{k}", F.when(F.count(f"_r{k}").over(inside) >= 2, F.stddev_samp(f"_r{k}").over(inside)))
             names.append((k, f"_s{k}"))
         points = F.filter(F.array(*[F.struct(F.ln(F.lit(float(k))).alias("x"), F.when(F.col(c) > 0, F.ln(c)).alias("y")) for k, c in names]), lambda p: p["y"].isNotNull())
@@ -222,7 +222,7 @@ def states(bars: DataFrame, compress: float = 0.5, sweep_add: float = 1.5, sweep
         lower = (F.least("open", "close") - F.col("low")) / F.when(span > 0, span)
         up = (F.col("high") > F.max("high").over(last(10, including=False)) + sweep_add) & loud & (upper > wick)
         down = (F.col("low") < F.min("low").over(last(10, including=False)) - sweep_add) & loud & (lower > wick)
-        move = F.col("close") - F.lag("close").over(BY_CHUNK)
+        move = F.col("close") - F.lag("close").over(by_chunk())
         busy = F.col("volume") > F.col("_median")
         state = (
             F.when(F.col("bar_no") < 30, "N").when(calm, "C").when(up, "SU").when(down, "SD")
@@ -253,7 +253,7 @@ def pre_displacement(bars: DataFrame, within: int = 1) -> DataFrame:
         calm = F.max((F.col("state") == "C").cast("int")).over(last(within + 1)) == 1
         swept = F.col("state").isin("SU", "SD")
         b = b.withColumn("_hit", calm & swept)
-        return b.withColumn("pre_disp", F.coalesce(F.lag("_hit").over(BY_CHUNK), F.lit(False))).drop("_hit")
+        return b.withColumn("pre_disp", F.coalesce(F.lag("_hit").over(by_chunk()), F.lit(False))).drop("_hit")
 
     return windowed(bars, build, back=within + 2)
 
@@ -320,7 +320,7 @@ def settlements(bars: DataFrame, hour: int = 15, zone: str = CHICAGO) -> DataFra
     clock = F.hour(local("ts", zone))
 
     def build(b: DataFrame) -> DataFrame:
-        return b.withColumn("_cross", flag((clock >= hour) & (F.lag(clock).over(BY_CHUNK) < hour)))
+        return b.withColumn("_cross", flag((clock >= hour) & (F.lag(clock).over(by_chunk()) < hour)))
 
     return windowed(bars, build, back=1).where("_cross").drop("_cross")
 
@@ -347,7 +347,7 @@ def ou_half_life(bars: DataFrame, n: int = 60) -> DataFrame:
     """Rolling AR(1) of the ``n`` closes before: ou_speed, ou_mean, ou_half_life, ou_stationary; null until n are there."""
 
     def build(b: DataFrame) -> DataFrame:
-        b = b.withColumn("_x", F.lag("close").over(BY_CHUNK)).withColumn("_d", F.col("close") - F.col("_x"))
+        b = b.withColumn("_x", F.lag("close").over(by_chunk())).withColumn("_d", F.col("close") - F.col("_x"))
         frame = last(n - 1)
         full = F.count("_d").over(frame) == n - 1
         b = b.withColumn("_b", F.when(full, F.try_divide(F.covar_pop("_x", "_d").over(frame), F.var_pop("_x").over(frame))))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import local, session_map
 from .frames import flag
-from .joins import forward_join
+from .joins import asof, forward_join
 from .signals import SIDES
 
 HORIZONS = (15, 30, 60, 120)
@@ -167,3 +167,27 @@ def overlap_outcomes(bars: DataFrame, prefix: str = "fvg") -> DataFrame:
     over = flag(~((F.col(f"{prefix}_bull_high") < F.col(f"{prefix}_bear_low")) | (F.col(f"{prefix}_bull_low") > F.col(f"{prefix}_bear_high"))))
     return at.groupBy("symbol", over.cast("int").alias("overlap")).agg(F.count("*").alias("touches"), F.count(F.when(F.col("close") < F.col("_mid"), 1)).alias("below_mid"))
 
+
+
+def near_level(bars: DataFrame, level: str, prefix: str = "fvg", distance: float = 20.0) -> DataFrame:
+    """First touch of each active bull zone's middle: touches near and away from a level, and how many close below the middle."""
+    mid = F.col(f"{prefix}_bull_mid")
+    hit = bars.where(flag((F.col("low") <= mid) & (F.col("high") >= mid)) & ~F.col(f"{prefix}_bull"))
+    first = hit.groupBy("symbol", F.col(f"{prefix}_bull_id").alias("zone_id")).agg(
+        F.min_by(F.struct(mid.alias("mid"), F.col("close"), F.col(level).alias("level")), "bar_no").alias("r")
+    )
+    near = flag(F.abs(F.col("r.level") - F.col("r.mid")) <= distance)
+    return first.groupBy("symbol", near.cast("int").alias("near")).agg(F.count("*").alias("touches"), F.count_if(F.col("r.close") < F.col("r.mid")).alias("below_mid"))
+
+
+def nested_zones(lower: DataFrame, higher: DataFrame, prefix: str = "fvg") -> DataFrame:
+    """Bars with an active bull zone in both frames: per symbol how many, and in how many the lower frame's zone lies within the other or overlaps it.
+
+    ``higher`` has symbol, ts (from when its values are known) and htf_high, htf_low.
+    """
+    names = ["symbol", "ts", "bar_no", f"{prefix}_bull_high", f"{prefix}_bull_low"]
+    both = asof(lower.where(F.col(f"{prefix}_bull_active")).select(*names), higher, ["htf_high", "htf_low"]).where("htf_high is not null")
+    hi, lo = F.col(f"{prefix}_bull_high"), F.col(f"{prefix}_bull_low")
+    inside = (hi <= F.col("htf_high")) & (lo >= F.col("htf_low"))
+    over = (hi >= F.col("htf_low")) & (lo <= F.col("htf_high"))
+    return both.groupBy("symbol").agg(F.count("*").alias("bars"), F.count_if(inside).alias("inside"), F.count_if(over).alias("overlapping"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.clock import local
@@ -213,17 +213,20 @@ _CHAINED = f"""SELECT symbol, bar_no, state, unnest([1, 2, 3]) AS length, unnest
 _LIFTS = """SELECT symbol, length, chain, bars, events, round((events / n) / (bars / b), 6) AS lift FROM (
         SELECT *, sum(bars) OVER (PARTITION BY symbol, length) AS b, nullif(sum(events) OVER (PARTITION BY symbol, length), 0) AS n FROM (
             SELECT symbol, length, chain, count(*) AS bars, count(*) FILTER (state IN ('DU', 'DD')) AS events FROM chained WHERE chain IS NOT NULL GROUP BY 1, 2, 3)) WHERE bars >= 10"""
-_MOVED = F.col("state").isin("DU", "DD")
+
+
+def _moved() -> Column:
+    return F.col("state").isin("DU", "DD")
 
 
 @query("SELECT * FROM lifts", chained=_CHAINED, lifts=_LIFTS)
 def chain_lifts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chains.chain_lift(_states(spark, sf_dir), _MOVED)
+    return chains.chain_lift(_states(spark, sf_dir), _moved())
 
 
 @query("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, length ORDER BY events DESC, chain) AS rank FROM lifts) WHERE rank <= 5", chained=_CHAINED, lifts=_LIFTS)
 def top_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chains.top_chains(chains.chain_lift(_states(spark, sf_dir), _MOVED), 5)
+    return chains.top_chains(chains.chain_lift(_states(spark, sf_dir), _moved()), 5)
 
 
 _MATRIX = f"""SELECT symbol, prev, state AS cur, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY symbol, prev), 6) AS share
@@ -248,7 +251,7 @@ def next_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT s.symbol, s.bar_no, arg_max(l.lift, c.length) FILTER (l.lift IS NOT NULL) AS lift FROM states s LEFT JOIN chained c USING (symbol, bar_no) LEFT JOIN lifts l ON l.symbol = s.symbol AND l.length = c.length AND l.chain = c.chain GROUP BY 1, 2) GROUP BY 1, 2""", chained=_CHAINED, lifts=_LIFTS)
 def chain_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _states(spark, sf_dir)
-    return chains.grade(s, stage(chains.chain_lift(s, _MOVED), "lifts")).groupBy("symbol", "grade").agg(F.count("*").alias("bars"))
+    return chains.grade(s, stage(chains.chain_lift(s, _moved()), "lifts")).groupBy("symbol", "grade").agg(F.count("*").alias("bars"))
 
 
 @query(f"""SELECT symbol, fold, f AS filter, count(*) AS bars, count(*) FILTER (e) AS events, count(*) FILTER (c) AS hits, count(*) FILTER (c AND e) AS both,
@@ -256,7 +259,7 @@ def chain_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT symbol, CASE WHEN bar_no / n < 0.7 THEN 'train' WHEN bar_no / n < 0.9 THEN 'valid' ELSE 'blind' END AS fold, unnest(['none'] || CASE WHEN close > open THEN ['rising'] ELSE [] END) AS f,
                state IN ('DU', 'DD') AS e, coalesce(lag(state) OVER ({W}) = 'C', false) AS c FROM (SELECT *, max(bar_no) OVER (PARTITION BY symbol) + 1 AS n FROM states)) GROUP BY 1, 2, 3""")
 def chain_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chains.split_lift(_states(spark, sf_dir), "C", {"rising": F.col("close") > F.col("open")}, _MOVED)
+    return chains.split_lift(_states(spark, sf_dir), "C", {"rising": F.col("close") > F.col("open")}, _moved())
 
 
 @query("""SELECT symbol, component, count(*) AS events, round(avg((m >= 1)::INT), 6) AS win_1, round(avg((m >= 2)::INT), 6) AS win_2 FROM (

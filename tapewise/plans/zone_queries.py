@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import signals, zones
-from ..sources.bars import keyed_event_bars
+from ..operators import concepts, signals, zones
+from ..sources.bars import keyed, keyed_event_bars, resample
 from ..sources.store import stage
 from .registry import query
 
@@ -120,3 +120,38 @@ def fair_value_gaps_aged(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM gap_state g WHERE NOT bull AND low <= (b_lo + b_hi) / 2 AND high >= (b_lo + b_hi) / 2) WHERE k = 1 GROUP BY 1, 2""", fills=_FILLS, gap_state=_GAP_STATE)
 def zone_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zones.overlap_outcomes(gap_bars(spark, sf_dir))
+
+
+@query("""SELECT symbol, near, count(*) AS touches, count(*) FILTER (close < mid) AS below_mid FROM (
+        SELECT g.symbol, g.close, (b_lo + b_hi) / 2 AS mid, coalesce(abs(l.h - (b_lo + b_hi) / 2) <= 20, false)::INT AS near, row_number() OVER (PARTITION BY g.symbol, bull_id ORDER BY g.bar_no) AS k
+        FROM gap_state g LEFT JOIN ld l ON l.symbol = g.symbol AND l.p = date_trunc('day', g.ts) WHERE NOT bull AND low <= (b_lo + b_hi) / 2 AND high >= (b_lo + b_hi) / 2) WHERE k = 1 GROUP BY 1, 2""", fills=_FILLS, gap_state=_GAP_STATE,
+    pd="SELECT symbol, date_trunc('day', ts) AS p, max(high) AS h FROM bars GROUP BY 1, 2", ld="SELECT symbol, p, lag(h) OVER (PARTITION BY symbol ORDER BY p) AS h FROM pd")
+def zone_near_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zones.near_level(signals.previous_levels(gap_bars(spark, sf_dir), ("day",)), "prev_day_high")
+
+
+@query("""SELECT symbol, bar_no FROM (SELECT *, max((bull OR bear)::INT) OVER (PARTITION BY symbol ORDER BY bar_no ROWS 19 PRECEDING) AS held FROM gap_state) WHERE held = 1 AND b_lo IS NOT NULL AND close > open""", fills=_FILLS, gap_state=_GAP_STATE)
+def role_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = gap_bars(spark, sf_dir).withColumn("rising", F.col("close") > F.col("open"))
+    names = {"FVG": ["fvg_bull", "fvg_bear", "absent"], "IN_FVG": ["fvg_bull_active"]}
+    return concepts.role_query(bars, names, ["FVG", "UNKNOWN"], ["IN_FVG"], ["rising"]).select("symbol", "bar_no")
+
+
+@query("SELECT symbol, bar_no FROM gaps WHERE bull OR bear")
+def any_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return concepts.any_query(gap_bars(spark, sf_dir), ["FVG", "nothing"], {"FVG": ["fvg_bull", "fvg_bear"]}).select("symbol", "bar_no")
+
+
+@query()
+def zone_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = gap_bars(spark, sf_dir)
+    four = stage(keyed(resample(bars, "2 hours")), "higher")
+    higher = signals.fair_value_gap(four).where("fvg_bull_active").select("symbol", F.expr("ts + INTERVAL 2 HOURS").alias("ts"), F.col("fvg_bull_high").alias("htf_high"), F.col("fvg_bull_low").alias("htf_low"))
+    return zones.nested_zones(bars, higher)
+
+
+@query(f"SELECT symbol, side, {_CLASS} AS class, context, count(*) AS zones FROM returned JOIN (SELECT symbol, side, zone_id, max((px * CASE side WHEN 'bull' THEN 1 ELSE -1 END > o)::INT) AS context FROM zone_open GROUP BY 1, 2, 3) c USING (symbol, side, zone_id) GROUP BY 1, 2, 3, 4",
+    zone_open="SELECT z.*, b.open AS o FROM zone_bars z JOIN bars b ON b.symbol = z.symbol AND b.bar_no = z.bar_no")
+def zone_context_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = gap_bars(spark, sf_dir).withColumn("rising", F.col("close") > F.col("open"))
+    return zones.break_profile(zones.zone_bars(bars, context="rising"), bars, by="context")
