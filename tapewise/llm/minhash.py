@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, materialise
@@ -113,20 +113,30 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
 def _rest(posts: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     """Pairs of different components left to compare: those that share a shingle of their prefixes.
 
-    Of a set's n shingles in a common order, two similar sets share one of the first n - ceil(least * n / 100) + 1.
-    Rare shingles come first. In each shingle's list only members outside its largest component are paired.
+    Rare shingles come first. Of n shingles in this order, a set must share one of the first
+    n - ceil(least * n / 100) + 1 with any similar set, and one of the first n - ceil(2 * least * n / (100 + least)) + 1
+    with one that is not smaller. The first shingle that two sets share also leaves enough of both behind
+    it: their overlap is 1 + min(n - i, m - j) at most. In each shingle's list only members outside its largest
+    component are paired.
     """
     items = posts.select("node", "label").distinct().join(sets, "node").select("node", "label", F.size("items").alias("n"), F.explode("items").alias("item"))
     often = items.groupBy("item").agg(F.count("*").alias("_often"))
     in_order = Window.partitionBy("node").orderBy("_often", "item")
-    prefix = items.join(often, "item").withColumn("_at", F.row_number().over(in_order))
-    prefix = prefix.where(f"_often > 1 and _at <= n - (({least} * n + 99) div 100) + 1").select("item", "node", "label", "n")
+    prefix = items.join(often, "item").withColumn("at", F.row_number().over(in_order))
+    prefix = prefix.where(f"_often > 1 and at <= n - (({least} * n + 99) div 100) + 1").select("item", "node", "label", "n", "at")
     prefix = materialise(prefix, "prefixes")
     by_label = prefix.groupBy("item", "label").agg(F.count("*").alias("_n"))
     largest = by_label.groupBy("item").agg(F.max_by("label", F.struct("_n", "label")).alias("_top"), F.count("*").alias("_labels")).where("_labels > 1")
-    odd = prefix.join(largest, "item").where("label <> _top").select("item", F.col("node").alias("_x"), F.col("label").alias("_l"), F.col("n").alias("_m"))
-    pairs = odd.join(prefix, "item").where(f"label <> _l and 100 * least(n, _m) >= {least} * greatest(n, _m)")
-    return pairs.select(F.least("node", "_x").alias("a"), F.greatest("node", "_x").alias("b")).distinct()
+    odd = prefix.join(largest, "item").where("label <> _top")
+    odd = odd.select("item", *[F.col(c).alias(f"_{c}") for c in ("node", "label", "n", "at")])
+    total = 100 + least
+    short = f"at <= n - ((2 * {least} * n + {total - 1}) div {total}) + 1"
+    _short = f"_at <= _n - ((2 * {least} * _n + {total - 1}) div {total}) + 1"
+    pairs = odd.join(prefix, "item").where(f"""
+        label <> _label and 100 * least(n, _n) >= {least} * greatest(n, _n)
+        and CASE WHEN n < _n OR (n = _n AND node < _node) THEN {short} ELSE {_short} END
+        and 1 + least(n - at, _n - _at) >= ({least} * (n + _n) + {total - 1}) div {total}""")
+    return pairs.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
 
 
 def near_duplicates(
