@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import connected_components, materialise
 
 #: Reference points, how many nearest of them describe a vector, how many two vectors must share.
-PIVOTS, NEAREST, SHARED = 256, 6, 3
+PIVOTS, NEAREST, SHARED = 512, 6, 3
 #: Bound on the vectors that reference points are chosen from; points closer than this cosine aren't chosen together.
 SAMPLE, APART = 4096, 0.5
 #: Rows of a block; longer lists are compared block by block.
@@ -57,27 +57,25 @@ def _list_keys(tops: np.ndarray, shared: int) -> np.ndarray:
     return keys
 
 
-def _compare(rows: pd.DataFrame, key: int, at: int, shared: int, least: float) -> pd.DataFrame:
-    """Links within one list, or between two blocks of it: the weight of each vector's links, and its group here.
+def _compare(x: np.ndarray, block: np.ndarray, tops: np.ndarray, weight: np.ndarray, key: int, at: int, shared: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links within one list, or between two blocks of it: the weight of each row's links, and the row that stands for its group.
 
     A pair that shares several lists counts in one of them: where the list's pivots are the first that the
     two share.
     """
-    x = unit(np.stack(rows["vec"].to_numpy()))
-    block = rows["own"].to_numpy()
-    tops = np.stack(rows["tops"].to_numpy())
     hits = x @ x.T >= least
     np.fill_diagonal(hits, False)
     if at // 100000 != at % 100000:  # two blocks; pairs within one are met elsewhere
         hits &= block[:, None] != block[None, :]
+    group = np.arange(len(x))
+    if not hits.any():
+        return np.zeros(len(x), np.int64), group
     last = key % 1024
     # shared pivots up to the list's last one; the list's own are among them
     upto = np.zeros((len(x), last + 1), np.float32)
     r, c = np.nonzero(tops <= last)
     upto[r, tops[r, c]] = 1
     first = hits & (np.rint(upto @ upto.T) == shared)
-    weight = rows["size"].to_numpy()
-    group = np.arange(len(x))
     while True:
         near = np.where(hits, group[None, :], len(x)).min(axis=1)
         new = np.minimum(group, near)
@@ -85,8 +83,42 @@ def _compare(rows: pd.DataFrame, key: int, at: int, shared: int, least: float) -
         if (new == group).all():
             break
         group = new
-    ids = rows["id"].to_numpy()
-    return pd.DataFrame({"id": ids, "links": (first @ weight).astype(np.int64), "low": ids[group]})
+    return (first @ weight).astype(np.int64), group
+
+
+def _walk(shared: int, least: float):
+    """Compare the lists of a partition, which come sorted; a list may run over several batches."""
+    columns = ["label", "dim", "key", "at"]
+
+    def lists(parts):
+        rest = None
+        for part in parts:
+            part = part if rest is None else pd.concat([rest, part], ignore_index=True)
+            new = (part[columns] != part[columns].shift()).any(axis=1).to_numpy()
+            starts = np.flatnonzero(new)
+            rest = part.iloc[starts[-1] :]
+            yield part.iloc[: starts[-1]], starts
+        if rest is not None:
+            yield rest, np.array([0, len(rest)])
+
+    def walk(parts):
+        for rows, starts in lists(parts):
+            if not len(rows):
+                continue
+            ids, weight, block = rows["id"].to_numpy(), rows["size"].to_numpy(), rows["own"].to_numpy()
+            keys, ats = rows["key"].to_numpy(), rows["at"].to_numpy()
+            out = []
+            for i, j in zip(starts[:-1], starts[1:], strict=True):
+                if j - i > 1:
+                    x = unit(np.stack(rows["vec"].iloc[i:j].to_numpy()))
+                    tops = np.stack(rows["tops"].iloc[i:j].to_numpy())
+                    links, group = _compare(x, block[i:j], tops, weight[i:j], int(keys[i]), int(ats[i]), shared, least)
+                    some = (links > 0) | (group != np.arange(j - i))
+                    out.append((ids[i:j][some], links[some], ids[i:j][group[some]]))
+            if out:
+                yield pd.DataFrame(dict(zip(("id", "links", "low"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+    return walk
 
 
 def _pairs_of(list_size: Column, block: Column) -> Column:
@@ -146,11 +178,9 @@ def similar_vectors(
     posts = posts.withColumn("own", F.when(blocks > 1, F.pmod(F.hash("id"), blocks)).otherwise(0)).withColumn("at", F.explode(_pairs_of(F.col("length"), F.col("own"))))
     members = posts.select("label", "dim", "key", "own", "at", "id").join(described.select("id", "size", "vec", "tops"), "id")
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        return _compare(group, int(group["key"].iloc[0]), int(group["at"].iloc[0]), shared, least)
-
-    met = members.groupBy("label", "dim", "key", "at").applyInPandas(compare, "id long, links long, low long")
-    met = materialise(met.where("links > 0 or low <> id"), "links")
+    by_list = ["label", "dim", "key", "at"]
+    together = members.repartition(*by_list).sortWithinPartitions(*by_list)
+    met = materialise(together.mapInPandas(_walk(shared, least), "id long, links long, low long"), "links")
     links = met.groupBy("id").agg(F.sum("links").alias("_links"))
     found = connected_components(met.select(F.col("id").alias("a"), F.col("low").alias("b")))
     of_class = (
