@@ -33,7 +33,7 @@ def chain_lift(bars: DataFrame, event: Column, least: int = 10, most: int = 3) -
     counts = long.groupBy("symbol", "length", "chain").agg(F.count("*").alias("bars"), F.count_if("_e").alias("events"))
     of = Window.partitionBy("symbol", "length")
     counts = counts.withColumn("_b", F.sum("bars").over(of)).withColumn("_n", F.sum("events").over(of)).where(F.col("bars") >= least)
-    lift = F.try_divide(F.col("events") / F.col("_n"), F.col("bars") / F.col("_b"))
+    lift = F.try_divide(F.try_divide("events", "_n"), F.col("bars") / F.col("_b"))
     return counts.select("symbol", "length", "chain", "bars", "events", F.round(lift, 6).alias("lift"))
 
 
@@ -91,7 +91,7 @@ def component_test(bars: DataFrame, flags: dict[str, Column], horizon: int = 15,
     names = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in flags.items()]))
     events = bars.where("atr is not null").withColumn("component", F.explode(names)).select("symbol", "bar_no", "component", "close", "atr")
     steps = forward_join(events, bars.select("symbol", "bar_no", "chunk", "chunk_len", "high", "low"), horizon, ["high", "low"])
-    move = F.greatest(F.col("high") - F.col("close"), F.col("close") - F.col("low")) / F.col("atr")
+    move = F.try_divide(F.greatest(F.col("high") - F.col("close"), F.col("close") - F.col("low")), F.col("atr"))
     per = steps.groupBy("symbol", "component", "bar_no").agg(F.max(move).alias("_m"))
     return per.groupBy("symbol", "component").agg(F.count("*").alias("events"), *[F.round(F.avg((F.col("_m") >= m).cast("int")), 6).alias(f"win_{m:g}") for m in multiples])
 
@@ -100,7 +100,7 @@ def lead_lag(bars: DataFrame, other: DataFrame, lags: int = 5) -> DataFrame:
     """Correlation of close-to-close returns of two series of a symbol for shifts of -lags..lags bars."""
 
     def returns(df: DataFrame, name: str) -> DataFrame:
-        r = windowed(df, lambda b: b.withColumn(name, F.col("close") / F.lag("close").over(by_chunk()) - 1), back=1)
+        r = windowed(df, lambda b: b.withColumn(name, F.try_divide(F.col("close"), F.lag("close").over(by_chunk())) - 1), back=1)
         return r.select("symbol", "bar_no", name)
 
     a = returns(bars, "ra").withColumn("lag", F.explode(F.sequence(F.lit(-lags), F.lit(lags)))).withColumn("_to", F.col("bar_no") + F.col("lag"))

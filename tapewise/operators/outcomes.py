@@ -158,7 +158,7 @@ def max_drawdown(trades: DataFrame, *by: str, order: str = "entry_no") -> DataFr
 def predictivity(bars: DataFrame, signal: str, atr: str = "atr", horizons: tuple[int, ...] = (3, 5, 10, 15), multiples: tuple[float, ...] = (1.0, 2.0)) -> DataFrame:
     """Per symbol, horizon and multiple: signals, and how many see a move of so many ATRs either way within the horizon."""
     events = bars.where(F.col(signal) & F.col(atr).isNotNull()).select("symbol", "bar_no", "close", F.col(atr).alias("_atr"))
-    steps = forward_join(events, bars, max(horizons), ["high", "low"]).withColumn("_move", F.greatest(F.col("high") - F.col("close"), F.col("close") - F.col("low")) / F.col("_atr"))
+    steps = forward_join(events, bars, max(horizons), ["high", "low"]).withColumn("_move", F.try_divide(F.greatest(F.col("high") - F.col("close"), F.col("close") - F.col("low")), F.col("_atr")))
     per = steps.groupBy("symbol", "bar_no").agg(*[F.max(F.when(F.col("step") <= h, F.col("_move"))).alias(f"m{h}") for h in horizons])
     long = per.select("symbol", F.expr(f"stack({len(horizons)}, {', '.join(f'{h}, m{h}' for h in horizons)}) AS (horizon, move)"))
     long = long.withColumn("multiple", F.explode(F.array(*map(F.lit, multiples))))

@@ -181,7 +181,7 @@ def pf_trend(runs: DataFrame, pf: str = "avg_pf") -> DataFrame:
 
 def holdout_class(runs: DataFrame) -> DataFrame:
     """class and degradation of runs with avg_oos_pf, holdout_pf and holdout_trades."""
-    loss = 1 - F.col("holdout_pf") / F.col("avg_oos_pf")
+    loss = 1 - F.try_divide("holdout_pf", "avg_oos_pf")
     kind = (
         F.when(F.coalesce("holdout_trades", F.lit(0)) < 10, "not validated").when(F.col("holdout_pf") >= 0.8 * F.col("avg_oos_pf"), "real edge")
         .when(F.col("holdout_pf") >= 1, "partial").when(loss > 0.5, "curve-fitted").otherwise("regime shift")
