@@ -184,5 +184,7 @@ def scan_licenses(docs: DataFrame, model: LicenseModel, key: str = "doc_id", tex
         F.count(F.when(known, 1)).alias("n_confirmed"), F.count(F.when(~known, 1)).alias("n_unknown"),
     )
     ids = materialise(docs.select(F.col(key), F.when(has, row).alias("_row")), "licenses")
-    joined = ids.join(per_row, "_row", "left")
-    return joined.select(key, F.coalesce("licenses", F.lit("")).alias("licenses"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_confirmed", "n_unknown")])
+    names = ["licenses", "n_confirmed", "n_unknown"]
+    empty = [F.lit("").alias("licenses"), F.lit(0).cast("long").alias("n_confirmed"), F.lit(0).cast("long").alias("n_unknown")]
+    some = ids.where("_row is not null").join(per_row, "_row")  # every such row has a line with a licence word
+    return some.select(key, *names).unionByName(ids.where("_row is null").select(key, *empty))
