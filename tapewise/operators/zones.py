@@ -191,3 +191,16 @@ def nested_zones(lower: DataFrame, higher: DataFrame, prefix: str = "fvg") -> Da
     inside = (hi <= F.col("htf_high")) & (lo >= F.col("htf_low"))
     over = (hi >= F.col("htf_low")) & (lo <= F.col("htf_high"))
     return both.groupBy("symbol").agg(F.count("*").alias("bars"), F.count_if(inside).alias("inside"), F.count_if(over).alias("overlapping"))
+
+
+def visit_durations(zones: DataFrame, most: int = 4, within: int = 120) -> DataFrame:
+    """Per symbol, side and visit: number, median bars inside, median bars outside before it (first: 0), exits by result, and of those that
+    break how many are touched again within ``within`` bars of the episode."""
+    order = Window.partitionBy("symbol", "side", "zone_id").orderBy("visit")
+    v = visits(zones, most + 1).withColumn("_outside", F.coalesce(F.col("first_no") - F.lag("last_no").over(order) - 1, F.lit(0)))
+    v = v.withColumn("_again", F.lead("first_no").over(order) - F.col("last_no")).where(F.col("visit") <= most)
+    broke = F.col("result") == "break"
+    return v.groupBy("symbol", "side", "visit").agg(
+        F.count("*").alias("n"), F.median("bars").alias("inside"), F.median("_outside").alias("outside"),
+        *[F.count_if(F.col("result") == r).alias(r) for r in ("bounce", "break", "unclear")], F.count_if(broke & flag(F.col("_again") <= within)).alias("touched_again"),
+    )
