@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.clock import stamp
+from ..operators import chains
 from ..sources.bars import event_bars, read_table
 from ..sources.store import stage
 from ..streaming import bars as streams
 from .registry import query
+from .research_queries import _CHAINED, _LIFTS, _moved, _states
 
 
 def _ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,3 +52,13 @@ def stream_news_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(bars.schema).parquet(bars.inputFiles()[0].rsplit("/", 1)[0])
     news = read_table(spark, sf_dir, "events").where("event_type = 'error' and value > 150").select(F.col("ts").cast("timestamp").alias("event_ts"))
     return streams.drain(streams.near_calendar(stream, news)).withColumn("ts", stamp("ts"))
+
+
+@query("""SELECT symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, state, lift, CASE WHEN lift >= 3 THEN 'A' WHEN lift >= 2 THEN 'B' WHEN lift >= 1 THEN 'C' ELSE 'D' END AS grade FROM (
+        SELECT s.symbol, s.bar_no, s.ts, s.state, arg_max(l.lift, c.length) FILTER (l.lift IS NOT NULL) AS lift FROM states s LEFT JOIN chained c USING (symbol, bar_no) LEFT JOIN lifts l ON l.symbol = s.symbol AND l.length = c.length AND l.chain = c.chain GROUP BY 1, 2, 3, 4)""", chained=_CHAINED, lifts=_LIFTS)
+def stream_watch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    states = _states(spark, sf_dir)
+    lifts = stage(chains.chain_lift(states, _moved()), "lifts")
+    bars = stage(states.select("symbol", "ts", "state"), "bars")
+    stream = spark.readStream.schema(bars.schema).parquet(bars.inputFiles()[0].rsplit("/", 1)[0])
+    return streams.drain(streams.watch_chains(stream, lifts)).withColumn("ts", stamp("ts"))

@@ -103,3 +103,30 @@ def drain(stream: DataFrame, mode: str = "append", tag: str = "stream") -> DataF
         query = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{base}/table")).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/table")
+
+
+def _remember(key: tuple[str], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    before = [s for s in (state.get if state.exists else (None, None, None)) if s]
+    bars = pd.concat(list(parts)).sort_values("ts")
+    rows: list[tuple[Any, ...]] = []
+    for ts, now in zip(bars["ts"], bars["state"], strict=True):
+        rows.append((key[0], ts, now, *["→".join(before[-k:]) if len(before) >= k else None for k in (1, 2, 3)]))
+        before = [*before, now][-3:]
+    state.update(tuple([None] * (3 - len(before)) + before))
+    yield pd.DataFrame(rows, columns=["symbol", "ts", "state", "chain_1", "chain_2", "chain_3"])
+
+
+def watch_chains(bars: DataFrame, lifts: DataFrame) -> DataFrame:
+    """Streamed bars (symbol, ts, state) with the lift of the longest known chain before them, and its grade, as the batch operator gives them.
+
+    The state of a symbol is its last three states; ``lifts`` is a static table (symbol, length, chain, lift). Bars of a symbol must
+    arrive in order from batch to batch.
+    """
+    kind = "symbol string, ts timestamp, state string, chain_1 string, chain_2 string, chain_3 string"
+    out = bars.groupBy("symbol").applyInPandasWithState(_remember, kind, "s3 string, s2 string, s1 string", "append", GroupStateTimeout.NoTimeout)
+    for k in (3, 2, 1):
+        table = lifts.where(F.col("length") == k).select("symbol", F.col("chain").alias(f"chain_{k}"), F.col("lift").alias(f"_l{k}"))
+        out = out.join(table, ["symbol", f"chain_{k}"], "left")
+    lift = F.coalesce("_l3", "_l2", "_l1")
+    grade = F.when(lift >= 3, "A").when(lift >= 2, "B").when(lift >= 1, "C").otherwise("D")
+    return out.select("symbol", "ts", "state", lift.alias("lift"), grade.alias("grade"))
