@@ -120,9 +120,10 @@ def _secrets_sql() -> str:
     placed AS (SELECT *, sum(length(gap) + length(found)) OVER (PARTITION BY doc_id, rank ORDER BY i) AS e FROM raw),
     spans AS MATERIALIZED (SELECT doc_id, source, rank, kind, CAST(e - length(found) AS BIGINT) AS s, CAST(e AS BIGINT) AS e, value
                            FROM placed WHERE length(value) >= {least}[rank + 1]),
-    owners AS (SELECT value, count(DISTINCT coalesce(source, '')) AS owners FROM spans GROUP BY 1),
+    owners AS (SELECT value, owners >= {secrets.EXAMPLE_OWNERS} OR (owners > 1 AND repositories >= {secrets.EXAMPLE_REPOSITORIES}) AS copied
+               FROM (SELECT value, count(DISTINCT coalesce(source, '')) AS owners, count(DISTINCT doc_id) AS repositories FROM spans GROUP BY 1)),
     per_doc AS (SELECT doc_id, {counts}, sha256({joined.format(f" FILTER (rank < {len(secrets.BASE)})")}) AS base_sha256, {joined.format("")} AS spans,
-                       count(*) FILTER (owners < {secrets.EXAMPLE_OWNERS}) AS n_live, count(*) FILTER (owners >= {secrets.EXAMPLE_OWNERS}) AS n_example
+                       count(*) FILTER (NOT copied) AS n_live, count(*) FILTER (copied) AS n_example
                 FROM spans JOIN owners USING (value) GROUP BY 1)
     SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
            coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise, text_or_empty
 
-#: A candidate that this many owners hold counts as a widely copied example.
-EXAMPLE_OWNERS = 3
+#: A candidate counts as a widely copied example if this many owners hold it, or two owners in this many repositories.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 10
 PLACEHOLDER = "<SECRET>"
 
 
@@ -80,17 +80,19 @@ def span_text(spans: str, most_rank: int = len(KINDS)) -> Column:
 def find_secrets(docs: DataFrame, key: str = "doc_id", owner: str = "source", text: str = "text", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     """(key, owner, row id, spans, live) of every row of ``docs``.
 
-    ``spans`` are all candidates of the whole text; ``live`` are those among them that fewer than
-    ``example_owners`` owners hold in the whole corpus, which look like somebody's working credentials. Candidates
-    are compared by the SHA-256 of their value; each row is a repository and null owners count as one owner. ``_row`` is
-    the content hash that ties results to rows; repeated rows get equal results. Null texts have no spans.
+    ``spans`` are all candidates of the whole text; ``live`` are those among them that look like somebody's working
+    credentials: in the whole corpus fewer than ``example_owners`` owners hold them, and if two do, fewer than
+    EXAMPLE_REPOSITORIES repositories. Candidates are compared by the SHA-256 of their value; each distinct row is a
+    repository and null owners count as one owner. ``_row`` is the content hash that ties results to rows; repeated rows
+    get equal results. Null texts have no spans.
     """
     row = F.sha2(F.concat_ws("\x1f", F.coalesce(F.col(key).cast("string"), F.lit("")), F.coalesce(F.col(owner).cast("string"), F.lit("")), text_or_empty(text)), 256)
     found = docs.select(F.col(key), F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("_owner"), secret_spans(text).alias("spans"), row.alias("_row"))
     found = materialise(found, "secrets")
     one = found.where("size(spans) > 0").select("_row", "_owner", F.explode("spans").alias("span")).withColumn("_value", F.sha2("span.value", 256))
-    owners = one.select("_value", "_owner").distinct().groupBy("_value").agg(F.count("*").alias("_owners"))
-    live = one.join(owners.where(F.col("_owners") < example_owners), "_value", "left_semi")
+    held = one.groupBy("_value").agg(F.count_distinct("_owner").alias("_owners"), F.count_distinct("_row").alias("_repositories"))
+    copied = (F.col("_owners") >= example_owners) | ((F.col("_owners") > 1) & (F.col("_repositories") >= EXAMPLE_REPOSITORIES))
+    live = one.join(held.where(~copied), "_value", "left_semi")
     live = live.groupBy("_row").agg(F.array_sort(F.collect_set("span")).alias("_live"))
     none = F.expr(f"cast(array() AS array<{_SPAN}>)")
     return found.join(live, "_row", "left").withColumn("live", F.coalesce("_live", none)).drop("_live")
