@@ -16,14 +16,29 @@ PLACEHOLDER = "<SECRET>"
 
 @dataclass(frozen=True)
 class Kind:
-    """What to look for: ``gate`` is a cheap pattern that every match implies, ``least`` the length of ``group``."""
+    """What to look for: ``gate`` is a cheap pattern that every match implies, ``least`` the length of ``group``.
+
+    ``tail`` goes on after ``pattern``, for what SQL's engine can't match; ``core`` is what is taken out of a value before owners are
+    counted, so that one secret in several layouts is one candidate.
+    """
 
     name: str
     gate: str
     pattern: str
     group: int = 0
     least: int = 0
+    tail: str = ""
+    core: str = ""
+
 
+_GAP = r"(?:[\s\x22\x27>,#*+/]|\\[nrt])*+"
+#: After the first line of a key: all up to the last line, else (a key that is cut off) the headers and lines of base64 that follow. Possessive, so no
+#: match needs a deep stack.
+_PEM_TAIL = (
+    r"(?:(?:[^-]|-(?!----))*+-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|(?:{_GAP}[A-Za-z][A-Za-z-]*+:\x20[^\r\n\\]*+)*+(?:{_GAP}[A-Za-z0-9+/]{{16,}}+={{0,2}}+)++(?:(?:[\x22\x27+,\s]|\\[nrt])++[A-Za-z0-9+/]{{1,15}}+={{0,2}}+(?=[\x22\x27\s\\]|$))?+)?+"
+)
+_PEM_CORE = r"-----(?:BEGIN|END) [A-Z ]*-----|\\[nrt]|[^A-Za-z0-9+/=]"
 
 #: Fixed values. The first three are the base kinds.
 BASE = (
@@ -35,7 +50,7 @@ BASE = (
     Kind("hex", "[0-9a-f]{16}", "[0-9a-f]{16,}", 0, 16),
 )
 MORE = (
-    Kind("pem", "PRIVATE KEY-----", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Kind("pem", "PRIVATE KEY-----", "-----BEGIN [A-Z ]*PRIVATE KEY-----", tail=_PEM_TAIL, core=_PEM_CORE),
     Kind("github", "gh[pousr]_", "gh[pousr]_[A-Za-z0-9]{36,}"),
     Kind("jwt", "eyJ", "eyJ[A-Za-z0-9_-]{10,}[.][A-Za-z0-9_-]{10,}[.][A-Za-z0-9_-]+"),
     Kind("slack", "xox[abprs]-", "xox[abprs]-[A-Za-z0-9-]{10,}"),
@@ -51,7 +66,7 @@ def _literal(text: str) -> str:
 
 def _spans(kind: Kind, rank: int, text: str) -> str:
     """Leftmost matches that don't overlap. The text between matches (field 0) gives the places of matches (1) and values (2), in code points."""
-    p = _literal(kind.pattern)
+    p = _literal(kind.pattern + kind.tail)
     fold = f"""
         aggregate(
             arrays_zip(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), regexp_extract_all({text}, {p}, {kind.group})),
@@ -77,19 +92,29 @@ def span_text(spans: str, most_rank: int = len(KINDS)) -> Column:
     return F.expr(f"array_join(transform(filter({spans}, s -> s.rank < {most_rank}), s -> concat_ws(':', s.kind, s.start, s.end)), ',')")
 
 
+def _candidate(span: str) -> Column:
+    """Hash by which the owners of a span's value are counted: of its core, or of the whole value where no core is left."""
+    value = F.col(f"{span}.value")
+    for k in KINDS:
+        if k.core:
+            core = F.regexp_replace(F.col(f"{span}.value"), k.core, "")
+            value = F.when((F.col(f"{span}.kind") == k.name) & (core != ""), core).otherwise(value)
+    return F.sha2(value, 256)
+
+
 def find_secrets(docs: DataFrame, key: str = "doc_id", owner: str = "source", text: str = "text", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     """(key, owner, row id, spans, live) of every row of ``docs``.
 
     ``spans`` are all candidates of the whole text; ``live`` are those among them that look like somebody's working
     credentials: in the whole corpus fewer than ``example_owners`` owners hold them, and if two do, fewer than
-    EXAMPLE_REPOSITORIES repositories. Candidates are compared by the SHA-256 of their value; each distinct row is a
+    EXAMPLE_REPOSITORIES repositories. Candidates are compared by the SHA-256 of their value (private keys: of their body); each distinct row is a
     repository and null owners count as one owner. ``_row`` is the content hash that ties results to rows; repeated rows
     get equal results. Null texts have no spans.
     """
     row = F.sha2(F.concat_ws("\x1f", F.coalesce(F.col(key).cast("string"), F.lit("")), F.coalesce(F.col(owner).cast("string"), F.lit("")), text_or_empty(text)), 256)
     found = docs.select(F.col(key), F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("_owner"), secret_spans(text).alias("spans"), row.alias("_row"))
     found = materialise(found, "secrets")
-    one = found.where("size(spans) > 0").select("_row", "_owner", F.explode("spans").alias("span")).withColumn("_value", F.sha2("span.value", 256))
+    one = found.where("size(spans) > 0").select("_row", "_owner", F.explode("spans").alias("span")).withColumn("_value", _candidate("span"))
     held = one.groupBy("_value").agg(F.count_distinct("_owner").alias("_owners"), F.count_distinct("_row").alias("_repositories"))
     copied = (F.col("_owners") >= example_owners) | ((F.col("_owners") > 1) & (F.col("_repositories") >= EXAMPLE_REPOSITORIES))
     live = one.join(held.where(~copied), "_value", "left_semi")

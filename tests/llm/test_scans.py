@@ -120,3 +120,21 @@ def test_two_owners_in_many_repositories_are_an_example(spark):
     found = secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, source string, text string")).select("doc_id", F.size("live").alias("n")).collect()
     live = {r.doc_id for r in found if r.n}
     assert live == set(range(4)) | set(range(50, 70))  # one owner's own key stays live however often it occurs
+
+
+def test_private_keys_are_whole_blocks_counted_by_their_body(spark):
+    line = lambda c: "\n".join([c * 64] * 3)
+    block = lambda body, kind="RSA ": f"-----BEGIN {kind}PRIVATE KEY-----\n{body}\n-----END {kind}PRIVATE KEY-----"
+    own = [block(line("ABCDEF"[i]) + "\nabcd==", ("", "RSA ")[i % 2]) for i in range(6)]
+    shared = block(line("Z"))
+    rows = [(i, f"src{i}", f"é before\n{k}\nafter") for i, k in enumerate(own)]
+    rows += [(10 + i, f"src{i}", f"an example {shared.replace(chr(10), chr(92) + 'n') if i else shared} ends") for i in range(3)]
+    rows += [(20, "src0", "cut off\n-----BEGIN EC PRIVATE KEY-----\n" + line("Q") + "\nshort=\n\nprose goes on"), (21, "src1", "grep -----BEGIN PRIVATE KEY----- in files")]
+    rows += [(22, "src0", "two " + block("Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n" + line("R")) + " and " + block(line("S")) + "."), (23, "src2", "x" + block("kL+/" * 500_000) + "y")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    pem = {r.doc_id: [s for s in r.spans if s.kind == "pem"] for r in secrets.find_secrets(df).collect()}
+    assert [pem[i][0].value for i in range(6)] == own and pem[0][0].start == 9 and pem[21][0].value == "-----BEGIN PRIVATE KEY-----"
+    out = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert all(out[i] == f"é before\n{secrets.PLACEHOLDER}\nafter" for i in range(6))  # six owners hold keys of two types, none a copy
+    assert all(out[10 + i] == rows[6 + i][2] for i in range(3))  # one key of three owners, in two layouts
+    assert out[20] == f"cut off\n{secrets.PLACEHOLDER}\n\nprose goes on" and out[22] == f"two {secrets.PLACEHOLDER} and {secrets.PLACEHOLDER}." and out[23] == f"x{secrets.PLACEHOLDER}y"
