@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -75,6 +76,11 @@ OTHER = (
 )
 #: What every paragraph looked at has; templates and OTHER all have it.
 CUES = r"(?i)licen[cs]e|copyright|redistribut|public domain|all rights reserved|free of charge|public license|waived|\bGPL\b|\bCC BY"
+#: The same in a text whose lines are wrapped, maybe behind comment signs; and what at least one word of every cue is like.
+WRAPPED_CUES = CUES.replace(" ", "[^A-Za-z0-9]+")
+_CUE_WORD = r"licen[cs]e|copyright|redistribut|waived|\bgpl\b|\b(domain|reserved|charge|cc)\b"
+#: Sizes of the word windows of a paragraph. Windows of one size start every quarter of it, so 24 words in a row (the longest template has 22) lie in a window.
+WINDOWS = (8, 16, 32)
 N_FEATURES, MAX_GRAM = 4096, 3
 #: Share of a template's word pairs that a paragraph must hold to confirm the family.
 CONFIRM = 0.6
@@ -135,56 +141,84 @@ def fit_licenses(spark: SparkSession) -> LicenseModel:
     return LicenseModel(lr, families, float(min(max(least, 0.5), 0.9)))
 
 
-def _two(words: Column):
-    return lambda i: F.concat_ws(" ", F.slice(words, i + 1, F.lit(2)))
+def _pairs(text: str) -> list[str]:
+    """Distinct word pairs of a template; words as in ``words_of``."""
+    words = [w for w in re.split(r"[^a-z0-9.+-]+|[.](?=\s|$|\")", text.lower()) if w]
+    return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:], strict=False)))
 
 
 def _confirmed(words: str, family: Column) -> Column:
-    """Largest share of a template's word pairs that the paragraph holds, over the templates of ``family``."""
+    """Largest share of a template's word pairs that the words hold, over the templates of ``family``.
+
+    Only templates count of which the words hold a pair that no other family's templates have: the start of a notice that two families
+    share confirms neither.
+    """
+    of = {name: [_pairs(t) for t in texts] for name, texts in TEMPLATES.items()}
+    held = F.expr(f"IF(size({words}) < 2, array(), transform(sequence(0, greatest(size({words}) - 2, 0)), i -> concat_ws(' ', slice({words}, i + 1, 2))))")
     share = F.lit(0.0)
-    for name, texts in TEMPLATES.items():
+    for name, templates in of.items():
+        others = {p for n, ts in of.items() if n != name for t in ts for p in t}
         found = []
-        for t in texts:
-            literal = words_of(F.lit(t))
-            pairs = lambda w: F.expr(f"transform(sequence(0, greatest(size({w}) - 2, 0)), i -> concat_ws(' ', slice({w}, i + 1, 2)))")
-            own = F.transform(F.sequence(F.lit(0), F.greatest(F.size(literal) - 2, F.lit(0))), _two(literal))
-            found.append(F.size(F.array_intersect(own, pairs(words))) / F.size(F.array_distinct(own)))
-        best = F.greatest(*found) if len(found) > 1 else found[0]
-        share = F.when(family == name, best).otherwise(share)
+        for t in templates:
+            own = [p for p in t if p not in others]
+            part = F.size(F.array_intersect(F.array(*map(F.lit, t)), held)) / len(t)
+            found.append(F.when(F.arrays_overlap(F.array(*map(F.lit, own)), held), part).otherwise(0.0))
+        share = F.when(family == name, F.greatest(*found)).otherwise(share)
     return share
 
 
-def license_paragraphs(docs: DataFrame, model: LicenseModel, text: str = "text", row: str = "_row") -> DataFrame:
-    """(row, line, paragraph, family, probability, template_share) of every line of ``docs`` that has a licence word.
+def _windows(words: str) -> str:
+    """Start * 64 + size of the windows that hold a word like a cue's."""
+    sizes = ", ".join(map(str, WINDOWS))
+    return f"""
+        array_distinct(flatten(transform(
+            filter(transform({words}, (w, i) -> IF(w RLIKE r'{_CUE_WORD}', bigint(i), -1L)), i -> i >= 0),
+            i -> flatten(transform(array({sizes}), n -> transform(sequence(0, 3), k -> greatest(i div (n div 4) - k, 0L) * (n div 4) * 64 + n))))))
+    """
+
+
+def license_windows(docs: DataFrame, model: LicenseModel, text: str = "text", row: str = "_row") -> DataFrame:
+    """(row, place, window, family, probability, template_share): what is classified of each paragraph of ``docs`` that has a licence word.
 
-    ``family`` is a family that the classifier is sure of and a template confirms, else 'unknown'.
+    Paragraphs end at empty lines; ``place`` is a paragraph's number in its row. Classified are the paragraph's word windows, across its
+    lines, and its single lines, those of them that have a licence word. ``family`` is a family that the classifier is sure of and a template
+    confirms, else 'unknown'. A paragraph whose licence words only the wrapping makes look like one has one unknown, empty window.
     """
-    lines = docs.where(F.coalesce(F.col(text).rlike(CUES), F.lit(False)))
-    lines = lines.select(row, F.posexplode(F.split(text, "\n")).alias("line", "paragraph")).where(F.col("paragraph").rlike(CUES))
-    scored = model.lr.transform(_features(lines)).withColumn("_p", vector_to_array("probability"))
+    cued = docs.where(F.coalesce(F.col(text).rlike(WRAPPED_CUES), F.lit(False)))
+    paragraphs = cued.select(row, F.posexplode(F.split(text, r"\n\s*\n")).alias("place", "_paragraph")).where(F.col("_paragraph").rlike(WRAPPED_CUES))
+    joined = F.regexp_replace("_paragraph", r"(?<=[A-Za-z])-[\x20\t\r]*\n[\s*#/>]*", "-")  # a word with a hyphen that is wrapped behind it
+    split = paragraphs.withColumn("_all", words_of(joined))
+    texts = F.concat(
+        F.expr(f"transform({_windows('_all')}, x -> concat_ws(' ', slice(_all, int(x div 64) + 1, int(x % 64))))"),
+        F.filter(F.split("_paragraph", "\n"), lambda line: line.rlike(CUES)),
+    )
+    texts = F.array_distinct(F.filter(texts, lambda t: t.rlike(CUES)))
+    windows = split.select(row, "place", F.explode(F.when(F.size(texts) > 0, texts).otherwise(F.array(F.lit("")))).alias("paragraph"))
+    scored = model.lr.transform(_features(windows)).withColumn("_p", vector_to_array("probability"))
     best = F.expr("array_position(_p, array_max(_p))").cast("int")
     scored = scored.withColumn("probability", F.array_max("_p")).withColumn("_guess", F.element_at(F.array(*map(F.lit, model.families)), best))
     scored = scored.withColumn("template_share", _confirmed("_words", F.col("_guess")))
     sure = (F.col("_guess") != UNKNOWN) & (F.col("probability") >= model.least) & (F.col("template_share") >= CONFIRM)
-    return scored.select(row, "line", "paragraph", F.when(sure, F.col("_guess")).otherwise(UNKNOWN).alias("family"), "probability", "template_share")
+    return scored.select(row, "place", F.col("paragraph").alias("window"), F.when(sure, F.col("_guess")).otherwise(UNKNOWN).alias("family"), "probability", "template_share")
 
 
 def scan_licenses(docs: DataFrame, model: LicenseModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: key, licenses (families found, sorted and comma-joined), n_confirmed and n_unknown (long).
 
-    Whole texts are scanned line by line. Null and empty texts have none; repeated rows get equal results.
+    Whole texts are scanned paragraph by paragraph. n_confirmed counts each family of each paragraph, n_unknown the paragraphs that have a
+    licence word and no family. Null and empty texts have none; repeated rows get equal results.
     """
     row = F.sha2(F.concat_ws("\x1f", F.coalesce(F.col(key).cast("string"), F.lit("")), text_or_empty(text)), 256)
-    has = F.coalesce(F.col(text).rlike(CUES), F.lit(False))
+    has = F.coalesce(F.col(text).rlike(WRAPPED_CUES), F.lit(False))
     hits = docs.where(has).select(F.col(key), F.col(text).alias("_text"), row.alias("_row"))
-    found = license_paragraphs(hits, model, "_text").distinct()
-    known = F.col("family") != UNKNOWN
+    found = license_windows(hits, model, "_text").groupBy("_row", "place").agg(F.collect_set(F.when(F.col("family") != UNKNOWN, F.col("family"))).alias("_families"))
     per_row = found.groupBy("_row").agg(
-        F.array_join(F.array_sort(F.collect_set(F.when(known, F.col("family")))), ",").alias("licenses"),
-        F.count(F.when(known, 1)).alias("n_confirmed"), F.count(F.when(~known, 1)).alias("n_unknown"),
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_families")))), ",").alias("licenses"),
+        F.sum(F.size("_families")).cast("long").alias("n_confirmed"), F.count(F.when(F.size("_families") == 0, 1)).alias("n_unknown"),
     )
     ids = materialise(docs.select(F.col(key), F.when(has, row).alias("_row")), "licenses")
     names = ["licenses", "n_confirmed", "n_unknown"]
     empty = [F.lit("").alias("licenses"), F.lit(0).cast("long").alias("n_confirmed"), F.lit(0).cast("long").alias("n_unknown")]
-    some = ids.where("_row is not null").join(per_row, "_row")  # every such row has a line with a licence word
-    return some.select(key, *names).unionByName(ids.where("_row is null").select(key, *empty))
+    some = ids.where("_row is not null").join(per_row, "_row", "left")  # a cue may reach over an empty line, then no paragraph has it
+    some = some.select(key, *[F.coalesce(c, e).alias(c) for c, e in zip(names, empty, strict=True)])
+    return some.unionByName(ids.where("_row is null").select(key, *empty))

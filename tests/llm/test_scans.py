@@ -138,3 +138,29 @@ def test_private_keys_are_whole_blocks_counted_by_their_body(spark):
     assert all(out[i] == f"é before\n{secrets.PLACEHOLDER}\nafter" for i in range(6))  # six owners hold keys of two types, none a copy
     assert all(out[10 + i] == rows[6 + i][2] for i in range(3))  # one key of three owners, in two layouts
     assert out[20] == f"cut off\n{secrets.PLACEHOLDER}\n\nprose goes on" and out[22] == f"two {secrets.PLACEHOLDER} and {secrets.PLACEHOLDER}." and out[23] == f"x{secrets.PLACEHOLDER}y"
+
+
+def test_wrapped_and_embedded_licences(spark, license_model):
+    gpl = "This program is free software: you can redistribute it and/or modify\n{0}it under the terms of the GNU General Public License as published by\n{0}the Free Software Foundation, either version 3 of the License, or\n{0}(at your option) any later version."
+    bsd = "Redistribution and use in source and binary forms, with or without\n{0}modification, are permitted provided that the following conditions\n{0}are met:"
+    prose = "the river ran past the old mill and nobody in the village could say who had built it or why "
+    nc = "This work is licensed under a Creative Commons\nAttribution-NonCommercial 4.0 International\nLicense."
+    rows = [
+        (1, gpl.format("")), (2, bsd.format("")), (3, "/*\n * " + gpl.format(" * ") + "\n *\n */"), (4, prose * 40 + gpl.format("").replace("\n", " ") + " " + prose * 40),
+        (5, "intro\n\n" + bsd.format("# ") + "\n\nReleased under the MIT License.\n"), (6, nc), (7, nc.replace("-Non", "-\nNon")), (8, "This work has been released into the public\ndomain."),
+        (9, prose + "Released under the MIT License. " + prose + gpl.format("").replace("\n", " ")), (10, "in the public\n\ndomain of tales"), (11, prose * 3 + nc.replace("\n", " ") + " " + prose * 3),
+        (12, "All rights\nreserved."),
+    ]
+    got = {r.doc_id: (r.licenses, r.n_confirmed, r.n_unknown) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), license_model).collect()}
+    want = {1: "gpl", 2: "bsd", 3: "gpl", 4: "gpl", 5: "bsd,mit", 6: "cc-by-nc", 7: "cc-by-nc", 8: "public-domain", 9: "gpl,mit", 10: "", 11: "cc-by-nc", 12: ""}
+    assert {k: v[0] for k, v in got.items()} == want
+    assert got[5][1:] == (2, 0) and got[9][1:] == (2, 0) and got[10][1:] == (0, 0) and got[12][1:] == (0, 1)
+
+
+def test_every_template_is_found_wrapped_in_prose(spark, license_model):
+    import textwrap
+
+    around = "the river ran past the old mill and nobody in the village could say who had built it or why"
+    rows = [(f"{family} {k} {width}", textwrap.fill(f"{around} {t} {around}", width)) for family, ts in licenses.TEMPLATES.items() for k, t in enumerate(ts) for width in (50, 70, 10**6)]
+    got = {r.doc_id: r.licenses for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id string, text string"), license_model).collect()}
+    assert {k: v for k, v in got.items() if v != k.split()[0]} == {}
