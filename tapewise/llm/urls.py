@@ -18,6 +18,9 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 DAMPING, ROUNDS, BLOCK_SHARE = 0.85, 8, 0.5
+SCORES = ("trust", "distrust", "rank")
+#: What a settled walk may still have to come, as a share of the smallest seed; less than the 1e-9 by which verdicts tell a tie.
+TOLERANCE = 1e-11
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -56,40 +59,79 @@ def host_edges(pages: DataFrame, html: str = "html") -> DataFrame:
     return links.unionByName(above).where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
+def _arcs(edges: DataFrame) -> DataFrame:
+    """(src, dst, ahead, back): shares along the links, and against them with src and dst swapped."""
+    out = edges.groupBy("src").agg(F.sum("n").alias("_all"))
+    into = edges.groupBy("dst").agg(F.sum("n").alias("_all"))
+    forward = edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("_all")).alias("ahead"), F.lit(0.0).alias("back"))
+    backward = edges.join(into, "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(0.0).alias("ahead"), (F.col("n") / F.col("_all")).alias("back"))
+    return cut(forward.unionByName(backward).groupBy("src", "dst").agg(F.sum("ahead").alias("ahead"), F.sum("back").alias("back")))
+
+
+def _moved(scores: DataFrame, arcs: DataFrame) -> DataFrame:
+    """Scores one step on, by ``dst``."""
+    return scores.join(arcs, F.col("host") == F.col("src")).groupBy("dst").agg(
+        F.sum(F.col("trust") * F.col("ahead")).alias("trust"), F.sum(F.col("distrust") * F.col("back")).alias("distrust"), F.sum(F.col("rank") * F.col("ahead")).alias("rank")
+    )
+
+
 def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """Personalised PageRank per host: (host, trust, distrust, rank).
+    """The first ``rounds`` rounds of personalised PageRank per host: (host, trust, distrust, rank).
 
     ``seeds`` has host, trust, distrust and rank (start weights). Trust and rank follow the links, distrust runs
     against them. Hosts that only links name take part with seeds of 0. Each round is one join on the host and
-    one sum per host; edges are already summed per pair of hosts.
+    one sum per host; edges are already summed per pair of hosts. ``settle`` has the settled scores.
     """
-    out = edges.groupBy("src").agg(F.sum("n").alias("_all"))
-    into = edges.groupBy("dst").agg(F.sum("n").alias("_all"))
-    forward = edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("_all")).alias("ahead"), F.lit(0.0).alias("back"))
-    backward = edges.join(into, "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(0.0).alias("ahead"), (F.col("n") / F.col("_all")).alias("back"))
-    arcs = cut(forward.unionByName(backward).groupBy("src", "dst").agg(F.sum("ahead").alias("ahead"), F.sum("back").alias("back")))
+    arcs = _arcs(edges)
     named = arcs.select(F.col("src").alias("host")).unionByName(seeds.select("host")).distinct()
-    start = named.join(seeds, "host", "left").select("host", *[F.coalesce(F.col(c), F.lit(0.0)).alias(f"_{c}") for c in ("trust", "distrust", "rank")])
+    start = named.join(seeds, "host", "left").select("host", *[F.coalesce(F.col(c), F.lit(0.0)).alias(f"_{c}") for c in SCORES])
     start = cut(start)
-    scores = start.select("host", *[F.col(f"_{c}").alias(c) for c in ("trust", "distrust", "rank")])
+    scores = start.select("host", *[F.col(f"_{c}").alias(c) for c in SCORES])
     for k in range(rounds):
-        got = scores.join(arcs, F.col("host") == F.col("src")).groupBy("dst").agg(
-            F.sum(F.col("trust") * F.col("ahead")).alias("trust"), F.sum(F.col("distrust") * F.col("back")).alias("distrust"), F.sum(F.col("rank") * F.col("ahead")).alias("rank")
-        )
+        got = _moved(scores, arcs)
         scores = start.join(got, F.col("host") == F.col("dst"), "left").select(
-            "host", *[((1 - damping) * F.col(f"_{c}") + damping * F.coalesce(F.col(c), F.lit(0.0))).alias(c) for c in ("trust", "distrust", "rank")]
+            "host", *[((1 - damping) * F.col(f"_{c}") + damping * F.coalesce(F.col(c), F.lit(0.0))).alias(c) for c in SCORES]
         )
         if k % 2 or k == rounds - 1:
             scores = cut(scores)
     return scores
 
 
+def settle(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """Personalised PageRank per host as in ``propagate``, run until it is settled.
+
+    The scores are the sum of all steps of the walk, which begins with (1 - damping) * seed. It ends when all that is still
+    to come, for all hosts together, is at most ``tolerance`` of the smallest seed of rank: then every host with a page of its
+    own has its scores to within ``tolerance`` / (1 - damping) of its rank. A step's mass shrinks by ``damping`` at least, so
+    the rounds grow with the logarithm of the seeds' mass only; where links make no circles the walk ends by itself.
+    """
+    arcs = _arcs(edges)
+    seeds = cut(seeds.select("host", *SCORES))
+    least, mass = seeds.agg(F.min(F.when(F.col("rank") > 0, F.col("rank"))), F.sum(F.greatest(*SCORES))).first()
+    enough = tolerance * (least or mass or 0.0) * (1 - damping) / damping
+    step = seeds.select("host", *[((1 - damping) * F.coalesce(F.col(c), F.lit(0.0))).alias(c) for c in SCORES])
+    total, k = step, 0
+    while True:
+        k += 1
+        step = _moved(step, arcs).select(F.col("dst").alias("host"), *[(damping * F.col(c)).alias(c) for c in SCORES])
+        step = step.where(" or ".join(f"{c} > 0" for c in SCORES))
+        total = total.unionByName(step)
+        if k % 4 == 0:
+            total = cut(total.groupBy("host").agg(*[F.sum(c).alias(c) for c in SCORES]))
+            step = cut(step)
+            left = step.agg(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in SCORES]).first()
+            if max(left) <= enough:
+                break
+    named = arcs.select(F.col("src").alias("host")).distinct().join(total.select("host"), "host", "left_anti")
+    return total.unionByName(named.select("host", *[F.lit(0.0).alias(c) for c in SCORES]))
+
+
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url: str = "url", html: str = "html", block_share: float = BLOCK_SHARE) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule`` (null if none fits), ``verdict`` and the host's scores.
 
     A fitting rule decides. For other pages the host does: its pages that rules allow or block are the seeds of
     trust and distrust, and the host is blocked if its distrust outweighs its trust and exceeds ``block_share``
-    of its plain rank. Null urls have an empty host, which links to nothing and is allowed. Columns named like the results are replaced.
+    of its plain rank, all of them settled. Null urls have an empty host, which links to nothing and is allowed. Columns named like the results are replaced.
     """
     names = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "trust", "distrust", "rank")]
     parsed = pages.select(*names, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
@@ -100,7 +142,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
         F.count("*").cast("double").alias("rank"),
     )
     edges = materialise(host_edges(parsed, html), "links")
-    scores = propagate(materialise(per_host, "hosts"), edges)
+    scores = settle(materialise(per_host, "hosts"), edges)
     bad = (F.col("distrust") > F.col("trust")) & (F.col("distrust") - block_share * F.col("rank") > 1e-9 * F.col("rank"))
     judged = ruled.join(scores, "host", "left")
     by_host = F.when(F.coalesce(bad, F.lit(False)), F.lit("block")).otherwise(F.lit("allow"))
@@ -111,7 +153,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
 
 
 def oracle_sql(rules: Sequence[tuple[str, str, str]] = RULES, rounds: int = ROUNDS, damping: float = DAMPING, block_share: float = BLOCK_SHARE) -> str:
-    """DuckDB SQL of page_id, host, path, rule and verdict."""
+    """DuckDB SQL of page_id, host, path, rule and verdict, with ``rounds`` rounds: settled if no chain of links is longer."""
     ordered = sorted(rules, key=lambda r: -len(r[1] + r[2]))
     fits = lambda r: f"(host = '{r[1]}' OR ends_with(host, '.{r[1]}')) AND starts_with(path, '{r[2]}')"
     case = lambda k: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{(r[0], r[1] + r[2])[k]}'" for r in ordered) + " END"

@@ -164,3 +164,30 @@ def test_every_template_is_found_wrapped_in_prose(spark, license_model):
     rows = [(f"{family} {k} {width}", textwrap.fill(f"{around} {t} {around}", width)) for family, ts in licenses.TEMPLATES.items() for k, t in enumerate(ts) for width in (50, 70, 10**6)]
     got = {r.doc_id: r.licenses for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id string, text string"), license_model).collect()}
     assert {k: v for k, v in got.items() if v != k.split()[0]} == {}
+
+
+def test_scores_are_settled(spark):
+    pages = [(k, f"http://h{k}/", f'<a href="http://h{k - 1}/">x</a>' if k else "") for k in range(13)] + [(100 + k, "http://h0/bad/", "") for k in range(100)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r for r in urls.judge_urls(df, [("block", "h0", "/bad/")]).collect()}
+    assert len(got) == 113 and np.isclose(got[9].distrust, 0.15 * 100 * 0.85**9) and got[9].verdict == "block"
+    assert np.isclose(got[0]["rank"], 0.15 * (101 + sum(0.85**k for k in range(1, 13)))) and got[9].rule is None
+
+
+def test_scores_in_circles_equal_a_dense_solution(spark):
+    rng = np.random.default_rng(5)
+    n = 10
+    pairs = [(f"h{a}", f"h{b}", int(rng.integers(1, 4))) for a in range(n) for b in range(n) if a != b and (rng.random() < 0.2 or b == (a + 1) % n)] + [("h0", "only named", 2)]
+    seeds = [(f"h{k}", float(k % 3 == 0), float(k % 4 == 1), float(1 + k)) for k in range(n)]
+    got = {r.host: r for r in urls.settle(spark.createDataFrame(seeds, "host string, trust double, distrust double, rank double"), spark.createDataFrame(pairs, "src string, dst string, n long")).collect()}
+    m = np.zeros((n + 1, n + 1))
+    for a, b, k in pairs:
+        m[int(a[1:]), n if b == "only named" else int(b[1:])] = k
+    ahead = m / np.maximum(m.sum(1, keepdims=True), 1)
+    back = (m / np.maximum(m.sum(0, keepdims=True), 1)).T
+    s = np.array([*[x[1:] for x in seeds], (0, 0, 0)], float)
+    solve = lambda a, c: np.linalg.solve(np.eye(n + 1) - 0.85 * a.T, 0.15 * s[:, c])
+    want = np.stack([solve(ahead, 0), solve(back, 1), solve(ahead, 2)], 1)
+    assert len(got) == n + 1
+    for k, name in enumerate([*[f"h{k}" for k in range(n)], "only named"]):
+        assert np.allclose([got[name].trust, got[name].distrust, got[name]["rank"]], want[k], rtol=1e-9, atol=1e-10)
