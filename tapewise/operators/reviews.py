@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import stage
 from .registry import finite, tokens
 
 
@@ -48,22 +49,23 @@ def verdict(p: Column, delta: Column, coefficient: Column) -> Column:
     return F.when((p < 0.05) & (delta > 0) & (coefficient != 0), "EDGE").when((p >= 0.2) | (delta <= 0), "NOISE").otherwise("UNCLEAR")
 
 
-def diverse(candidates: DataFrame, by: str, k: int = 5, pool: int = 100, weight: float = 0.7) -> DataFrame:
+def diverse(candidates: DataFrame, by: str, k: int = 5, weight: float = 0.7) -> DataFrame:
     """Up to ``k`` candidates (``by``, id, tokens, p) of each group by maximal marginal relevance, with ``place`` from 1.
 
     Each place goes to the largest weight * p - (1 - weight) * (largest cosine of the token sets with those chosen), the smaller
-    id in a tie. Only the ``pool`` most probable ones of a group are looked at, so the array of a group is bounded.
+    id in a tie. Each place is one round over all candidates: they meet the few chosen ones of their group, and the best is a partial aggregate.
     """
     kind = dict(candidates.dtypes)["id"]
-    top = Window.partitionBy(by).orderBy(F.col("p").desc(), "id")
-    c = candidates.withColumn("_k", F.row_number().over(top)).where(F.col("_k") <= pool)
-    arrays = c.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("id", "p", F.array_distinct("tokens").alias("t")))).alias("_pool"))
-    chosen = f"array<struct<id: {kind}, p: double, t: array<string>>>"
-    near = "coalesce(array_max(transform(s, d -> coalesce(size(array_intersect(c.t, d.t)) / sqrt(double(size(c.t)) * size(d.t)), 0D))), 0D)"
-    value = f"struct({weight} * c.p - {1 - weight!r} * {near} AS v, -i AS tie, c AS c)"
-    left = "transform(_pool, (c, i) -> IF(exists(s, d -> d.id = c.id), NULL, " + value + "))"
-    pick = f"aggregate(sequence(1, {k}), cast(array() AS {chosen}), (s, n) -> concat(s, transform(array_compact(array(array_max({left}))), x -> x.c)))"
-    out = arrays.withColumn("_s", F.expr(pick)).select(by, F.posexplode("_s").alias("_i", "x"))
+    c = stage(candidates.select(F.col(by).alias("_by"), "id", F.col("p").cast("double").alias("p"), F.array_distinct("tokens").alias("t")), "candidates")
+    near = "coalesce(array_max(transform(_s, d -> coalesce(size(array_intersect(t, d.t)) / sqrt(double(size(t)) * size(d.t)), 0D))), 0D)"
+    value = f"({weight} * p - {1 - weight!r} * {near})"
+    pick = f"min(IF(exists(_s, d -> d.id <=> id), NULL, struct({value} IS NULL AS none, NOT isnan({value}) AS number, -{value} AS v, id, p, t))) AS _x"
+    chosen = c.select("_by").distinct().withColumn("_s", F.expr(f"cast(array() AS array<struct<id: {kind}, p: double, t: array<string>>>)"))
+    for _ in range(k):
+        met = c.join(chosen.withColumnRenamed("_by", "_of"), F.col("_by").eqNullSafe(F.col("_of")))
+        best = met.groupBy("_by").agg(F.expr(pick), F.first("_s").alias("_s"))
+        chosen = stage(best.selectExpr("_by", "IF(_x IS NULL, _s, concat(_s, array(struct(_x.id AS id, _x.p AS p, _x.t AS t)))) AS _s"), "chosen")
+    out = chosen.select(F.col("_by").alias(by), F.posexplode("_s").alias("_i", "x"))
     return out.select(by, (F.col("_i") + 1).alias("place"), "x.id", "x.p")
 
 

@@ -112,6 +112,13 @@ def test_diverse_choice_equals_greedy_rounds(spark):
         assert [r.id for r in sorted(got, key=lambda r: r.place) if r.g == g] == [c[1] for c in chosen]
 
 
+def test_diverse_choice_sees_all_candidates(spark):
+    rows = [("g", i, ["a", "b"], 0.9 - i / 10_000) for i in range(150)] + [("g", 500, ["c"], 0.6), ("g", 501, ["d"], 0.55), (None, 7, ["a"], 0.5), (None, 8, None, None)]
+    got = reviews.diverse(spark.createDataFrame(rows, "g string, id long, tokens array<string>, p double"), "g", 4).collect()
+    assert [r.id for r in sorted(got, key=lambda r: r.place) if r.g == "g"] == [0, 500, 501, 1]
+    assert [(r.place, r.id) for r in sorted(got, key=lambda r: r.place) if r.g is None] == [(1, 7), (2, 8)]
+
+
 def test_empty_inputs(spark):
     none = bars_of(spark, walk(5)).where("false")
     assert patterns.regime_gate(none).isEmpty() and patterns.range_hurst(none).isEmpty() and checks.entry_statistics(none.withColumn("f", F.lit(True)), {"f": 1}).isEmpty()
