@@ -77,8 +77,16 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def _salted(df: DataFrame, by: str) -> DataFrame:
-    return df.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it as long as ``df`` has such a column."""
+    while name in df.columns:
+        name = "_" + name
+    return name
+
+
+def _salted(df: DataFrame, by: str) -> tuple[DataFrame, str]:
+    salt = fresh(df, "_salt")
+    return df.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")), salt
 
 
 def with_totals(df: DataFrame, keys: Sequence[str], by: str, totals: Mapping[str, tuple[Column, Callable[[Column], Column]]]) -> DataFrame:
@@ -87,26 +95,26 @@ def with_totals(df: DataFrame, keys: Sequence[str], by: str, totals: Mapping[str
     Rows meet in (keys, salt of ``by``), so a group that holds a third of all rows is spread over SALTS tasks; the parts' values, at
     most SALTS a group, are combined first. ``df`` is read twice. Keys must not be null.
     """
-    salted, whole = _salted(df, by), Window.partitionBy(*keys)
-    parts = salted.groupBy(*keys, "_salt").agg(*[part.alias(name) for name, (part, _) in totals.items()])
-    parts = parts.select(*keys, "_salt", *[combine(F.col(name)).over(whole).alias(name) for name, (_, combine) in totals.items()])
-    return salted.join(parts, [*keys, "_salt"]).drop("_salt")
+    (salted, salt), whole = _salted(df, by), Window.partitionBy(*keys)
+    parts = salted.groupBy(*keys, salt).agg(*[part.alias(name) for name, (part, _) in totals.items()])
+    parts = parts.select(*keys, salt, *[combine(F.col(name)).over(whole).alias(name) for name, (_, combine) in totals.items()])
+    return salted.join(parts, [*keys, salt]).drop(salt)
 
 
 def looked_up(df: DataFrame, values: DataFrame, keys: Sequence[str], by: str, how: str = "left") -> DataFrame:
     """``df`` joined with ``values``, which has one row per key. As in ``with_totals`` no key's rows meet in one task; ``df`` is read twice."""
-    salted = _salted(df, by)
-    known = salted.select(*keys, "_salt").distinct().join(values, list(keys))
-    return salted.join(known, [*keys, "_salt"], how).drop("_salt")
+    salted, salt = _salted(df, by)
+    known = salted.select(*keys, salt).distinct().join(values, list(keys))
+    return salted.join(known, [*keys, salt], how).drop(salt)
 
 
 def spread_join(df: DataFrame, values: DataFrame, keys: Sequence[str], by: str, rows: int = SPREAD_ROWS) -> DataFrame:
     """Inner join of ``df`` with large ``values``, one row per key: a key with n rows is dealt over ceil(n / rows) salts, and its value copied as often."""
     sized = with_totals(df, keys, by, {"_fan": (F.count("*"), F.sum)}).withColumn("_fan", F.ceil(F.col("_fan") / rows))
-    sized = sized.withColumn("_salt", F.pmod(F.xxhash64(by), F.col("_fan"))).drop("_fan")
+    sized = sized.withColumn("_deal", F.pmod(F.xxhash64(by), F.col("_fan"))).drop("_fan")
     fans = df.groupBy(*keys).agg(F.ceil(F.count("*") / rows).alias("_fan"))
-    copied = values.join(fans, list(keys)).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_fan") - 1))).drop("_fan")
-    return sized.join(copied, [*keys, "_salt"]).drop("_salt")
+    copied = values.join(fans, list(keys)).withColumn("_deal", F.explode(F.sequence(F.lit(0), F.col("_fan") - 1))).drop("_fan")
+    return sized.join(copied, [*keys, "_deal"]).drop("_deal")
 
 
 def seeded_hash(seed: int, *columns: Column | str) -> Column:
