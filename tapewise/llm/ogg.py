@@ -5,14 +5,15 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Samples a second, samples in a packet, lacing values in a page, logical streams.
-RATE, PACKET, LACING, STREAMS = 8000, 4000, 64, 2
+#: Samples a second, samples in a packet (79 lacing values, so packets run over pages), lacing values in a page, logical streams.
+RATE, PACKET, LACING, STREAMS = 8000, 20_000, 64, 2
 UNIT = 64
 _HEAD = struct.Struct("<4sBBqIIIB")
 _FIRST = struct.Struct("<5sBBIIQ")
@@ -73,6 +74,78 @@ def write(payload: bytes) -> bytes:
     return b"".join(out)
 
 
+@dataclass
+class Stream:
+    """A logical stream: whole packets, each with the granule position of the page it ends on if it is the last to end there, else None."""
+
+    serial: int
+    packets: list[bytes] = field(default_factory=list)
+    granules: list[int | None] = field(default_factory=list)
+    pages: int = 0
+    ended: bool = False
+    part: bytearray | None = None
+    next: int = 0
+
+
+def demux(media: bytes) -> tuple[list[Stream], list[str]]:
+    """The logical streams of any Ogg file, in order of their first pages, and what is wrong with it.
+
+    Streams may be interleaved or chained (a serial number may come again after its end), packets may run over any number of pages. A page
+    whose checksum fails is skipped up to the next one; where pages are missing or out of order the packets they cut are left out.
+    """
+    streams, running, errors, at = [], {}, [], 0
+    while at < len(media):
+        start = media.find(b"OggS", at)
+        if start != at:
+            errors.append(f"no page at byte {at}")
+            if start < 0:
+                break
+            at = start
+        end = at + 27 + media[at + 26] if len(media) >= at + 27 else len(media) + 1
+        lacing = media[at + 27 : end]
+        body, end = end, end + sum(lacing)
+        if end > len(media) or media[at + 4]:
+            errors.append(f"the page at byte {at} is cut off" if end > len(media) else f"version of the page at byte {at}")
+            at += 4
+            continue
+        _, _, flags, granule, serial, number, crc, _ = _HEAD.unpack_from(media, at)
+        if page_crc(media[at : at + 22] + bytes(4) + media[at + 26 : end]) != crc:
+            errors.append(f"checksum of the page at byte {at}")
+            at += 4
+            continue
+        at, s = end, running.get(serial)
+        if flags & 2:
+            if s and not s.ended:
+                errors.append(f"stream {serial} begins again before its end")
+            s = running[serial] = Stream(serial, next=number)
+            streams.append(s)
+        if s is None or s.ended:
+            errors.append(f"a page of stream {serial} before its beginning or after its end")
+            continue
+        if number != s.next:
+            errors.append(f"page order in stream {serial}")
+            s.part = None
+        lost = bool(flags & 1) and s.part is None
+        if bool(flags & 1) != (s.part is not None) and number == s.next:
+            errors.append(f"continuation in stream {serial}")
+        part = s.part if flags & 1 and s.part is not None else bytearray()
+        s.next, s.ended, s.pages, done = number + 1, bool(flags & 4), s.pages + 1, []
+        for value in lacing:
+            part += media[body : body + value]
+            body += value
+            if value < 255:
+                if not lost:
+                    done.append(bytes(part))
+                part, lost = bytearray(), False
+        s.part = part if lacing and lacing[-1] == 255 and not lost else None
+        if (granule == -1) != all(x == 255 for x in lacing):
+            errors.append(f"granule position of a page of stream {serial}")
+        s.packets += done
+        s.granules += [None] * (len(done) - 1) + [granule] if done else []
+    errors += [f"stream {s.serial} doesn't end" for s in streams if not s.ended or s.part is not None]
+    return streams, errors
+
+
 def read(media: bytes) -> dict:
     """Verify and demultiplex an Ogg file made of 8-bit samples.
 
@@ -87,51 +160,28 @@ def read(media: bytes) -> dict:
 
 
 def _read(media: bytes) -> dict:
-    at, pages, streams = 0, 0, {}
-    while at < len(media):
-        magic, version, flags, granule, serial, number, crc, n = _HEAD.unpack_from(media, at)
-        if magic != b"OggS" or version:
-            raise ValueError(f"no page at byte {at}")
-        lacing = media[at + 27 : at + 27 + n]
-        start, end = at + 27 + n, at + 27 + n + sum(lacing)
-        if len(lacing) < n or end > len(media):
-            raise ValueError("the last page is cut off")
-        if page_crc(media[at : at + 22] + bytes(4) + media[at + 26 : end]) != crc:
-            raise ValueError(f"checksum of the page at byte {at}")
-        s = streams.setdefault(serial, {"next": 0, "part": bytearray(), "packets": [], "ends": [], "ended": False})
-        if number != s["next"] or bool(flags & 2) != (number == 0) or s["ended"] or bool(flags & 1) != bool(s["part"]):
-            raise ValueError(f"page order in stream {serial}")
-        s["next"], s["ended"], done = number + 1, bool(flags & 4), []
-        for value in lacing:
-            s["part"] += media[start : start + value]
-            start += value
-            if value < 255:
-                done.append(bytes(s["part"]))
-                s["part"] = bytearray()
-        if (granule == -1) != (not done):
-            raise ValueError("a granule position without a finished packet")
-        ends = [granule]
-        for packet in done[:0:-1]:  # the page gives the position of its last packet; the others lie before it
-            ends.insert(0, ends[0] - len(packet))
-        s["packets"] += done
-        s["ends"] += ends if done else []
-        at, pages = end, pages + 1
+    streams, errors = demux(media)
+    if errors or not streams:
+        raise ValueError(errors[0] if errors else "no page")
     blocks, seconds, total = [], 0.0, -1
-    for s in streams.values():
-        if s["part"] or not s["ended"]:
-            raise ValueError("a stream doesn't end")
-        magic, of, k, rate, size, total = _FIRST.unpack(s["packets"][0])
+    for s in streams:
+        magic, of, k, rate, size, total = _FIRST.unpack(s.packets[0])
         if magic != _MAGIC or of != len(streams):
             raise ValueError("not the header of a sample stream")
-        for i, (packet, end) in enumerate(zip(s["packets"][1:], s["ends"][1:], strict=True)):
+        ends = s.granules
+        for i in range(len(ends) - 2, -1, -1):  # a page gives the position of its last packet; a sample is a byte, so the others lie before it
+            if ends[i] is None:
+                ends[i] = ends[i + 1] - len(s.packets[i + 1])
+        for i, (packet, end) in enumerate(zip(s.packets[1:], ends[1:], strict=True)):
             if end - len(packet) != i * size:
                 raise ValueError("granule positions and packet lengths differ")
             blocks.append((i * of + k, (end - len(packet)) / rate, packet))
-        seconds = max(seconds, s["ends"][-1] / rate)
+        seconds = max(seconds, ends[-1] / rate)
     blocks.sort(key=lambda b: b[0])
     payload = b"".join(b[2] for b in blocks)
     if len(payload) != total:
         raise ValueError("packets are missing")
+    pages = sum(s.pages for s in streams)
     return {"payload": payload, "pages": pages, "packets": len(blocks), "streams": len(streams), "seconds": seconds, "times": [b[1] for b in blocks], "error": ""}
 
 
@@ -163,8 +213,30 @@ def _parse(media: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({k: [r[k] for r in rows] for k in names})
 
 
+_STREAM = "serial long, pages int, ended boolean, packets array<binary>, granules array<long>"
+
+
+def _demuxed(media: pd.Series) -> pd.DataFrame:
+    rows = [demux(m) if m is not None else ([], ["no file"]) for m in media]
+    return pd.DataFrame({
+        "streams": [[{"serial": s.serial, "pages": s.pages, "ended": s.ended, "packets": s.packets, "granules": s.granules} for s in streams] for streams, _ in rows],
+        "errors": [errors for _, errors in rows],
+    })
+
+
+def ogg_streams(media: Column) -> Column:
+    """The logical streams of a column of any Ogg files: struct of streams (serial, pages, ended, packets, granules) and errors.
+
+    Granules are null for packets that others follow on their page. A damaged file gives the packets that are whole; a null one none.
+    """
+    return F.pandas_udf(_demuxed, f"streams array<struct<{_STREAM.replace(' ', ': ')}>>, errors array<string>".replace(",: ", ", "))(media)
+
+
 def ogg_of_text(text: Column) -> Column:
-    """Ogg file (binary) of a text's UTF-8 bytes, zero-padded to a positive multiple of 64; a null text is empty."""
+    """Ogg file (binary) of a text's UTF-8 bytes, zero-padded to a positive multiple of 64; a null text is empty.
+
+    Any length will do, equal texts give equal files. Being a column expression, it leaves other columns and their names alone.
+    """
     return F.pandas_udf(_write, "binary")(text)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator, Mapping
@@ -11,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_bucket, rank_in_groups, seeded_hash
+from .common import boxed, hash_bucket, quoted, rank_in_groups, seeded_hash, unboxed
 
 CAPACITY, END_ID = 4096, 1
 #: Entries in each of a worker's two caches; a full cache is emptied.
@@ -19,28 +20,46 @@ CACHE = 600_000
 #: What the tokenizer's own splitting rule does within a chunk of printable Latin-1 text.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
 _WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: The settings of a tokenizer's file from which that rule follows.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLITTER = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
+def splits_as_expected(settings: dict) -> bool:
+    """Whether a tokenizer's settings are those of the splitting rule, so that its ids are the joined ids of a text's words."""
+    splitter = settings.get("pre_tokenizer") or {}
+    return (
+        settings.get("normalizer") == _NORMALIZER and settings.get("post_processor") is None and settings.get("truncation") is None
+        and splitter.get("type") == "Sequence" and splitter["pretokenizers"][:1] == [_SPLITTER]
+        and [x.get("type") for x in splitter["pretokenizers"][1:]] == ["ByteLevel"] and not splitter["pretokenizers"][1].get("add_prefix_space")
+        and not splitter["pretokenizers"][1].get("use_regex", True) and all(x["content"].startswith("<|") and " " not in x["content"] for x in settings.get("added_tokens", []))
+    )
 
 
 class Coder:
     """Token ids of whole texts as little-endian 32-bit bytes.
 
-    The tokenizer never merges across white space or its own word boundaries, so ids are looked up chunk by
-    chunk and word by word, and only new words are tokenized. Other characters than printable Latin-1 go
-    to the tokenizer as they are.
+    A tokenizer whose file has the expected settings never merges across white space or its own word boundaries, so ids are looked
+    up chunk by chunk and word by word, and only new words are tokenized. Other characters than printable Latin-1 go
+    to the tokenizer as they are, and so do whole texts if the file has other settings.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.chunks, self.words = Tokenizer.from_file(path), {}, {}
+        with open(path, encoding="utf-8") as f:
+            self.by_words = splits_as_expected(json.load(f))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_words:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         if len(self.chunks) > CACHE:
             self.chunks = {}
         if len(self.words) > CACHE:
             self.words = {}
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = {c for chunks in split for c in chunks}.difference(self.chunks)
+        new = set().union(*split).difference(self.chunks)
         plain, odd = {}, []
         for c in new:
             if _PLAIN.fullmatch(c) and "<|" not in c:
@@ -82,7 +101,8 @@ def coder(path: str) -> Coder:
 def token_pieces(text: Column, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> Column:
     """Array of a text's pieces: struct of piece (int), start, length, ids_crc32 (long) and, if asked for, ids (binary).
 
-    The ids of the whole text and ``end_id`` are cut every ``capacity`` ids; null and empty texts are just ``end_id``.
+    The ids of the whole text and ``end_id`` are cut every ``capacity`` ids, however long it is; null and empty texts are just
+    ``end_id``. Equal texts give equal pieces. Being a column expression, it leaves other columns alone.
     """
     last = int(end_id).to_bytes(4, "little")
 
@@ -101,13 +121,21 @@ def token_pieces(text: Column, path: str, capacity: int = CAPACITY, end_id: int
     return F.pandas_udf(cut, f"array<struct<{kind.replace(' ', ':').replace(',:', ', ')}>>")(text)
 
 
-class _Stock:
-    """Counts of the lengths that are still to be packed."""
+class SumIndex:
+    """Which one, two or three of the lengths that are left have a given sum.
+
+    For every sum up to ``capacity`` the index holds one pair and, as a length beside the pair of the rest, one triple: those of which most
+    copies were left when they were looked for. Counts only fall, so an entry is looked for again only when its copies are used
+    up, and a sum that has none never gets one again.
+    """
 
     def __init__(self, counts: Mapping[int, int], capacity: int):
         self.n = np.zeros(capacity + 1, np.int64)
         for length, n in counts.items():
             self.n[length] = n
+        self.pairs, self.triples = np.zeros(capacity + 1, np.int64), np.full(capacity + 1, -1)
+        for total in range(2, capacity + 1):
+            self._find_pair(total)
 
     def take(self, items: tuple[int, ...], most: int) -> int:
         """Take as many copies of ``items`` as there are, up to ``most``."""
@@ -116,29 +144,55 @@ class _Stock:
         self.n[lengths] -= k * times
         return k
 
-    def pair(self, gap: int) -> tuple[int, ...] | None:
-        """The pair of lengths with the sum ``gap`` of which most copies are left."""
-        if gap < 2:
-            return None
-        half = gap // 2
-        low, high = self.n[1 : half + 1], self.n[gap - 1 : gap - half - 1 : -1]
+    def _left(self, items: tuple[int, ...]) -> bool:
+        return all(self.n[x] >= items.count(x) for x in items)
+
+    def _find_pair(self, total: int) -> None:
+        half = total // 2
+        low, high = self.n[1 : half + 1], self.n[total - 1 : total - half - 1 : -1]
         both = np.minimum(low, high)
-        if 2 * half == gap:
+        if 2 * half == total:
             both[-1] = low[-1] // 2
         k = int(both.argmax())
-        return (gap - k - 1, k + 1) if both[k] else None
+        self.pairs[total] = k + 1 if both[k] else 0
+
+    def pair(self, total: int) -> tuple[int, ...] | None:
+        if total < 2 or not self.pairs[total]:
+            return None
+        found = (total - int(self.pairs[total]), int(self.pairs[total]))
+        if not self._left(found):
+            self._find_pair(total)
+            return self.pair(total)
+        return found
+
+    def _find_triple(self, total: int) -> None:
+        """The length whose copies and whose pair's are most; pairs that are used up meanwhile are looked for again."""
+        third = np.flatnonzero(self.n[1 : total - 1]) + 1
+        third = third[self.pairs[total - third] > 0]
+        small = self.pairs[total - third]
+        left = np.minimum(self.n[third], np.minimum(self.n[small], self.n[total - third - small]))
+        for c in third[np.argsort(-left, kind="stable")].tolist():
+            rest = self.pair(total - c)
+            if rest and self._left((*rest, c)):
+                self.triples[total] = c
+                return
+        self.triples[total] = 0
+
+    def triple(self, total: int) -> tuple[int, ...] | None:
+        if total < 3 or self.triples[total] == 0:
+            return None
+        if self.triples[total] > 0:
+            c = int(self.triples[total])
+            rest = self.pair(total - c)
+            if rest and self._left((*rest, c)):
+                return (*rest, c)
+        self._find_triple(total)
+        c = int(self.triples[total])
+        return (*self.pair(total - c), c) if c else None
 
     def complement(self, gap: int) -> tuple[int, ...] | None:
         """One, two or three lengths that fill ``gap`` exactly."""
-        if self.n[gap]:
-            return (gap,)
-        if found := self.pair(gap):
-            return found
-        for third in np.flatnonzero(self.n[1 : max(1, gap - 1)])[::-1] + 1:
-            rest = self.pair(gap - int(third))
-            if rest and all(self.n[x] >= (*rest, int(third)).count(x) for x in {*rest, int(third)}):
-                return (*rest, int(third))
-        return None
+        return (gap,) if self.n[gap] else self.pair(gap) or self.triple(gap)
 
     def largest(self, gap: int) -> int:
         found = np.flatnonzero(self.n[1 : gap + 1])
@@ -153,7 +207,7 @@ def plan(counts: Mapping[int, int], capacity: int = CAPACITY) -> Iterator[tuple[
     split of a group uses up a length, so there are at most twice as many lines as lengths, however many
     pieces there are.
     """
-    stock = _Stock(counts, capacity)
+    stock = SumIndex(counts, capacity)
     for length in range(capacity, 0, -1):
         while left := int(stock.n[length]):
             times = min(capacity // length, left)
@@ -178,10 +232,13 @@ def pack(pieces: DataFrame, keys: list[str], length: str = "length", capacity: i
 
     Lengths must lie in 1..capacity. Only the histogram of lengths (at most ``capacity`` rows) comes to the
     driver; rows find their place by their rank within their length, in a shuffled order of ``keys``.
-    Offsets are gapless from 0 in each sequence. ``pieces`` is read twice, so it should be a table.
+    Offsets are gapless from 0 in each sequence. ``pieces`` is read twice, so it should be a table. The plan that is sent to all tasks has
+    at most twice as many lines as there are lengths, whatever the number of rows. Null keys and repeated rows are fine (equal rows
+    take places of their length in any order), an empty table gives an empty one. Columns named like the two results are
+    replaced, other columns may have any names.
     """
     spark = pieces.sparkSession
-    counts = {r[0]: r[1] for r in pieces.groupBy(length).count().collect()}
+    counts = {r[0]: r[1] for r in pieces.groupBy(quoted(length)).count().collect()}
     used, rows, sequence = dict.fromkeys(counts, 0), [], 0
     for items, many in plan(counts, capacity):
         offset = 0
@@ -190,12 +247,20 @@ def pack(pieces: DataFrame, keys: list[str], length: str = "length", capacity: i
             used[x] += many
             offset += x
         sequence += many
-    places = spark.createDataFrame(
-        pd.DataFrame(np.array(rows, np.int64).reshape(-1, 5), columns=["_length", "_from", "_to", "_sequence", "offset"]),
-        "_length long, _from long, _to long, _sequence long, offset long",
-    )
+    table = pd.DataFrame(np.array(rows, np.int64).reshape(-1, 5), columns=["_length", "from", "to", "sequence", "offset"])
+    # a length's places in order of their ranks, so that a row's is found by bisection
+    places = [(int(x), [tuple(map(int, r)) for r in of[["from", "to", "sequence", "offset"]].sort_values("from").to_numpy()]) for x, of in table.groupby("_length")]
+    places = spark.createDataFrame(places, "_length long, places array<struct<from: long, to: long, sequence: long, offset: long>>")
     names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    hashed = pieces.select(*names).withColumn("_length", F.col(length).cast("long")).withColumn("_hash", seeded_hash(seed, *keys))
-    ranked = rank_in_groups(hashed, ["_length"], hash_bucket("_hash"), [F.col("_hash"), *map(F.col, keys)], "_rank", "_n")
-    placed = ranked.join(F.broadcast(places), "_length").where("_rank >= _from and _rank < _to")
-    return placed.select(*names, (F.col("_sequence") + F.col("_rank") - F.col("_from")).alias("sequence_id"), "offset")
+    pieces = pieces.select(*[F.col(quoted(c)) for c in names])
+    hashed = pieces.select(
+        boxed(pieces).alias("_row"), F.col(quoted(length)).cast("long").alias("_length"), seeded_hash(seed, *map(quoted, keys)).alias("_hash"), F.struct(*[F.col(quoted(k)) for k in keys]).alias("_keys")
+    )
+    ranked = rank_in_groups(hashed, ["_length"], hash_bucket("_hash"), [F.col("_hash"), F.col("_keys")], "_rank", "_n")
+    bisect = """
+        aggregate(sequence(1, length(bin(size(places)))), struct(0 AS lo, size(places) AS hi), (s, k) ->
+            IF(s.hi - s.lo <= 1, s, IF(places[(s.lo + s.hi) div 2].from <= _rank, struct(int((s.lo + s.hi) div 2) AS lo, s.hi AS hi), struct(s.lo AS lo, int((s.lo + s.hi) div 2) AS hi))),
+            s -> places[s.lo])
+    """
+    placed = ranked.join(F.broadcast(places), "_length").withColumn("_place", F.expr(bisect))
+    return placed.select(*unboxed("_row", names), (F.col("_place.sequence") + F.col("_rank") - F.col("_place.from")).alias("sequence_id"), F.col("_place.offset").alias("offset"))

@@ -14,7 +14,7 @@ DATA = "/root/testdata/sf0.001"
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.binary(max_size=20_000), st.integers(0, 4))
+@given(st.binary(max_size=30_000), st.integers(0, 6))
 def test_payload_survives(data, times):
     payload = ogg.padded(data * (times + 1))
     back = ogg.read(ogg.write(payload))
@@ -35,6 +35,50 @@ def test_page_checksum_is_the_unreflected_one():
         assert ogg.page_crc(data) == slow(data)
 
 
+def page(serial, number, flags, granule, lacing, body):
+    whole = ogg._HEAD.pack(b"OggS", 0, flags, granule, serial, number, 0, len(lacing)) + bytes(lacing) + body
+    return whole[:22] + ogg.page_crc(whole).to_bytes(4, "little") + whole[26:]
+
+
+def test_packets_run_over_pages():
+    payload = ogg.padded(bytes(range(256)) * 400)
+    media = ogg.write(payload)
+    flags, granules, at = [], [], 0
+    while at < len(media):
+        head = ogg._HEAD.unpack_from(media, at)
+        flags.append(head[2])
+        granules.append(head[3])
+        at += 27 + head[7] + sum(media[at + 27 : at + 27 + head[7]])
+    assert sum(f & 1 for f in flags) >= 5 and granules.count(-1) >= 1 and ogg.read(media)["payload"] == payload
+
+
+def test_demux_of_any_ogg_file():
+    a = [page(7, 0, 2, 0, [3], b"hea"), page(7, 1, 0, 5, [2, 2, 255], b"aabb" + b"c" * 255), page(7, 2, 1, -1, [255] * 3, b"c" * 765), page(7, 3, 5, 9, [0, 4], b"dddd")]
+    b = [page(9, 0, 2, 0, [1], b"x"), page(9, 1, 4, 70, [255, 10], b"y" * 265)]
+    streams, errors = ogg.demux(a[0] + b[0] + a[1] + b[1] + a[2] + a[3])
+    assert errors == [] and [(s.serial, s.pages, s.ended) for s in streams] == [(7, 4, True), (9, 2, True)]
+    assert streams[0].packets == [b"hea", b"aa", b"bb", b"c" * 1020, b"dddd"] and streams[0].granules == [0, None, 5, None, 9]
+    assert streams[1].packets == [b"x", b"y" * 265] and streams[1].granules == [0, 70]
+    chained, errors = ogg.demux(b"".join(a + b + a))
+    assert errors == [] and [s.serial for s in chained] == [7, 9, 7] and chained[2].packets == streams[0].packets
+    missing, errors = ogg.demux(a[0] + a[1] + a[3])
+    assert errors and missing[0].packets == [b"hea", b"aa", b"bb", b"dddd"]  # the packet that is cut is left out
+    turned, errors = ogg.demux(a[0] + a[2] + a[1] + a[3])
+    assert errors and turned[0].packets[0] == b"hea" and b"c" * 1020 not in turned[0].packets
+    broken = bytearray(b"".join(a))
+    broken[len(a[0]) + 40] ^= 1
+    assert ogg.demux(b"junk" + bytes(broken))[0][0].packets[0] == b"hea" and len(ogg.demux(b"junk" + bytes(broken))[1]) >= 2
+    assert ogg.demux(b"") == ([], [])
+
+
+def test_column_of_streams(spark):
+    good = page(1, 0, 2, 0, [1], b"h") + page(1, 1, 4, 8, [2, 2], b"aabb")
+    rows = spark.createDataFrame([(1, good), (2, good[:-1]), (3, None), (4, b"")], "id int, media binary").withColumn("s", ogg.ogg_streams(F.col("media"))).collect()
+    got = {r.id: r.s for r in rows}
+    assert [bytes(p) for p in got[1].streams[0].packets] == [b"h", b"aa", b"bb"] and got[1].streams[0].granules == [0, None, 8] and got[1].errors == []
+    assert len(got[2].streams[0].packets) == 1 and got[2].errors and got[3].errors and got[4].streams == []
+
+
 def test_damage_is_found():
     media = ogg.write(ogg.padded(bytes(range(256)) * 100))
     for at in (0, 30, 100, len(media) // 2, len(media) - 1):

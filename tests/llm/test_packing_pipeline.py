@@ -1,3 +1,4 @@
+import itertools
 import shutil
 import zlib
 
@@ -44,6 +45,23 @@ def test_plan_uses_every_piece_once(counts):
     assert used == counts
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 30), st.integers(1, 3), max_size=8))
+def test_sums_equal_brute_force(counts):
+    index = packing.SumIndex(counts, 64)
+    for _ in range(3):
+        pool = [x for x, n in counts.items() for _ in range(n)]
+        for size, found in ((2, index.pair), (3, index.triple)):
+            sums = {sum(c) for c in itertools.combinations(pool, size)}
+            for total in range(1, 65):
+                got = found(total)
+                assert (got is not None) == (total in sums) and (got is None or (sum(got) == total and len(got) == size and index.take(got, 0) == 0))
+        if not pool:
+            break
+        index.take((pool[0],), 1)  # entries are looked for again
+        counts = {x: n - (x == pool[0]) for x, n in counts.items() if n > (x == pool[0])}
+
+
 def test_plan_is_near_the_bound():
     rng = np.random.default_rng(0)
     lengths = np.minimum(4096, (rng.lognormal(6.5, 1, 20_000)).astype(int) + 1)
@@ -53,6 +71,18 @@ def test_plan_is_near_the_bound():
     assert len(lines) <= 2 * 4096
 
 
+def test_other_tokenizers_code_whole_texts(tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert not packing.Coder(path).by_words and packing.Coder(PATH).by_words
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing.Coder(path).encode(ODD)] == [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in ODD]
+
+
+def test_packing_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(k, 100 + k % 3, 1, 2, 3, 4) for k in range(90)], "doc_id long, length long, _hash int, _length int, _rank int, `a.b` int")
+    got = packing.pack(df, ["doc_id"]).collect()
+    assert len(got) == 90 and all((r["_hash"], r["_length"], r["_rank"], r["a.b"]) == (1, 2, 3, 4) for r in got)
+
+
 def test_pack(spark, tokenizer):
     texts = [*ODD, None, "word " * 9000, *["short one"] * 40]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", F.explode(packing.token_pieces(F.col("text"), PATH, with_ids=True)).alias("p")).select("doc_id", "p.*", F.lit(0).alias("offset"))
