@@ -108,13 +108,16 @@ def looked_up(df: DataFrame, values: DataFrame, keys: Sequence[str], by: str, ho
     return salted.join(known, [*keys, salt], how).drop(salt)
 
 
-def spread_join(df: DataFrame, values: DataFrame, keys: Sequence[str], by: str, rows: int = SPREAD_ROWS) -> DataFrame:
-    """Inner join of ``df`` with large ``values``, one row per key: a key with n rows is dealt over ceil(n / rows) salts, and its value copied as often."""
-    sized = with_totals(df, keys, by, {"_fan": (F.count("*"), F.sum)}).withColumn("_fan", F.ceil(F.col("_fan") / rows))
-    sized = sized.withColumn("_deal", F.pmod(F.xxhash64(by), F.col("_fan"))).drop("_fan")
+def dealt(df: DataFrame, keys: Sequence[str], by: str, deal: str, rows: int = SPREAD_ROWS) -> DataFrame:
+    """``df`` with a column ``deal``: a key with n rows is dealt over ceil(n / rows) places by ``by``."""
+    sized = with_totals(df, keys, by, {deal: (F.count("*"), F.sum)})
+    return sized.withColumn(deal, F.pmod(F.xxhash64(by), F.ceil(F.col(deal) / rows)))
+
+
+def copied(values: DataFrame, df: DataFrame, keys: Sequence[str], deal: str, rows: int = SPREAD_ROWS) -> DataFrame:
+    """Large ``values``, one row per key, with a copy for each place over which ``dealt`` deals the key's rows."""
     fans = df.groupBy(*keys).agg(F.ceil(F.count("*") / rows).alias("_fan"))
-    copied = values.join(fans, list(keys)).withColumn("_deal", F.explode(F.sequence(F.lit(0), F.col("_fan") - 1))).drop("_fan")
-    return sized.join(copied, [*keys, "_deal"]).drop("_deal")
+    return values.join(fans, list(keys)).withColumn(deal, F.explode(F.sequence(F.lit(0), F.col("_fan") - 1))).drop("_fan")
 
 
 def seeded_hash(seed: int, *columns: Column | str) -> Column:

@@ -8,13 +8,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise
+from .common import Workspace, connected_components, copied, dealt, looked_up, quoted, with_totals
 
 #: Words in a shingle; bands and rows of a band. At a similarity of 0.8 a pair escapes all bands with a
 #: probability of (1 - 0.8**5)**32, about 3 in a million.
 WORDS, BANDS, ROWS = 4, 32, 5
 #: Least similarity in hundredths.
 LEAST = 80
+#: Rows of a shingle's list that meet in one task.
+LIST_ROWS = 2000
 #: Each bucket compares its members with up to four of them: the smallest id under each of these masks.
 _MASKS = (0, 0x7FFFFFFFFFFFFFFF, 0x5555555555555555, 0x2AAAAAAAAAAAAAAA)
 
@@ -101,38 +103,40 @@ def _sets(words: int):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    left = sets.select(F.col("node").alias("a"), F.col("items").alias("_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("items").alias("_b"))
-    both = pairs.join(left, "a").join(right, "b")
+    """The pairs (a, b) whose full sets are similar enough. A set that very many pairs name is copied to several tasks."""
+    left = copied(sets.select(F.col("node").alias("a"), F.col("items").alias("_a")), pairs, ["a"], "_at")
+    right = copied(sets.select(F.col("node").alias("b"), F.col("items").alias("_b")), pairs, ["b"], "_to")
+    both = dealt(dealt(pairs, ["a"], "b", "_at"), ["b"], "a", "_to").join(left, ["a", "_at"]).join(right, ["b", "_to"])
     close = f"100 * least(size(_a), size(_b)) >= {least} * greatest(size(_a), size(_b))"
     shared = "size(array_intersect(_a, _b))"
     return both.where(f"CASE WHEN {close} THEN 100 * {shared} >= {least} * (size(_a) + size(_b) - {shared}) ELSE false END").select("a", "b")
 
 
-def _rest(posts: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+def _rest(posts: DataFrame, sets: DataFrame, least: int, space: Workspace) -> DataFrame:
     """Pairs of different components left to compare: those that share a shingle of their prefixes.
 
     Rare shingles come first. Of n shingles in this order, a set must share one of the first
     n - ceil(least * n / 100) + 1 with any similar set, and one of the first n - ceil(2 * least * n / (100 + least)) + 1
     with one that is not smaller. The first shingle that two sets share also leaves enough of both behind
     it: their overlap is 1 + min(n - i, m - j) at most. In each shingle's list only members outside its largest
-    component are paired.
+    component are paired; a long list is dealt over tasks, and those members go to each of them.
     """
     items = posts.select("node", "label").distinct().join(sets, "node").select("node", "label", F.size("items").alias("n"), F.explode("items").alias("item"))
-    often = items.groupBy("item").agg(F.count("*").alias("_often"))
+    counted = with_totals(items, ["item"], "node", {"_often": (F.count("*"), F.sum)})
     in_order = Window.partitionBy("node").orderBy("_often", "item")
-    prefix = items.join(often, "item").withColumn("at", F.row_number().over(in_order))
+    prefix = counted.withColumn("at", F.row_number().over(in_order))
     prefix = prefix.where(f"_often > 1 and at <= n - (({least} * n + 99) div 100) + 1").select("item", "node", "label", "n", "at")
-    prefix = materialise(prefix, "prefixes")
+    prefix = space.write(prefix, "prefixes")
     by_label = prefix.groupBy("item", "label").agg(F.count("*").alias("_n"))
-    largest = by_label.groupBy("item").agg(F.max_by("label", F.struct("_n", "label")).alias("_top"), F.count("*").alias("_labels")).where("_labels > 1")
-    odd = prefix.join(largest, "item").where("label <> _top")
-    odd = odd.select("item", *[F.col(c).alias(f"_{c}") for c in ("node", "label", "n", "at")])
+    largest = by_label.groupBy("item").agg(F.max_by("label", F.struct("_n", "label")).alias("_top"), F.count("*").alias("_labels"), F.ceil(F.sum("_n") / LIST_ROWS).alias("_fan"))
+    mixed = looked_up(prefix, largest.where("_labels > 1").drop("_labels"), ["item"], "node", "inner")
+    mixed = space.write(mixed.withColumn("_deal", F.pmod(F.xxhash64("node"), F.col("_fan"))), "mixed")
+    odd = mixed.where("label <> _top").withColumn("_deal", F.explode(F.sequence(F.lit(0), F.col("_fan") - 1)))
+    odd = odd.select("item", "_deal", *[F.col(c).alias(f"_{c}") for c in ("node", "label", "n", "at")])
     total = 100 + least
     short = f"at <= n - ((2 * {least} * n + {total - 1}) div {total}) + 1"
     _short = f"_at <= _n - ((2 * {least} * _n + {total - 1}) div {total}) + 1"
-    pairs = odd.join(prefix, "item").where(f"""
+    pairs = odd.join(mixed, ["item", "_deal"]).where(f"""
         label <> _label and 100 * least(n, _n) >= {least} * greatest(n, _n)
         and CASE WHEN n < _n OR (n = _n AND node < _node) THEN {short} ELSE {_short} END
         and 1 + least(n - at, _n - _at) >= ({least} * (n + _n) + {total - 1}) div {total}""")
@@ -145,48 +149,53 @@ def near_duplicates(
     """One row per row of ``docs``: key, n_shingles, component_id (long) and kept (boolean).
 
     Documents are linked when 100 * |shared| >= least * |union| on their sets of distinct shingles; component_id is
-    the smallest key reachable, kept marks it. Equal sets are one class from the start, so a group of copies
-    never meets in one place; every class posts its band keys, and
+    the smallest key reachable, kept marks it. Equal sets are one class from the start, represented by its smallest key; every class
+    posts its band keys, and
 
     * each bucket compares its members with up to four of them, chosen by masks on the id;
     * components of these links are found, and buckets that still hold several are settled exactly through
       prefixes of their sets.
 
-    All pairs that share a bucket are thus linked, known to be connected or ruled out. Texts without words (and null texts)
+    All pairs that share a bucket are thus linked, known to be connected or ruled out. The rows of a bucket, of a class and of a set in many
+    pairs are spread over tasks. Texts without words (and null texts)
     have no set and stay alone. Rows without a key are alone too: component null, kept true. Rows with the same
-    key count as one document.
+    key count as one document; if their texts differ, each belongs to the class of its own text, and the smallest text stands for the
+    document when it is compared. Whole texts are read, however long. Other columns are left out; an empty table gives an empty one.
     """
-    spark_key = F.col(key).cast("long").alias("node")
-    table = docs.select(spark_key, _describe(words, bands, rows)(F.col(text)).alias("d")).select("node", "d.*")
-    table = materialise(table, "signatures")
-    filled = table.where("n > 0 and node is not null")
-    classes = filled.groupBy("h1", "h2").agg(F.min("node").alias("rep"), F.min_by("keys", "node").alias("keys"))
-    classes = materialise(classes, "classes")
+    space = Workspace(docs.sparkSession, "near-duplicates")
+    spark_key = F.col(quoted(key)).cast("long").alias("node")
+    table = docs.select(spark_key, _describe(words, bands, rows)(F.col(quoted(text))).alias("d")).select("node", "d.*")
+    table = space.write(table, "signatures")
+    filled = "n > 0 and node is not null"
+    classes = table.where(filled).groupBy("h1", "h2").agg(F.min("node").alias("rep"), F.min_by("keys", "node").alias("keys"))
+    classes = space.write(classes, "classes")
     posts = classes.select(F.col("rep").alias("node"), F.explode("keys").alias("slot"))
     leaders = [F.min(F.col("node").bitwiseXOR(F.lit(m))).bitwiseXOR(F.lit(m)).alias(f"_{i}") for i, m in enumerate(_MASKS)]
     slots = posts.groupBy("slot").agg(F.count("*").alias("_size"), *leaders).where("_size > 1")
-    shared = posts.join(slots, "slot")
-    shared = materialise(shared.select("slot", "_size", "node", F.array_distinct(F.array(*[f"_{i}" for i in range(len(_MASKS))])).alias("_leaders")), "buckets")
+    shared = looked_up(posts, slots, ["slot"], "node", "inner")
+    shared = space.write(shared.select("slot", "_size", "node", F.array_distinct(F.array(*[f"_{i}" for i in range(len(_MASKS))])).alias("_leaders")), "buckets")
     pairs = shared.select("node", F.explode("_leaders").alias("_l")).where("node <> _l")
-    pairs = materialise(pairs.select(F.least("node", "_l").alias("a"), F.greatest("node", "_l").alias("b")).distinct(), "pairs")
+    pairs = space.write(pairs.select(F.least("node", "_l").alias("a"), F.greatest("node", "_l").alias("b")).distinct(), "pairs")
     named = shared.select("node").distinct()
-    sets = docs.select(spark_key, F.col(text).alias("_text")).join(named, "node", "left_semi").dropDuplicates(["node"])
-    sets = materialise(sets.select("node", _sets(words)(F.col("_text")).alias("items")), "sets")
-    links = materialise(_verified(pairs, sets, least), "links")
-    found = materialise(connected_components(links), "components")
+    sets = docs.select(spark_key, F.col(quoted(text)).alias("_text")).join(named, "node", "left_semi").groupBy("node").agg(F.min("_text").alias("_text"))
+    sets = space.write(sets.select("node", _sets(words)(F.col("_text")).alias("items")), "sets")
+    links = space.write(_verified(pairs, sets, least), "links")
+    found = space.write(connected_components(links), "components")
 
     # Buckets of more than three members that hold several components still have pairs that no leader covers.
     labels = shared.where("_size > 3").select("slot", "node").join(found, "node", "left").select("slot", "node", F.coalesce("component", "node").alias("label"))
+    labels = space.write(labels, "labels")
     mixed = labels.groupBy("slot").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo <> _hi").select("slot")
-    open_pairs = _rest(labels.join(mixed, "slot", "left_semi"), sets, least).join(pairs, ["a", "b"], "left_anti")
-    more = materialise(_verified(open_pairs, sets, least), "links")
+    open_pairs = _rest(looked_up(labels, mixed, ["slot"], "node", "inner"), sets, least, space).join(pairs, ["a", "b"], "left_anti")
+    more = space.write(_verified(space.write(open_pairs, "open"), sets, least), "more")
     if not more.isEmpty():
-        found = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+        found = space.write(connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "settled")
+    space.drop("buckets", "pairs", "sets", "links", "labels", "prefixes", "mixed", "open", "more")
     of_class = classes.select("h1", "h2", "rep").join(found, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "rep").alias("_component"))
-    result = table.drop("keys").join(of_class, ["h1", "h2"], "left")
-    alone = F.when((F.col("n") > 0) & F.col("node").isNotNull(), F.col("_component")).otherwise(F.col("node"))
-    result = result.select(F.col("node").alias(key), F.col("n").alias("n_shingles"), alone.alias("component_id"))
-    return result.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
+    some = looked_up(table.where(filled).drop("keys"), of_class, ["h1", "h2"], "node").select("node", "n", "_component")
+    result = some.unionByName(table.where(f"not ({filled})").select("node", "n", F.col("node").alias("_component")))
+    result = result.select(F.col("node").alias(key), F.col("n").alias("n_shingles"), F.col("_component").alias("component_id"))
+    return result.withColumn("kept", F.coalesce(F.col(quoted(key)) == F.col("component_id"), F.lit(True)))
 
 
 def brute_force(texts: dict[int, str | None], words: int = WORDS, least: int = LEAST) -> dict[int, int]:

@@ -9,14 +9,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise
+from .common import Workspace, connected_components, looked_up, quoted
 
 #: Reference points, how many nearest of them describe a vector, how many two vectors must share.
-PIVOTS, NEAREST, SHARED = 512, 6, 3
+PIVOTS, NEAREST, SHARED = 512, 7, 3
 #: Bound on the vectors that reference points are chosen from; points closer than this cosine aren't chosen together.
 SAMPLE, APART = 4096, 0.5
-#: Rows of a block; longer lists are compared block by block.
-BLOCK = 500
+#: Rows of a block; longer lists are compared block by block, STRIP rows at a time.
+BLOCK, STRIP = 4000, 512
 LEAST = 0.93
 
 
@@ -53,7 +53,7 @@ def _list_keys(tops: np.ndarray, shared: int) -> np.ndarray:
     keys = np.zeros((len(tops), len(columns)), np.int64)
     for j, picked in enumerate(columns):
         for c in picked:
-            keys[:, j] = keys[:, j] * 1024 + tops[:, c]
+            keys[:, j] = (keys[:, j] << (62 // shared)) | tops[:, c]
     return keys
 
 
@@ -63,27 +63,28 @@ def _compare(x: np.ndarray, block: np.ndarray, tops: np.ndarray, weight: np.ndar
     A pair that shares several lists counts in one of them: where the list's pivots are the first that the
     two share.
     """
-    hits = x @ x.T >= least
-    np.fill_diagonal(hits, False)
-    if at // 100000 != at % 100000:  # two blocks; pairs within one are met elsewhere
-        hits &= block[:, None] != block[None, :]
-    group = np.arange(len(x))
-    if not hits.any():
-        return np.zeros(len(x), np.int64), group
-    last = key % 1024
+    links, group, hits = np.zeros(len(x), np.int64), np.arange(len(x)), np.zeros((len(x), len(x)), bool)
+    last = key & ((1 << (62 // shared)) - 1)
     # shared pivots up to the list's last one; the list's own are among them
     upto = np.zeros((len(x), last + 1), np.float32)
     r, c = np.nonzero(tops <= last)
     upto[r, tops[r, c]] = 1
-    first = hits & (np.rint(upto @ upto.T) == shared)
+    for i in range(0, len(x), STRIP):
+        some = x[i : i + STRIP] @ x.T >= least
+        some[np.arange(len(some)), np.arange(i, i + len(some))] = False
+        if at // 100000 != at % 100000:  # two blocks; pairs within one are met elsewhere
+            some &= block[i : i + STRIP, None] != block[None, :]
+        if some.any():
+            first = some & (np.rint(upto[i : i + STRIP] @ upto.T) == shared)
+            links[i : i + STRIP] = first @ weight
+            hits[i : i + STRIP] = some
     while True:
-        near = np.where(hits, group[None, :], len(x)).min(axis=1)
-        new = np.minimum(group, near)
+        near = [np.where(hits[i : i + STRIP], group[None, :], len(x)).min(axis=1) for i in range(0, len(x), STRIP)]
+        new = np.minimum(group, np.concatenate(near))
         new = new[new]
         if (new == group).all():
-            break
+            return links, group
         group = new
-    return (first @ weight).astype(np.int64), group
 
 
 def _walk(shared: int, least: float):
@@ -137,22 +138,27 @@ def similar_vectors(
     Two vectors are linked if their labels are equal and not null and their cosine is at least ``least``. Equal
     vectors of a label are one class from the start. Each class is described by its ``nearest`` reference points;
     inverted lists hold, for each combination of ``shared`` points, the classes that have them all, so classes meet when
-    they share that many. Every list is compared in full, long ones in blocks of BLOCK rows spread over tasks. Links
-    are found with a high but not full recall (see the tests); none is wrong.
+    they share that many. Every list is compared in full, long ones in blocks of BLOCK rows spread over tasks: a list of n rows is
+    shuffled ceil(n / BLOCK) times. Links are found with a high but not full recall (see the tests); none is wrong.
 
     Null or zero vectors, and ones with null, NaN or infinite components, link with nothing; so do vectors without a
-    label, and vectors of different lengths with each other. Rows without a key are alone: component null, kept true.
+    label, and vectors of different lengths with each other. Rows without a key are alone: component null, kept true. Repeated rows are
+    vectors of their own, linked with each other; other columns are left out; an empty table gives an empty one.
     """
+    if max(pivots, 2) > 2 ** (62 // shared):
+        raise ValueError(f"at most {2 ** (62 // shared)} pivots when {shared} are shared")
+    key, vector, label = quoted(key), quoted(vector), quoted(label)
+    space = Workspace(rows.sparkSession, "vectors")
     value = F.transform(F.col(vector), lambda v: v.cast("double") + F.lit(0.0))
     good = F.expr("size(vec) > 0 and forall(vec, v -> v is not null and not isnan(v) and abs(v) < double('infinity')) and exists(vec, v -> v <> 0)")
     table = rows.select(F.col(key).cast("long").alias("id"), F.col(label).alias("label"), value.alias("vec"))
     table = table.withColumn("good", F.coalesce(good & F.col("label").isNotNull() & F.col("id").isNotNull(), F.lit(False)))
     table = table.withColumn("h1", F.xxhash64(F.lit(1), "label", "vec")).withColumn("h2", F.xxhash64(F.lit(2), "label", "vec"))
-    table = materialise(table, "vectors")
+    table = space.write(table, "vectors")
     classes = table.where("good").groupBy("h1", "h2").agg(
         F.min("id").alias("id"), F.count("*").alias("size"), F.min_by("label", "id").alias("label"), F.min_by("vec", "id").alias("vec")
     )
-    classes = materialise(classes, "classes")
+    classes = space.write(classes, "classes")
     some = classes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vec").toPandas()["vec"]
     by_dim: dict[int, list] = {}
     for v in some:
@@ -170,26 +176,26 @@ def similar_vectors(
 
     kind = table.schema["label"].dataType.simpleString()
     described = classes.mapInPandas(describe, f"id long, size long, label {kind}, vec array<double>, dim int, tops array<int>, keys array<long>")
-    described = materialise(described, "permutations")
+    described = space.write(described, "permutations")
     posts = described.select("label", "dim", "id", F.explode("keys").alias("key"))
     lists = posts.groupBy("label", "dim", "key").agg(F.count("*").alias("length")).where("length > 1")
-    posts = posts.join(lists, ["label", "dim", "key"])
+    posts = looked_up(posts, lists, ["label", "dim", "key"], "id", "inner")
     blocks = F.ceil(F.col("length") / BLOCK).cast("int")
     posts = posts.withColumn("own", F.when(blocks > 1, F.pmod(F.hash("id"), blocks)).otherwise(0)).withColumn("at", F.explode(_pairs_of(F.col("length"), F.col("own"))))
     members = posts.select("label", "dim", "key", "own", "at", "id").join(described.select("id", "size", "vec", "tops"), "id")
 
     by_list = ["label", "dim", "key", "at"]
     together = members.repartition(*by_list).sortWithinPartitions(*by_list)
-    met = materialise(together.mapInPandas(_walk(shared, least), "id long, links long, low long"), "links")
+    met = space.write(together.mapInPandas(_walk(shared, least), "id long, links long, low long"), "links")
     links = met.groupBy("id").agg(F.sum("links").alias("_links"))
     found = connected_components(met.select(F.col("id").alias("a"), F.col("low").alias("b")))
     of_class = (
         classes.select("id", "size", "h1", "h2").join(links, "id", "left").join(found, F.col("id") == F.col("node"), "left")
-        .select("h1", "h2", (F.col("size") - 1 + F.coalesce("_links", F.lit(0))).alias("_n"), F.coalesce("component", "id").alias("_component"))
+        .select("h1", "h2", (F.col("size") - 1 + F.coalesce("_links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     )
-    result = table.select("id", "good", "h1", "h2").join(of_class, ["h1", "h2"], "left")
-    result = result.select(
-        F.col("id").alias(key), F.when(F.col("good"), F.col("_n")).otherwise(0).alias("n_links"),
-        F.when(F.col("good"), F.col("_component")).otherwise(F.col("id")).alias("component_id"),
-    )
-    return result.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
+    of_class = space.write(of_class, "found")
+    space.drop("classes", "permutations", "links")
+    narrow = table.select("id", "good", "h1", "h2")
+    some = looked_up(narrow.where("good"), of_class, ["h1", "h2"], "id").select("id", "n_links", "component_id")
+    result = some.unionByName(narrow.where("not good").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
+    return result.select(F.col("id").alias(key.strip("`")), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -114,3 +114,35 @@ def test_vector_keys_that_are_null_or_repeated(spark):
     rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (None, [1.0, 0.0], 0), (0, [1.0, 0.01], 0)]
     got = sorted(map(tuple, vectors.similar_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()), key=str)
     assert got == sorted([(1, 2, 0, False), (1, 2, 0, False), (None, 0, None, True), (0, 2, 0, True)], key=str)
+
+
+def test_recall_next_to_the_threshold(spark):
+    rng = np.random.default_rng(9)
+    base = vectors.unit(rng.normal(size=(1500, 64)))
+    side = vectors.unit(rng.normal(size=base.shape))
+    side = vectors.unit(side - (side * base).sum(1, keepdims=True) * base)
+    c = rng.uniform(0.931, 0.95, (1500, 1))
+    rows = [(k, v.tolist(), "a") for k, v in enumerate(np.vstack([base, c * base + np.sqrt(1 - c * c) * side]))]
+    got = vectors.similar_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).toPandas().n_links.sum()
+    assert 0.92 * 3000 <= got <= 3000
+
+
+def test_strips_and_blocks_give_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(6, 16)).repeat(15, 0) + 0.12 * rng.normal(size=(90, 16))
+    df = spark.createDataFrame([(k, v.tolist(), "a") for k, v in enumerate(base)], "vec_id long, embedding array<double>, label string")
+    one = sorted(map(tuple, vectors.similar_vectors(df).collect()))
+    monkeypatch.setattr(vectors, "BLOCK", 11)
+    monkeypatch.setattr(vectors, "STRIP", 4)
+    assert sorted(map(tuple, vectors.similar_vectors(df).collect())) == one
+    with pytest.raises(ValueError):
+        vectors.similar_vectors(df, pivots=2**21)
+
+
+def test_long_lists_and_hot_sets_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "LIST_ROWS", 3)
+    monkeypatch.setattr(minhash, "_MASKS", (0,))
+    base = " ".join(f"w{i}" for i in range(50))
+    texts = dict(enumerate([*group(base, 60, 4, 5), *group(base + " " + base[:60], 40, 9, 7)]))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == minhash.brute_force(texts)
