@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +50,29 @@ TEMPLATES = {
         "Licensed under the MIT license.",
         "SPDX-License-Identifier: MIT",
     ),
+    "lgpl": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License.",
+        "Licensed under the GNU Lesser General Public License, version 2.1.",
+        "Released under the GNU LGPL version 3 or later.",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
+    ),
+    "agpl": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License.",
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "Released under the GNU AGPL version 3 or later.",
+        "SPDX-License-Identifier: AGPL-3.0-only",
+    ),
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+        "Licensed under the ISC license.",
+        "Released under the terms of the ISC License.",
+        "SPDX-License-Identifier: ISC",
+    ),
+    "boost": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation.",
+        "Distributed under the Boost Software License, Version 1.0.",
+        "SPDX-License-Identifier: BSL-1.0",
+    ),
     "mpl": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License 2.0.",
@@ -74,25 +97,29 @@ OTHER = (
     "The public domain of the function is the set of real numbers.",
     "Redistribution of income was the topic of the debate.",
 )
-#: What every paragraph looked at has; templates and OTHER all have it.
-CUES = r"(?i)licen[cs]e|copyright|redistribut|public domain|all rights reserved|free of charge|public license|waived|\bGPL\b|\bCC BY"
+#: Families that share wordings; they are left out of a calibration round together.
+KIN = (("gpl", "lgpl", "agpl"), ("mit", "isc", "boost"), ("cc-by", "cc-by-nc"), ("apache",), ("bsd",), ("mpl",), ("public-domain",))
+#: The first step of the method: only paragraphs with such a word are classified. Templates and OTHER all have one; a notice without any
+#: (a warranty clause alone) names no licence.
+CUES = r"(?i)licen[cs]e|copyright|redistribut|public domain|all rights reserved|free of charge|without fee|public license|waived|\b[AL]?GPL\b|\bCC BY"
 #: The same in a text whose lines are wrapped, maybe behind comment signs; and what at least one word of every cue is like.
 WRAPPED_CUES = CUES.replace(" ", "[^A-Za-z0-9]+")
-_CUE_WORD = r"licen[cs]e|copyright|redistribut|waived|\bgpl\b|\b(domain|reserved|charge|cc)\b"
-#: Sizes of the word windows of a paragraph. Windows of one size start every quarter of it, so 24 words in a row (the longest template has 22) lie in a window.
+_CUE_WORD = r"licen[cs]e|copyright|redistribut|waived|\b[al]?gpl\b|\b(domain|reserved|charge|fee|cc)\b"
+#: Sizes of the word windows of a paragraph. Windows of one size start every quarter of it, so 24 words in a row (the longest template has 23) lie in a window.
 WINDOWS = (8, 16, 32)
-N_FEATURES, MAX_GRAM = 4096, 3
+N_FEATURES, MAX_GRAM, FOLDS = 4096, 3, 3
 #: Share of a template's word pairs that a paragraph must hold to confirm the family.
 CONFIRM = 0.6
 
 
 @dataclass
 class LicenseModel:
-    """Fitted classifier, its families by index, and the probability below which a paragraph is unknown."""
+    """Fitted classifier, its families by index, and the line that turns the log-odds of the likeliest family into calibrated ones."""
 
     lr: LogisticRegressionModel
     families: list[str]
-    least: float
+    slope: float
+    offset: float
 
 
 def words_of(text: Column) -> Column:
@@ -111,34 +138,58 @@ def _features(paragraphs: DataFrame) -> DataFrame:
 
 
 def training_paragraphs(spark: SparkSession) -> DataFrame:
-    """(paragraph, family, fold): the templates and OTHER, as they are, with a word left out, and with words around them."""
-    rows = [(f, t) for f, ts in TEMPLATES.items() for t in ts] + [(UNKNOWN, t) for t in OTHER]
-    given = spark.createDataFrame(rows, "family string, text string").withColumn("_w", F.split("text", " "))
-    less = given.select("family", F.explode(F.expr(
+    """(paragraph, family, fold): the templates and OTHER, as they are, with a word left out, and with words around them.
+
+    All paragraphs of a template are in one fold.
+    """
+    rows = [(f, k % FOLDS, t) for f, ts in TEMPLATES.items() for k, t in enumerate(ts)] + [(UNKNOWN, k % FOLDS, t) for k, t in enumerate(OTHER)]
+    given = spark.createDataFrame(rows, "family string, fold int, text string").withColumn("_w", F.split("text", " "))
+    less = given.select("family", "fold", F.explode(F.expr(
         "transform(sequence(0, size(_w) - 1), i -> concat_ws(' ', filter(_w, (w, k) -> size(_w) <= 3 OR k <> i)))")).alias("paragraph"))
-    around = given.select("family", F.explode(F.array(
+    around = given.select("family", "fold", F.explode(F.array(
         F.col("text"), F.lower("text"), F.upper("text"), F.concat(F.lit("* "), F.col("text")), F.concat(F.lit("Note: "), F.col("text"), F.lit(" See the file for details.")),
         F.concat(F.lit("Copyright 2020 The Authors. "), F.col("text")))).alias("paragraph"))
-    every = less.unionByName(around).distinct()
-    return every.withColumn("fold", F.pmod(F.xxhash64("paragraph"), 5))
+    return less.unionByName(around).distinct()
+
+
+def _likeliest(scored: DataFrame, families: list[str]) -> DataFrame:
+    """Adds ``_guess``, the likeliest family (never 'unknown'), and ``_odds``, its log-odds against all else."""
+    at = families.index(UNKNOWN)
+    of_families = F.expr(f"transform(_p, (p, i) -> IF(i = {at}, 0.0D, p))")
+    scored = scored.withColumn("_p", vector_to_array("probability")).withColumn("_p", of_families).withColumn("_best", F.array_max("_p"))
+    guess = F.element_at(F.array(*map(F.lit, families)), F.expr("array_position(_p, _best)").cast("int"))
+    kept = F.least(F.greatest("_best", F.lit(1e-9)), F.lit(1 - 1e-9))
+    return scored.withColumn("_guess", guess).withColumn("_odds", F.log(kept / (1 - kept)))
 
 
 def fit_licenses(spark: SparkSession) -> LicenseModel:
-    """Multinomial logistic regression on sparse word n-grams of the training paragraphs.
+    """Multinomial logistic regression on sparse word n-grams of the training paragraphs, and its calibration.
 
-    One fold is left out; the largest probability that a family gets on this fold's paragraphs of no family, or 0.5 if
-    that is more, becomes the least probability of a family.
+    In each round of the calibration a fold of templates and every third group of KIN are left out of the training and then scored: paragraphs of
+    left-out templates can be right, those of OTHER and of the left-out families, for which the model has no name, never are. A second
+    logistic regression of 'right' on the log-odds of the likeliest family, right and wrong ones weighing the same, gives the calibrated
+    probability; a paragraph with less than 0.5 is unknown.
     """
     families = sorted([*TEMPLATES, UNKNOWN])
     index = F.array_position(F.array(*map(F.lit, families)), F.col("family")) - 1
     rows = _features(training_paragraphs(spark)).withColumn("label", index.cast("double")).select("features", "label", "family", "fold").coalesce(1).cache()
-    lr = LogisticRegression(family="multinomial", regParam=0.002, maxIter=60).fit(rows.where("fold <> 0"))
-    scored = lr.transform(rows.where("fold = 0")).withColumn("_p", vector_to_array("probability"))
-    at = families.index(UNKNOWN)
-    best = F.array_max(F.expr(f"filter(_p, (p, i) -> i <> {at})"))
-    least = scored.where(F.col("family") == UNKNOWN).agg(F.max(best)).first()[0] or 0.5
+    lr = LogisticRegression(family="multinomial", regParam=0.002, maxIter=60)
+    seen = None
+    for fold in range(FOLDS):
+        strange = F.col("family").isin([f for kin in KIN[fold::FOLDS] for f in kin])
+        left = (F.col("fold") == fold) | strange
+        scored = _likeliest(lr.fit(rows.where(~left)).transform(rows.where(left)), families)
+        right = (F.col("_guess") == F.col("family")) & ~strange
+        part = scored.select(right.cast("double").alias("right"), array_to_vector(F.array("_odds")).alias("odds"))
+        seen = part if seen is None else seen.unionByName(part)
+    seen = seen.cache()
+    share = seen.agg(F.avg("right")).first()[0]
+    seen_even = seen.withColumn("weight", F.when(F.col("right") == 1, 0.5 / share).otherwise(0.5 / (1 - share)))
+    line = LogisticRegression(featuresCol="odds", labelCol="right", weightCol="weight", regParam=0.01).fit(seen_even)
+    seen.unpersist()
+    model = lr.fit(rows)
     rows.unpersist()
-    return LicenseModel(lr, families, float(min(max(least, 0.5), 0.9)))
+    return LicenseModel(model, families, float(line.coefficients[0]), float(line.intercept))
 
 
 def _pairs(text: str) -> list[str]:
@@ -194,19 +245,19 @@ def license_windows(docs: DataFrame, model: LicenseModel, text: str = "text", ro
     )
     texts = F.array_distinct(F.filter(texts, lambda t: t.rlike(CUES)))
     windows = split.select(row, "place", F.explode(F.when(F.size(texts) > 0, texts).otherwise(F.array(F.lit("")))).alias("paragraph"))
-    scored = model.lr.transform(_features(windows)).withColumn("_p", vector_to_array("probability"))
-    best = F.expr("array_position(_p, array_max(_p))").cast("int")
-    scored = scored.withColumn("probability", F.array_max("_p")).withColumn("_guess", F.element_at(F.array(*map(F.lit, model.families)), best))
-    scored = scored.withColumn("template_share", _confirmed("_words", F.col("_guess")))
-    sure = (F.col("_guess") != UNKNOWN) & (F.col("probability") >= model.least) & (F.col("template_share") >= CONFIRM)
-    return scored.select(row, "place", F.col("paragraph").alias("window"), F.when(sure, F.col("_guess")).otherwise(UNKNOWN).alias("family"), "probability", "template_share")
+    scored = _likeliest(model.lr.transform(_features(windows)), model.families)
+    calibrated = 1 / (1 + F.exp(-(model.slope * F.col("_odds") + model.offset)))
+    scored = scored.withColumn("_share", calibrated).withColumn("template_share", _confirmed("_words", F.col("_guess")))
+    sure = (F.col("_share") >= 0.5) & (F.col("template_share") >= CONFIRM)
+    return scored.select(row, "place", F.col("paragraph").alias("window"), F.when(sure, F.col("_guess")).otherwise(UNKNOWN).alias("family"), F.col("_share").alias("probability"), "template_share")
 
 
 def scan_licenses(docs: DataFrame, model: LicenseModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: key, licenses (families found, sorted and comma-joined), n_confirmed and n_unknown (long).
 
     Whole texts are scanned paragraph by paragraph. n_confirmed counts each family of each paragraph, n_unknown the paragraphs that have a
-    licence word and no family. Null and empty texts have none; repeated rows get equal results.
+    licence word and no family. Null and empty texts have none; repeated rows get equal results; other columns are left out; an empty table
+    gives an empty one.
     """
     row = F.sha2(F.concat_ws("\x1f", F.coalesce(F.col(key).cast("string"), F.lit("")), text_or_empty(text)), 256)
     has = F.coalesce(F.col(text).rlike(WRAPPED_CUES), F.lit(False))

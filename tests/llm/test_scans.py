@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import re
 import time
@@ -222,3 +223,66 @@ def test_scores_in_circles_equal_a_dense_solution(spark, monkeypatch, arcs):
     assert len(got) == n + 1
     for k, name in enumerate([*[f"h{k}" for k in range(n)], "only named"]):
         assert np.allclose([got[name].trust, got[name].distrust, got[name]["rank"]], want[k], rtol=1e-4, atol=1e-5)
+
+
+def brute_licenses(text, model, index):
+    """The scan of one text on the driver: own splitting, own windows, probabilities from the model's coefficients."""
+    split = re.compile(r'[^a-z0-9.+-]+|[.](?=\s|$|")')
+    words_of = lambda t: [w for w in split.split(t.lower()) if w]
+    wrapped, cue = re.compile(licenses.WRAPPED_CUES), re.compile(licenses.CUES)
+    pairs_of = lambda w: {(a, b) for a, b in zip(w, w[1:], strict=False)}
+    of = {f: [list(dict.fromkeys(zip(words_of(t), words_of(t)[1:], strict=False))) for t in ts] for f, ts in licenses.TEMPLATES.items()}
+    if not wrapped.search(text or ""):
+        return "", 0, 0
+    found, n_confirmed, n_unknown = set(), 0, 0
+    matrix, bias = model.lr.coefficientMatrix.toArray(), model.lr.interceptVector.toArray()
+    for paragraph in re.split(r"\n\s*\n", text):
+        if not wrapped.search(paragraph):
+            continue
+        words = words_of(re.sub(r"(?<=[A-Za-z])-[\x20\t\r]*\n[\s*#/>]*", "-", paragraph))
+        texts = {line for line in paragraph.split("\n") if cue.search(line)}
+        for n in licenses.WINDOWS:
+            for start in range(0, len(words), n // 4):
+                piece = words[start : start + n]
+                if cue.search(" ".join(piece)) and any(re.search(licenses._CUE_WORD, w) for w in piece):
+                    texts.add(" ".join(piece))
+        here = set()
+        for t in texts:
+            w = words_of(t)
+            grams = {" ".join(w[i : i + k]) for k in range(1, licenses.MAX_GRAM + 1) for i in range(len(w) - k + 1)}
+            at = sorted({index(g) for g in grams})
+            raw = matrix[:, at].sum(axis=1) + bias
+            p = np.exp(raw - raw.max())
+            p /= p.sum()
+            p[model.families.index(licenses.UNKNOWN)] = 0
+            best = min(max(p.max(), 1e-9), 1 - 1e-9)
+            family, held = model.families[int(p.argmax())], pairs_of(w)
+            others = {x for f, ts in of.items() if f != family for t2 in ts for x in t2}
+            share = max([len(held & set(t2)) / len(t2) for t2 in of[family] if held & (set(t2) - others)], default=0)
+            if model.slope * np.log(best / (1 - best)) + model.offset >= 0 and share >= licenses.CONFIRM:
+                here.add(family)
+        found |= here
+        n_confirmed += len(here)
+        n_unknown += not here
+    return ",".join(sorted(found)), n_confirmed, n_unknown
+
+
+def test_license_query_equals_brute_force(spark, license_model):
+    hashing = licenses.HashingTF(numFeatures=licenses.N_FEATURES, binary=True, inputCol="a", outputCol="b")
+    index = functools.cache(hashing.indexOf)
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    for r in op2_license_scan(spark, DATA).collect():
+        assert (r.licenses, r.n_confirmed, r.n_unknown) == brute_licenses(docs[r.doc_id], license_model, index)
+
+
+def test_calibration_and_new_families(spark, license_model):
+    assert license_model.slope > 0
+    lgpl = "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation"
+    agpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as published\nby the Free Software Foundation"
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice appear in all copies."
+    boost = "Permission is hereby granted, free of charge, to any person or organization\nobtaining a copy of the software and accompanying documentation covered by\nthis license"
+    strange = ["This file may be used under the terms of the Frobnitz Shared Source License.", "The licence of the tavern was taken away.", "Copyright 1999 by nobody in particular", "Licensed under the Eclipse Public License 2.0"]
+    rows = [(1, lgpl), (2, agpl), (3, isc), (4, boost), *[(10 + k, t) for k, t in enumerate(strange)], (20, "word " * 200_000 + isc.replace("\n", " ") + " word" * 200_000)]
+    got = {r.doc_id: (r.licenses, r.n_unknown) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), license_model).collect()}
+    assert [got[k] for k in (1, 2, 3, 4)] == [("lgpl", 0), ("agpl", 0), ("isc", 0), ("boost", 0)] and got[20] == ("isc", 0)
+    assert all(got[10 + k] == ("", 1) for k in range(len(strange)))
