@@ -2,42 +2,125 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import re
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import fuzzy_duplicates
 
-#: Keyword, concept, role. The order is that in which concepts are reported.
-KEYWORDS = (
-    ("fvg", "FVG", "zone"), ("fair value gap", "FVG", "zone"), ("order block", "OB", "zone"), ("ob", "OB", "zone"), ("bos", "BOS", "entry"),
-    ("break of structure", "BOS", "entry"), ("displacement", "DISPLACEMENT", "entry"), ("sweep", "SWEEP", "entry"), ("premium", "PREMIUM", "context"),
-    ("discount", "DISCOUNT", "context"), ("dealing range", "DEALING_RANGE", "context"), ("inside day", "INSIDE_DAY", "context"),
-    ("opening range", "OPENING_RANGE", "timing"), ("london", "LONDON", "timing"), ("asia", "ASIA", "timing"), ("ny", "NY", "timing"), ("new york", "NY", "timing"),
+#: Concept, role ('' for none) and keywords, in the order in which concepts are reported. Entries by kind of touch follow in TOUCHES.
+CONCEPTS = (
+    ("BOS", "entry", ("bos",)), ("CHOCH", "entry", ("choch",)), ("DISPLACEMENT", "entry", ("displacement",)), ("FVG", "zone", ("fvg",)), ("OB", "zone", ("order block", "ob")),
+    ("OTE", "zone", ("ote",)), ("SWEEP", "entry", ("sweep",)), ("JUDAS", "entry", ("judas swing", "judas")), ("SILVER_BULLET", "entry", ("silver bullet",)),
+    ("BREAKER", "zone", ("breaker block", "breaker")), ("RB", "zone", ("rejection block", "rb")), ("VB", "zone", ("vacuum block", "vb")), ("MMXM", "entry", ("mmxm",)),
+    ("MB", "zone", ("mitigation block", "mb")), ("NDOG", "entry", ("ndog",)), ("NWOG", "entry", ("nwog",)), ("EHPDA_BOUNCE", "entry", ("ehpda bounce", "ehpda_bounce")),
+    ("NARRATIVE", "context", ("narrative",)), ("KILLZONE", "timing", ("killzone",)), ("MACRO_TIMING", "timing", ("macro timing",)),
+    ("MAKRO_ZEITFENSTER", "timing", ("makro zeitfenster", "makro-zeitfenster")), ("PREMIUM", "context", ("premium",)), ("DISCOUNT", "context", ("discount",)),
+    ("CBDR", "context", ("cbdr",)), ("DEALING_RANGE", "context", ("dealing range",)), ("CISD", "entry", ("cisd",)), ("OPENING_RANGE", "zone", ("opening range",)),
+    ("MIDNIGHT_OPEN", "context", ("midnight open",)), ("HRL_LRL", "context", ("hrl lrl", "hrl/lrl")), ("PDA_REGIME", "context", ("pd array regime", "pda regime", "roentgenblick")),
+    ("STAT_REGIME", "context", ("stat regime", "statistisches regime", "oberflaeche")), ("QUARTERLY_THEORY", "context", ("quarterly theory",)),
+    ("SESSION_TIMING", "timing", ("session timing",)), ("SPECIAL_TIMING", "timing", ("special timing",)), ("WEEK_LEVELS", "zone", ("week levels",)),
+    ("RTH_FILTER", "timing", ("rth filter",)), ("SMC_FVG", "zone", ("smc fvg",)), ("SMC_SESSIONS", "timing", ("smc sessions",)),
+    ("SHANNON_CAPACITY", "context", ("shannon capacity",)), ("PRIGOGINE", "context", ("prigogine",)), ("CUSUM", "context", ("cusum",)),
+    ("FVG_STANDARD", "entry", ("fvg standard", "fvg std", "3. fvg", "3 fvg")), ("IFVG_1WOCHE", "entry", ("ifvg 1woche", "ifvg woche", "4a", "ifvg 1w")),
+    ("IFVG_SAMEDAY", "entry", ("ifvg sameday", "ifvg same", "4b")), ("FVG_2TAGE", "entry", ("fvg 2tage", "fvg 2t", "5a")),
+    ("FVG_1_2WOCHEN", "entry", ("fvg 1-2wochen", "fvg wochen", "5b")), ("OB_CHAOS", "entry", ("ob chaos", "chaos ob", "chaos orderblock", "chaos order block", "7a")),
+    ("OB_TAGESHOCH", "entry", ("ob tageshoch", "tageshoch ob", "tageshoch orderblock", "7b")), ("OB_SESSION", "entry", ("ob session", "session ob", "session orderblock", "7c")),
+    ("OB_SESSION_HTIEF", "entry", ("ob session hoch-tief", "session hoch-tief", "7d", "s_ob htief")), ("MACRO_SHORT", "timing", ("macro short", "macro time short", "6a")),
+    ("MACRO_LONG", "timing", ("macro long", "macro time long", "6b")),
+    ("MANIP", "entry", ("manip", "manipulation", "liquidity sweep", "liquidity grab")), ("MANIP_BEAR", "entry", ("manip bear", "manip short", "bear manip", "liquidity sweep short")),
+    ("TURTLE_SOUP", "context", ("turtle soup", "turtle_soup", "ts filter")), ("EXIT_ATR_TRAIL", "exit", ("exit atr trail", "atr trail")),
+    ("EXIT_BREAKEVEN", "exit", ("exit breakeven", "breakeven")), ("EXIT_NEXT_ZONE", "exit", ("exit next zone", "next zone")),
+    ("EXIT_SESSION_LEVEL", "exit", ("exit session level", "session level")), ("HURST", "context", ("hurst", "hurst exp", "mean reversion filter")),
+)
+#: A zone with its own entries: prefix of their names, the zone, and how ideas call it before the kind of touch (long, short, code).
+TOUCHED = (
+    ("FVG_STD", "FVG_STANDARD", ("fvg standard", "fvg std", "3")), ("IFVG_1W", "IFVG_1WOCHE", ("ifvg 1woche", "ifvg 1w", "4a")), ("IFVG_SD", "IFVG_SAMEDAY", ("ifvg sameday", "ifvg sd", "4b")),
+    ("FVG_2T", "FVG_2TAGE", ("fvg 2tage", "fvg 2t", "5a")), ("FVG_12W", "FVG_1_2WOCHEN", ("fvg 1-2wochen", "fvg 12w", "5b")), ("OB_CHAOS", "OB_CHAOS", ("ob chaos", "chaos ob", "7a")),
+    ("OB_TAGH", "OB_TAGESHOCH", ("ob tageshoch", "tageshoch ob", "7b")), ("OB_SESS", "OB_SESSION", ("ob session", "session ob", "7c")), ("S_OB_SESS", "OB_SESSION", ()),
+)
+#: Kind of touch, its long and its short form.
+TOUCHES = (("FT", "first touch", "ft"), ("ST50", "second touch", "st50"), ("DP", "displacement", "dp"))
+#: Stop in points where an idea names none; twice as much for long ideas on the second group.
+GAP_STOP, GAP_ZONES = 5.0, ("FVG_STANDARD", "IFVG_1WOCHE", "IFVG_SAMEDAY", "FVG_2TAGE", "FVG_1_2WOCHEN")
+BLOCK_STOP, BLOCK_ZONES = 10.0, ("OB_CHAOS", "OB_TAGESHOCH", "OB_SESSION", "OB_SESSION_HTIEF")
+#: Sessions in the order in which they are looked for, stops, ways out.
+SESSION_WORDS = (("london", ("london", "european")), ("ny", ("new york", "ny", "nyo", "american")), ("asia", ("asia", "asian", "tokyo")))
+STOP = r"(?i)(?:sl|stop|stoploss|stop.loss)\s*[:\s]?\s*(\d+(?:\.\d+)?)\s*(?:punkte|pts|points|p\b)"
+EXITS = (
+    ("breakeven_trail", r"(?i)\bbreakeven\s+trail\b"), ("breakeven", r"(?i)\bbreakeven\b"), ("next_zone", r"(?i)\b(next|nächste)\s+zone\b"),
+    ("session_level", r"(?i)\bsession\s+level\b"), ("atr_trail", r"(?i)\batr\s+trail\b"),
 )
 SESSIONS = ("LONDON", "NY", "ASIA")
 
 
+def touch_concepts() -> list[tuple[str, str, tuple[str, ...]]]:
+    """The entries of each zone by kind of touch, with their keywords."""
+    out = []
+    for touch, whole, brief in TOUCHES:
+        for prefix, _, names in TOUCHED:
+            words = tuple(f"{n} {whole if k == 0 else brief}" for k, n in enumerate(names)) or (f"s ob sess {brief}", f"session ob {brief} small")
+            out.append((f"{prefix}_{touch}", "entry", words))
+    return out
+
+
+def vocabulary() -> list[tuple[str, str, tuple[str, ...]]]:
+    """All concepts with role and keywords, in the order in which they are reported."""
+    touches = touch_concepts()
+    at, end = ([c for c, _, _ in CONCEPTS].index(x) for x in ("MANIP", "HURST"))
+    return [*CONCEPTS[:at], *touches[: 2 * len(TOUCHED)], *CONCEPTS[at : end + 1], *touches[2 * len(TOUCHED) :]]
+
+
+def whole_words(keywords: Sequence[str]) -> str:
+    """Pattern of any of the keywords with no letter, digit or underscore next to it, in any case."""
+    return r"(?iU)(?<!\w)(?:" + "|".join(map(re.escape, keywords)) + r")(?!\w)"
+
+
 def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^a-z0-9_]+"), lambda w: w != "")
 
 
-def tag(ideas: DataFrame, text: str = "idea", keywords: tuple = KEYWORDS) -> DataFrame:
-    """``concepts``: those whose keyword the text holds as whole words, each once, in table order; ``roles``: theirs."""
-    padded = F.concat(F.lit(" "), F.array_join(words_of(F.col(text)), " "), F.lit(" "))
-    found = F.array_compact(F.array(*[F.when(F.contains(padded, F.lit(f" {k} ")), F.struct(F.lit(c).alias("concept"), F.lit(r).alias("role"))) for k, c, r in keywords]))
-    return ideas.withColumn("concepts", F.array_distinct(F.transform(found, lambda x: x["concept"]))).withColumn("roles", F.array_distinct(F.transform(found, lambda x: x["role"])))
+def tag(ideas: DataFrame, text: str = "idea", keywords: Sequence[tuple[str, str, Sequence[str]]] | None = None) -> DataFrame:
+    """``concepts``: those of which the text holds a keyword as whole words, in table order; ``roles``: theirs, each once."""
+    table = vocabulary() if keywords is None else keywords
+    found = F.array_compact(F.array(*[F.when(F.col(text).rlike(whole_words(k)), F.struct(F.lit(c).alias("concept"), F.lit(r).alias("role"))) for c, r, k in table]))
+    return ideas.withColumn("concepts", F.transform(found, lambda x: x["concept"])).withColumn("roles", F.array_distinct(F.transform(found, lambda x: x["role"])))
 
 
-def parameters(ideas: DataFrame, text: str = "idea") -> DataFrame:
-    """session, stop (points, from '<n> pt(s)|point(s)|tick(s)'), direction (1, -1, 0) and trail of each text."""
+def parse(ideas: DataFrame, text: str = "idea") -> DataFrame:
+    """What a text asks for: concepts, those of them that are entry, zone, context and timing, session, stop, direction, trail and exit_mode.
+
+    A zone's entry by kind of touch replaces the zone itself; a zone that stays brings all its entries along, at the end of ``concepts``.
+    'short' and 'long' in the name of a concept are no direction. Without a stop in points the first concept that has a usual one gives it.
+    """
+    t = tag(ideas, text).drop("roles")
+    of_zone: dict[str, list[str]] = {}
+    for prefix, zone, _ in TOUCHED:
+        of_zone.setdefault(zone, []).extend(f"{prefix}_{k}" for k, _, _ in TOUCHES)
+    names = lambda values: F.array(*map(F.lit, values))
+    replaced = F.array_compact(F.array(*[F.when(F.arrays_overlap("concepts", names(v)), F.lit(z)) for z, v in of_zone.items()]))
+    t = t.withColumn("concepts", F.array_except("concepts", replaced))
+    for role in ("entry", "zone", "context", "timing"):
+        t = t.withColumn(role, F.array_intersect("concepts", names([c for c, r, _ in vocabulary() if r == role])))
+    bear = F.array_contains("concepts", "MANIP_BEAR")
+    t = t.withColumn("entry", F.when(bear, F.array_remove("entry", "MANIP")).otherwise(F.col("entry")))
     low = F.lower(F.col(text))
-    session = F.when(low.rlike(r"\blondon\b"), "LONDON").when(low.rlike(r"\b(ny|new york)\b"), "NY").when(low.rlike(r"\basia\b"), "ASIA")
-    stop = F.try_to_number(F.nullif(F.regexp_extract(low, r"(\d+)\s*(?:pts?|points?|ticks?)\b", 1), F.lit("")), F.lit("9999999999"))
-    long, short = low.rlike(r"\b(long|buy|bull|bullish)\b"), low.rlike(r"\b(short|sell|bear|bearish)\b")
-    direction = F.when(long & ~short, 1).when(short & ~long, -1).otherwise(0)
-    return ideas.withColumn("session", session).withColumn("stop", stop.cast("int")).withColumn("direction", direction).withColumn("trail", low.rlike(r"\btrail(ing)?\b"))
+    macros = [k for c, _, ks in CONCEPTS if c in ("MACRO_SHORT", "MACRO_LONG") for k in ks]
+    rest = F.regexp_replace(low, whole_words(macros), "")
+    t = t.withColumn("direction", F.when(bear | rest.rlike(r"\bshort\b"), -1).when(rest.rlike(r"\blong\b"), 1).otherwise(0))
+    session = reduce(lambda c, x: c.when(F.col(text).rlike(whole_words(x[1])), x[0]), SESSION_WORDS[1:], F.when(F.col(text).rlike(whole_words(SESSION_WORDS[0][1])), SESSION_WORDS[0][0]))
+    t = t.withColumn("session", session.otherwise("all"))
+    usual = F.get(F.array_intersect("concepts", names([*GAP_ZONES, *BLOCK_ZONES])), F.lit(0))
+    by_zone = F.when(usual.isin(*GAP_ZONES), GAP_STOP).when(usual.isNotNull(), F.when(F.col("direction") == 1, 2 * BLOCK_STOP).otherwise(BLOCK_STOP))
+    t = t.withColumn("stop", F.coalesce(F.nullif(F.regexp_extract(F.col(text), STOP, 1), F.lit("")).try_cast("double"), by_zone))
+    t = t.withColumn("trail", low.rlike(r"\btrail\b"))
+    t = t.withColumn("exit_mode", reduce(lambda c, x: c.when(F.col(text).rlike(x[1]), x[0]), EXITS[1:], F.when(F.col(text).rlike(EXITS[0][1]), EXITS[0][0])).otherwise("fixed"))
+    both = [*of_zone["OB_SESSION"]]
+    more = F.flatten(F.transform("entry", lambda c: reduce(lambda w, x: w.when(c == x[0], names(x[1])), [*of_zone.items(), ("OB_SESSION_HTIEF", both)], F.when(F.lit(False), names(["-"]))).otherwise(F.array().cast("array<string>"))))
+    return t.withColumn("concepts", F.array_union("concepts", more))
 
 
 def gate(ideas: DataFrame, text: str = "idea", most: int = 500) -> DataFrame:
@@ -50,15 +133,21 @@ def gate(ideas: DataFrame, text: str = "idea", most: int = 500) -> DataFrame:
     return ideas.withColumn("failures", F.array_compact(checks))
 
 
-def known_failures(ideas: DataFrame, failed: DataFrame, text: str = "idea", title: str = "title") -> DataFrame:
-    """Ideas that hold the title of a known failure, by the words: every word of the title is in the idea and the phrase occurs.
+def known_failures(ideas: DataFrame, failed: DataFrame, text: str = "idea", title: str = "title", pieces: int = 8) -> DataFrame:
+    """Ideas that are known to fail: equal to a title, the beginning of one or beginning with one, or with a title anywhere in them.
 
-    Titles are found through their longest word, so ideas meet only titles that share it.
+    A title within an idea starts with the same ``pieces`` characters there, so ideas and titles meet on pieces of that length (shorter titles on
+    their own length); an idea that a title begins with meets it on the title's beginning. All are then verified. Case and outer blanks don't count.
     """
-    longest = F.element_at(F.array_sort(words_of(F.col(title)), lambda a, b: F.length(b) - F.length(a)), 1)
-    titles = failed.select(F.lower(F.trim(title)).alias("_title"), longest.alias("_w"))
-    one = ideas.withColumn("_w", F.explode(F.array_distinct(words_of(F.col(text)))))
-    return one.join(titles, "_w").where(F.contains(F.lower(F.col(text)), F.col("_title"))).drop("_w").dropDuplicates()
+    known = failed.select(F.lower(F.trim(title)).alias("_title")).where("_title <> ''").distinct().withColumn("_piece", F.substring("_title", 1, pieces))
+    sizes = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(pieces)), lambda n: n))
+    idea = F.lower(F.trim(F.col(text)))
+    one = ideas.distinct().withColumn("_idea", idea)
+    spots = F.transform(F.sequence(F.lit(1), F.greatest(F.length("_idea"), F.lit(1))), lambda i: F.transform(sizes, lambda n: F.substring(F.col("_idea"), i, n)))
+    inside = one.withColumn("_piece", F.explode(F.array_distinct(F.flatten(spots)))).join(known, "_piece").where(F.contains(F.col("_idea"), F.col("_title")))
+    short = known.select("_title", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("_title"), F.lit(pieces))), lambda n: F.substring(F.col("_title"), F.lit(1), n))).alias("_piece"))
+    start = one.where("_idea <> ''").withColumn("_piece", F.substring("_idea", 1, pieces)).join(short, "_piece").where(F.startswith(F.col("_title"), F.col("_idea")))
+    return inside.select(*ideas.columns).unionByName(start.select(*ideas.columns)).distinct()
 
 
 def idea_hash(concepts: Column, session: Column, stop: Column, trail: Column) -> Column:
@@ -72,13 +161,27 @@ def look_alikes(ideas: DataFrame, key: str, text: str = "idea", share: float = 0
     return fuzzy_duplicates(ideas, key, words_of(F.col(text)), share)
 
 
-def neighbours(ideas: DataFrame, vocabulary: DataFrame, key: str = "idea_id") -> DataFrame:
-    """All ideas one step away, of (key, tokens): without one of the tokens, or with one more of the small vocabulary (token)."""
+def neighbours(ideas: DataFrame, vocabulary: DataFrame, key: str = "idea_id", most: int = 4, session: str | None = None) -> DataFrame:
+    """All ideas one step away, of (key, tokens): without one of several tokens, with one more of the small vocabulary (token) up to ``most``, or, where
+    a session column is named, with another session."""
     words = vocabulary.agg(F.array_sort(F.collect_set("token")).alias("_v"))
     i = ideas.crossJoin(F.broadcast(words))  # one row
-    less = F.transform("tokens", lambda t: F.struct(F.lit("remove").alias("step"), t.alias("token"), F.array_sort(F.array_remove(F.col("tokens"), t)).alias("tokens")))
-    more = F.transform(F.array_except("_v", "tokens"), lambda t: F.struct(F.lit("add").alias("step"), t.alias("token"), F.array_sort(F.array_append("tokens", t)).alias("tokens")))
-    return i.select(key, F.explode(F.concat(less, more)).alias("n")).select(key, "n.*").where("size(tokens) > 0")
+    here = F.col(session) if session else F.lit(None).cast("string")
+    step = lambda name, token, tokens, at: F.struct(F.lit(name).alias("step"), token.alias("token"), tokens.alias("tokens"), at.alias("session"))
+    less = F.when(F.size("tokens") > 1, F.transform("tokens", lambda t: step("remove", t, F.array_sort(F.array_remove(F.col("tokens"), t)), here)))
+    more = F.when(F.size("tokens") < most, F.transform(F.array_except("_v", "tokens"), lambda t: step("add", t, F.array_sort(F.array_append("tokens", t)), here)))
+    none = F.array().cast("array<struct<step: string, token: string, tokens: array<string>, session: string>>")
+    parts = [F.coalesce(less, none), F.coalesce(more, none)]
+    if session:
+        parts.append(F.transform(F.array_except(F.array(*map(F.lit, SESSIONS)), F.array(session)), lambda s: step("session", s, F.array_sort("tokens"), s)))
+    out = i.select(key, F.explode(F.concat(*parts)).alias("n")).select(key, "n.*")
+    return out if session else out.drop("session")
+
+
+def best_neighbours(tried: DataFrame, baseline: DataFrame, key: str = "idea_id") -> DataFrame:
+    """Of the neighbours tried (key, tokens, score) each idea's best, if it beats the idea's own score in ``baseline`` (key, score)."""
+    best = tried.groupBy(key).agg(F.max_by(F.struct("tokens", "score"), F.struct("score", "tokens")).alias("_x")).select(key, "_x.*")
+    return best.join(baseline.select(key, F.col("score").alias("_own")), key).where(F.col("score") > F.col("_own")).drop("_own")
 
 
 def first_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:

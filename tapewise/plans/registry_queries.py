@@ -178,12 +178,11 @@ def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Function words of four languages stand in for concepts in the invented prose of ``documents``.
-_WORDS = (("of the", "PHRASE", "entry"), ("the", "EN", "zone"), ("der", "DE", "zone"), ("les", "FR", "context"), ("los", "ES", "timing"))
+_WORDS = (("PHRASE", "entry", ("of the",)), ("EN", "zone", ("the",)), ("DE", "zone", ("der",)), ("FR", "context", ("les",)), ("ES", "timing", ("los",)))
 
 
-@query("""SELECT doc_id, array_to_string(list_filter(['PHRASE', 'EN', 'DE', 'FR', 'ES'], lambda c: contains(p, ' ' || {'PHRASE': 'of the', 'EN': 'the', 'DE': 'der', 'FR': 'les', 'ES': 'los'}[c] || ' ')), ',') AS concepts
-        FROM (SELECT doc_id, ' ' || array_to_string(list_filter(string_split_regex(lower(text), '[^a-z0-9_]+'), lambda w: w <> ''), ' ') || ' ' AS p FROM documents)""".replace(
-    "{'PHRASE': 'of the', 'EN': 'the', 'DE': 'der', 'FR': 'les', 'ES': 'los'}[c]", "CASE c WHEN 'PHRASE' THEN 'of the' WHEN 'EN' THEN 'the' WHEN 'DE' THEN 'der' WHEN 'FR' THEN 'les' ELSE 'los' END"))
+@query("""SELECT doc_id, array_to_string(list_filter(['PHRASE', 'EN', 'DE', 'FR', 'ES'], lambda c: regexp_matches(text, '(?i)(^|[^\\pL\\pN_])(' ||
+        CASE c WHEN 'PHRASE' THEN 'of the' WHEN 'EN' THEN 'the' WHEN 'DE' THEN 'der' WHEN 'FR' THEN 'les' ELSE 'los' END || ')([^\\pL\\pN_]|$)')), ',') AS concepts FROM documents""")
 def concept_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("idea"))
     return ideas.tag(docs, keywords=_WORDS).select("doc_id", F.array_join("concepts", ",").alias("concepts"))

@@ -47,9 +47,49 @@ def test_discovery_and_ideas(spark):
     assert concepts.numeric_flags(df) == ["z_bull_high", "n"]
     t = spark.createDataFrame([("BOS + fvg London long, stop 12 pts, trailing",), ("x",), (None,)], "idea string")
     tagged = ideas.tag(t).collect()
-    assert tagged[0].concepts == ["FVG", "BOS", "LONDON"] and tagged[0].roles == ["zone", "entry", "timing"]
-    p = ideas.parameters(t).first()
-    assert (p.session, p.stop, p.direction, p.trail) == ("LONDON", 12, 1, True)
+    assert tagged[0].concepts == ["BOS", "FVG"] and tagged[0].roles == ["entry", "zone"] and tagged[1].concepts == []
+    p = ideas.parse(t).first()
+    assert (p.session, p.stop, p.direction, p.trail, p.exit_mode) == ("london", 12.0, 1, False, "fixed")
     assert [len(r.failures) for r in ideas.gate(t).collect()] == [0, 1, 1]
     sample = spark.range(100).selectExpr("id", "id % 3 AS g")
     assert concepts.sampled(sample, ["id"], ["g"], 5).count() == 15
+
+
+def test_parsed_ideas(spark):
+    texts = [
+        "fvg standard first touch new york", "FVG std ob chaos long", "macro short bos", "macro short short", "liquidity sweep short", "3. fvg sl: 7.5 pts breakeven trail", "hrl/lrl s_ob htief",
+        "tageshoch ob dp TOKYO exit next zone trail", "robot bosses", "session ob ft small", "manipulation + smc fvg, session level",
+    ]
+    got = {r.idea: r for r in ideas.parse(spark.createDataFrame([(t,) for t in texts], "idea string")).collect()}
+    a = got[texts[0]]
+    assert a.concepts == ["FVG", "FVG_STD_FT"] and (a.entry, a.zone, a.session, a.stop) == (["FVG_STD_FT"], ["FVG"], "ny", None)
+    b = got[texts[1]]
+    assert b.entry == ["FVG_STANDARD", "OB_CHAOS"] and b.concepts[-6:] == ["FVG_STD_FT", "FVG_STD_ST50", "FVG_STD_DP", "OB_CHAOS_FT", "OB_CHAOS_ST50", "OB_CHAOS_DP"] and (b.stop, b.direction) == (5.0, 1)
+    assert got[texts[2]].direction == 0 and got[texts[2]].timing == ["MACRO_SHORT"] and got[texts[3]].direction == -1
+    c = got[texts[4]]
+    assert c.entry == ["SWEEP", "MANIP_BEAR"] and c.direction == -1 and c.concepts == ["SWEEP", "MANIP", "MANIP_BEAR"]
+    d = got[texts[5]]
+    assert (d.stop, d.exit_mode, d.trail) == (7.5, "breakeven_trail", True) and "FVG_STANDARD" in d.entry
+    assert got[texts[6]].context == ["HRL_LRL"] and got[texts[6]].stop == 10.0
+    e = got[texts[7]]
+    assert e.concepts == ["OB", "OB_TAGH_DP", "EXIT_NEXT_ZONE"] or set(e.concepts) == {"OB", "OB_TAGH_DP", "EXIT_NEXT_ZONE"}
+    assert (e.session, e.exit_mode) == ("asia", "next_zone") and got[texts[8]].concepts == []
+    assert "S_OB_SESS_FT" in got[texts[9]].concepts and "OB_SESSION" not in got[texts[9]].concepts
+    assert got[texts[10]].exit_mode == "session_level" and got[texts[10]].entry == ["MANIP"]
+    assert len(ideas.vocabulary()) == 87 and len({c for c, _, _ in ideas.vocabulary()}) == 87
+
+
+def test_failures_neighbours_and_hashes(spark):
+    t = spark.createDataFrame([("gap fades",), ("Gap",), (" GAP FADE ",), ("other",), ("a gap fade b",), ("",), (None,), ("long winded title and more",)], "idea string")
+    failed = spark.createDataFrame([("gap fade",), ("long winded title",), ("",)], "title string")
+    assert {r.idea for r in ideas.known_failures(t, failed).collect()} == {"gap fades", "Gap", " GAP FADE ", "a gap fade b", "long winded title and more"}
+    base = spark.createDataFrame([(1, ["a", "b"], "NY"), (2, ["c"], "ASIA")], "idea_id int, tokens array<string>, at string")
+    words = spark.createDataFrame([("a",), ("z",)], "token string")
+    got = sorted((r.idea_id, r.step, r.token, tuple(r.tokens), r.session) for r in ideas.neighbours(base, words, session="at").collect())
+    assert got == sorted([
+        (1, "remove", "a", ("b",), "NY"), (1, "remove", "b", ("a",), "NY"), (1, "add", "z", ("a", "b", "z"), "NY"), (1, "session", "LONDON", ("a", "b"), "LONDON"), (1, "session", "ASIA", ("a", "b"), "ASIA"),
+        (2, "add", "a", ("a", "c"), "ASIA"), (2, "add", "z", ("c", "z"), "ASIA"), (2, "session", "LONDON", ("c",), "LONDON"), (2, "session", "NY", ("c",), "NY"),
+    ])
+    tried = spark.createDataFrame([(1, ["b"], 1.0), (1, ["a"], 2.0), (2, ["a", "c"], 0.1)], "idea_id int, tokens array<string>, score double")
+    own = spark.createDataFrame([(1, 1.5), (2, 0.5)], "idea_id int, score double")
+    assert [tuple(r) for r in ideas.best_neighbours(tried, own).collect()] == [(1, ["a"], 2.0)]
