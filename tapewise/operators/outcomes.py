@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from .joins import forward_join
 #: Fixed values of the cost model, in points: half a point of slippage each way, and commission.
 FRICTION = 2 * 0.5 + 0.70 / 2
 POINT_VALUE = 2.0
+#: Entry bars whose trades one task handles together.
+TRADE_STRETCH = 50_000
 
 
 def forward_excursion(bars: DataFrame, n: int, truncate: bool = False) -> DataFrame:
@@ -34,12 +38,30 @@ def excursion_summary(bars: DataFrame, n: int, signal: str, direction: int = 1)
     return medians.join(good, "symbol").select("symbol", "events", F.round("mfe", 6).alias("mfe"), F.round("mae", 6).alias("mae"), "strong")
 
 
+def _counted(events: DataFrame) -> DataFrame:
+    """Events that are equal in all columns, nulls included, as one row with their number."""
+    return events.groupBy(*events.columns).agg(F.count("*").alias("_times"))
+
+
+def _first_hits(events: DataFrame, steps: DataFrame, values: dict[str, str]) -> DataFrame:
+    """The counted events with the first of their ``steps`` that has a ``_hit``: outcome, exit_step and ``values``; timeout without one."""
+    names = [c for c in events.columns if c != "_times"]
+    seen = steps.where("_hit is not null").select(*events.columns, "step", "_hit", *values.values())
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in seen.schema if f.name not in events.columns]
+    every = seen.unionByName(events.select("*", *none))  # grouping takes nulls as equal, which a join on the columns would not
+    out = every.groupBy(*events.columns).agg(
+        F.coalesce(F.min_by("_hit", "step"), F.lit("timeout")).alias("outcome"), F.min("step").alias("exit_step"), *[F.min_by(c, "step").alias(o) for o, c in values.items()]
+    )
+    return out.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*names, "outcome", "exit_step", *values)
+
+
 def first_barrier(events: DataFrame, bars: DataFrame, n: int, ties: str = "stop") -> DataFrame:
     """Events (symbol, bar_no, direction, entry, stop, target) with the first barrier that the next ``n`` bars reach.
 
     Adds exit_step and outcome: target, stop or timeout. Both in one bar: ``ties`` names the winner; 'open' is the one nearer to
     the bar's open, the stop if equal.
     """
+    events = _counted(events)
     steps = forward_join(events, bars, n, ["open", "high", "low"])
     long = F.col("direction") > 0
     at_stop = F.when(long, F.col("low") <= F.col("stop")).otherwise(F.col("high") >= F.col("stop"))
@@ -47,8 +69,7 @@ def first_barrier(events: DataFrame, bars: DataFrame, n: int, ties: str = "stop"
     nearer = F.abs(F.col("target") - F.col("open")) < F.abs(F.col("stop") - F.col("open"))
     both = {"stop": F.lit("stop"), "target": F.lit("target"), "open": F.when(nearer, "target").otherwise("stop")}[ties]
     hit = F.when(at_stop & at_target, both).when(at_stop, "stop").when(at_target, "target")
-    first = steps.withColumn("_hit", hit).where("_hit is not null").groupBy(*events.columns).agg(F.min_by("_hit", "step").alias("outcome"), F.min("step").alias("exit_step"))
-    return events.join(first, events.columns, "left").withColumn("outcome", F.coalesce("outcome", F.lit("timeout")))
+    return _first_hits(events, steps.withColumn("_hit", hit), {})
 
 
 def atr_barriers(bars: DataFrame, signal: str, multiples: list[float], reward: float = 2.0, direction: int = 1, atr: str = "atr") -> DataFrame:
@@ -89,6 +110,7 @@ def moving_stop_exit(events: DataFrame, bars: DataFrame, n: int, trail: float |
     risks away, and ``trail`` points behind the best price once that is ``activation`` points away. Whichever is tightest
     counts; it never loosens. Both barriers in one bar: the one nearer to the open, the stop if equal. No exit within ``n`` bars: timeout.
     """
+    events = _counted(events)
     steps = forward_join(events, bars, n, ["open", "high", "low"])
     d = F.col("direction")
     # one coordinate for both directions
@@ -109,20 +131,40 @@ def moving_stop_exit(events: DataFrame, bars: DataFrame, n: int, trail: float |
     nearer = F.abs(F.col("_t") - F.col("_o")) < F.abs(F.col("_stop") - F.col("_o"))
     hit = F.when(flag(at_stop) & flag(at_target), F.when(nearer, "target").otherwise("stop")).when(flag(at_stop), "stop").when(flag(at_target), "target")
     price = F.when(hit == "target", F.col("target")).otherwise(F.col("_stop") * d)
-    found = steps.withColumn("_hit", hit).withColumn("_p", price).where("_hit is not null")
-    first = found.groupBy(*events.columns).agg(F.min("step").alias("exit_step"), F.min_by("_hit", "step").alias("outcome"), F.min_by("_p", "step").alias("exit_price"))
-    return events.join(first, events.columns, "left").withColumn("outcome", F.coalesce("outcome", F.lit("timeout")))
+    return _first_hits(events, steps.withColumn("_hit", hit).withColumn("_p", price), {"exit_price": "_p"})
+
+
+def _carried_over(trades: DataFrame, key: list[str], order: str, values: dict[str, tuple[Column, Callable[[Column], Column]]], including: bool) -> DataFrame:
+    """Adds, for each {name: (value, aggregate)}, the aggregate over all trades of the group before the current one (or with it).
+
+    Within stretches of TRADE_STRETCH in ``order``, and over what the stretches before leave behind, so no task handles a whole group.
+    """
+    t = trades.withColumn("_stretch", F.floor(F.col(order) / TRADE_STRETCH))
+    for name, (value, _) in values.items():
+        t = t.withColumn(f"_v_{name}", value)
+    before = Window.partitionBy(*key).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    left = t.groupBy(*key, "_stretch").agg(*[f(F.col(f"_v_{name}")).alias(f"_b_{name}") for name, (_, f) in values.items()])
+    left = left.select(*key, "_stretch", *[f(F.col(f"_b_{name}")).over(before).alias(f"_b_{name}") for name, (_, f) in values.items()])
+    inner = [c for c in ("entry_no", "exit_no", "direction") if c in trades.columns and c != order]
+    within = Window.partitionBy(*key, "_stretch").orderBy(order, *inner).rowsBetween(Window.unboundedPreceding, 0 if including else -1)
+    for name, (_, f) in values.items():
+        t = t.withColumn(f"_w_{name}", f(F.col(f"_v_{name}")).over(within))
+    return t.join(left, [*key, "_stretch"]).drop("_stretch", *[f"_v_{name}" for name in values])
 
 
 def without_overlap(trades: DataFrame, *by: str) -> DataFrame:
     """Trades in order of entry, dropping those that begin before the last kept one has ended (its exit bar included).
 
-    ``trades`` has entry_no and exit_no. The fold runs over the sorted trades of one series, (symbol and
-    ``by``): its size is that of a strategy's trades, not of the bars.
+    ``trades`` has entry_no and exit_no; series are (symbol and ``by``). A trade that begins after all trades before it have ended is kept
+    whatever came before, so the fold runs over the trades from one such to the next, not over a whole series.
     """
     key = ["symbol", *by]
-    other = [c for c in trades.columns if c not in key]
-    ordered = trades.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("entry_no", "exit_no", *[c for c in other if c not in ("entry_no", "exit_no")]))).alias("t"))
+    t = _carried_over(trades, key, "entry_no", {"till": (F.col("exit_no"), F.max)}, including=False)
+    fresh = F.col("entry_no") > F.coalesce(F.greatest("_w_till", "_b_till"), F.lit(-1))
+    t = t.withColumn("_from", F.when(fresh, F.col("entry_no"))).drop("_w_till", "_b_till")
+    t = _carried_over(t, key, "entry_no", {"island": (F.col("_from"), F.max)}, including=True).withColumn("_island", F.greatest("_w_island", "_b_island")).drop("_w_island", "_b_island", "_from")
+    other = [c for c in trades.columns if c not in (*key, "entry_no", "exit_no")]
+    ordered = t.groupBy(*key, "_island").agg(F.array_sort(F.collect_list(F.struct("entry_no", "exit_no", *other))).alias("t"))
     kept = F.expr(
         "aggregate(sequence(0, size(t) - 1), struct(-1L AS till, cast(array() AS array<int>) AS at), "
         "(s, i) -> IF(t[i].entry_no > s.till, struct(cast(t[i].exit_no AS bigint) AS till, concat(s.at, array(i)) AS at), s), s -> s.at)"
@@ -130,6 +172,12 @@ def without_overlap(trades: DataFrame, *by: str) -> DataFrame:
     return ordered.withColumn("i", F.explode(kept)).select(*key, F.expr("t[i]").alias("x")).select(*key, "x.*")
 
 
+def running_points(trades: DataFrame, *by: str, order: str = "entry_no", out: str = "total") -> DataFrame:
+    """Running total of ``pnl`` in the order of entry, per group."""
+    t = _carried_over(trades, list(by), order, {"sum": (F.col("pnl"), F.sum)}, including=True)
+    return t.withColumn(out, F.coalesce("_b_sum", F.lit(0.0)) + F.coalesce("_w_sum", F.lit(0.0))).drop("_b_sum", "_w_sum")
+
+
 def trade_points(trades: DataFrame, friction: float = FRICTION) -> DataFrame:
     """pnl in points after friction, and whether it is a win: a gain that friction eats up is a loss."""
     raw = (F.col("exit_price") - F.col("entry")) * F.col("direction")
@@ -149,9 +197,8 @@ def performance(trades: DataFrame, *by: str) -> DataFrame:
 
 def max_drawdown(trades: DataFrame, *by: str, order: str = "entry_no") -> DataFrame:
     """Largest fall of the running total below its peak (which starts at 0), per group of trades."""
-    path = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    t = trades.withColumn("_sum", F.sum("pnl").over(path))
-    t = t.withColumn("_peak", F.greatest(F.lit(0.0), F.max("_sum").over(path)))
+    t = running_points(trades, *by, order=order, out="_sum")
+    t = _carried_over(t, list(by), order, {"peak": (F.col("_sum"), F.max)}, including=True).withColumn("_peak", F.greatest(F.lit(0.0), "_b_peak", "_w_peak"))
     return t.groupBy(*by).agg(F.round(F.max(F.col("_peak") - F.col("_sum")), 6).alias("max_drawdown"))
 
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import CountVectorizer, StandardScaler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -226,14 +228,37 @@ def feature_rows(runs: DataFrame, target: DataFrame) -> DataFrame:
     return CountVectorizer(inputCol="words", outputCol="features", binary=True).fit(rows).transform(rows)
 
 
-def lasso(rows: DataFrame, strength: float = 0.01) -> list[float]:
-    """Coefficients of an L1 regression on standardised token features; zeros are noise."""
+def with_token(runs: DataFrame, fragment: str) -> DataFrame:
+    """Runs whose idea holds the first word of ``fragment``, and the others ('with', 'without'): n, mean profit factors, shares of tier A and B and of robust runs.
+
+    ``runs`` has idea, tier, robust, avg_pf and holdout_pf; runs without avg_pf are left out, missing holdouts don't count.
+    """
+    word = fragment.split()[0].upper()
+    r = runs.where(F.col("avg_pf").isNotNull()).withColumn("runs", F.when(F.contains(F.upper(F.coalesce("idea", F.lit(""))), F.lit(word)), "with").otherwise("without"))
+    part = lambda c: F.round(100 * F.avg(F.coalesce(c, F.lit(False)).cast("int")), 2)
+    return r.groupBy("runs").agg(
+        F.count("*").alias("n"), F.round(F.avg("avg_pf"), 3).alias("avg_pf"), F.round(F.coalesce(F.avg("holdout_pf"), F.lit(0.0)), 3).alias("holdout_pf"),
+        part(F.upper("tier") == "A").alias("tier_a"), part(F.upper("tier") == "B").alias("tier_b"), part(F.col("robust")).alias("robust"),
+    )
+
+
+def applied(best: DataFrame, performance: DataFrame, by: list[str]) -> DataFrame:
+    """The configuration that was best in sample (``best``: by, config_id, objective) with what it did out of sample (``performance``)."""
+    out = performance.select(*by, "config_id", F.col("trades").alias("oos_trades"), F.col("total").alias("oos_total"), F.col("pf").alias("oos_pf"))
+    return best.join(out, [*by, "config_id"], "left").withColumn("oos_trades", F.coalesce("oos_trades", F.lit(0)))
+
+
+def lasso(rows: DataFrame, strengths: tuple[float, ...] = (0.001, 0.01, 0.1), folds: int = 5, seed: int = 1) -> list[float]:
+    """Coefficients of an L1 regression on standardised token features, its strength chosen by cross-validation; zeros are noise."""
     scaled = StandardScaler(inputCol="features", outputCol="x").fit(rows).transform(rows)
-    return LinearRegression(featuresCol="x", elasticNetParam=1.0, regParam=strength).fit(scaled).coefficients.toArray().tolist()
+    model = LinearRegression(featuresCol="x", elasticNetParam=1.0)
+    grid = ParamGridBuilder().addGrid(model.regParam, list(strengths)).build()
+    chosen = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=RegressionEvaluator(metricName="rmse"), numFolds=folds, seed=seed).fit(scaled)
+    return chosen.bestModel.coefficients.toArray().tolist()
 
 
 def tree_importance(rows: DataFrame, seed: int = 1) -> list[float]:
-    """Feature importances of boosted regression trees."""
+    """Feature importances (shares of the gain, not SHAP values) of boosted regression trees."""
     return GBTRegressor(maxIter=20, maxDepth=3, seed=seed).fit(rows).featureImportances.toArray().tolist()
 
 

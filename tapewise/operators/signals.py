@@ -205,11 +205,15 @@ def hurst(bars: DataFrame, n: int = 100, lags: tuple[int, int] = (2, 19), revert
     return out.withColumn("hurst_passes", h < 0.45 if reverting else h > 0.5)
 
 
-def states(bars: DataFrame, compress: float = 0.5, sweep_add: float = 1.5, sweep_volume: float = 1.5, wick: float = 0.35, volume_n: int = 100) -> DataFrame:
+#: Thresholds of the states below.
+COMPRESS, SWEEP_ADD, SWEEP_VOLUME, WICK, MOVED = 0.5, 1.5, 1.5, 0.35, 2.0
+
+
+def states(bars: DataFrame, compress: float = COMPRESS, sweep_add: float = SWEEP_ADD, sweep_volume: float = SWEEP_VOLUME, wick: float = WICK, volume_n: int = 100) -> DataFrame:
     """Raw state of each bar: C, SU, SD, DU, DD, BU, BD or N, in this order of priority, from bar 30 on.
 
     C: the five ranges before are on average below ``compress`` smoothed ATRs. SU / SD: a high / low beyond the ten bars
-    before by ``sweep_add`` on high volume, with a long wick. DU / DD: the close moves by two ATRs. BU / BD: the close leaves
+    before by ``sweep_add`` on high volume, from which the close has come back by ``wick`` of the range. DU / DD: the close moves by two ATRs. BU / BD: the close leaves
     the fifteen bars before on volume above its median. The median is that of the ``volume_n`` bars before.
     """
 
@@ -218,15 +222,14 @@ def states(bars: DataFrame, compress: float = 0.5, sweep_add: float = 1.5, sweep
         b = b.withColumn("_median", F.percentile("volume", F.lit(0.5)).over(last(volume_n, including=False)))
         calm = F.avg(span).over(last(5, including=False)) < compress * F.col("_atr50")
         loud = F.col("volume") > sweep_volume * F.col("_median")
-        upper = (F.col("high") - F.greatest("open", "close")) / F.when(span > 0, span)
-        lower = (F.least("open", "close") - F.col("low")) / F.when(span > 0, span)
+        upper, lower = (F.col("high") - F.col("close")) / F.when(span > 0, span), (F.col("close") - F.col("low")) / F.when(span > 0, span)
         up = (F.col("high") > F.max("high").over(last(10, including=False)) + sweep_add) & loud & (upper > wick)
         down = (F.col("low") < F.min("low").over(last(10, including=False)) - sweep_add) & loud & (lower > wick)
         move = F.col("close") - F.lag("close").over(by_chunk())
         busy = F.col("volume") > F.col("_median")
         state = (
             F.when(F.col("bar_no") < 30, "N").when(calm, "C").when(up, "SU").when(down, "SD")
-            .when(move > 2 * F.col("_atr50"), "DU").when(move < -2 * F.col("_atr50"), "DD")
+            .when(move > MOVED * F.col("_atr50"), "DU").when(move < -MOVED * F.col("_atr50"), "DD")
             .when((F.col("close") > F.max("high").over(last(15, including=False))) & busy, "BU")
             .when((F.col("close") < F.min("low").over(last(15, including=False))) & busy, "BD").otherwise("N")
         )
@@ -235,13 +238,20 @@ def states(bars: DataFrame, compress: float = 0.5, sweep_add: float = 1.5, sweep
     return windowed(smoothed_atr(bars, out="_atr50"), build, back=volume_n).drop("_atr50")
 
 
-def window_state(bars: DataFrame) -> DataFrame:
-    """State of the five bars before: the first rule that enough of them meet."""
+def window_state(bars: DataFrame, ties: str = "larger") -> DataFrame:
+    """State of the five bars before: the first rule that enough of them meet.
+
+    Two displacements or more go to the side that has more of them, up if equal. For single ones ``ties`` says whether the side that has more
+    ('larger') or the upper side ('first') wins.
+    """
 
     def build(b: DataFrame) -> DataFrame:
         n = {s: F.sum((F.col("state") == s).cast("int")).over(last(5, including=False)) for s in ("C", "SU", "SD", "DU", "DD")}
-        rules = [("DU", 2), ("DD", 2), ("SU", 3), ("SD", 3), ("C", 3), ("DU", 1), ("DD", 1), ("SU", 1), ("SD", 1)]
-        return b.withColumn("window_state", reduce(lambda c, r: c.when(n[r[0]] >= r[1], r[0]), rules[1:], F.when(n["DU"] >= 2, "DU")).otherwise("N"))
+        moved = F.when(n["DU"] >= n["DD"], "DU").otherwise("DD")
+        swept = F.when(n["SU"] >= n["SD"], "SU").otherwise("SD") if ties == "larger" else F.when(n["SU"] >= 1, "SU").otherwise("SD")
+        state = F.when(F.greatest(n["DU"], n["DD"]) >= 2, moved)
+        state = reduce(lambda c, s: c.when(n[s] >= 3, s), ("SU", "SD", "C"), state)
+        return b.withColumn("window_state", state.when(n["DU"] + n["DD"] >= 1, moved).when(n["SU"] + n["SD"] >= 1, swept).otherwise("N"))
 
     return windowed(bars, build, back=5)
 
@@ -343,37 +353,72 @@ def regime_masks(bars: DataFrame, n: int = 60, part: float = 0.2) -> DataFrame:
     return windowed(bars, build, back=n)
 
 
-def ou_half_life(bars: DataFrame, n: int = 60) -> DataFrame:
-    """Rolling AR(1) of the ``n`` closes before: ou_speed, ou_mean, ou_half_life, ou_stationary; null until n are there."""
+def ou_half_life(bars: DataFrame, n: int = 60, max_half_life: float = 30.0, critical: float = -2.91) -> DataFrame:
+    """Mean reversion by a rolling AR(1) of ``n`` closes: ou_half_life, ou_mean_level, ou_mean_rev_speed, null until n are there, and flags.
+
+    ou_is_stationary: the t value of the slope of the moves over the levels lies below ``critical`` (5 % for a unit root). ou_bull_passes and
+    ou_bear_passes: stationary, the half-life is at most ``max_half_life``, and the close lies below or above the mean.
+    """
 
     def build(b: DataFrame) -> DataFrame:
         b = b.withColumn("_x", F.lag("close").over(by_chunk())).withColumn("_d", F.col("close") - F.col("_x"))
         frame = last(n - 1)
         full = F.count("_d").over(frame) == n - 1
-        b = b.withColumn("_b", F.when(full, F.try_divide(F.covar_pop("_x", "_d").over(frame), F.var_pop("_x").over(frame))))
-        return b.withColumn("_a", F.avg("_d").over(frame) - F.col("_b") * F.avg("_x").over(frame)).drop("_d", "_x")
+        b = b.withColumn("_vx", F.var_pop("_x").over(frame)).withColumn("_vd", F.var_pop("_d").over(frame)).withColumn("_c", F.covar_pop("_x", "_d").over(frame))
+        b = b.withColumn("_b", F.when(full, F.try_divide("_c", "_vx"))).withColumn("_a", F.avg("_d").over(frame) - F.col("_b") * F.avg("_x").over(frame))
+        rest = F.greatest(F.col("_vd") - F.col("_b") * F.col("_c"), F.lit(0.0)) / (n - 3)  # variance of the residuals, times n - 1, by their freedom
+        return b.withColumn("_t", F.try_divide("_b", F.sqrt(F.try_divide(rest, F.col("_vx"))))).drop("_d", "_x", "_vx", "_vd", "_c")
 
     out = windowed(bars, build, back=n + 1)
-    back = F.col("_b") < 0
-    out = out.withColumn("ou_speed", -F.col("_b")).withColumn("ou_stationary", flag(back & (F.col("_b") > -2)))
-    out = out.withColumn("ou_mean", F.when(back, -F.col("_a") / F.col("_b")))
-    return out.withColumn("ou_half_life", F.when(back & (F.col("_b") > -1), F.lit(-0.6931471805599453) / F.log1p("_b"))).drop("_a", "_b")
+    back = (F.col("_b") < 0) & (F.col("_b") > -1)
+    out = out.withColumn("ou_mean_rev_speed", -F.col("_b")).withColumn("ou_mean_level", F.when(F.col("_b") < 0, -F.col("_a") / F.col("_b")))
+    out = out.withColumn("ou_half_life", F.when(back, F.lit(-0.6931471805599453) / F.log1p("_b"))).withColumn("ou_is_stationary", flag((F.col("_b") < 0) & (F.col("_t") < critical)))
+    fast = F.col("ou_is_stationary") & (F.col("ou_half_life") <= max_half_life)
+    out = out.withColumn("ou_bull_passes", flag(fast & (F.col("close") < F.col("ou_mean_level")))).withColumn("ou_bear_passes", flag(fast & (F.col("close") > F.col("ou_mean_level"))))
+    return out.drop("_a", "_b", "_t")
+
+
+def _body() -> Column:
+    """Signed share of the body in the range of a bar; 0 without a range."""
+    span = F.col("high") - F.col("low")
+    return F.coalesce((F.col("close") - F.col("open")) / F.when(span > 0, span), F.lit(0.0))
 
 
-def order_flow(bars: DataFrame, fast: int = 5, slow: int = 20, decay: float = 0.8, kernel: int = 60) -> DataFrame:
-    """ofi_fast, ofi_slow, ofi_signal (-1, 0, 1) from signed bodies, and hawkes: exponentially decaying excitation by them.
+def hawkes_decay(bars: DataFrame, half_life: int = 5, least: float = 0.1, body: float = 0.25, counter: int = 3, kernel: int = 100) -> DataFrame:
+    """Excitation by strong bodies of either side that fades by half in ``half_life`` bars: hawkes_{side}_excitation, _active, _passes and hawkes_decay_{side}.
 
-    The kernel is cut after ``kernel`` bars, where decay**kernel is below 1e-5; dojis (no body) excite nothing.
+    Bodies below ``body`` of the range (dojis) excite nothing. A side is active from ``least`` on, decays once the last ``counter`` bars all
+    close against it, and passes while it is active and does not decay. The kernel is cut after ``kernel`` bars, where its weight is below 1e-6.
     """
+    fade = 0.5 ** (1 / half_life)
 
     def build(b: DataFrame) -> DataFrame:
-        span = F.col("high") - F.col("low")
-        b = b.withColumn("_flow", F.coalesce((F.col("close") - F.col("open")) / F.when(span > 0, span), F.lit(0.0)))
-        b = b.withColumn("ofi_fast", F.avg("_flow").over(last(fast))).withColumn("ofi_slow", F.avg("_flow").over(last(slow)))
-        past = F.collect_list(F.abs("_flow")).over(last(kernel))
-        total = F.aggregate(past, F.lit(0.0), lambda t, x: t * decay + x)
-        return b.withColumn("hawkes", total).drop("_flow")
-
-    out = windowed(bars, build, back=max(slow, kernel))
-    agree = F.signum(F.col("ofi_fast")) == F.signum(F.col("ofi_slow"))
-    return out.withColumn("ofi_signal", F.when(agree, F.signum("ofi_fast")).otherwise(0).cast("int"))
+        b = b.withColumn("_body", _body())
+        for side, sign in (("bull", 1), ("bear", -1)):
+            past = F.collect_list(F.when(F.col("_body") * sign >= body, F.abs("_body")).otherwise(0.0)).over(last(kernel))
+            b = b.withColumn(f"hawkes_{side}_excitation", F.aggregate(past, F.lit(0.0), lambda t, x: t * fade + x))
+            against = F.sum((F.col("_body") * sign < 0).cast("int")).over(last(counter))
+            b = b.withColumn(f"hawkes_decay_{side}", flag(against == counter)).withColumn(f"hawkes_{side}_active", F.col(f"hawkes_{side}_excitation") >= least)
+            b = b.withColumn(f"hawkes_{side}_passes", F.col(f"hawkes_{side}_active") & ~F.col(f"hawkes_decay_{side}"))
+        return b.drop("_body")
+
+    return windowed(bars, build, back=kernel)
+
+
+def order_flow(bars: DataFrame, fast: int = 3, times: int = 5, least: float = 0.0, by_volume: bool = False) -> DataFrame:
+    """Imbalance by signed bodies: ofi_raw, ofi_fast, ofi_slow (null until the window of ``times`` * ``fast`` bars is full), ofi_signal (-1, 0, 1) and passes.
+
+    ``by_volume``: bodies weigh by volume over its mean in the slow window. A side passes if both means lie on it by more than ``least``.
+    """
+    slow = fast * times
+
+    def build(b: DataFrame) -> DataFrame:
+        weight = F.coalesce(F.try_divide(F.col("volume"), F.avg("volume").over(last(slow))), F.lit(1.0)) if by_volume else F.lit(1.0)
+        b = b.withColumn("ofi_raw", _body() * weight)
+        b = b.withColumn("ofi_fast", F.when(F.count("ofi_raw").over(last(fast)) == fast, F.avg("ofi_raw").over(last(fast))))
+        return b.withColumn("ofi_slow", F.when(F.count("ofi_raw").over(last(slow)) == slow, F.avg("ofi_raw").over(last(slow))))
+
+    out = windowed(bars, build, back=2 * slow)
+    up, down = flag(F.least("ofi_fast", "ofi_slow") > least) & F.col("ofi_slow").isNotNull(), flag(F.greatest("ofi_fast", "ofi_slow") < -least) & F.col("ofi_slow").isNotNull()
+    out = out.withColumn("ofi_bull_passes", up).withColumn("ofi_bear_passes", down)
+    return out.withColumn("ofi_signal", F.when(F.col("ofi_bull_passes"), 1).when(F.col("ofi_bear_passes"), -1).otherwise(0))

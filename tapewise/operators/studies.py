@@ -14,7 +14,7 @@ from ..functions.clock import local, session_map
 from ..sources.bars import keyed
 from .frames import by_chunk, flag, last, windowed
 from .joins import asof, forward_join
-from .outcomes import POINT_VALUE
+from .outcomes import POINT_VALUE, running_points
 from .signals import efficiency_ratio
 
 
@@ -45,8 +45,7 @@ def weekday_hours(trades: DataFrame) -> DataFrame:
 
 def cumulative(trades: DataFrame, *by: str) -> DataFrame:
     """Running total of points in the order of entry, per group."""
-    path = Window.partitionBy(*by).orderBy("entry_no", "direction").rowsBetween(Window.unboundedPreceding, 0)
-    return trades.withColumn("total", F.sum("pnl").over(path))
+    return running_points(trades, *by)
 
 
 def target_rates(bars: DataFrame, signal: str, targets: tuple[float, ...] = (5, 10, 20, 50), n: int = 200, direction: int = 1) -> DataFrame:

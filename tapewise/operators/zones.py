@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import local, session_map
-from .frames import flag
+from .frames import carried, flag
 from .joins import asof, forward_join
 from .signals import SIDES
 
@@ -20,6 +20,8 @@ HORIZONS = (15, 30, 60, 120)
 def zone_bars(bars: DataFrame, prefix: str = "fvg", context: str | None = None) -> DataFrame:
     """Bars after the birth of a zone, per side: symbol, side, zone_id, bar_no, ts, born_no, born_ts, entry, far, lo, hi, px (close).
 
+    A zone's birth and bounds are carried along chunk by chunk, so a zone that lasts for months is no hot key.
+
     ``bars`` has the birth flags, the number of zones so far and the bounds of ``prefix``; ``context`` is one more flag to carry.
     """
     parts = []
@@ -29,13 +31,12 @@ def zone_bars(bars: DataFrame, prefix: str = "fvg", context: str | None = None)
         side_bars = bars.select(
             "symbol", F.lit(side).alias("side"), F.col(f"{prefix}_{zone}_id").alias("zone_id"), "bar_no", "chunk", "chunk_len", "ts",
             (F.col(down) * sign).alias("lo"), (F.col(up) * sign).alias("hi"), (F.col("close") * sign).alias("px"),
-            F.col(f"{prefix}_{zone}").alias("birth"), (F.col(f"{prefix}_{zone}_{up}") * sign).alias("entry"), (F.col(f"{prefix}_{zone}_{down}") * sign).alias("far"),
-            *([F.col(context).alias("context")] if context else []),
+            F.col(f"{prefix}_{zone}").alias("birth"), *([F.col(context).alias("context")] if context else []),
+            *[F.when(F.col(f"{prefix}_{zone}"), c).alias(f"_{n}") for n, c in (
+                ("no", F.col("bar_no")), ("ts", F.col("ts")), ("entry", F.col(f"{prefix}_{zone}_{up}") * sign), ("far", F.col(f"{prefix}_{zone}_{down}") * sign))],
         )
-        parts.append(side_bars)
-    every = parts[0].unionByName(parts[1])
-    born = every.where("birth").select("symbol", "side", "zone_id", F.col("bar_no").alias("born_no"), F.col("ts").alias("born_ts"), "entry", "far")
-    return every.drop("entry", "far").join(born, ["symbol", "side", "zone_id"])
+        parts.append(carried(side_bars, {"born_no": "_no", "born_ts": "_ts", "entry": "_entry", "far": "_far"}))
+    return parts[0].unionByName(parts[1]).where("born_no is not null").drop("_no", "_ts", "_entry", "_far")
 
 
 def episodes(zones: DataFrame) -> DataFrame:

@@ -138,7 +138,8 @@ def hurst_exponents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.hurst(_bars(spark, sf_dir)).select("symbol", "bar_no", F.round("hurst", 6).alias("hurst"))
 
 
-_WINDOW_STATE = """CASE WHEN du >= 2 THEN 'DU' WHEN dd >= 2 THEN 'DD' WHEN su >= 3 THEN 'SU' WHEN sd >= 3 THEN 'SD' WHEN c >= 3 THEN 'C' WHEN du >= 1 THEN 'DU' WHEN dd >= 1 THEN 'DD' WHEN su >= 1 THEN 'SU' WHEN sd >= 1 THEN 'SD' ELSE 'N' END"""
+_WINDOW_STATE = """CASE WHEN (du >= 2 OR dd >= 2) AND du >= dd THEN 'DU' WHEN dd >= 2 THEN 'DD' WHEN su >= 3 THEN 'SU' WHEN sd >= 3 THEN 'SD' WHEN c >= 3 THEN 'C'
+    WHEN du = 1 THEN 'DU' WHEN dd = 1 THEN 'DD' WHEN su >= 1 AND su >= sd THEN 'SU' WHEN sd >= 1 THEN 'SD' ELSE 'N' END"""
 
 
 @query(f"""SELECT symbol, state, {_WINDOW_STATE} AS window_state, count(*) AS n FROM (

@@ -52,8 +52,8 @@ CTES = {
     "returned": "SELECT e.*, b.back_after, x.excursion FROM episodes e LEFT JOIN back b USING (symbol, side, zone_id) LEFT JOIN beyonds x USING (symbol, side, zone_id)",
     "states": f"""
         SELECT *, CASE WHEN bar_no < 30 THEN 'N' WHEN avg(high - low) OVER p5 < 0.5 * atr50 THEN 'C'
-            WHEN high > max(high) OVER p10 + 1.5 AND volume > 1.5 * med AND (high - greatest(open, close)) / nullif(high - low, 0) > 0.35 THEN 'SU'
-            WHEN low < min(low) OVER p10 - 1.5 AND volume > 1.5 * med AND (least(open, close) - low) / nullif(high - low, 0) > 0.35 THEN 'SD'
+            WHEN high > max(high) OVER p10 + 1.5 AND volume > 1.5 * med AND (high - close) / nullif(high - low, 0) > 0.35 THEN 'SU'
+            WHEN low < min(low) OVER p10 - 1.5 AND volume > 1.5 * med AND (close - low) / nullif(high - low, 0) > 0.35 THEN 'SD'
             WHEN close - lag(close) OVER w > 2 * atr50 THEN 'DU' WHEN close - lag(close) OVER w < -2 * atr50 THEN 'DD'
             WHEN close > max(high) OVER p15 AND volume > med THEN 'BU' WHEN close < min(low) OVER p15 AND volume > med THEN 'BD' ELSE 'N' END AS state
         FROM (SELECT *, quantile_cont(volume, 0.5) OVER ({W} ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING) AS med FROM atr50)

@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ SIGNALS = {
     "fvg": lambda b: signals.fair_value_gap(b), "aged": lambda b: signals.fair_value_gap(b, max_age=5), "bos": signals.break_of_structure, "disp": signals.displacement,
     "entry": lambda b: signals.displacement_entry(b, volume_n=10), "range": signals.dealing_range, "adx": signals.adx, "ker": signals.efficiency_ratio,
     "states": signals.states, "masks": signals.regime_masks, "levels": signals.previous_levels, "inside": signals.inside_day, "ou": signals.ou_half_life,
-    "flow": signals.order_flow, "opening": signals.opening_range, "hurst": lambda b: signals.hurst(b, 40, (2, 6)),
+    "flow": signals.order_flow, "hawkes": signals.hawkes_decay, "opening": signals.opening_range, "hurst": lambda b: signals.hurst(b, 40, (2, 6)),
 }
 
 
@@ -169,3 +170,54 @@ def test_readers(spark, tmp_path):
     assert source.read_bars_csv(spark, str(tmp_path / "c"), 2).count() == 2
     with pytest.raises(ValueError):
         source.fold_case(spark.range(1))
+
+
+def test_events_with_nulls_and_equal_events(spark):
+    b = frame(spark, walk(40), 64)
+    at = b.where("bar_no = 5").first()
+    rows = [(at.symbol, 5, 1, at.close, at.close - 1e6, at.close - 1.0, note) for note in (None, "x", "x")]
+    ev = spark.createDataFrame(rows, "symbol string, bar_no long, direction int, entry double, stop double, target double, note string")
+    got = outcomes.first_barrier(ev, b, 20).collect()
+    assert len(got) == 3 and {(r.outcome, r.exit_step) for r in got} == {("target", 1)}
+    assert len(outcomes.moving_stop_exit(ev, b, 20, trail=5.0).collect()) == 3
+
+
+def test_overlaps_and_drawdowns_over_stretches(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [("s", int(e), int(e + rng.integers(0, 6)), float(rng.normal())) for e in rng.choice(400, 150, replace=False)]
+    df = spark.createDataFrame(rows, "symbol string, entry_no long, exit_no long, pnl double")
+    kept, till = [], -1
+    for _, entry, end, pnl in sorted(rows):
+        if entry > till:
+            kept.append((entry, end, pnl))
+            till = end
+    total = np.cumsum([r[2] for r in kept])
+    fall = float(np.max(np.maximum(np.maximum.accumulate(total), 0) - total))
+    for stretch in (7, 50_000):
+        monkeypatch.setattr(outcomes, "TRADE_STRETCH", stretch)
+        got = outcomes.without_overlap(df)
+        assert sorted((r.entry_no, r.exit_no, r.pnl) for r in got.collect()) == kept
+        assert abs(outcomes.max_drawdown(got, "symbol").first().max_drawdown - fall) < 1e-5
+        assert np.allclose([r.total for r in outcomes.running_points(got, "symbol").orderBy("entry_no").collect()], total)
+
+
+def test_flow_and_reversion_fire_as_they_should(spark):
+    up = [("u", START + timedelta(hours=k), 100.0 + k, 101.2 + k, 99.8 + k, 101.0 + k, 10) for k in range(30)]
+    down = [("u", START + timedelta(hours=30 + k), 130.0 - k, 130.2 - k, 128.8 - k, 129.0 - k, 10) for k in range(3)]
+    doji = [("d", START + timedelta(hours=k), 100.0, 101.0, 99.0, 100.1, 10) for k in range(30)]
+    h = {(r.symbol, r.bar_no): r for r in signals.hawkes_decay(frame(spark, up + down + doji)).collect()}
+    assert all(h["u", k].hawkes_bull_passes for k in range(15, 30)) and h["u", 32].hawkes_decay_bull and not h["u", 32].hawkes_bull_passes
+    assert max(h["d", k].hawkes_bull_excitation for k in range(30)) < 0.1
+    o = {(r.symbol, r.bar_no): r for r in signals.order_flow(frame(spark, up)).collect()}
+    assert all(o["u", k].ofi_signal == 1 and o["u", k].ofi_bull_passes for k in range(14, 30)) and o["u", 13].ofi_slow is None and o["u", 13].ofi_signal == 0
+    rng = np.random.default_rng(1)
+    x, ou, walked = 0.0, [], np.cumsum(rng.normal(size=300)) + 100
+    for _ in range(300):
+        x += -0.5 * x + 0.3 * rng.normal()
+        ou.append(100 + x)
+    bars = [(s, START + timedelta(hours=k), float(c), float(c) + 0.1, float(c) - 0.1, float(c), 10) for s, series in (("ou", ou), ("rw", walked)) for k, c in enumerate(series)]
+    got = signals.ou_half_life(frame(spark, bars)).toPandas()
+    late = got[got.bar_no >= 120]
+    assert late[late.symbol == "ou"].ou_is_stationary.mean() > 0.7 and late[late.symbol == "rw"].ou_is_stationary.mean() < 0.3
+    assert got[got.bar_no < 59].ou_half_life.isna().all()
+    assert (got[got.ou_bull_passes].close < got[got.ou_bull_passes].ou_mean_level).all() and got.ou_bull_passes.any() and got.ou_bear_passes.any()
