@@ -78,7 +78,8 @@ def parse_reports(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_counts(spark: SparkSession, path: str, expected: DataFrame) -> DataFrame:
-    """Rows of each expected file (file): null where it is missing, and whether it is fine (has rows)."""
-    name = F.element_at(F.split("_metadata.file_path", "/"), -1)
+    """Rows of each expected file (``file``, its name or the end of its path): null where it is missing, and whether it is fine (has rows)."""
+    depth = expected.agg(F.coalesce(F.max(F.size(F.split("file", "/"))), F.lit(1))).first()[0]
+    name = F.array_join(F.slice(F.split("_metadata.file_path", "/"), -depth, depth), "/")
     found = spark.read.parquet(path).groupBy(name.alias("file")).agg(F.count("*").alias("rows"))
     return expected.join(found, "file", "left").withColumn("fine", F.coalesce(F.col("rows") > 0, F.lit(False)))
