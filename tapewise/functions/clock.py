@@ -14,9 +14,14 @@ SESSION_MAPS = {
     "utc_thirds": (("asia", 0, 420), ("london", 420, 780)),
     "utc_chains": (("asia", 0, 420), ("london", 420, 780), ("ny", 780, 1260)),
     "kill_zones": (("london", 120, 300), ("ny_am", 420, 660), ("ny_pm", 810, 960)),
+    "ny_halves": (("Asia", 18 * 60, 24 * 60), ("Asia", 0, 120), ("London", 120, 480), ("NY_AM", 480, 720), ("NY_PM", 720, 960)),
+    "settlement": (
+        ("globex_abend", 18 * 60, 24 * 60), ("asia_london", 0, 300), ("pre_market", 300, 540), ("rth_am", 540, 720), ("rth_lunch", 720, 840), ("rth_pm", 840, 960), ("settlement_hour", 960, 1080),
+    ),
+    "utc_filter": (("asia", 60, 240), ("london", 420, 660), ("ny", 810, 960)),
     "level": (("Overnight", 18 * 60, 24 * 60), ("Overnight", 0, 120), ("London", 120, 570), ("NY Open", 570, 720), ("Lunch", 720, 810), ("PM", 810, 960)),
 }
-OTHERWISE = {"seven": "Other", "utc_trade": "asia", "utc_thirds": "ny", "utc_chains": "post", "kill_zones": None, "level": None}
+OTHERWISE = {"seven": "Other", "utc_trade": "asia", "utc_thirds": "ny", "utc_chains": "post", "kill_zones": None, "ny_halves": "Post", "settlement": "unknown", "utc_filter": None, "level": None}
 #: Hours of the day in New York, end exclusive.
 ASIA, LONDON, NY = (19, 4), (2, 11), (8, 17)
 
@@ -38,6 +43,12 @@ def session_map(ts: Column, name: str) -> Column:
     return out
 
 
+def in_session(ts: Column, session: str) -> Column:
+    """Whether a UTC time lies in a session of the map utc_filter; 'all' and unknown names let everything pass."""
+    known = {label for label, _, _ in SESSION_MAPS["utc_filter"]}
+    return F.coalesce(session_map(ts, "utc_filter") == session, F.lit(False)) if session in known else F.lit(True)
+
+
 def in_hours(ts: Column, band: tuple[int, int]) -> Column:
     """Whether the local hour lies in [first, end), over midnight if end < first."""
     first, end = band

@@ -58,6 +58,11 @@ def near_events(bars: DataFrame, events: DataFrame, minutes: int = 5) -> DataFra
     return keyed_bars.join(spread, (keyed_bars["_b"] == spread["_b"]) & near, "left_semi").drop("_b")
 
 
+def events_between(events: DataFrame, start: Column, end: Column, days: int = 0) -> DataFrame:
+    """Events (event_ts) from ``days`` days before ``start`` to ``days`` days after ``end``, both days included."""
+    return events.where((F.to_date("event_ts") >= F.date_sub(start, days)) & (F.to_date("event_ts") <= F.date_add(end, days)))
+
+
 def carry_higher_frame(bars: DataFrame, higher: DataFrame, values: list[str], seconds: int) -> DataFrame:
     """Values of the last *closed* bar of a higher frame at each bar; ``higher`` is labelled by the start of its buckets."""
     closed = higher.withColumn("ts", (F.col("ts").cast("long") + seconds).cast("timestamp"))

@@ -29,7 +29,7 @@ def tiers(windows: DataFrame, pbo: str | None = None) -> DataFrame:
     of 0..1 are unknown); B: avg_pf >= 1.5; else C. Robust: every window has trades and a profit factor above 1.
     """
     out = windows.groupBy("run_id").agg(
-        F.avg(F.when(finite(), F.col("pf"))).alias("_pf"), F.avg(F.coalesce("num_trades", F.lit(0))).alias("_n"), F.count("*").alias("windows"),
+        F.round(F.avg(F.when(finite(), F.col("pf"))), 9).alias("_pf"), F.avg(F.coalesce("num_trades", F.lit(0))).alias("_n"), F.count("*").alias("windows"),
         F.bool_and((F.coalesce("num_trades", F.lit(0)) > 0) & (F.coalesce("pf", F.lit(0.0)) > 1)).alias("robust"), *([F.max(pbo).alias("_pbo")] if pbo else []),
     )
     known_bad = F.coalesce(F.col("_pbo").between(0, 1) & (F.col("_pbo") >= MOST_PBO), F.lit(False)) if pbo else F.lit(False)
@@ -221,11 +221,17 @@ def overfitting(series: DataFrame, splits: int = 8) -> DataFrame:
 
 
 def feature_rows(runs: DataFrame, target: DataFrame) -> DataFrame:
-    """run_id, tokens as a sparse 0/1 vector over their vocabulary, and the target as label (not finite: 0)."""
+    """The rows of ``named_features``."""
+    return named_features(runs, target)[0]
+
+
+def named_features(runs: DataFrame, target: DataFrame) -> tuple[DataFrame, list[str]]:
+    """run_id, tokens as a sparse 0/1 vector over their vocabulary, and the target as label (not finite: 0); and that vocabulary."""
     rows = tokens(runs).groupBy("run_id").agg(F.array_sort(F.collect_set("token")).alias("words")).join(target, "run_id")
     value = F.when(F.col("value").isNull() | F.isnan("value") | (F.abs("value") == float("inf")), 0.0).otherwise(F.col("value"))
     rows = rows.withColumn("label", value)
-    return CountVectorizer(inputCol="words", outputCol="features", binary=True).fit(rows).transform(rows)
+    model = CountVectorizer(inputCol="words", outputCol="features", binary=True).fit(rows)
+    return model.transform(rows), model.vocabulary
 
 
 def with_token(runs: DataFrame, fragment: str) -> DataFrame:
@@ -279,3 +285,49 @@ def upsert(current: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     names = [*current.columns, *[c for c in new.columns if c not in current.columns]]
     pick = [F.coalesce(*[F.col(f"{s}.{c}") for s, cols in (("b", new.columns), ("a", current.columns)) if c in cols]).alias(c) for c in names]
     return a.join(b, on, "full_outer").select(*pick)
+
+
+def best_of_idea(ideas: DataFrame, runs: DataFrame, results: DataFrame) -> DataFrame:
+    """Ideas (idea) with the best result (pf; ties by run and rank) of any run of the same text, blanks around it and case aside."""
+    key = F.lower(F.trim("idea"))
+    best = runs.select("run_id", key.alias("_i")).join(results.where(finite()), "run_id").groupBy("_i").agg(F.max_by(F.struct("run_id", "pf"), F.struct("pf", -F.col("run_id"))).alias("_x"))
+    return ideas.withColumn("_i", key).join(best, "_i").select(*ideas.columns, "_x.run_id", "_x.pf")
+
+
+def not_run(ideas: DataFrame, runs: DataFrame) -> DataFrame:
+    """Ideas that no run has tried, blanks around the text and case aside."""
+    key = F.lower(F.trim("idea"))
+    return ideas.withColumn("_i", key).join(runs.select(key.alias("_i")), "_i", "left_anti").drop("_i")
+
+
+def study_of(runs: DataFrame, studies: DataFrame, windows: int = 3) -> DataFrame:
+    """Runs (run_id, idea_hash) with the study (name, study_id) of their first window that has one; null without any."""
+    named = runs.withColumn("_w", F.explode(F.sequence(F.lit(0), F.lit(windows - 1)))).withColumn("name", F.concat("idea_hash", F.lit("_w"), F.col("_w").cast("string")))
+    found = named.join(studies.groupBy("name").agg(F.min("study_id").alias("study_id")), "name").groupBy("run_id").agg(F.min_by("study_id", "_w").alias("study_id"))
+    return runs.join(found, "run_id", "left")
+
+
+def idea_grid(entries: DataFrame, filters: DataFrame, sessions: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """All ideas 'entry + filter session' of three short lists (entry, filter, session), each text once; refuses more than ``most``."""
+    sizes = [x.count() for x in (entries, filters, sessions)]
+    if sizes[0] * sizes[1] * sizes[2] > most:
+        raise ValueError(f"{sizes} combine to more than {most} ideas")
+    every = entries.crossJoin(F.broadcast(filters)).crossJoin(F.broadcast(sessions))  # their product is checked above
+    return every.select(F.concat("entry", F.lit(" + "), "filter", F.lit(" "), "session").alias("idea")).distinct()
+
+
+def filled_metadata(runs: DataFrame, results: DataFrame) -> DataFrame:
+    """Runs whose missing session comes from the text (london, ny, asia, the first found) and whose missing robust flag comes from their windows."""
+    low = F.lower(F.coalesce("idea", F.lit("")))
+    session = F.when(F.contains(low, F.lit("london")), "london").when(F.contains(low, F.lit("ny")), "ny").when(F.contains(low, F.lit("asia")), "asia")
+    robust = results.groupBy("run_id").agg(F.bool_and((F.coalesce("pf", F.lit(0.0)) > 1) & (F.coalesce("num_trades", F.lit(0)) > 0)).alias("_robust"))
+    out = runs.join(robust, "run_id", "left")
+    return out.withColumn("session", F.coalesce("session", session)).withColumn("robust", F.coalesce("robust", "_robust")).drop("_robust")
+
+
+def group_profiles(runs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Per set of groups (token, grp) that an idea's blocks belong to ('Unknown' for others): runs, mean profit factor and win rate (missing: 0)."""
+    named = tokens(runs).join(groups, "token", "left").withColumn("grp", F.coalesce("grp", F.lit("Unknown")))
+    profile = named.groupBy("run_id").agg(F.array_join(F.array_sort(F.collect_set("grp")), " + ").alias("profile"))
+    zero = lambda c: F.round(F.avg(F.coalesce(c, F.lit(0.0))), 4).alias(c)
+    return profile.join(runs.select("run_id", "pf", "winrate"), "run_id").groupBy("profile").agg(F.count("*").alias("runs"), zero("pf"), zero("winrate"))

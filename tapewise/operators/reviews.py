@@ -93,3 +93,18 @@ def locked(runs: DataFrame, status: DataFrame, states: tuple[str, ...] = ("broke
     """Runs that name a block whose status (token, status) is one of ``states``, with those blocks in order."""
     bad = status.where(F.col("status").isin(*states)).select("token").distinct()
     return tokens(runs).join(bad, "token").groupBy("run_id").agg(F.array_join(F.array_sort(F.collect_set("token")), ",").alias("blocks"))
+
+
+def lockable(runs: DataFrame, tier: str) -> DataFrame:
+    """Runs of one tier that no holdout has validated yet: those a holdout run may still be spent on."""
+    return runs.where((F.upper("tier") == tier.upper()) & ~F.coalesce(F.col("holdout_validated").cast("boolean"), F.lit(False)))
+
+
+def quality_failures(runs: DataFrame, least_pf: float, least_trades: int, most_loss: float) -> DataFrame:
+    """``failures``: which of the limits a run misses, in and after the holdout: profit factors, trades, degradation (missing values fail)."""
+    miss = lambda ok, name: F.when(~F.coalesce(ok, F.lit(False)), name)
+    checks = [
+        miss(F.col("oos_pf") >= least_pf, "oos_pf"), miss(F.col("holdout_pf") >= least_pf, "holdout_pf"), miss(F.col("oos_trades") >= least_trades, "oos_trades"),
+        miss(F.col("holdout_trades") >= least_trades, "holdout_trades"), miss(1 - F.try_divide("holdout_pf", "oos_pf") <= most_loss, "degradation"),
+    ]
+    return runs.withColumn("failures", F.array_compact(F.array(*checks)))

@@ -67,6 +67,11 @@ def outcomes(zones: DataFrame) -> DataFrame:
     )
 
 
+def gap_outcomes(bars: DataFrame) -> DataFrame:
+    """``outcomes`` of the gap zones (prefix ``fvg``) of bars that have them."""
+    return outcomes(zone_bars(bars))
+
+
 def returns(zones: DataFrame, bars: DataFrame, horizon: int = 120) -> DataFrame:
     """Episodes with ``back_after``: bars from the fill bar until price is back at the far edge (null: not within ``horizon``),
     and ``excursion``: how far price went beyond the far edge from the fill bar until then."""

@@ -36,7 +36,7 @@ def _target(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TIERS = """SELECT run_id, count(*) AS windows, round_even(avg(pf), 4) AS avg_pf, round_even(avg(num_trades), 4) AS avg_trades,
-        CASE WHEN avg(pf) >= 2 AND avg(num_trades) >= 20 THEN 'A' WHEN avg(pf) >= 1.5 THEN 'B' ELSE 'C' END AS tier, bool_and(num_trades > 0 AND pf > 1) AS robust FROM results GROUP BY 1"""
+        CASE WHEN round(avg(pf), 9) >= 2 AND avg(num_trades) >= 20 THEN 'A' WHEN round(avg(pf), 9) >= 1.5 THEN 'B' ELSE 'C' END AS tier, bool_and(num_trades > 0 AND pf > 1) AS robust FROM results GROUP BY 1"""
 _TARGET = "SELECT run_id, avg(pf) AS value FROM results GROUP BY 1"
 _TOKENS = "SELECT DISTINCT run_id, unnest(string_split(idea, ' + ')) AS token FROM build_runs"
 
