@@ -210,10 +210,10 @@ def overfitting(series: DataFrame, splits: int = 8) -> DataFrame:
     ``series``: (trial, block, pnl) with blocks 0..splits-1. For each half of the blocks the trial that is best there is ranked
     on the other half; the result is the share of halves where it ranks below the median.
     """
-    sums = series.groupBy("trial", "block").agg(F.sum("pnl").alias("s"))
+    sums = series.groupBy("trial", "block").agg(F.round(F.sum("pnl"), 9).alias("s"))
     halves = series.sparkSession.range(1 << splits).where(F.bit_count("id") == splits // 2).withColumnRenamed("id", "half")
     both = sums.join(F.broadcast(halves)).groupBy("half", "trial").agg(
-        F.sum(F.when(F.getbit("half", F.col("block")) == 1, F.col("s")).otherwise(0.0)).alias("inside"), F.sum(F.when(F.getbit("half", F.col("block")) == 0, F.col("s")).otherwise(0.0)).alias("outside")
+        F.round(F.sum(F.when(F.getbit("half", F.col("block")) == 1, F.col("s")).otherwise(0.0)), 9).alias("inside"), F.round(F.sum(F.when(F.getbit("half", F.col("block")) == 0, F.col("s")).otherwise(0.0)), 9).alias("outside")
     )
     w = Window.partitionBy("half")
     both = both.withColumn("_best", F.row_number().over(w.orderBy(F.col("inside").desc(), "trial"))).withColumn("_rank", F.percent_rank().over(w.orderBy("outside")))

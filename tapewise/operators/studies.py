@@ -140,9 +140,22 @@ def _entropy(x: np.ndarray, m: int = 2, share: float = 0.2) -> float | None:
     return float(-np.log(a / b)) if a and b else None
 
 
+def _approximate(x: np.ndarray, m: int = 2, share: float = 0.2) -> float | None:
+    """Approximate entropy, in which each stretch also matches itself; None without any variation."""
+    r = share * x.std()
+    if len(x) <= m + 1 or r == 0:
+        return None
+
+    def phi(k: int) -> float:
+        v = np.lib.stride_tricks.sliding_window_view(x, k)
+        return float(np.log((np.abs(v[:, None, :] - v[None, :, :]).max(axis=2) <= r).mean(axis=1)).mean())
+
+    return phi(m) - phi(m + 1)
+
+
 def _fluctuation(x: np.ndarray) -> float | None:
     """Exponent of detrended fluctuations with linear detrending."""
-    y, sizes, out = np.cumsum(x - x.mean()), [s for s in (4, 8, 16, 32) if s <= len(x) // 2], []
+    y, sizes, out = np.cumsum(x - x.mean()), [4 * 2**k for k in range(24) if 4 * 2**k <= len(x) // 2], []
     for s in sizes:
         parts = y[: len(y) // s * s].reshape(-1, s)
         t = np.arange(s)
@@ -152,15 +165,30 @@ def _fluctuation(x: np.ndarray) -> float | None:
 
 
 def segment_statistics(bars: DataFrame, size: int = 60) -> DataFrame:
-    """Sample entropy and fluctuation exponent of the close-to-close moves of each full segment of ``size`` bars: one small group each."""
+    """Sample and approximate entropy and fluctuation exponent of the close-to-close moves of each full segment of ``size`` bars: one small group each."""
     moves = windowed(bars, lambda b: b.withColumn("move", F.col("close") - F.lag("close").over(by_chunk())), back=1)
     segments = moves.where("move is not null").withColumn("segment", F.expr(f"bar_no div {size}")).select("symbol", "segment", "bar_no", "move")
 
     def measure(group: pd.DataFrame) -> pd.DataFrame:
         x = group.sort_values("bar_no")["move"].to_numpy()
-        return pd.DataFrame([(group["symbol"].iloc[0], int(group["segment"].iloc[0]), len(x), _entropy(x), _fluctuation(x))], columns=["symbol", "segment", "n", "entropy", "dfa"])
+        return pd.DataFrame([(group["symbol"].iloc[0], int(group["segment"].iloc[0]), len(x), _entropy(x), _approximate(x), _fluctuation(x))], columns=["symbol", "segment", "n", "entropy", "approximate", "dfa"])
+
+    return segments.groupBy("symbol", "segment").applyInPandas(measure, "symbol string, segment long, n long, entropy double, approximate double, dfa double").where(f"n >= {size - 1}")
+
+
+def fluctuation_windows(bars: DataFrame, size: int = 1000, step: int | None = None) -> DataFrame:
+    """(symbol, window, n, dfa): fluctuation exponent of the close-to-close moves of each window of ``size`` bars (usually 1000, 5000 or 20000), a third
+    of it on from the one before unless ``step`` says otherwise. A window is one group of bounded size."""
+    step = step or max(1, size // 3)
+    moves = windowed(bars, lambda b: b.withColumn("move", F.col("close") - F.lag("close").over(by_chunk())), back=1).where("move is not null")
+    first = F.expr(f"greatest(0L, (bar_no - {size}) div {step} + IF(bar_no >= {size}, 1, 0))")
+    rows = moves.select("symbol", "bar_no", "move", F.explode(F.sequence(first, F.expr(f"bar_no div {step}"))).alias("window"))
+
+    def measure(group: pd.DataFrame) -> pd.DataFrame:
+        x = group.sort_values("bar_no")["move"].to_numpy()
+        return pd.DataFrame([(group["symbol"].iloc[0], int(group["window"].iloc[0]), len(x), _fluctuation(x))], columns=["symbol", "window", "n", "dfa"])
 
-    return segments.groupBy("symbol", "segment").applyInPandas(measure, "symbol string, segment long, n long, entropy double, dfa double").where(f"n >= {size - 1}")
+    return rows.groupBy("symbol", "window").applyInPandas(measure, "symbol string, window long, n long, dfa double").where(f"n >= {size - 1}")
 
 
 @dataclass

@@ -130,10 +130,14 @@ _HURST = f"""SELECT *, {", ".join(f"CASE WHEN count(r{k}) OVER (o ROWS BETWEEN {
         FROM (SELECT *, {", ".join(f"lg - lag(lg, {k}) OVER o AS r{k}" for k in _LAGS)} FROM (SELECT *, CASE WHEN close > 0 THEN ln(close) END AS lg FROM bars) WINDOW o AS ({W})) WINDOW o AS ({W})"""
 
 
-@query("SELECT symbol, bar_no, round(CASE WHEN n >= 16 AND k >= 2 THEN least(greatest(slope, 0), 1) ELSE 0.5 END, 6) AS hurst FROM sloped",
-    devs=_HURST,
-    points="SELECT symbol, bar_no, n, unnest([" + ", ".join(f"ln({k})" for k in _LAGS) + "]) AS x, unnest([" + ", ".join(f"CASE WHEN s{k} > 0 THEN ln(s{k}) END" for k in _LAGS) + "]) AS y FROM devs",
-    sloped="SELECT symbol, bar_no, n, count(y) AS k, (count(y) * sum(x * y) - sum(x) FILTER (y IS NOT NULL) * sum(y)) / nullif(count(y) * sum(x * x) FILTER (y IS NOT NULL) - pow(sum(x) FILTER (y IS NOT NULL), 2), 0) AS slope FROM points GROUP BY 1, 2, 3")
+HURST_SQL = {
+    "devs": _HURST,
+    "points": "SELECT symbol, bar_no, n, unnest([" + ", ".join(f"ln({k})" for k in _LAGS) + "]) AS x, unnest([" + ", ".join(f"CASE WHEN s{k} > 0 THEN ln(s{k}) END" for k in _LAGS) + "]) AS y FROM devs",
+    "sloped": "SELECT symbol, bar_no, n, count(y) AS k, (count(y) * sum(x * y) - sum(x) FILTER (y IS NOT NULL) * sum(y)) / nullif(count(y) * sum(x * x) FILTER (y IS NOT NULL) - pow(sum(x) FILTER (y IS NOT NULL), 2), 0) AS slope FROM points GROUP BY 1, 2, 3",
+}
+
+
+@query("SELECT symbol, bar_no, round(CASE WHEN n >= 16 AND k >= 2 THEN least(greatest(slope, 0), 1) ELSE 0.5 END, 6) AS hurst FROM sloped", **HURST_SQL)
 def hurst_exponents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.hurst(_bars(spark, sf_dir)).select("symbol", "bar_no", F.round("hurst", 6).alias("hurst"))
 

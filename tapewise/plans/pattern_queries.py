@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..operators import patterns, signals, zones
 from ..sources.bars import keyed_event_bars, resample
 from ..sources.store import stage
+from .bar_queries import HURST_SQL
 from .registry import query
 from .research_queries import _PERIODS, _lined, _states
-from .sql import W
+from .sql import W, frame_sql, zone_sql
 
 _COUNTS = ", ".join(f"count(*) FILTER ({c}) AS {c}" for c in patterns.COMPONENTS)
 _BEFORE = lambda c: f"coalesce(lag({c}) OVER ({W}), false)"
@@ -75,7 +76,10 @@ def order_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns.order_blocks(_lined(spark, sf_dir), "prev_day_low", "prev_day_high").select("symbol", "bar_no", "ob_bull", "ob_bear", "ob_high", "ob_low")
 
 
-@query()
+@query("""SELECT symbol, d AS mtf_direction, d <> 0 AND depth BETWEEN 0.2 AND 0.8 AS mtf_passes, count(*) AS bars, round(avg(depth), 6) AS depth FROM (
+        SELECT symbol, d, coalesce(least(greatest(CASE d WHEN 1 THEN (z.bull_top - close) / nullif(z.bull_top - z.bull_bottom, 0) WHEN -1 THEN (close - z.bear_bottom) / nullif(z.bear_top - z.bear_bottom, 0) END, 0), 1), 0) AS depth FROM (
+            SELECT *, CASE WHEN z.bull_top IS NOT NULL THEN 1 WHEN z.bear_top IS NOT NULL THEN -1 ELSE 0 END AS d FROM (
+                SELECT b.symbol, b.close, (SELECT arg_max(a, a.ts) FROM four_active a WHERE a.symbol = b.symbol AND a.ts + INTERVAL 4 HOUR <= b.ts) AS z FROM bars b))) GROUP BY 1, 2, 3""", **frame_sql("four", "4 HOURS"), **zone_sql("four", "four_bars"))
 def frame_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = stage(keyed_event_bars(spark, sf_dir), "bars")
     return patterns.frame_alignment(bars, resample(bars, "4 hours"), 4 * 3600).groupBy("symbol", "mtf_direction", "mtf_passes").agg(F.count("*").alias("bars"), F.round(F.avg("mtf_depth"), 6).alias("depth"))
@@ -106,6 +110,6 @@ def range_hurst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns.range_hurst(keyed_event_bars(spark, sf_dir))
 
 
-@query()
+@query("SELECT symbol, count(*) FILTER (CASE WHEN n >= 16 AND k >= 2 THEN least(greatest(slope, 0), 1) ELSE 0.5 END < 0.45) AS passes, count(*) AS bars FROM sloped GROUP BY 1", **HURST_SQL)
 def reverting_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.hurst(keyed_event_bars(spark, sf_dir), reverting=True).groupBy("symbol").agg(F.count_if("hurst_passes").alias("passes"), F.count("*").alias("bars"))

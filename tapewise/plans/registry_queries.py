@@ -153,7 +153,9 @@ def resampled_profits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.monte_carlo(trades, "run", 50)
 
 
-@query()
+@query("""SELECT count(*) AS halves, round(avg((r < 0.5)::INT), 6) AS pbo FROM (SELECT half, percent_rank() OVER (PARTITION BY half ORDER BY outside) AS r, row_number() OVER (PARTITION BY half ORDER BY inside DESC, trial) AS k FROM (
+        SELECT half, trial, round(sum(CASE WHEN (half >> b) & 1 = 1 THEN s ELSE 0 END), 9) AS inside, round(sum(CASE WHEN (half >> b) & 1 = 0 THEN s ELSE 0 END), 9) AS outside FROM (
+            SELECT l_linenumber AS trial, CAST(l_orderkey % 8 AS INT) AS b, round(sum(l_discount - 0.05), 9) AS s FROM lineitem GROUP BY 1, 2), (SELECT range::INT AS half FROM range(256) WHERE bit_count(range::INT) = 4) GROUP BY 1, 2)) WHERE k = 1""")
 def backtest_overfitting(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read_table(spark, sf_dir, "lineitem")
     series = lines.select(F.col("l_linenumber").alias("trial"), F.pmod(F.col("l_orderkey"), F.lit(8)).cast("int").alias("block"), (F.col("l_discount").cast("double") - 0.05).alias("pnl"))

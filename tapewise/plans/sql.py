@@ -69,6 +69,29 @@ CTES = {
 }
 
 
+def frame_sql(prefix: str, interval: str) -> dict[str, str]:
+    """Expressions {prefix}_bars: the bars resampled to an interval, numbered per symbol."""
+    return {
+        f"{prefix}_bars": f"""SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS bar_no FROM (
+            SELECT symbol, time_bucket(INTERVAL {interval}, ts) AS ts, arg_min(open, ts) AS open, max(high) AS high, min(low) AS low, arg_max(close, ts) AS close, sum(volume) AS volume FROM raw_bars GROUP BY 1, 2)"""
+    }
+
+
+def zone_sql(prefix: str, bars: str) -> dict[str, str]:
+    """Expressions up to {prefix}_active: the gap zones that are active at each bar of the table ``bars``: {bull, bear}_top and _bottom, null if none is."""
+    p = prefix
+    return {
+        f"{p}_gaps": f"""SELECT *, coalesce(low - lag(high, 2) OVER ({W}) > 0, false) AS bull, coalesce(lag(low, 2) OVER ({W}) - high > 0, false) AS bear, lag(high, 2) OVER ({W}) AS h2, lag(low, 2) OVER ({W}) AS l2 FROM {bars}""",
+        f"{p}_ids": f"SELECT *, sum(bull::INT) OVER ({W}) AS bull_id, sum(bear::INT) OVER ({W}) AS bear_id FROM {p}_gaps",
+        f"{p}_sides": f"""SELECT symbol, 'bull' AS side, bull_id AS zone_id, bar_no, low AS lo, bull AS birth, low AS e, h2 AS f FROM {p}_ids UNION ALL SELECT symbol, 'bear', bear_id, bar_no, -high, bear, -high, -l2 FROM {p}_ids""",
+        f"{p}_born": f"SELECT symbol, side, zone_id, bar_no AS born_no, e, f FROM {p}_sides WHERE birth",
+        f"{p}_lives": f"""SELECT b.*, (SELECT min(z.bar_no) FROM {p}_sides z WHERE z.symbol = b.symbol AND z.side = b.side AND z.bar_no > b.born_no AND z.zone_id - z.birth::INT = b.zone_id AND z.lo <= b.f) AS gone_no FROM {p}_born b""",
+        f"{p}_active": f"""SELECT i.symbol, i.ts, i.bar_no, i.close, u.e AS bull_top, u.f AS bull_bottom, -d.f AS bear_top, -d.e AS bear_bottom FROM {p}_ids i
+            LEFT JOIN {p}_lives u ON u.symbol = i.symbol AND u.side = 'bull' AND u.zone_id = i.bull_id AND (u.gone_no IS NULL OR i.bar_no < u.gone_no)
+            LEFT JOIN {p}_lives d ON d.symbol = i.symbol AND d.side = 'bear' AND d.zone_id = i.bear_id AND (d.gone_no IS NULL OR i.bar_no < d.gone_no)""",
+    }
+
+
 def compose(body: str, **more: str) -> str:
     """``body`` with the table expressions that it and they refer to, in order of need. ``more``: further named expressions."""
     known = CTES | more

@@ -11,7 +11,7 @@ from ..sources.store import stage
 from .registry import query
 from .registry_queries import runs_table
 from .research_queries import _FWD, _KEPT, _trades
-from .sql import W
+from .sql import W, frame_sql
 from .zone_queries import _FILLS, _GAP_STATE
 
 
@@ -86,12 +86,31 @@ def gap_retraces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return studies.gap_retraces(b, signals.opening_gaps(b)).withColumn("period", F.date_format("period", "yyyy-MM-dd"))
 
 
+_SEGMENTS = f"SELECT symbol, bar_no // 60 AS segment, row_number() OVER (PARTITION BY symbol, bar_no // 60 ORDER BY bar_no) AS i, move FROM (SELECT symbol, bar_no, close - lag(close) OVER ({W}) AS move FROM bars) WHERE move IS NOT NULL"
+
+
+@query("""SELECT symbol, segment, n, round(CASE WHEN a > 0 AND b > 0 THEN -ln(a / b) END, 6) AS entropy FROM (
+        SELECT symbol, segment, n, count(*) FILTER (greatest(abs(x0 - y0), abs(x1 - y1)) <= r) AS b, count(*) FILTER (greatest(abs(x0 - y0), abs(x1 - y1), abs(x2 - y2)) <= r) AS a FROM (
+            SELECT s.symbol, s.segment, s.n, s.r, p.v AS x0, p.v1 AS x1, p.v2 AS x2, q.v AS y0, q.v1 AS y1, q.v2 AS y2
+            FROM sized s JOIN shifted p USING (symbol, segment) JOIN shifted q ON q.symbol = p.symbol AND q.segment = p.segment AND q.i > p.i WHERE p.v2 IS NOT NULL AND q.v2 IS NOT NULL) GROUP BY 1, 2, 3)""",
+    segs=_SEGMENTS, sized="SELECT symbol, segment, count(*) AS n, 0.2 * stddev_pop(move) AS r FROM segs GROUP BY 1, 2 HAVING count(*) >= 59",
+    shifted="SELECT symbol, segment, i, move AS v, lead(move) OVER (PARTITION BY symbol, segment ORDER BY i) AS v1, lead(move, 2) OVER (PARTITION BY symbol, segment ORDER BY i) AS v2 FROM segs")
+def segment_entropies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return studies.segment_statistics(keyed_event_bars(spark, sf_dir)).select("symbol", "segment", "n", F.round("entropy", 6).alias("entropy"))
+
+
+@query()
+def fluctuation_exponents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return studies.fluctuation_windows(keyed_event_bars(spark, sf_dir), 256)
+
+
 @query()
 def segment_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return studies.segment_statistics(keyed_event_bars(spark, sf_dir))
 
 
-@query()
+@query("""SELECT symbol, ker < 0.8 AS lrl, count(*) AS bars FROM (SELECT b.symbol, (SELECT arg_max({'k': a.ker}, a.ts) FROM four_ker a WHERE a.symbol = b.symbol AND a.ts + INTERVAL 4 HOUR <= b.ts).k AS ker FROM bars b) GROUP BY 1, 2""",
+    **frame_sql("four", "4 HOURS"), four_ker=f"SELECT symbol, ts, CASE WHEN count(d) OVER (p ROWS 19 PRECEDING) = 20 THEN abs(close - lag(close, 20) OVER p) / nullif(sum(d) OVER (p ROWS 19 PRECEDING), 0) END AS ker FROM (SELECT *, abs(close - lag(close) OVER ({W})) AS d FROM four_bars) WINDOW p AS ({W})")
 def regime_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = keyed_event_bars(spark, sf_dir)
     four = stage(keyed(resample(bars, "4 hours")), "higher")

@@ -9,6 +9,7 @@ from ..operators import concepts, signals, zones
 from ..sources.bars import keyed, keyed_event_bars, resample
 from ..sources.store import stage
 from .registry import query
+from .sql import frame_sql, zone_sql
 
 _SEVEN = """CASE WHEN m >= 1080 OR m < 120 THEN 'Asia' WHEN m < 480 THEN 'London' WHEN m < 570 THEN 'PreM' WHEN m < 720 THEN 'AM' WHEN m < 810 THEN 'Lunch'
             WHEN m < 960 THEN 'PM' WHEN m < 1080 THEN 'AH' ELSE 'Other' END"""
@@ -142,7 +143,9 @@ def any_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return concepts.any_query(gap_bars(spark, sf_dir), ["FVG", "nothing"], {"FVG": ["fvg_bull", "fvg_bear"]}).select("symbol", "bar_no")
 
 
-@query()
+@query("""SELECT symbol, count(*) AS bars, count(*) FILTER (bull_top <= h.t AND bull_bottom >= h.b) AS inside, count(*) FILTER (bull_top >= h.b AND bull_bottom <= h.t) AS overlapping FROM (
+        SELECT l.*, (SELECT arg_max({'t': z.bull_top, 'b': z.bull_bottom}, z.ts) FROM two_active z WHERE z.symbol = l.symbol AND z.bull_top IS NOT NULL AND z.ts + INTERVAL 2 HOUR <= l.ts) AS h FROM one_active l WHERE bull_top IS NOT NULL) WHERE h IS NOT NULL GROUP BY 1""",
+    **zone_sql("one", "bars"), **frame_sql("two", "2 HOURS"), **zone_sql("two", "two_bars"))
 def zone_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = gap_bars(spark, sf_dir)
     four = stage(keyed(resample(bars, "2 hours")), "higher")
