@@ -44,24 +44,33 @@ def windowed(bars: DataFrame, build: Callable[[DataFrame], DataFrame], back: int
 
 def running_sum(bars: DataFrame, value: str, out: str) -> DataFrame:
     """Sum of ``value`` over all bars of the symbol up to the current one."""
-    before = Window.partitionBy("symbol").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    left = bars.groupBy("symbol", "chunk").agg(F.sum(value).alias("_s")).withColumn("_before", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s")
-    within = F.coalesce(F.sum(value).over(by_chunk().rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
-    return bars.withColumn("_within", within).join(left, ["symbol", "chunk"]).withColumn(out, F.col("_before") + F.col("_within")).drop("_before", "_within")
+    return running_sums(bars, {out: value})
 
 
-def carried(bars: DataFrame, values: dict[str, str], including: bool = True) -> DataFrame:
-    """Last non-null value of each column, as {result: column}, up to the current bar or before it."""
+def running_sums(bars: DataFrame, values: dict[str, str]) -> DataFrame:
+    """Sums over all bars of the symbol up to the current one, as {result: column}."""
     before = Window.partitionBy("symbol").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    left = bars.groupBy("symbol", "chunk").agg(*[F.sum(c).alias(f"_s_{o}") for o, c in values.items()])
+    left = left.select("symbol", "chunk", *[F.coalesce(F.sum(f"_s_{o}").over(before), F.lit(0)).alias(f"_b_{o}") for o in values])
+    up_to = by_chunk().rowsBetween(Window.unboundedPreceding, 0)
+    bars = bars.select("*", *[F.coalesce(F.sum(c).over(up_to), F.lit(0)).alias(f"_w_{o}") for o, c in values.items()]).join(left, ["symbol", "chunk"])
+    return bars.select("*", *[(F.col(f"_b_{o}") + F.col(f"_w_{o}")).alias(o) for o in values]).drop(*[f"_{k}_{o}" for o in values for k in "wb"])
+
+
+def carried(bars: DataFrame, values: dict[str, str], including: bool = True, before: str | None = None) -> DataFrame:
+    """Last non-null value of each column, as {result: column}, up to the current bar or before it.
+
+    With ``before`` both are added: up to the current bar under the result's name, before it under that name and this ending.
+    """
+    earlier = Window.partitionBy("symbol").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     left = bars.groupBy("symbol", "chunk").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("bar_no"))).alias(f"_l_{o}") for o, c in values.items()])
-    left = left.select("symbol", "chunk", *[F.last(f"_l_{o}", ignorenulls=True).over(before).alias(f"_b_{o}") for o in values])
-    frame = by_chunk().rowsBetween(Window.unboundedPreceding, 0 if including else -1)
-    for o, c in values.items():
-        bars = bars.withColumn(f"_w_{o}", F.last(c, ignorenulls=True).over(frame))
-    bars = bars.join(left, ["symbol", "chunk"])
-    for o in values:
-        bars = bars.withColumn(o, F.coalesce(f"_w_{o}", f"_b_{o}"))
-    return bars.drop(*[f"_w_{o}" for o in values], *[f"_b_{o}" for o in values])
+    left = left.select("symbol", "chunk", *[F.last(f"_l_{o}", ignorenulls=True).over(earlier).alias(f"_b_{o}") for o in values])
+    ends = {"": 0, before: -1} if before else {"": 0 if including else -1}
+    frames = {end: by_chunk().rowsBetween(Window.unboundedPreceding, to) for end, to in ends.items()}
+    within = [F.last(c, ignorenulls=True).over(frame).alias(f"_w_{o}{end}") for o, c in values.items() for end, frame in frames.items()]
+    bars = bars.select("*", *within).join(left, ["symbol", "chunk"])
+    out = bars.select("*", *[F.coalesce(f"_w_{o}{end}", f"_b_{o}").alias(f"{o}{end}") for o in values for end in ends])
+    return out.drop(*[f"_w_{o}{end}" for o in values for end in ends], *[f"_b_{o}" for o in values])
 
 
 def flag(condition: Column) -> Column:

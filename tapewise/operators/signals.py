@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.clock import CHICAGO, local, minute_of_day
 from ..sources.bars import keyed
 from ..sources.store import stage
-from .frames import by_chunk, carried, flag, last, rising, running_sum, windowed
+from .frames import by_chunk, carried, flag, last, rising, running_sum, running_sums, windowed
 
 SIDES = ("bull", "bear")
 
@@ -59,35 +59,25 @@ def fair_value_gap(bars: DataFrame, min_gap: float = 0.0, max_age: int = 0, pref
         for side, top, bottom in (("bull", F.col("low"), high), ("bear", low, F.col("high"))):
             new = F.col(f"{prefix}_{side}")
             b = b.withColumn(f"_{side}_high", F.when(new, top)).withColumn(f"_{side}_low", F.when(new, bottom)).withColumn(f"_{side}_n", new.cast("long"))
+            b = b.withColumn(f"_{side}_born", F.when(new, F.col("bar_no")))
         return b
 
-    out = windowed(bars, births, back=2)
+    out = running_sums(stage(windowed(bars, births, back=2), "gaps"), {f"{prefix}_{side}_id": f"_{side}_n" for side in SIDES})
+    # the zone after each bar and the one before it, carried along chunk by chunk; then the births of zones that a bar hits, likewise
+    out = carried(out, {f"_{side}_{k}": f"_{side}_{c}" for side in SIDES for k, c in (("top", "high"), ("bottom", "low"), ("birth", "born"))}, before="_was")
+    for side, hit in (("bull", F.col("low") <= F.col("_bull_bottom_was")), ("bear", F.col("high") >= F.col("_bear_top_was"))):
+        out = out.withColumn(f"_{side}_hit", F.when(hit, F.col(f"_{side}_birth_was")))
+    out = carried(out, {f"_{side}_gone": f"_{side}_hit" for side in SIDES}, before="_was")
     for side in SIDES:
-        out = running_sum(out, f"_{side}_n", f"{prefix}_{side}_id")
-    out = stage(out, "gaps")
-    for side in SIDES:
-        new, zone = F.col(f"{prefix}_{side}"), f"{prefix}_{side}_id"
-        bounds = out.where(new).select("symbol", F.col(zone).alias("_zone"), F.col(f"_{side}_high").alias("_top"), F.col(f"_{side}_low").alias("_bottom"), F.col("bar_no").alias("_born"))
-        hit = F.col("low") <= F.col("_bottom") if side == "bull" else F.col("high") >= F.col("_top")
-        before = out.select("symbol", "bar_no", "high", "low", (F.col(zone) - F.col(f"_{side}_n")).alias("_zone"))
-        fills = before.join(bounds, ["symbol", "_zone"]).where(hit).groupBy("symbol", "_zone").agg(F.min("bar_no").alias("_fill"))
-        episodes = bounds.join(fills, ["symbol", "_zone"], "left")
-        # the zone that is current after the bar, and whether the one before it is filled by this very bar
-        filled = fills.select("symbol", F.col("_zone").alias("_was"), F.col("_fill").alias("bar_no"), F.lit(True).alias("_now"))
-        out = out.withColumn("_zone", F.col(zone)).withColumn("_was", F.col(zone) - F.col(f"_{side}_n"))
-        out = out.join(episodes, ["symbol", "_zone"], "left").join(filled, ["symbol", "_was", "bar_no"], "left")
-        active = flag(F.col("_born").isNotNull() & (F.col("_fill").isNull() | (F.col("bar_no") < F.col("_fill"))))
+        c = {k: F.col(f"_{side}_{k}") for k in ("top", "bottom", "birth", "hit", "gone", "gone_was")}
+        active = flag(c["birth"].isNotNull() & ~flag(c["gone"] == c["birth"]))
         if max_age:
-            active = active & (F.col("bar_no") - F.col("_born") <= max_age)
-        out = out.withColumn(f"{prefix}_{side}_active", active)
-        on = F.col(f"{prefix}_{side}_active")
-        out = (
-            out.withColumn(f"{prefix}_{side}_high", F.when(on, F.col("_top"))).withColumn(f"{prefix}_{side}_low", F.when(on, F.col("_bottom")))
-            .withColumn(f"{prefix}_{side}_mid", F.when(on, (F.col("_top") + F.col("_bottom")) / 2))
-            .withColumn(f"{prefix}_{side}_filled", F.coalesce("_now", F.lit(False)))
-            .drop("_zone", "_was", "_top", "_bottom", "_born", "_fill", "_now")
-        )
-    return out.drop(*[f"_{s}_{c}" for s in SIDES for c in ("high", "low", "n")])
+            active = active & (F.col("bar_no") - c["birth"] <= max_age)
+        on, name = F.col(f"{prefix}_{side}_active"), f"{prefix}_{side}"
+        out = out.withColumn(f"{name}_active", active).withColumn(f"{name}_high", F.when(on, c["top"])).withColumn(f"{name}_low", F.when(on, c["bottom"]))
+        out = out.withColumn(f"{name}_mid", F.when(on, (c["top"] + c["bottom"]) / 2)).withColumn(f"{name}_filled", c["hit"].isNotNull() & ~flag(c["gone_was"] == c["hit"]))
+    return out.drop(*[f"_{s}_{c}" for s in SIDES for c in (
+        "high", "low", "n", "born", "top", "bottom", "birth", "top_was", "bottom_was", "birth_was", "hit", "gone", "gone_was")])
 
 
 def break_of_structure(bars: DataFrame, n: int = 5) -> DataFrame:

@@ -155,8 +155,10 @@ def _runs(later: DataFrame) -> DataFrame:
     inside = later.where("inside")
     before = inside.select(*key, (F.col("bar_no") + 1).alias("bar_no"), F.lit(True).alias("_was"))
     starts = inside.join(before, [*key, "bar_no"], "left").withColumn("_start", F.when(F.col("_was").isNull(), 1).otherwise(0))
-    order = Window.partitionBy(*key).orderBy("bar_no").rowsBetween(Window.unboundedPreceding, 0)
-    return starts.withColumn("run", F.sum("_start").over(order)).drop("_was", "_start")
+    earlier = Window.partitionBy(*key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    left = starts.groupBy(*key, "chunk").agg(F.sum("_start").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    order = Window.partitionBy(*key, "chunk").orderBy("bar_no").rowsBetween(Window.unboundedPreceding, 0)
+    return starts.withColumn("_within", F.sum("_start").over(order)).join(left, [*key, "chunk"]).withColumn("run", F.col("_before") + F.col("_within")).drop("_was", "_start", "_before", "_within")
 
 
 def visit_summary(zones: DataFrame, most: int = 3) -> DataFrame:
