@@ -56,7 +56,10 @@ _ZONES = "symbol string, ts timestamp, new boolean, active boolean, filled boole
 _STATE = "h2 double, h1 double, top double, bottom double, age long"
 
 
-def _advance(key: tuple[str], parts: Iterator[pd.DataFrame], state: GroupState, max_age: int) -> Iterator[pd.DataFrame]:
+def _advance(key: tuple[str], parts: Iterator[pd.DataFrame], state: GroupState, max_age: int, idle: int) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:  # the symbol has been silent for long: its zone and its two bars are forgotten
+        state.remove()
+        return
     h2, h1, top, bottom, age = state.get if state.exists else (float("nan"), float("nan"), float("nan"), float("nan"), 0)
     bars = pd.concat(list(parts)).sort_values("ts")
     rows: list[tuple[Any, ...]] = []
@@ -74,25 +77,29 @@ def _advance(key: tuple[str], parts: Iterator[pd.DataFrame], state: GroupState,
         rows.append((key[0], ts, new, active, filled, bottom if active else None, top if active else None))
         h2, h1 = h1, high
     state.update((h2, h1, top, bottom, age))
+    state.setTimeoutTimestamp(max(int(bars["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + idle)
     yield pd.DataFrame(rows, columns=["symbol", "ts", "new", "active", "filled", "zone_low", "zone_high"])
 
 
-def gap_zone_stream(bars: DataFrame, max_age: int = 0) -> DataFrame:
+def gap_zone_stream(bars: DataFrame, max_age: int = 0, late: str = "1 day", idle_days: int = 365) -> DataFrame:
     """Bull gap zones bar by bar, as the batch operator gives them; the state is two highs and the active zone of each symbol.
 
-    Bars of a symbol must arrive in order from batch to batch.
+    Bars of a symbol must arrive in order from batch to batch; the source's files per trigger bound what a batch holds. The state of a
+    symbol without bars for ``idle_days`` of event time is dropped.
     """
+    idle = idle_days * 86_400_000
 
     def advance(key, parts, state):
-        return _advance(key, parts, state, max_age)
+        return _advance(key, parts, state, max_age, idle)
 
-    return bars.groupBy("symbol").applyInPandasWithState(advance, _ZONES, _STATE, "append", GroupStateTimeout.NoTimeout)
+    return bars.withWatermark("ts", late).groupBy("symbol").applyInPandasWithState(advance, _ZONES, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def drain(stream: DataFrame, mode: str = "append", tag: str = "stream") -> DataFrame:
     """Run a stream over what is there now, into a Parquet table in the shared folder, and return the table.
 
-    In complete mode each run of the query replaces the table (through foreachBatch).
+    In append mode the table holds the windows that the watermark has closed, and state is dropped with them. In complete mode each run of
+    the query replaces the table (through foreachBatch); for small results only.
     """
     spark = stream.sparkSession
     base = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
@@ -105,7 +112,10 @@ def drain(stream: DataFrame, mode: str = "append", tag: str = "stream") -> DataF
     return spark.read.schema(stream.schema).parquet(f"{base}/table")
 
 
-def _remember(key: tuple[str], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _remember(key: tuple[str], parts: Iterator[pd.DataFrame], state: GroupState, idle: int) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
     before = [s for s in (state.get if state.exists else (None, None, None)) if s]
     bars = pd.concat(list(parts)).sort_values("ts")
     rows: list[tuple[Any, ...]] = []
@@ -113,17 +123,24 @@ def _remember(key: tuple[str], parts: Iterator[pd.DataFrame], state: GroupState)
         rows.append((key[0], ts, now, *["→".join(before[-k:]) if len(before) >= k else None for k in (1, 2, 3)]))
         before = [*before, now][-3:]
     state.update(tuple([None] * (3 - len(before)) + before))
+    state.setTimeoutTimestamp(max(int(bars["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + idle)
     yield pd.DataFrame(rows, columns=["symbol", "ts", "state", "chain_1", "chain_2", "chain_3"])
 
 
-def watch_chains(bars: DataFrame, lifts: DataFrame) -> DataFrame:
+def watch_chains(bars: DataFrame, lifts: DataFrame, late: str = "1 day", idle_days: int = 365) -> DataFrame:
     """Streamed bars (symbol, ts, state) with the lift of the longest known chain before them, and its grade, as the batch operator gives them.
 
     The state of a symbol is its last three states; ``lifts`` is a static table (symbol, length, chain, lift). Bars of a symbol must
-    arrive in order from batch to batch.
+    arrive in order from batch to batch; a symbol's state is dropped after ``idle_days`` without bars.
     """
+    idle = idle_days * 86_400_000
+
+    def remember(key, parts, state):
+        return _remember(key, parts, state, idle)
+
     kind = "symbol string, ts timestamp, state string, chain_1 string, chain_2 string, chain_3 string"
-    out = bars.groupBy("symbol").applyInPandasWithState(_remember, kind, "s3 string, s2 string, s1 string", "append", GroupStateTimeout.NoTimeout)
+    marked = bars.withWatermark("ts", late).groupBy("symbol")
+    out = marked.applyInPandasWithState(remember, kind, "s3 string, s2 string, s1 string", "append", GroupStateTimeout.EventTimeTimeout)
     for k in (3, 2, 1):
         table = lifts.where(F.col("length") == k).select("symbol", F.col("chain").alias(f"chain_{k}"), F.col("lift").alias(f"_l{k}"))
         out = out.join(table, ["symbol", f"chain_{k}"], "left")
