@@ -58,26 +58,24 @@ def fair_value_gap(bars: DataFrame, min_gap: float = 0.0, max_age: int = 0, pref
         b = b.withColumn(f"{prefix}_bull", flag(F.col("low") - high > min_gap)).withColumn(f"{prefix}_bear", flag(low - F.col("high") > min_gap))
         for side, top, bottom in (("bull", F.col("low"), high), ("bear", low, F.col("high"))):
             new = F.col(f"{prefix}_{side}")
-            b = b.withColumn(f"_{side}_high", F.when(new, top)).withColumn(f"_{side}_low", F.when(new, bottom)).withColumn(f"_{side}_n", new.cast("long"))
-            b = b.withColumn(f"_{side}_born", F.when(new, F.col("bar_no")))
+            b = b.withColumn(f"_{side}_new", F.when(new, F.struct(F.col("bar_no").alias("born"), top.alias("high"), bottom.alias("low")))).withColumn(f"_{side}_n", new.cast("long"))
         return b
 
     out = running_sums(stage(windowed(bars, births, back=2), "gaps"), {f"{prefix}_{side}_id": f"_{side}_n" for side in SIDES})
     # the zone after each bar and the one before it, carried along chunk by chunk; then the births of zones that a bar hits, likewise
-    out = carried(out, {f"_{side}_{k}": f"_{side}_{c}" for side in SIDES for k, c in (("top", "high"), ("bottom", "low"), ("birth", "born"))}, before="_was")
-    for side, hit in (("bull", F.col("low") <= F.col("_bull_bottom_was")), ("bear", F.col("high") >= F.col("_bear_top_was"))):
-        out = out.withColumn(f"_{side}_hit", F.when(hit, F.col(f"_{side}_birth_was")))
+    out = carried(out, {f"_{side}_zone": f"_{side}_new" for side in SIDES}, before="_was")
+    for side, hit in (("bull", F.col("low") <= F.col("_bull_zone_was.low")), ("bear", F.col("high") >= F.col("_bear_zone_was.high"))):
+        out = out.withColumn(f"_{side}_hit", F.when(hit, F.col(f"_{side}_zone_was.born")))
     out = carried(out, {f"_{side}_gone": f"_{side}_hit" for side in SIDES}, before="_was")
     for side in SIDES:
-        c = {k: F.col(f"_{side}_{k}") for k in ("top", "bottom", "birth", "hit", "gone", "gone_was")}
-        active = flag(c["birth"].isNotNull() & ~flag(c["gone"] == c["birth"]))
+        zone, hit, gone, gone_was = (F.col(f"_{side}_{k}") for k in ("zone", "hit", "gone", "gone_was"))
+        active = flag(zone.isNotNull() & ~flag(gone == zone["born"]))
         if max_age:
-            active = active & (F.col("bar_no") - c["birth"] <= max_age)
+            active = active & (F.col("bar_no") - zone["born"] <= max_age)
         on, name = F.col(f"{prefix}_{side}_active"), f"{prefix}_{side}"
-        out = out.withColumn(f"{name}_active", active).withColumn(f"{name}_high", F.when(on, c["top"])).withColumn(f"{name}_low", F.when(on, c["bottom"]))
-        out = out.withColumn(f"{name}_mid", F.when(on, (c["top"] + c["bottom"]) / 2)).withColumn(f"{name}_filled", c["hit"].isNotNull() & ~flag(c["gone_was"] == c["hit"]))
-    return out.drop(*[f"_{s}_{c}" for s in SIDES for c in (
-        "high", "low", "n", "born", "top", "bottom", "birth", "top_was", "bottom_was", "birth_was", "hit", "gone", "gone_was")])
+        out = out.withColumn(f"{name}_active", active).withColumn(f"{name}_high", F.when(on, zone["high"])).withColumn(f"{name}_low", F.when(on, zone["low"]))
+        out = out.withColumn(f"{name}_mid", F.when(on, (zone["high"] + zone["low"]) / 2)).withColumn(f"{name}_filled", hit.isNotNull() & ~flag(gone_was == hit))
+    return out.drop(*[f"_{s}_{c}" for s in SIDES for c in ("n", "new", "zone", "zone_was", "hit", "gone", "gone_was")])
 
 
 def break_of_structure(bars: DataFrame, n: int = 5) -> DataFrame:

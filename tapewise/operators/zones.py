@@ -24,19 +24,19 @@ def zone_bars(bars: DataFrame, prefix: str = "fvg", context: str | None = None)
 
     ``bars`` has the birth flags, the number of zones so far and the bounds of ``prefix``; ``context`` is one more flag to carry.
     """
-    parts = []
-    for side in SIDES:
-        sign, zone = (1, "bull") if side == "bull" else (-1, "bear")
-        up, down = ("high", "low") if side == "bull" else ("low", "high")
-        side_bars = bars.select(
-            "symbol", F.lit(side).alias("side"), F.col(f"{prefix}_{zone}_id").alias("zone_id"), "bar_no", "chunk", "chunk_len", "ts",
-            (F.col(down) * sign).alias("lo"), (F.col(up) * sign).alias("hi"), (F.col("close") * sign).alias("px"),
-            F.col(f"{prefix}_{zone}").alias("birth"), *([F.col(context).alias("context")] if context else []),
-            *[F.when(F.col(f"{prefix}_{zone}"), c).alias(f"_{n}") for n, c in (
-                ("no", F.col("bar_no")), ("ts", F.col("ts")), ("entry", F.col(f"{prefix}_{zone}_{up}") * sign), ("far", F.col(f"{prefix}_{zone}_{down}") * sign))],
-        )
-        parts.append(carried(side_bars, {"born_no": "_no", "born_ts": "_ts", "entry": "_entry", "far": "_far"}))
-    return parts[0].unionByName(parts[1]).where("born_no is not null").drop("_no", "_ts", "_entry", "_far")
+    born, sides = {}, []
+    for side, sign, up, down in (("bull", 1, "high", "low"), ("bear", -1, "low", "high")):
+        name = f"{prefix}_{side}"
+        zone = F.struct(F.col("bar_no").alias("no"), "ts", (F.col(f"{name}_{up}") * sign).alias("entry"), (F.col(f"{name}_{down}") * sign).alias("far"))
+        born[f"_{side}_zone"] = F.when(F.col(name), zone)
+        sides.append(F.struct(
+            F.lit(side).alias("side"), F.col(f"{name}_id").alias("zone_id"), (F.col(down) * sign).alias("lo"), (F.col(up) * sign).alias("hi"), (F.col("close") * sign).alias("px"),
+            F.col(name).alias("birth"), F.col(f"_{side}").alias("zone"),
+        ))
+    b = carried(bars.withColumns(born), {"_bull": "_bull_zone", "_bear": "_bear_zone"})
+    kept = ["symbol", "bar_no", "chunk", "chunk_len", "ts", *([F.col(context).alias("context")] if context else [])]
+    b = b.select(*kept, F.inline(F.array(*sides))).where("zone is not null")
+    return b.select("*", F.col("zone.no").alias("born_no"), F.col("zone.ts").alias("born_ts"), "zone.entry", "zone.far").drop("zone")
 
 
 def episodes(zones: DataFrame) -> DataFrame:

@@ -7,7 +7,14 @@ import pytest
 from tapewise.plans.registered import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
-SAMPLE = ("zone_outcomes", "structure_breaks", "level_visits", "moving_stops", "chain_lifts", "run_tiers", "block_effects", "stream_bars")
+#: A query or two of each kind; all of them with ALL_QUERIES=1.
+SAMPLE = (
+    "zone_outcomes", "zone_visits", "zone_nesting", "structure_breaks", "bar_states", "level_visits", "moving_stops", "trade_drawdowns", "chain_lifts", "run_tiers", "block_effects", "backtest_overfitting", "stream_bars",
+    "stream_sessions", "bars_read_from_csv", "signal_shards", "calendar_read", "back_filled", "reports_parsed", "session_labels", "parsed_ideas", "known_failing_ideas", "idea_neighbours", "studies_of_runs", "grid_search",
+    "regime_shifts", "mean_reversions", "excitations", "order_flows", "segment_entropies",
+)
+if os.environ.get("ALL_QUERIES"):
+    SAMPLE = tuple(sorted(ORACLE_SQL))
 
 
 def test_every_oracle_has_a_query():
