@@ -141,3 +141,24 @@ def test_scores_of_odd_texts(spark):
     got = docs.withColumn("score", quality.quality_score(model, F.col("text"))).collect()
     assert len(got) == 5 and all(0 <= r.score <= 1 for r in got)
     assert quality.fit_quality(docs.limit(0), labels.limit(0)).score(np.zeros((1, len(quality.FEATURES))))[0] == 0.5
+
+
+def test_quality_query_equals_brute_force(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
+    learnt = sorted(k for k in labels if zlib.crc32(str(k).encode()) % 5 and k in docs)
+    model = quality.fit(np.array([quality.statistics(docs[k]) for k in learnt]), np.array([float(labels[k]) for k in learnt]))
+    for r in op8_quality_trees(spark, DATA).collect():
+        x, total = quality.statistics(docs[r.doc_id]), model.base
+        for features, cuts, leaves in zip(model.feature, model.threshold, model.leaf, strict=True):
+            node = 0
+            while node < len(features):
+                node = 2 * node + (2 if x[features[node]] > cuts[node] else 1)
+            total += leaves[node - len(features)]
+        assert r.score == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-9)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.3)
+
+
+def test_quality_of_a_very_long_text():
+    x = quality.statistics("some words, and more of them. " * 200_000)
+    assert len(x) == len(quality.FEATURES) and all(np.isfinite(x))

@@ -1,6 +1,7 @@
 import itertools
 import shutil
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -12,6 +13,9 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tapewise.llm import minhash, packing, secrets
+from tapewise.llm.queries import OTHER_WEIGHT, TARGET_WEIGHTS
+
+from .test_mixing_sharding import edf
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 DATA = "/root/testdata/sf0.001"
@@ -136,3 +140,49 @@ def test_pipeline_on_nothing(spark, tmp_path):
         spark.read.parquet(f"{DATA}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     shutil.rmtree(tmp_path)
+
+
+def small(spark):
+    rows = [(k, f"word{k} text of source {k % 3}" * (1 + k % 5), "en", f"src{k % 3}" if k % 7 else None, 1) for k in range(60)]
+    rows += [(100, None, "en", "src0", None), (101, "", None, "src1", 0), (None, "no key here at all", "en", "src0", 18), (5, *rows[5][1:]), (102, "long " * 6000, "en", "src2", 30000)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "7 AS sequence_id", "8 AS `_hash`", "9 AS `a.b`")
+
+
+def test_mixing_stage_equals_brute_force(spark):
+    docs = small(spark)
+    out = corpus_pipeline.mix(spark, docs, DATA)
+    assert out.columns == docs.columns
+    got = [r.source or "" for r in out.collect()]
+    counts = Counter(r.source or "" for r in docs.collect())
+    slots = edf(counts, {s: TARGET_WEIGHTS.get(s, OTHER_WEIGHT) for s in counts})
+    assert got == [s for (s, _), _ in sorted(slots.items(), key=lambda x: x[1])]
+    assert sorted(map(str, out.collect())) == sorted(map(str, docs.collect()))
+
+
+def test_packing_stage_equals_brute_force(spark, tokenizer):
+    docs = small(spark)
+    got = corpus_pipeline.pack(spark, docs, DATA).collect()
+    want = Counter()
+    for r in docs.collect():
+        ids = np.array([*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4")
+        for k in range(0, len(ids), 4096):
+            part = ids[k : k + 4096]
+            want[r.doc_id, r.source, k // 4096, k, len(part), zlib.crc32(part.tobytes())] += 1
+    assert Counter((r.doc_id, r.source, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for pieces in by.values():
+        ends = [o + n for o, n in sorted(pieces)]
+        assert [o for o, _ in sorted(pieces)] == [0, *ends[:-1]] and ends[-1] <= 4096
+    assert len(by) == -(-sum(r.length for r in got) // 4096)
+
+
+def test_stages_with_odd_rows(spark, tmp_path):
+    docs = small(spark)
+    near = corpus_pipeline.drop_near_duplicates(spark, docs, DATA)
+    assert near.columns == docs.columns and {100, 101, None} <= {r.doc_id for r in near.collect()}
+    red = corpus_pipeline.redact_secrets(spark, docs, DATA)
+    assert sorted(map(str, red.collect())) == sorted(map(str, docs.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")).collect()))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.keep_quality(spark, docs, str(tmp_path)).count() == docs.count()
