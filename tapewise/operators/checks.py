@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import by_chunk, flag, last, next_, windowed
+from ..functions.clock import local
+from .frames import by_chunk, carried, flag, last, next_, windowed
 from .joins import forward_join
 from .outcomes import forward_excursion
 
@@ -224,3 +225,63 @@ def extremes(trades: DataFrame, by: str, k: int = 5, value: str = "pnl", key: st
     t = trades.withColumn("_u", F.row_number().over(up)).withColumn("_d", F.row_number().over(down)).where((F.col("_u") <= k) | (F.col("_d") <= k))
     places = F.array_compact(F.array(F.when(F.col("_u") <= k, F.col("_u")), F.when(F.col("_d") <= k, -F.col("_d"))))
     return t.withColumn("place", F.explode(places)).drop("_u", "_d")
+
+
+def session_ranges(bars: DataFrame, labels: Column, sessions: Sequence[str], horizons: Sequence[int] = (5, 15, 60)) -> DataFrame:
+    """Every bar with the finished range of each session that it is not in: symbol, bar_no, ts, session, prices, s_high, s_low, s_mid, premium, discount and net_{n}.
+
+    ``labels`` names the session of a bar; a session's range is that of its bars of one trading day (from 18:00 New York time) and holds from the
+    bar after its last one until it begins again. net_{n}: change of the close in the next n bars.
+    """
+    day = F.to_date(local("ts") + F.expr("INTERVAL 6 HOURS"))
+    closes = [F.lead("close", n).over(by_chunk()) - F.col("close") for n in horizons]
+    b = windowed(bars, lambda x: x.select("*", *[c.alias(f"net_{n}") for n, c in zip(horizons, closes, strict=True)]), ahead=max(horizons))
+    b = b.withColumn("_label", labels).withColumn("_day", day)
+    ranges = b.where(F.col("_label").isin(*sessions)).groupBy("symbol", "_label", "_day").agg(F.max("high").alias("high"), F.min("low").alias("low"), F.max("bar_no").alias("bar_no"))
+    ends = ranges.groupBy("symbol", "bar_no").agg(*[F.max(F.when(F.col("_label") == s, F.struct("high", "low"))).alias(f"_r{k}") for k, s in enumerate(sessions)])
+    marked = carried(b.join(ends, ["symbol", "bar_no"], "left"), {f"_s{k}": f"_r{k}" for k in range(len(sessions))}, including=False)
+    each = F.array(*[F.when((F.col("_label") != s) | F.col("_label").isNull(), F.struct(F.lit(s).alias("session"), F.col(f"_s{k}.high").alias("s_high"), F.col(f"_s{k}.low").alias("s_low"))) for k, s in enumerate(sessions)])
+    long = marked.select("symbol", "bar_no", "ts", "high", "low", "close", *[f"net_{n}" for n in horizons], F.inline(F.array_compact(each))).where("s_high is not null")
+    long = long.withColumn("s_mid", (F.col("s_high") + F.col("s_low")) / 2)
+    return long.withColumn("premium", F.col("close") > F.col("s_mid")).withColumn("discount", F.col("close") < F.col("s_mid"))
+
+
+def session_touches(ranges: DataFrame, n: int = 15) -> DataFrame:
+    """Per symbol and session: bars held against the range, its mean and median span, and touches of its middle, high and low with those that hold ``n`` bars later."""
+    then = F.col("close") + F.col(f"net_{n}")
+    seen = then.isNotNull()
+    mid = seen & (F.col("low") <= F.col("s_mid")) & (F.col("high") >= F.col("s_mid"))
+    high, low = seen & (F.col("high") >= F.col("s_high")) & (F.col("low") < F.col("s_high")), seen & (F.col("low") <= F.col("s_low")) & (F.col("high") > F.col("s_low"))
+    held = F.when(F.col("close") > F.col("s_mid"), then > F.col("s_mid")).otherwise(then < F.col("s_mid"))
+    span = F.col("s_high") - F.col("s_low")
+    return ranges.groupBy("symbol", "session").agg(
+        F.count("*").alias("bars"), F.round(F.avg(span), 6).alias("span"), F.round(F.median(span), 6).alias("median_span"), F.count_if(mid).alias("mid_touches"), F.count_if(mid & held).alias("mid_bounces"),
+        F.count_if(high).alias("high_touches"), F.count_if(high & (then < F.col("s_high"))).alias("high_bounces"), F.count_if(low).alias("low_touches"), F.count_if(low & (then > F.col("s_low"))).alias("low_bounces"),
+    )
+
+
+def _sided(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("side", F.when(F.col("premium"), "premium").when(F.col("discount"), "discount")).where("side is not null")
+
+
+def session_returns(ranges: DataFrame, horizons: Sequence[int] = (5, 15, 60)) -> DataFrame:
+    """Per symbol, session, side and horizon: bars, mean gain and number of gains of selling in the upper and buying in the lower half."""
+    long = _sided(ranges).select("symbol", "session", "side", F.expr(f"stack({len(horizons)}, {', '.join(f'{h}, net_{h}' for h in horizons)}) AS (horizon, net)")).where("net is not null")
+    gain = F.when(F.col("side") == "premium", -F.col("net")).otherwise(F.col("net"))
+    return long.withColumn("gain", gain).groupBy("symbol", "session", "side", "horizon").agg(F.count("*").alias("bars"), F.round(F.avg("gain"), 6).alias("mean"), F.count_if(F.col("gain") > 0).alias("gains"))
+
+
+def session_confluence(ranges: DataFrame, most: int = 4, n: int = 15) -> DataFrame:
+    """Per symbol, side and level: bars that are on this side of at least so many sessions' ranges, and their mean gain ``n`` bars later."""
+    net = F.col(f"net_{n}")
+    per = _sided(ranges).where(net.isNotNull()).groupBy("symbol", "bar_no", "side").agg(F.count("*").alias("_n"), F.first(net).alias("net"))
+    gain = F.when(F.col("side") == "premium", -F.col("net")).otherwise(F.col("net"))
+    each = per.withColumn("gain", gain).withColumn("level", F.explode(F.sequence(F.lit(1), F.least(F.col("_n").cast("int"), F.lit(most)))))
+    return each.groupBy("symbol", "side", "level").agg(F.count("*").alias("bars"), F.round(F.avg("gain"), 6).alias("mean"), F.count_if(F.col("gain") > 0).alias("gains"))
+
+
+def session_filter(ranges: DataFrame, touches: DataFrame, n: int = 15) -> DataFrame:
+    """Per symbol, session and side: touches of zones (symbol, bar_no), and how many gain in ``n`` bars by selling in the upper and buying in the lower half."""
+    met = _sided(ranges).where(F.col(f"net_{n}").isNotNull()).join(touches.select("symbol", "bar_no").distinct(), ["symbol", "bar_no"])
+    gain = F.when(F.col("side") == "premium", -F.col(f"net_{n}")).otherwise(F.col(f"net_{n}"))
+    return met.groupBy("symbol", "session", "side").agg(F.count("*").alias("touches"), F.count_if(gain > 0).alias("gains"))

@@ -113,16 +113,22 @@ def liquidity_sweeps(bars: DataFrame, least: float = 3.0) -> DataFrame:
     return long.groupBy("symbol", "day", "side").agg(F.min("bar_no").alias("bar_no"))
 
 
-def gap_retraces(bars: DataFrame, gaps: DataFrame, first: int = 1, until: int = 720, body_share: float = 0.4) -> DataFrame:
-    """First bar after an opening gap that touches it and closes away from it with a strong body: symbol, period, direction, bar_no."""
+def gap_retraces(bars: DataFrame, gaps: DataFrame, first: int = 5, until: int = 720, reach: float = 0.6, rejection: float = 0.4, volume: float = 1.2, volume_n: int = 100) -> DataFrame:
+    """First bar that rejects an opening gap, against whose direction a trade then goes: symbol, period, direction (of the gap), bar_no.
+
+    From ``first`` to ``until`` bars after the open: the bar is in the gap, its extreme lies within ``reach`` of the gap's height from the gap's far
+    side (top of a gap up, bottom of a gap down), its close has left that extreme by ``rejection`` of the range, and its volume is at least
+    ``volume`` times the median of the ``volume_n`` bars before.
+    """
     opens = bars.withColumn("period", F.date_trunc("day", "ts")).groupBy("symbol", "period").agg(F.min("bar_no").alias("bar_no"))
     g = gaps.join(opens, ["symbol", "period"]).select("symbol", "period", "direction", "gap_top", "gap_bottom", "bar_no")
-    steps = forward_join(g, bars, until, ["open", "high", "low", "close"]).where(F.col("step") >= first)
-    up = F.col("direction") > 0
-    touch = F.when(up, F.col("low") <= F.col("gap_top")).otherwise(F.col("high") >= F.col("gap_bottom"))
-    body = F.abs(F.col("close") - F.col("open")) / F.when(F.col("high") > F.col("low"), F.col("high") - F.col("low"))
-    turn = F.when(up, F.col("close") < F.col("open")).otherwise(F.col("close") > F.col("open"))
-    hit = steps.where(flag(touch & turn & (body >= body_share)))
+    usual = windowed(bars, lambda b: b.withColumn("_usual", F.percentile("volume", F.lit(0.5)).over(last(volume_n, including=False))), back=volume_n)
+    steps = forward_join(g, usual, until, ["high", "low", "close", "volume", "_usual"]).where(F.col("step") >= first)
+    up, height = F.col("direction") > 0, F.col("gap_top") - F.col("gap_bottom")
+    inside = (F.col("low") <= F.col("gap_top")) & (F.col("high") >= F.col("gap_bottom"))
+    near = F.when(up, F.abs(F.col("high") - F.col("gap_top"))).otherwise(F.abs(F.col("low") - F.col("gap_bottom"))) <= reach * height
+    left = F.when(up, F.col("high") - F.col("close")).otherwise(F.col("close") - F.col("low")) / F.when(F.col("high") > F.col("low"), F.col("high") - F.col("low"))
+    hit = steps.where(flag((height > 0) & inside & near & (left >= rejection) & (F.col("volume") >= volume * F.col("_usual"))))
     return hit.groupBy("symbol", "period", "direction").agg((F.min(F.col("bar_no") + F.col("step"))).alias("bar_no"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.clock import local, session_map
 from ..operators import checks, levels, outcomes, signals, zones
 from ..sources.bars import keyed_event_bars
 from ..sources.store import stage
@@ -142,3 +143,46 @@ def best_and_worst(spark: SparkSession, sf_dir: str) -> DataFrame:
     stays="SELECT symbol, side, zone_id, entry, far, row_number() OVER (PARTITION BY symbol, side, zone_id ORDER BY island) AS visit, count(*) AS bars, min(bar_no) AS first_no, max(bar_no) AS last_no FROM within_ GROUP BY symbol, side, zone_id, entry, far, island")
 def visit_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zones.visit_durations(gap_zones(spark, sf_dir)[0])
+
+
+_SESSIONS = ("Asia", "London", "NY_AM", "NY_PM")
+_RANGES = {
+    "labelled": f"""SELECT *, CAST(ny + INTERVAL 6 HOUR AS DATE) AS d, CASE WHEN m >= 1080 OR m < 120 THEN 'Asia' WHEN m < 480 THEN 'London' WHEN m < 720 THEN 'NY_AM' WHEN m < 960 THEN 'NY_PM' ELSE 'Post' END AS label,
+        {", ".join(f"lead(close, {n}) OVER ({W}) - close AS net_{n}" for n in (5, 15, 60))} FROM (SELECT *, hour(ny) * 60 + minute(ny) AS m FROM bars)""",
+    "finished": "SELECT symbol, label AS session, d, max(high) AS s_high, min(low) AS s_low, max(bar_no) AS end_no FROM labelled WHERE label <> 'Post' GROUP BY 1, 2, 3",
+    "ranged": """SELECT *, (s_high + s_low) / 2 AS s_mid, close > (s_high + s_low) / 2 AS premium, close < (s_high + s_low) / 2 AS discount FROM (
+        SELECT b.symbol, b.bar_no, b.high, b.low, b.close, b.net_5, b.net_15, b.net_60, s.session, r.s_high, r.s_low FROM labelled b JOIN (SELECT unnest(['Asia', 'London', 'NY_AM', 'NY_PM']) AS session) s ON s.session <> b.label
+            ASOF JOIN finished r ON r.symbol = b.symbol AND r.session = s.session AND r.end_no < b.bar_no)""",
+    "sided": "SELECT *, CASE WHEN premium THEN 'premium' ELSE 'discount' END AS side, CASE WHEN premium THEN -1 ELSE 1 END AS sgn FROM ranged WHERE premium OR discount",
+}
+
+
+def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(checks.session_ranges(keyed_event_bars(spark, sf_dir), session_map(local("ts"), "ny_halves"), _SESSIONS), "ranges")
+
+
+@query("""SELECT symbol, session, count(*) AS bars, round(avg(s_high - s_low), 6) AS span, round(median(s_high - s_low), 6) AS median_span,
+        count(*) FILTER (t AND low <= s_mid AND high >= s_mid) AS mid_touches, count(*) FILTER (t AND low <= s_mid AND high >= s_mid AND CASE WHEN close > s_mid THEN close + net_15 > s_mid ELSE close + net_15 < s_mid END) AS mid_bounces,
+        count(*) FILTER (t AND high >= s_high AND low < s_high) AS high_touches, count(*) FILTER (t AND high >= s_high AND low < s_high AND close + net_15 < s_high) AS high_bounces,
+        count(*) FILTER (t AND low <= s_low AND high > s_low) AS low_touches, count(*) FILTER (t AND low <= s_low AND high > s_low AND close + net_15 > s_low) AS low_bounces
+    FROM (SELECT *, net_15 IS NOT NULL AS t FROM ranged) GROUP BY 1, 2""", **_RANGES)
+def session_touches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.session_touches(_ranges(spark, sf_dir))
+
+
+@query("SELECT symbol, session, side, h AS horizon, count(*) AS bars, round(avg(sgn * net), 6) AS mean, count(*) FILTER (sgn * net > 0) AS gains FROM (SELECT *, unnest([5, 15, 60]) AS h, unnest([net_5, net_15, net_60]) AS net FROM sided) WHERE net IS NOT NULL GROUP BY 1, 2, 3, 4", **_RANGES)
+def session_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.session_returns(_ranges(spark, sf_dir))
+
+
+@query("""SELECT symbol, side, l AS level, count(*) AS bars, round(avg(gain), 6) AS mean, count(*) FILTER (gain > 0) AS gains FROM (SELECT symbol, bar_no, side, count(*) AS n, any_value(sgn * net_15) AS gain FROM sided WHERE net_15 IS NOT NULL GROUP BY 1, 2, 3),
+        (SELECT unnest([1, 2, 3, 4]) AS l) WHERE n >= l GROUP BY 1, 2, 3""", **_RANGES)
+def session_confluence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.session_confluence(_ranges(spark, sf_dir))
+
+
+@query("""SELECT s.symbol, session, side, count(*) AS touches, count(*) FILTER (sgn * net_15 > 0) AS gains FROM sided s JOIN (SELECT DISTINCT symbol, bar_no FROM zone_bars WHERE bar_no > born_no AND lo <= entry AND hi >= far) t USING (symbol, bar_no)
+    WHERE net_15 IS NOT NULL GROUP BY 1, 2, 3""", **_RANGES)
+def session_zone_touches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    zoned = zones.zone_bars(signals.fair_value_gap(keyed_event_bars(spark, sf_dir))).where("bar_no > born_no and lo <= entry and hi >= far")
+    return checks.session_filter(_ranges(spark, sf_dir), zoned)

@@ -77,8 +77,10 @@ def liquidity_sweeps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT g.symbol, strftime(g.d, '%Y-%m-%d') AS period, direction, min(b.bar_no) AS bar_no FROM (SELECT g.*, o.bar_no FROM gapped g JOIN (SELECT symbol, date_trunc('day', ts) AS d, min(bar_no) AS bar_no FROM bars GROUP BY 1, 2) o USING (symbol, d)) g
-    JOIN bars b ON b.symbol = g.symbol AND b.bar_no BETWEEN g.bar_no + 1 AND g.bar_no + 720
-    WHERE CASE WHEN direction > 0 THEN b.low <= top AND b.close < b.open ELSE b.high >= bottom AND b.close > b.open END AND abs(b.close - b.open) / nullif(b.high - b.low, 0) >= 0.4 GROUP BY 1, 2, 3""",
+    JOIN usual b ON b.symbol = g.symbol AND b.bar_no BETWEEN g.bar_no + 5 AND g.bar_no + 720
+    WHERE b.low <= top AND b.high >= bottom AND CASE WHEN direction > 0 THEN abs(b.high - top) ELSE abs(b.low - bottom) END <= 0.6 * (top - bottom) AND b.volume >= 1.2 * med
+          AND CASE WHEN direction > 0 THEN b.high - b.close ELSE b.close - b.low END / nullif(b.high - b.low, 0) >= 0.4 GROUP BY 1, 2, 3""",
+    usual=f"SELECT *, quantile_cont(volume, 0.5) OVER ({W} ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING) AS med FROM bars",
     daily="SELECT symbol, date_trunc('day', ts) AS d, arg_min(open, ts) AS open, arg_max(close, ts) AS close FROM bars GROUP BY 1, 2",
     gapped="SELECT *, CAST(sign(open - p) AS INT) AS direction, least(open, p) AS bottom, greatest(open, p) AS top FROM (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY d) AS p FROM daily) WHERE p IS NOT NULL AND open <> p")
 def gap_retraces(spark: SparkSession, sf_dir: str) -> DataFrame:
