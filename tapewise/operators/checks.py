@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import local
+from ..functions.draws import drawn
 from .frames import by_chunk, carried, flag, last, next_, windowed
 from .joins import forward_join
 from .outcomes import forward_excursion
@@ -37,7 +38,7 @@ def with_noise(bars: DataFrame, share: float, seed: int = 11) -> DataFrame:
     """Prices moved by normal noise of ``share`` of their value; draws are hashes of seed and bar, so runs agree. The range stays around open and close."""
 
     def draw(k: int) -> Column:
-        u = lambda j: (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), F.lit(j), "symbol", "bar_no"), F.lit(1 << 30)) + 1) / float((1 << 30) + 1)
+        u = lambda j: (drawn(seed, k, j, "symbol", "bar_no") % (1 << 30) + 1) / float((1 << 30) + 1)
         return F.sqrt(-2 * F.ln(u(0))) * F.cos(6.283185307179586 * u(1))
 
     moved = bars.select(*[(F.col(c) * (1 + share * draw(("open", "high", "low", "close").index(c)))).alias(c) if c in ("open", "high", "low", "close") else F.col(c) for c in bars.columns])

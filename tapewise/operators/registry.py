@@ -11,6 +11,8 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import drawn
+
 #: Profit factors at or above this one are artefacts of tiny losses and don't count.
 ARTEFACT = 500.0
 TIER_A, TIER_B, TIER_A_TRADES, MOST_PBO = 2.0, 1.5, 20, 0.5
@@ -196,11 +198,11 @@ def monte_carlo(trades: DataFrame, by: str, resamples: int = 200, seed: int = 7)
 
     A Poisson(1) weight stands for how often a resample draws a trade, so each trade is weighted on its own.
     """
-    u = F.pmod(F.xxhash64(F.lit(seed), "trade_id", "resample"), 1_000_000) / 1_000_000.0
+    u = drawn(seed, "trade_id", "resample") % 1_000_000 / 1_000_000.0
     cuts = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)
     weight = sum(((u >= c).cast("int") for c in cuts[1:]), (u >= cuts[0]).cast("int"))
-    drawn = trades.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("_w", weight)
-    totals = drawn.groupBy(by, "resample").agg(F.sum(F.col("_w") * F.col("pnl")).alias("_t"))
+    every = trades.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("_w", weight)
+    totals = every.groupBy(by, "resample").agg(F.round(F.sum(F.col("_w") * F.col("pnl")), 9).alias("_t"))
     return totals.groupBy(by).agg(F.round(F.avg((F.col("_t") > 0).cast("int")), 6).alias("profitable"))
 
 

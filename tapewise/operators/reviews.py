@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import drawn
 from ..sources.store import stage
 from .registry import finite, tokens
 
@@ -34,9 +35,9 @@ def shuffle_test(runs: DataFrame, target: DataFrame, resamples: int = 200, least
     t = tokens(runs).join(rows, "run_id").crossJoin(F.broadcast(total)).withColumn("_c", F.try_divide(F.col("value") - F.col("_m"), F.col("_d")))  # one row of totals
     seen = t.groupBy("token").agg(F.count("*").alias("runs"), (F.sum("_c") / F.sqrt(F.count("*"))).alias("z"))
     many = seen.where(F.col("runs") >= least).select("token", "runs")
-    sign = 1 - 2 * F.pmod(F.xxhash64(F.lit(seed), "run_id", "resample"), F.lit(2))
-    drawn = t.join(many.select("token"), "token", "left_semi").withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    null = drawn.groupBy("token", "resample").agg((F.sum(sign * F.col("_c")) / F.sqrt(F.count("*"))).alias("_z"))
+    sign = 1 - 2 * (drawn(seed, "run_id", "resample") % 2)
+    every = t.join(many.select("token"), "token", "left_semi").withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    null = every.groupBy("token", "resample").agg((F.sum(sign * F.col("_c")) / F.sqrt(F.count("*"))).alias("_z"))
     largest = null.groupBy("resample").agg(F.max("_z").alias("_top")).agg(F.collect_list("_top").alias("_tops"))  # one row, as long as there are resamples
     out = seen.crossJoin(F.broadcast(largest))
     beaten = F.size(F.filter("_tops", lambda x: x >= F.col("z")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.clock import local, session_map
+from ..functions.draws import drawn_sql
 from ..operators import checks, levels, outcomes, signals, zones
 from ..sources.bars import keyed_event_bars
 from ..sources.store import stage
@@ -23,9 +24,18 @@ def sliding_split_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.split_rates(checks.sliding_splits(_states(spark, sf_dir), 300, 100), F.col("state") == "C", _moved())
 
 
-@query()
+def _noisy(column: str, k: int) -> str:
+    u = [f"({drawn_sql('11', str(k), str(j), 'symbol', 'bar_no')} % {1 << 30} + 1) / {(1 << 30) + 1}.0::DOUBLE" for j in (0, 1)]
+    return f"{column} * (1 + share * sqrt(-2 * ln({u[0]})) * cos(6.283185307179586 * ({u[1]}))) AS {column}"
+
+
+@query("""SELECT h.symbol, h.noise, h.hits, round(h.kept, 6) AS kept, CASE WHEN kept >= 0.8 THEN 'stable' WHEN kept >= 0.5 THEN 'drift' ELSE 'break' END AS label FROM (
+        SELECT g.symbol, n.share AS noise, count(*) FILTER (g.bull) AS hits, count(*) FILTER (g.bull AND n.bull) / count(*) FILTER (g.bull) AS kept FROM gaps g JOIN noisy_gaps n USING (symbol, bar_no) GROUP BY 1, 2) h WHERE hits > 0""",
+    shaken="SELECT symbol, bar_no, share, greatest(open, high, low, close) AS high, least(open, high, low, close) AS low FROM (SELECT symbol, bar_no, share, " + ", ".join(_noisy(c, k) for k, c in enumerate(("open", "high", "low", "close")))
+    + " FROM bars, (SELECT unnest([0.001::DOUBLE, 0.002, 0.005]) AS share))",
+    noisy_gaps="SELECT *, coalesce(low - lag(high, 2) OVER (PARTITION BY symbol, share ORDER BY bar_no) > 0, false) AS bull FROM shaken")
 def noise_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.noise_check(stage(keyed_event_bars(spark, sf_dir), "bars"), signals.displacement, "disp_bull")
+    return checks.noise_check(stage(keyed_event_bars(spark, sf_dir), "bars"), signals.fair_value_gap, "fvg_bull")
 
 
 _MOVED = f"SELECT * FROM (SELECT *, abs(lead(close, 60) OVER ({W}) - close) AS move FROM atrs) WHERE move IS NOT NULL AND atr IS NOT NULL"

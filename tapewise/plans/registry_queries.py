@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import drawn_sql
 from ..operators import ideas, joins, registry, signals
 from ..sources.bars import keyed, keyed_event_bars, order_bars, read_table
 from ..sources.store import stage
@@ -146,10 +147,13 @@ def holdout_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.holdout_class(r).groupBy("class").agg(F.count("*").alias("runs"))
 
 
-@query()
+@query(f"""SELECT run, round(avg((t > 0)::INT), 6) AS profitable FROM (SELECT run, k, round(sum(w * pnl), 9) AS t FROM (
+        SELECT run, k, pnl, {" + ".join(f"(u >= {c})::INT" for c in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582))} AS w FROM (
+            SELECT l_returnflag AS run, k, l_discount - 0.05 AS pnl, {drawn_sql("7", "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)", "k")} % 1000000 / 1000000.0::DOUBLE AS u
+            FROM lineitem, (SELECT range AS k FROM range(50)))) GROUP BY 1, 2) GROUP BY 1""")
 def resampled_profits(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read_table(spark, sf_dir, "lineitem")
-    trades = lines.select(F.col("l_returnflag").alias("run"), F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("trade_id"), (F.col("l_discount").cast("double") - 0.05).alias("pnl"))
+    trades = lines.select(F.col("l_returnflag").alias("run"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("trade_id"), (F.col("l_discount").cast("double") - 0.05).alias("pnl"))
     return registry.monte_carlo(trades, "run", 50)
 
 

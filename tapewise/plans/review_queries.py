@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.draws import drawn_sql
 from ..operators import registry, reviews
 from ..sources.bars import read_table
 from ..sources.store import stage
 from .registry import query
-from .registry_queries import _TARGET, _TIERS, _TOKENS, _target, results_table, runs_table
+from .registry_queries import _EFFECT, _TARGET, _TIERS, _TOKENS, _target, results_table, runs_table
 
 
 def _rates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,18 +28,35 @@ def block_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reviews.block_quality(_rates(spark, sf_dir), stage(runs_table(spark, sf_dir), "runs"), registry.tiers(results_table(spark, sf_dir)))
 
 
-@query()
+_SHUFFLED = {
+    "toks": _TOKENS, "tgt": _TARGET,
+    "centred": "SELECT token, run_id, (value - m) / nullif(d, 0) AS c FROM toks JOIN tgt USING (run_id), (SELECT avg(value) AS m, stddev_pop(value) AS d FROM tgt WHERE run_id IN (SELECT run_id FROM build_runs))",
+    "zs": "SELECT token, count(*) AS runs, sum(c) / sqrt(count(*)) AS z FROM centred GROUP BY 1",
+    "tops": f"""SELECT k, max(z) AS top FROM (SELECT token, k, sum((1 - 2 * ({drawn_sql('3', 'run_id', 'k')} % 2)) * c) / sqrt(count(*)) AS z FROM centred JOIN zs USING (token), (SELECT range AS k FROM range(50)) WHERE runs >= 20 GROUP BY 1, 2) GROUP BY 1""",
+    "shuffled": "SELECT token, runs, z, CASE WHEN runs < 20 THEN 1.0 ELSE ((SELECT count(*) FROM tops WHERE top >= z) + 1) / ((SELECT count(*) FROM tops) + 1) END AS p FROM zs",
+}
+
+
+@query("SELECT token, runs, round(z, 6) AS z, round(p, 6) AS p FROM shuffled", **_SHUFFLED)
 def block_shuffles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reviews.shuffle_test(stage(runs_table(spark, sf_dir), "runs"), stage(_target(spark, sf_dir), "target"), 50)
 
 
-@query()
+@query("""SELECT token, p, delta, CASE WHEN p < 0.05 AND delta > 0 THEN 'EDGE' WHEN p >= 0.2 OR delta <= 0 THEN 'NOISE' ELSE 'UNCLEAR' END AS verdict FROM (
+        SELECT token, round(p, 6) AS p, round(w - wo, 6) AS delta FROM shuffled JOIN effect USING (token) WHERE with_n >= 3)""", **_SHUFFLED, effect=_EFFECT)
 def block_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs, target = stage(runs_table(spark, sf_dir), "runs"), stage(_target(spark, sf_dir), "target")
     both = reviews.shuffle_test(runs, target, 50).join(registry.block_effect(runs, target), "token")
     return both.select("token", "p", "delta", reviews.verdict(F.col("p"), F.col("delta"), F.col("delta")).alias("verdict"))
 
 
+@query("SELECT run_id, len(w) AS tokens, value AS label FROM (SELECT run_id, string_split(idea, ' + ') AS w FROM build_runs) JOIN tgt USING (run_id)", tgt=_TARGET)
+def token_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = registry.feature_rows(stage(runs_table(spark, sf_dir), "runs"), stage(_target(spark, sf_dir), "target"))
+    ones = F.aggregate(vector_to_array("features"), F.lit(0.0), lambda t, x: t + x)
+    return rows.select("run_id", ones.cast("long").alias("tokens"), "label")
+
+
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs with a bounded score of their mean profit factor."""
     r = runs_table(spark, sf_dir).join(_target(spark, sf_dir), "run_id")
