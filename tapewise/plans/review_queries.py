@@ -63,7 +63,22 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("session", F.col("run_id").alias("id"), F.round(F.col("value") / 4, 6).alias("p"), F.split("idea", r" \+ ").alias("tokens"))
 
 
-@query()
+def _diverse_sql(k: int = 5, weight: float = 0.7) -> tuple[str, dict[str, str]]:
+    """One expression for each place: the candidate of a session with the best value against those chosen before."""
+    steps = {"cands": "SELECT session, run_id AS id, round(value / 4, 6) AS p, string_split(idea, ' + ') AS t FROM build_runs JOIN tgt USING (run_id)", "tgt": _TARGET}
+    for place in range(1, k + 1):
+        before = " UNION ALL ".join(f"SELECT session, id, t FROM pick{j}" for j in range(1, place)) or "SELECT NULL AS session, NULL::BIGINT AS id, NULL::VARCHAR[] AS t WHERE false"
+        steps[f"had{place}"] = before
+        near = f"coalesce((SELECT max(len(list_intersect(c.t, d.t)) / sqrt((len(c.t) * len(d.t))::DOUBLE)) FROM had{place} d WHERE d.session = c.session), 0)"
+        steps[f"pick{place}"] = f"""SELECT session, id, p, t FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY v DESC, id) AS r FROM (
+            SELECT c.*, ({weight} * c.p - {1 - weight!r}::DOUBLE * {near}) AS v FROM cands c WHERE NOT EXISTS (SELECT 1 FROM had{place} d WHERE d.session = c.session AND d.id = c.id))) WHERE r = 1"""
+    return " UNION ALL ".join(f"SELECT session, {j} AS place, id, p FROM pick{j}" for j in range(1, k + 1)), steps
+
+
+_DIVERSE, _PICKS = _diverse_sql()
+
+
+@query(_DIVERSE, **_PICKS)
 def diverse_ideas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reviews.diverse(_candidates(spark, sf_dir), "session")
 
