@@ -354,13 +354,13 @@ def mean_reversions(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BODY = "coalesce((close - open) / nullif(high - low, 0), 0)"
 
 
-@query(f"""SELECT symbol, bar_no, round(u, 6) AS hawkes_bull_excitation, round(d, 6) AS hawkes_bear_excitation, u >= 0.1 AND NOT nu AS hawkes_bull_passes, d >= 0.1 AND NOT nd AS hawkes_bear_passes FROM (
+@query("""SELECT symbol, bar_no, u >= 0.1 AS hawkes_bull_active, d >= 0.1 AS hawkes_bear_active, nu AS hawkes_decay_bull, nd AS hawkes_decay_bear, u >= 0.1 AND NOT nu AS hawkes_bull_passes, d >= 0.1 AND NOT nd AS hawkes_bear_passes FROM (
         SELECT a.symbol, a.bar_no, sum(CASE WHEN p.body >= 0.25 THEN p.body ELSE 0 END * pow(0.5, (a.bar_no - p.bar_no) / 5.0)) AS u, sum(CASE WHEN p.body <= -0.25 THEN -p.body ELSE 0 END * pow(0.5, (a.bar_no - p.bar_no) / 5.0)) AS d,
                count(*) FILTER (p.body < 0 AND p.bar_no > a.bar_no - 3) = 3 AS nu, count(*) FILTER (p.body > 0 AND p.bar_no > a.bar_no - 3) = 3 AS nd
         FROM bodies a JOIN bodies p ON p.symbol = a.symbol AND p.bar_no <= a.bar_no AND p.bar_no > a.bar_no - 100 GROUP BY 1, 2)""", bodies=f"SELECT symbol, bar_no, {_BODY} AS body FROM bars")
 def excitations(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = signals.hawkes_decay(keyed_event_bars(spark, sf_dir))
-    return h.select("symbol", "bar_no", *[F.round(f"hawkes_{s}_excitation", 6).alias(f"hawkes_{s}_excitation") for s in ("bull", "bear")], "hawkes_bull_passes", "hawkes_bear_passes")
+    return h.select("symbol", "bar_no", *[f"hawkes_{s}_{k}" for s in ("bull", "bear") for k in ("active", "passes")], "hawkes_decay_bull", "hawkes_decay_bear")
 
 
 @query(f"""SELECT symbol, bar_no, round(f, 6) AS ofi_fast, round(s, 6) AS ofi_slow, CASE WHEN n = 15 AND f > 0 AND s > 0 THEN 1 WHEN n = 15 AND f < 0 AND s < 0 THEN -1 ELSE 0 END AS ofi_signal FROM (
