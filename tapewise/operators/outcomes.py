@@ -145,7 +145,7 @@ def _carried_over(trades: DataFrame, key: list[str], order: str, values: dict[st
     before = Window.partitionBy(*key).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
     left = t.groupBy(*key, "_stretch").agg(*[f(F.col(f"_v_{name}")).alias(f"_b_{name}") for name, (_, f) in values.items()])
     left = left.select(*key, "_stretch", *[f(F.col(f"_b_{name}")).over(before).alias(f"_b_{name}") for name, (_, f) in values.items()])
-    inner = [c for c in ("entry_no", "exit_no", "direction") if c in trades.columns and c != order]
+    inner = [c for c in ("entry_no", "direction", "exit_no") if c in trades.columns and c != order]
     within = Window.partitionBy(*key, "_stretch").orderBy(order, *inner).rowsBetween(Window.unboundedPreceding, 0 if including else -1)
     for name, (_, f) in values.items():
         t = t.withColumn(f"_w_{name}", f(F.col(f"_v_{name}")).over(within))
