@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, minhash, mixing, ogg, packing, quality, secrets, sharding, urls, vectors
+from . import licenses, minhash, mixing, ogg, packing, personal, quality, secrets, sharding, squares, urls, variants, vectors
 from .common import materialise, table, text_or_empty
 
 #: Target shares of the mixture: one large source is held to 20 parts, every other source gets 4.
@@ -95,11 +95,52 @@ def op10_pivot_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.similar_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
 
 
+def altered_words(docs: DataFrame) -> DataFrame:
+    """documents (doc_id, text) with ``words``: in every tenth text by checksum of the id, all words from some place on repeat the first ones from there."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    altered = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("w")).withColumn("n", F.size("w"))
+    altered = altered.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    altered = altered.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    again = F.expr("slice(flatten(array_repeat(slice(w, a + 1, p), cast(ceil((n - a) / p) AS int))), 1, n - a)")
+    return altered.select("doc_id", F.when(F.col("a").isNull(), F.col("text")).otherwise(F.array_join(F.concat(F.expr("slice(w, 1, a)"), again), " ")).alias("text"))
+
+
+def op11_dyadic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = altered_words(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("found", squares.periodic_runs(F.col("text")))
+    runs = F.arrays_zip(F.col("found.starts").alias("start"), F.col("found.lengths").alias("length"), F.col("found.periods").alias("period"))
+    docs = docs.select("doc_id", "found.collapsed", runs.alias("runs"))
+    longest = F.element_at(F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("shorter"), r["start"].alias("start"), r["period"].alias("period")))), 1)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    docs = docs.withColumn("lines", lines).withColumn("best", F.when(F.size("runs") > 0, longest))
+    length = -F.col("best.shorter")
+    return docs.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), length.alias("length"), F.col("best.period").alias("period"),
+        F.expr("(-best.shorter * 1000) div best.period").alias("exponent_milli"), F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = variants.word_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    hashed = runs.withColumn("h", F.crc32(F.concat(F.col("key").cast("string"), F.lit(":"), "word").cast("binary")))
+    at = F.col("h") % F.length("word")
+    short = F.concat(F.expr("left(word, cast(h % length(word) AS int))"), F.col("word").substr((at + 2).cast("int"), F.length("word")))
+    words = hashed.select(F.when(F.col("h") % 97 == 0, short).otherwise(F.col("word")).alias("word"))
+    return variants.spelling_variants(materialise(variants.vocabulary(words), "vocabulary"))
+
+
+def op13_personal_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "documents").select("doc_id", personal.personal_spans(text_or_empty()).alias("spans"))
+    counts = [F.size(F.filter("spans.kinds", lambda k: k == kind)).cast("long").alias(f"n_{kind}") for kind in personal.BASE]
+    spans = F.col("spans")
+    return found.select("doc_id", *counts, F.sha2(personal.span_text(spans, personal.BASE), 256).alias("base_sha256"), personal.span_text(spans).alias("spans"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_pfair_mix, op2_license_scan, op3_stratified_shards, op4_ogg_media, op5_superminhash, op6_secret_owners, op7_exact_complement_packing,
-        op8_quality_trees, op9_url_links, op10_pivot_permutations,
+        op8_quality_trees, op9_url_links, op10_pivot_permutations, op11_dyadic_runs, op12_spelling_variants, op13_personal_anchors,
     )
 }
 
