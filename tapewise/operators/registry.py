@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import CountVectorizer, StandardScaler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
@@ -266,20 +264,10 @@ def lasso(rows: DataFrame, strengths: tuple[float, ...] = (0.001, 0.01, 0.1), fo
 
 
 def tree_importance(rows: DataFrame, seed: int = 1) -> list[float]:
-    """Feature importances (shares of the gain, not SHAP values) of boosted regression trees."""
+    """Feature importances of boosted regression trees: shares of the gain (``learner.attributions`` has each row's shares)."""
     return GBTRegressor(maxIter=20, maxDepth=3, seed=seed).fit(rows).featureImportances.toArray().tolist()
 
 
-def promising(rows: DataFrame, good: Column, seed: int = 1) -> DataFrame:
-    """Probability that a run is of tier A or B, by a forest balanced through weights; bands reject < 0.40, queue >= 0.65, else review."""
-    r = rows.withColumn("y", good.cast("double"))
-    share = r.agg(F.avg("y")).first()[0] or 0.5
-    r = r.withColumn("w", F.when(F.col("y") == 1, 0.5 / max(share, 1e-9)).otherwise(0.5 / max(1 - share, 1e-9)))
-    model = RandomForestClassifier(labelCol="y", weightCol="w", numTrees=50, maxDepth=6, seed=seed).fit(r)
-    p = model.transform(r).withColumn("prob", vector_to_array("probability")[1])
-    return p.select("run_id", "y", "prob", F.when(F.col("prob") < 0.40, "reject").when(F.col("prob") >= 0.65, "queue").otherwise("review").alias("band"))
-
-
 def upsert(current: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """Rows of ``current`` and ``new`` by key; a new value wins unless it is null."""
     a, b = current.alias("a"), new.alias("b")

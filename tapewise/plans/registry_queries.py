@@ -166,12 +166,6 @@ def backtest_overfitting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.overfitting(series)
 
 
-@query()
-def edge_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs, target = stage(runs_table(spark, sf_dir), "runs"), stage(_target(spark, sf_dir), "target")
-    return registry.promising(registry.feature_rows(runs, target), F.col("label") >= registry.TIER_B).groupBy("band").agg(F.count("*").alias("runs"))
-
-
 @query("""SELECT coalesce(b.k, a.k) AS k, coalesce(b.x, a.x) AS x, coalesce(b.y, a.y) AS y FROM
         (SELECT c_custkey AS k, c_acctbal::DOUBLE AS x, c_mktsegment AS y FROM customer WHERE c_acctbal > 1000) a
         FULL JOIN (SELECT c_custkey AS k, CASE WHEN c_nationkey < 5 THEN NULL ELSE 1.5::DOUBLE END AS x, c_nationkey::VARCHAR AS y FROM customer WHERE c_nationkey < 12) b ON a.k = b.k""")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.draws import drawn_sql
-from ..operators import registry, reviews
+from ..operators import learner, registry, reviews
 from ..sources.bars import read_table
 from ..sources.store import stage
 from .registry import query
@@ -108,3 +108,70 @@ def locked_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     overall = target.agg(F.round(F.avg("value"), 6).alias("_all"))
     status = effect.crossJoin(F.broadcast(overall)).select("token", F.when(F.col("m") < F.col("_all"), "broken").otherwise("fine").alias("status"))  # one row of totals
     return reviews.locked(runs, status)
+
+
+# what the registry teaches
+
+#: Part types stand for the concepts of an idea.
+_TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
+
+
+def _learned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, learner.Learner]:
+    """Runs with ideas and tiers, and what is learned from them."""
+    tiered = registry.tiers(results_table(spark, sf_dir)).select("run_id", "tier", "avg_pf", "avg_trades", F.lit(None).cast("double").alias("mc"))
+    runs = stage(runs_table(spark, sf_dir).join(tiered, "run_id").withColumn("idea", F.concat_ws(" ", "idea", "session")), "runs")
+    return runs, learner.fit(runs, F.col("tier").isin("A", "B"), _TYPES)
+
+
+@query()
+def edge_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ideas of the registry by band, with their mean probability, doubt and novelty."""
+    runs, model = _learned(spark, sf_dir)
+    found = learner.judged(model, runs.select("idea").distinct().withColumn("id", F.col("idea")), runs)
+    return found.groupBy("band").agg(F.count("*").alias("ideas"), F.round(F.avg("prob"), 4).alias("prob"), F.round(F.avg("uncertainty"), 4).alias("uncertainty"), F.round(F.avg("novelty"), 4).alias("novelty"))
+
+
+@query()
+def edge_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the probabilities of runs, judged by what never saw them, lie from what became of them."""
+    scores = learner.brier(_learned(spark, sf_dir)[1].scores)
+    return scores.select("runs", *[F.round(c, 6).alias(c) for c in ("share", "brier", "brier_of_share")])
+
+
+#: Common words of four languages stand for concepts, in conversations (the known ideas) and documents (the new ones).
+_MARKERS = ("THE", "OF", "AND", "ER", "EN", "IN", "DE", "LA", "LES", "LE", "EAU", "RE", "ST", "ND", "AN", "ON")
+_NOVELTY = {
+    "markers": f"SELECT {list(_MARKERS)} AS m",
+    "fresh": "SELECT doc_id, list_sort(list_filter(m, lambda c: list_contains(string_split_regex(upper(text), '[\\s+]+'), c))) AS s FROM documents, markers",
+    "told": "SELECT DISTINCT list_sort(list_filter(m, lambda c: list_contains(string_split_regex(upper(text), '[\\s+]+'), c))) AS t FROM conversations, markers",
+    "alike": """SELECT s, max(CASE WHEN len(s) = 0 AND len(t) = 0 THEN 1 WHEN len(s) = 0 OR len(t) = 0 THEN 0
+        ELSE len(list_intersect(s, t)) / (len(s) + len(t) - len(list_intersect(s, t)))::DOUBLE END) AS j FROM (SELECT DISTINCT s FROM fresh), told GROUP BY 1""",
+}
+
+
+@query("SELECT doc_id, len(s) AS concepts, round(1 - j, 4) AS novelty FROM fresh JOIN alike USING (s)", **_NOVELTY)
+def idea_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fresh = learner.described(read_table(spark, sf_dir, "documents").select("doc_id", "text"), _MARKERS, idea="text").drop("text")
+    told = learner.described(read_table(spark, sf_dir, "conversations").select("text"), _MARKERS, idea="text").drop("text")
+    return learner.novelty(fresh, told).select("doc_id", F.size("concepts").cast("long").alias("concepts"), "novelty")
+
+
+_EXPLOIT, _EXPLOITED = _diverse_sql(7)
+_EXPLOITED["cands"] = "SELECT * FROM every WHERE p >= 0.4"
+_SUGGESTED = f"""WITH best AS ({_EXPLOIT}) SELECT session, 'exploit' AS kind, place, id, p FROM best
+    UNION ALL SELECT session, 'explore', place, id, p FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY -ln(({drawn_sql('43', 'id')} + 0.5) / 4294967296.0), id) AS place
+        FROM every WHERE NOT EXISTS (SELECT 1 FROM best b WHERE b.session = every.session AND b.id = every.id)) WHERE place <= 3"""
+
+
+@query("SELECT * FROM suggested", **_EXPLOITED, suggested=_SUGGESTED, every="SELECT session, run_id AS id, round(value / 4, 6) AS p, string_split(idea, ' + ') AS t FROM build_runs JOIN tgt USING (run_id)")
+def suggested_ideas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learner.suggestions(_candidates(spark, sf_dir), "session", 10)
+
+
+@query()
+def token_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean absolute share of each part type in what boosted trees say of a run's profit factor."""
+    rows, names = registry.named_features(stage(runs_table(spark, sf_dir), "runs"), stage(_target(spark, sf_dir), "target"))
+    rows = stage(rows.select("run_id", vector_to_array("features").alias("x"), "label"), "features")
+    nodes, weights, _ = learner.boosted(rows)
+    return learner.mean_attribution(learner.attributions(nodes, weights, rows), names, rows.count())
