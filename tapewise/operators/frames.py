@@ -87,3 +87,38 @@ def islands(bars: DataFrame, column: str, out: str) -> DataFrame:
     """Number of the current run of a true flag, from 1 per symbol; null outside of runs. The last run ends with the data."""
     starts = windowed(bars, lambda b: b.withColumn("_start", rising(column).cast("long")), back=1)
     return running_sum(starts, "_start", "_runs_so_far").withColumn(out, F.when(F.col(column), F.col("_runs_so_far"))).drop("_start", "_runs_so_far")
+
+
+#: Bars whose part of a recursion is one weighted sum.
+RECURSION_BLOCK = 64
+
+
+def recursion(bars: DataFrame, values: dict[str, str], fade: float) -> DataFrame:
+    """Exact recursions y = fade * (y of the bar before) + value over all bars of the symbol, 0 before the first; as {result: column}, nulls count as 0.
+
+    Within a block of RECURSION_BLOCK bars y is a weighted running sum, of constant cost for each bar. A block maps what comes in to what goes out by y -> a * y + b; these maps are composed
+    block by block within a chunk, and chunk by chunk within a symbol.
+    """
+    if not 1e-4 < fade < 1:
+        raise ValueError("fade must lie between 0.0001 and 1")
+    b = bars.withColumn("_block", F.expr(f"(bar_no - chunk * chunk_len) div {RECURSION_BLOCK}")).withColumn("_at", F.expr(f"(bar_no - chunk * chunk_len) % {RECURSION_BLOCK}"))
+    up_to = Window.partitionBy("symbol", "chunk", "_block").orderBy("bar_no").rowsBetween(Window.unboundedPreceding, 0)
+    power = lambda n: F.pow(F.lit(fade), n)
+    b = b.select("*", *[(F.sum(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * power(-F.col("_at"))).over(up_to) * power(F.col("_at"))).alias(f"_y_{o}") for o, c in values.items()])
+    ends = b.groupBy("symbol", "chunk", "_block").agg(F.count("*").alias("n"), *[F.max_by(f"_y_{o}", "bar_no").alias(o) for o in values])
+
+    def composed(steps: DataFrame, keys: list[str], at: str) -> DataFrame:
+        """Per group of ``keys`` the maps of its parts in order of ``at``: bars before each part and what comes in, if nothing comes into the group; the whole map under a null part."""
+        lists = steps.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(at, "n", *values))).alias("_p"))
+        outs = ", ".join(f"s[size(s) - 1].`{o}` * pow({fade!r}D, p.n) + p.`{o}` AS `{o}`" for o in values)
+        start = ", ".join(f"0D AS `{o}`" for o in values)
+        fold = f"aggregate(_p, array(struct(0L AS before, {start})), (s, p) -> concat(s, array(struct(s[size(s) - 1].before + p.n AS before, {outs}))))"
+        parts = lists.select(*keys, F.transform("_p", lambda p: p[at]).alias("_k"), F.expr(fold).alias("_s"))
+        return parts.select(*keys, F.posexplode("_s").alias("_i", "_x"), "_k").select(*keys, F.expr("IF(_i < size(_k), _k[_i], NULL)").alias(at), "_x.*")
+
+    blocks = composed(ends, ["symbol", "chunk"], "_block")
+    chunks = composed(blocks.where("_block is null").drop("_block").withColumnRenamed("before", "n"), ["symbol"], "chunk").where("chunk is not null")
+    into = blocks.where("_block is not null").join(chunks.select("symbol", "chunk", *[F.col(o).alias(f"_c_{o}") for o in values]), ["symbol", "chunk"])
+    into = into.select("symbol", "chunk", "_block", *[(F.col(o) + F.col(f"_c_{o}") * power(F.col("before"))).alias(f"_i_{o}") for o in values])
+    b = b.join(into, ["symbol", "chunk", "_block"])
+    return b.select(*bars.columns, *[(F.col(f"_y_{o}") + F.col(f"_i_{o}") * power(F.col("_at") + 1)).alias(o) for o in values])

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import stage
 from .frames import by_chunk, flag, next_, windowed
 from .joins import forward_join
 
@@ -152,24 +154,72 @@ def _carried_over(trades: DataFrame, key: list[str], order: str, values: dict[st
     return t.join(left, [*key, "_stretch"]).drop("_stretch", *[f"_v_{name}" for name in values])
 
 
-def without_overlap(trades: DataFrame, *by: str) -> DataFrame:
+def _leaving(rows: pd.DataFrame) -> pd.DataFrame:
+    """For each trade of one stretch the exit with which the trades that follow from it leave the stretch."""
+    rows = rows.sort_values("entry_no")
+    entry, leave = rows["entry_no"].to_numpy(), rows["exit_no"].tolist()
+    after = entry.searchsorted(rows["exit_no"].to_numpy(), side="right").tolist()  # the first trade that begins after the exit
+    for i in range(len(leave) - 1, -1, -1):
+        if after[i] < len(leave):
+            leave[i] = leave[after[i]]
+    return rows.assign(leave=leave)
+
+
+def _walked(rows: pd.DataFrame) -> pd.DataFrame:
+    """The trades of one stretch that are kept if the first of them is the one at ``start``."""
+    rows = rows.sort_values("entry_no")
+    entry, exits = rows["entry_no"].to_numpy(), rows["exit_no"].tolist()
+    kept, i = [], int(entry.searchsorted(rows["start"].iloc[0]))
+    after = entry.searchsorted(rows["exit_no"].to_numpy(), side="right").tolist()
+    while i < len(exits):
+        kept.append(i)
+        i = after[i]
+    return rows.iloc[kept]
+
+
+def _next_entry(points: DataFrame, entries: DataFrame, key: list[str], at: str) -> DataFrame:
+    """``points`` (key, ``at``) with ``next_no``, the first of ``entries`` (key, entry_no) after ``at``; points without one are left out."""
+    no = F.lit(None).cast("long")
+    both = points.select(*key, (F.col(at) + 1).alias("_pos"), F.col(at).alias("_at"), no.alias("_entry")).unionByName(entries.select(*key, F.col("entry_no").alias("_pos"), no.alias("_at"), F.col("entry_no").alias("_entry")))
+    both = both.withColumn("_s", F.floor(F.col("_pos") / TRADE_STRETCH))
+    later = Window.partitionBy(*key).orderBy("_s").rowsBetween(1, Window.unboundedFollowing)
+    firsts = both.groupBy(*key, "_s").agg(F.min("_entry").alias("_first")).withColumn("_later", F.min("_first").over(later)).drop("_first")
+    within = Window.partitionBy(*key, "_s").orderBy("_pos").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    found = both.withColumn("_here", F.min("_entry").over(within)).where("_at is not null").join(firsts, [*key, "_s"])
+    return found.select(*key, F.col("_at").alias(at), F.coalesce("_here", "_later").alias("next_no")).where("next_no is not null")
+
+
+def without_overlap(trades: DataFrame, *by: str, arrival: str | None = None) -> DataFrame:
     """Trades in order of entry, dropping those that begin before the last kept one has ended (its exit bar included).
 
-    ``trades`` has entry_no and exit_no; series are (symbol and ``by``). A trade that begins after all trades before it have ended is kept
-    whatever came before, so the fold runs over the trades from one such to the next, not over a whole series.
+    ``trades`` has entry_no and exit_no (null: never ends; before the entry: ends with its bar); series are (symbol and ``by``), none of them null. Of trades that begin at the same bar the last to arrive counts, whatever becomes
+    of it: the largest ``arrival``, or without that the largest in direction, entry, stop and target.
+
+    Stretches of TRADE_STRETCH bars are handled on their own: first each tells with which exit any of its trades leaves it; these exits and the trades that
+    follow them form a chain, whose links from the first trade on are found by doubling pointers; then each stretch knows where it begins. So a series
+    whose trades all overlap is still many tasks.
     """
-    key = ["symbol", *by]
-    t = _carried_over(trades, key, "entry_no", {"till": (F.col("exit_no"), F.max)}, including=False)
-    fresh = F.col("entry_no") > F.coalesce(F.greatest("_w_till", "_b_till"), F.lit(-1))
-    t = t.withColumn("_from", F.when(fresh, F.col("entry_no"))).drop("_w_till", "_b_till")
-    t = _carried_over(t, key, "entry_no", {"island": (F.col("_from"), F.max)}, including=True).withColumn("_island", F.greatest("_w_island", "_b_island")).drop("_w_island", "_b_island", "_from")
-    other = [c for c in trades.columns if c not in (*key, "entry_no", "exit_no")]
-    ordered = t.groupBy(*key, "_island").agg(F.array_sort(F.collect_list(F.struct("entry_no", "exit_no", *other))).alias("t"))
-    kept = F.expr(
-        "aggregate(sequence(0, size(t) - 1), struct(-1L AS till, cast(array() AS array<int>) AS at), "
-        "(s, i) -> IF(t[i].entry_no > s.till, struct(cast(t[i].exit_no AS bigint) AS till, concat(s.at, array(i)) AS at), s), s -> s.at)"
-    )
-    return ordered.withColumn("i", F.explode(kept)).select(*key, F.expr("t[i]").alias("x")).select(*key, "x.*")
+    key, spark = ["symbol", *by], trades.sparkSession
+    rest = [c for c in trades.columns if c not in (*key, "entry_no")]
+    known = [arrival] if arrival else [c for c in ("direction", "entry", "stop", "target") if c in rest]
+    last = F.max_by(F.struct(*rest), F.struct(*known)) if known else F.max(F.struct(*rest))
+    kept = stage(trades.groupBy(*key, "entry_no").agg(last.alias("r")).select(*key, "entry_no", "r.*"), "trades")
+    ends = F.coalesce(F.greatest(F.col("exit_no").cast("long"), F.when(F.col("exit_no").isNotNull(), F.col("entry_no"))), F.lit(1 << 62))
+    t = kept.select(*key, F.col("entry_no").cast("long").alias("entry_no"), ends.alias("exit_no"), F.floor(F.col("entry_no") / TRADE_STRETCH).alias("_stretch"))
+    kinds = ", ".join(f"`{c}` {t.schema[c].dataType.simpleString()}" for c in t.columns)
+    left = stage(t.groupBy(*key, "_stretch").applyInPandas(_leaving, f"{kinds}, leave long"), "leaves")
+    first = t.groupBy(*key).agg(F.min("entry_no").alias("entry_no"))
+    exits = _next_entry(left.select(*key, "leave").distinct(), t, key, "leave").withColumnRenamed("next_no", "entry_no")
+    jumps = stage(exits.join(left.select(*key, "entry_no", F.col("leave").alias("to")), [*key, "entry_no"]).select(*key, F.col("leave").alias("from"), "to"), "jumps")
+    met = left.join(first, [*key, "entry_no"]).select(*key, "leave")
+    while not jumps.isEmpty():
+        met = stage(met.unionByName(met.withColumnRenamed("leave", "from").join(jumps, [*key, "from"]).select(*key, F.col("to").alias("leave"))).distinct(), "met")
+        further = jumps.select(*key, F.col("from").alias("to"), F.col("to").alias("_next"))
+        jumps = stage(jumps.join(further, [*key, "to"]).select(*key, "from", F.col("_next").alias("to")), "jumps")
+    starts = _next_entry(met, t, key, "leave").select(*key, F.col("next_no").alias("start")).unionByName(first.withColumnRenamed("entry_no", "start"))
+    starts = starts.withColumn("_stretch", F.floor(F.col("start") / TRADE_STRETCH)).distinct()
+    walked = t.join(starts, [*key, "_stretch"]).groupBy(*key, "_stretch").applyInPandas(_walked, f"{kinds}, start long")
+    return kept.join(walked.select(*key, "entry_no"), [*key, "entry_no"], "left_semi").select(*trades.columns)
 
 
 def running_points(trades: DataFrame, *by: str, order: str = "entry_no", out: str = "total") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import drawn
+from ..functions.statistics import student_p
 
 #: Profit factors at or above this one are artefacts of tiny losses and don't count.
 ARTEFACT = 500.0
@@ -133,16 +134,22 @@ def block_effect(runs: DataFrame, target: DataFrame, least: int = 3) -> DataFram
 
 
 def welch(runs: DataFrame, target: DataFrame, least: int = 3) -> DataFrame:
-    """Welch's t and its degrees of freedom for each token, from the moments of the runs with and without it."""
-    sums = lambda p: (F.count("*").alias(f"{p}n"), F.sum("value").alias(f"{p}s"), F.sum(F.col("value") * F.col("value")).alias(f"{p}q"))
-    per = tokens(runs).join(target, "run_id").groupBy("token").agg(*sums("a"))
-    per = per.crossJoin(F.broadcast(target.join(runs.select("run_id"), "run_id").agg(*sums("t"))))  # one row of totals
-    per = per.withColumn("bn", F.col("tn") - F.col("an")).withColumn("bs", F.col("ts") - F.col("as")).withColumn("bq", F.col("tq") - F.col("aq")).where(f"an >= {least} and bn >= {least}")
-    var = lambda p: (F.col(f"{p}q") - F.col(f"{p}s") * F.col(f"{p}s") / F.col(f"{p}n")) / (F.col(f"{p}n") - 1) / F.col(f"{p}n")
-    per = per.withColumn("_va", var("a")).withColumn("_vb", var("b")).withColumn("_v", F.col("_va") + F.col("_vb")).where("_v > 0")
-    t = (F.col("as") / F.col("an") - F.col("bs") / F.col("bn")) / F.sqrt("_v")
-    df = F.col("_v") * F.col("_v") / (F.col("_va") * F.col("_va") / (F.col("an") - 1) + F.col("_vb") * F.col("_vb") / (F.col("bn") - 1))
-    return per.select("token", F.col("an").alias("with_n"), F.round(t, 4).alias("t"), F.round(df, 2).alias("df"))
+    """Welch's t, its degrees of freedom and its two-sided p for each token, from the moments of the runs with and without it.
+
+    Sums of squares are taken about the means. Without any variance t and df are null and p is 1.
+    """
+    moments = lambda p: (F.count("*").alias(f"{p}n"), F.avg("value").alias(f"{p}m"), (F.var_pop("value") * F.count("*")).alias(f"{p}q"))
+    per = tokens(runs).join(target, "run_id").groupBy("token").agg(*moments("a"))
+    per = per.crossJoin(F.broadcast(target.join(runs.select("run_id"), "run_id").agg(*moments("t"))))  # one row of totals
+    per = per.withColumn("bn", F.col("tn") - F.col("an")).where(f"an >= {least} and bn >= {least}")
+    per = per.withColumn("bm", F.col("am") + (F.col("tm") - F.col("am")) * F.col("tn") / F.col("bn"))
+    apart = F.pow(F.col("am") - F.col("bm"), 2) * F.col("an") * F.col("bn") / F.col("tn")
+    per = per.withColumn("bq", F.greatest(F.col("tq") - F.col("aq") - apart, F.lit(0.0)))
+    var = lambda p: F.col(f"{p}q") / (F.col(f"{p}n") - 1) / F.col(f"{p}n")
+    per = per.withColumn("_va", var("a")).withColumn("_vb", var("b")).withColumn("_v", F.col("_va") + F.col("_vb"))
+    per = per.withColumn("_t", F.try_divide(F.col("am") - F.col("bm"), F.sqrt("_v")))
+    per = per.withColumn("_df", F.try_divide(F.col("_v") * F.col("_v"), F.col("_va") * F.col("_va") / (F.col("an") - 1) + F.col("_vb") * F.col("_vb") / (F.col("bn") - 1)))
+    return per.select("token", F.col("an").alias("with_n"), F.round("_t", 4).alias("t"), F.round("_df", 2).alias("df"), F.round(student_p(F.col("_t"), F.col("_df")), 6).alias("p"))
 
 
 def pair_synergy(runs: DataFrame, target: DataFrame, least: int = 5) -> DataFrame:

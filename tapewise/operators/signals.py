@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.clock import CHICAGO, local, minute_of_day
 from ..sources.bars import keyed
 from ..sources.store import stage
-from .frames import by_chunk, carried, flag, last, rising, running_sum, running_sums, windowed
+from .frames import by_chunk, carried, flag, last, recursion, rising, running_sum, running_sums, windowed
 
 SIDES = ("bull", "bear")
 
@@ -372,25 +372,26 @@ def _body() -> Column:
     return F.coalesce((F.col("close") - F.col("open")) / F.when(span > 0, span), F.lit(0.0))
 
 
-def hawkes_decay(bars: DataFrame, half_life: int = 5, least: float = 0.1, body: float = 0.25, counter: int = 3, kernel: int = 100) -> DataFrame:
+def hawkes_decay(bars: DataFrame, half_life: int = 5, least: float = 0.1, body: float = 0.25, counter: int = 3) -> DataFrame:
     """Excitation by strong bodies of either side that fades by half in ``half_life`` bars: hawkes_{side}_excitation, _active, _passes and hawkes_decay_{side}.
 
     Bodies below ``body`` of the range (dojis) excite nothing. A side is active from ``least`` on, decays once the last ``counter`` bars all
-    close against it, and passes while it is active and does not decay. The kernel is cut after ``kernel`` bars, where its weight is below 1e-6.
+    close against it, and passes while it is active and does not decay.
     """
-    fade = 0.5 ** (1 / half_life)
+    sides = (("bull", 1), ("bear", -1))
 
     def build(b: DataFrame) -> DataFrame:
         b = b.withColumn("_body", _body())
-        for side, sign in (("bull", 1), ("bear", -1)):
-            past = F.collect_list(F.when(F.col("_body") * sign >= body, F.abs("_body")).otherwise(0.0)).over(last(kernel))
-            b = b.withColumn(f"hawkes_{side}_excitation", F.aggregate(past, F.lit(0.0), lambda t, x: t * fade + x))
+        for side, sign in sides:
             against = F.sum((F.col("_body") * sign < 0).cast("int")).over(last(counter))
-            b = b.withColumn(f"hawkes_decay_{side}", flag(against == counter)).withColumn(f"hawkes_{side}_active", F.col(f"hawkes_{side}_excitation") >= least)
-            b = b.withColumn(f"hawkes_{side}_passes", F.col(f"hawkes_{side}_active") & ~F.col(f"hawkes_decay_{side}"))
+            b = b.withColumn(f"_{side}_push", F.when(F.col("_body") * sign >= body, F.abs("_body")).otherwise(0.0)).withColumn(f"hawkes_decay_{side}", flag(against == counter))
         return b.drop("_body")
 
-    return windowed(bars, build, back=kernel)
+    out = recursion(windowed(bars, build, back=counter), {f"hawkes_{side}_excitation": f"_{side}_push" for side in SIDES}, 0.5 ** (1 / half_life))
+    for side in SIDES:
+        out = out.withColumn(f"hawkes_{side}_active", F.col(f"hawkes_{side}_excitation") >= least)
+        out = out.withColumn(f"hawkes_{side}_passes", F.col(f"hawkes_{side}_active") & ~F.col(f"hawkes_decay_{side}"))
+    return out.drop("_bull_push", "_bear_push")
 
 
 def order_flow(bars: DataFrame, fast: int = 3, times: int = 5, least: float = 0.0, by_volume: bool = False) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import local, session_map
 from ..sources.bars import keyed
-from .frames import by_chunk, flag, last, windowed
+from .frames import by_chunk, flag, last, recursion, windowed
 from .joins import asof, forward_join
 from .outcomes import POINT_VALUE, running_points
 from .signals import efficiency_ratio
@@ -77,16 +77,11 @@ def regime_filter(bars: DataFrame, higher: DataFrame, seconds: int, n: int = 20,
     return asof(bars, score, ["ker"]).withColumn("lrl", F.col("ker") < limit)
 
 
-def ema_trend(bars: DataFrame, n: int = 200, reach: int = 1400) -> DataFrame:
-    """above_ema: the close lies above its exponential mean; weights beyond ``reach`` bars, below 1e-6 in all, are left out."""
+def ema_trend(bars: DataFrame, n: int = 200) -> DataFrame:
+    """above_ema: the close lies above its exponential mean ``ema``, which begins with the first close; true where there is no mean."""
     alpha = 2.0 / (n + 1)
-
-    def build(b: DataFrame) -> DataFrame:
-        past = F.collect_list("close").over(last(reach))
-        first = F.element_at(past, 1)
-        return b.withColumn("ema", F.aggregate(past, first, lambda m, x: m * (1 - alpha) + x * alpha))
-
-    return windowed(bars, build, back=reach).withColumn("above_ema", F.coalesce(F.col("close") > F.col("ema"), F.lit(True)))
+    b = keyed(bars).withColumn("_x", F.when(F.col("bar_no") == 0, F.col("close")).otherwise(alpha * F.col("close")))
+    return recursion(b, {"ema": "_x"}, 1 - alpha).drop("_x").withColumn("above_ema", F.coalesce(F.col("close") > F.col("ema"), F.lit(True)))
 
 
 def age_decay(bars: DataFrame, prefix: str = "fvg") -> DataFrame:

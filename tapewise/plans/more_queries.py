@@ -357,7 +357,7 @@ _BODY = "coalesce((close - open) / nullif(high - low, 0), 0)"
 @query("""SELECT symbol, bar_no, u >= 0.1 AS hawkes_bull_active, d >= 0.1 AS hawkes_bear_active, nu AS hawkes_decay_bull, nd AS hawkes_decay_bear, u >= 0.1 AND NOT nu AS hawkes_bull_passes, d >= 0.1 AND NOT nd AS hawkes_bear_passes FROM (
         SELECT a.symbol, a.bar_no, sum(CASE WHEN p.body >= 0.25 THEN p.body ELSE 0 END * pow(0.5, (a.bar_no - p.bar_no) / 5.0)) AS u, sum(CASE WHEN p.body <= -0.25 THEN -p.body ELSE 0 END * pow(0.5, (a.bar_no - p.bar_no) / 5.0)) AS d,
                count(*) FILTER (p.body < 0 AND p.bar_no > a.bar_no - 3) = 3 AS nu, count(*) FILTER (p.body > 0 AND p.bar_no > a.bar_no - 3) = 3 AS nd
-        FROM bodies a JOIN bodies p ON p.symbol = a.symbol AND p.bar_no <= a.bar_no AND p.bar_no > a.bar_no - 100 GROUP BY 1, 2)""", bodies=f"SELECT symbol, bar_no, {_BODY} AS body FROM bars")
+        FROM bodies a JOIN bodies p ON p.symbol = a.symbol AND p.bar_no <= a.bar_no GROUP BY 1, 2)""", bodies=f"SELECT symbol, bar_no, {_BODY} AS body FROM bars")
 def excitations(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = signals.hawkes_decay(keyed_event_bars(spark, sf_dir))
     return h.select("symbol", "bar_no", *[f"hawkes_{s}_{k}" for s in ("bull", "bear") for k in ("active", "passes")], "hawkes_decay_bull", "hawkes_decay_bear")
@@ -371,7 +371,7 @@ def order_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("symbol", "bar_no", F.round("ofi_fast", 6).alias("ofi_fast"), F.round("ofi_slow", 6).alias("ofi_slow"), "ofi_signal")
 
 
-@query(f"""SELECT symbol, bar_no, round(list_reduce(list_prepend(p[1], p), lambda m, x: m * (1 - 2 / 201.0::DOUBLE) + x * (2 / 201.0::DOUBLE)), 4) AS ema FROM (SELECT symbol, bar_no, list(close) OVER ({W} ROWS 1399 PRECEDING) AS p FROM bars)""")
+@query(f"""SELECT symbol, bar_no, round(list_reduce(list_prepend(p[1], p), lambda m, x: m * (1 - 2 / 201.0::DOUBLE) + x * (2 / 201.0::DOUBLE)), 4) AS ema FROM (SELECT symbol, bar_no, list(close) OVER ({W}) AS p FROM bars)""")
 def ema_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return studies.ema_trend(keyed_event_bars(spark, sf_dir)).select("symbol", "bar_no", F.round("ema", 4).alias("ema"))
 

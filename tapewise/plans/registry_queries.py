@@ -101,11 +101,19 @@ def block_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.block_effect(stage(runs_table(spark, sf_dir), "runs"), stage(_target(spark, sf_dir), "target"))
 
 
-@query("""SELECT token, an AS with_n, round((asum / an - bs / bn) / sqrt(va + vb), 4) AS t, round((va + vb) * (va + vb) / (va * va / (an - 1) + vb * vb / (bn - 1)), 2) AS df FROM (
-        SELECT token, count(*) AS an, sum(value) AS asum, any_value(tn) - count(*) AS bn, any_value(ts) - sum(value) AS bs,
-               (sum(value * value) - sum(value) * sum(value) / count(*)) / (count(*) - 1) / count(*) AS va,
-               ((any_value(tq) - sum(value * value)) - (any_value(ts) - sum(value)) * (any_value(ts) - sum(value)) / (any_value(tn) - count(*))) / (any_value(tn) - count(*) - 1) / (any_value(tn) - count(*)) AS vb
-        FROM toks JOIN tgt USING (run_id), (SELECT count(*) AS tn, sum(value) AS ts, sum(value * value) AS tq FROM tgt WHERE run_id IN (SELECT run_id FROM build_runs)) GROUP BY 1 HAVING count(*) >= 3 AND any_value(tn) - count(*) >= 3) WHERE va + vb > 0""", toks=_TOKENS, tgt=_TARGET)
+#: p by integrating the density over t = sqrt(df) tan(angle) with Simpson's rule.
+_WELCH = {
+    "toks": _TOKENS, "tgt": _TARGET, "known": "SELECT * FROM tgt WHERE run_id IN (SELECT run_id FROM build_runs)",
+    "sides": """SELECT token, count(*) FILTER (has) AS an, count(*) FILTER (NOT has) AS bn, avg(value) FILTER (has) AS am, avg(value) FILTER (NOT has) AS bm,
+        var_samp(value) FILTER (has) / count(*) FILTER (has) AS va, var_samp(value) FILTER (NOT has) / count(*) FILTER (NOT has) AS vb
+        FROM (SELECT n.token, k.value, t.run_id IS NOT NULL AS has FROM (SELECT DISTINCT token FROM toks) n CROSS JOIN known k LEFT JOIN toks t ON t.token = n.token AND t.run_id = k.run_id) GROUP BY 1""",
+    "tested": """SELECT token, an, (am - bm) / sqrt(nullif(va + vb, 0)) AS t, (va + vb) * (va + vb) / nullif(va * va / (an - 1) + vb * vb / (bn - 1), 0) AS df FROM sides WHERE an >= 3 AND bn >= 3""",
+    "angles": "SELECT *, atan(abs(t) / sqrt(df)) / 4000 AS w, exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi()) AS c FROM tested",
+}
+
+
+@query("""SELECT token, an AS with_n, round(t, 4) AS t, round(df, 2) AS df,
+        round(coalesce(1 - 2 * c * w / 3 * list_sum(list_transform(range(0, 4001), lambda i: (CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * pow(cos(i * w), df - 1))), 1), 6) AS p FROM angles""", **_WELCH)
 def block_welch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.welch(stage(runs_table(spark, sf_dir), "runs"), stage(_target(spark, sf_dir), "target"))
 

@@ -194,6 +194,21 @@ def trade_drawdowns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcomes.max_drawdown(_trades(spark, sf_dir), "symbol", "direction")
 
 
+_SINGLE = _TRADES | {
+    "arrived": "SELECT symbol, bar_no AS entry_no, arg_max(direction, -direction) AS direction, arg_max(exit_price, -direction) AS exit_price, arg_max(entry, -direction) AS entry, arg_max(bar_no + exit_step, -direction) AS exit_no FROM closed GROUP BY 1, 2",
+    "single": """SELECT a.* FROM arrived a JOIN (SELECT symbol, unnest(list_reduce(list_prepend({'till': -1::BIGINT, 'at': []::BIGINT[]}, list({'till': exit_no, 'at': [entry_no]} ORDER BY entry_no)),
+        lambda s, x: CASE WHEN x.at[1] > s.till THEN {'till': x.till, 'at': list_append(s.at, x.at[1])} ELSE s END).at) AS entry_no FROM arrived GROUP BY 1) USING (symbol, entry_no)""",
+}
+
+
+@query("SELECT symbol, entry_no, exit_no, direction, round((exit_price - entry) * direction - 1.35, 6) AS pnl FROM single", **_SINGLE)
+def trades_one_at_a_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One position per symbol: of a long and a short signal for the same bar the short one arrives last and counts."""
+    done = _closed(spark, sf_dir).where("exit_step is not null").withColumnRenamed("bar_no", "entry_no").withColumn("exit_no", F.col("entry_no") + F.col("exit_step"))
+    kept = outcomes.trade_points(outcomes.without_overlap(done.withColumn("arrival", -F.col("direction")), arrival="arrival"))
+    return kept.select("symbol", "entry_no", "exit_no", "direction", F.round("pnl", 6).alias("pnl"))
+
+
 @query("""SELECT symbol, h AS horizon, m AS multiple, count(*) AS signals, count(*) FILTER (move >= m) AS hits FROM (
         SELECT e.symbol, e.bar_no, h, m, max(greatest(b.high - e.close, e.close - b.low) / e.atr) AS move FROM gap_atr e JOIN bars b ON b.symbol = e.symbol AND b.bar_no > e.bar_no AND b.bar_no <= e.bar_no + 15,
              (SELECT unnest([3, 5, 10, 15]) AS h), (SELECT unnest([1.0::DOUBLE, 2.0]) AS m) WHERE bull AND atr IS NOT NULL AND b.bar_no - e.bar_no <= h GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3""", gap_atr=_GAPPED)
