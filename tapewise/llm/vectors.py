@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from itertools import combinations
+from math import comb
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -11,20 +14,27 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, connected_components, looked_up, quoted
 
-#: Reference points, how many nearest of them describe a vector, how many two vectors must share.
-PIVOTS, NEAREST, SHARED = 512, 7, 3
-#: Bound on the vectors that reference points are chosen from; points closer than this cosine aren't chosen together.
-SAMPLE, APART = 4096, 0.5
+#: Least number of reference points, how their number grows with the cube root of the vectors, and the most there are.
+PIVOTS, GROWTH, MOST_PIVOTS = 512, 50, 4096
+#: How many nearest points describe a vector and how many two vectors must share: where a sample has no vector of a length, and what is tried on a sample.
+NEAREST, SHARED = 7, 3
+SCHEMES = ((7, 3), (10, 3), (12, 3), (14, 3), (5, 2), (6, 2), (8, 2), (10, 2), (14, 2))
+#: Bound on the vectors that reference points are chosen from; points closer than one of these cosines aren't chosen together.
+SAMPLE, APART = 8192, (0.5, 0.9)
+#: Vectors of the sample on which schemes are tried (filled up to LEAST_TRIALS with random directions), the recall that one must reach there, and how many comparisons an entry of a list costs.
+TRIALS, LEAST_TRIALS, RECALL, ENTRY_COST = 1000, 100, 0.96, 200
 #: Rows of a block; longer lists are compared block by block, STRIP rows at a time.
 BLOCK, STRIP = 4000, 512
 LEAST = 0.93
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; scaled by their largest component first, so that squares neither overflow nor vanish."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def choose_pivots(sample: np.ndarray, dim: int, count: int = PIVOTS, apart: float = APART) -> np.ndarray:
+def choose_pivots(sample: np.ndarray, dim: int, count: int = PIVOTS, apart: float = APART[0]) -> np.ndarray:
     """``count`` unit vectors, from the sample as long as they lie apart, then seeded random directions."""
     chosen = np.empty((0, dim))
     if len(sample):
@@ -47,6 +57,51 @@ def permutation_prefix(x: np.ndarray, pivots: np.ndarray, nearest: int) -> np.nd
     return np.sort(np.argsort(-(unit(x) @ pivots.T), axis=1, kind="stable")[:, :nearest], axis=1)
 
 
+class Index(NamedTuple):
+    """Reference points, how many nearest ones describe a vector, how many two vectors must share."""
+
+    pivots: np.ndarray
+    nearest: int
+    shared: int
+
+
+def fit_index(sample: np.ndarray, dim: int, rows: int, least: float, pivots: int | None = None) -> Index:
+    """The cheapest index that finds partners at the threshold, by trial on a sample.
+
+    Vectors that are no reference points get a partner each of a cosine just above ``least`` in a random direction. Among the schemes with a recall of RECALL the one with the
+    fewest expected comparisons (pairs of the sample that share enough points) and list entries for ``rows`` vectors wins; if there is none, the one with the best recall.
+    Vectors with a common mean or in clusters get points from their midst and stricter or looser schemes, where random ones would put all of them into the same lists.
+    """
+    trials, draw = min(TRIALS, len(sample) // 3), np.random.default_rng(dim)
+    tried, base = (unit(sample[:trials]) if trials else np.empty((0, dim))), sample[trials:]
+    if trials < LEAST_TRIALS:  # too few to tell: random directions beside them
+        tried = np.vstack([tried, unit(draw.normal(size=(LEAST_TRIALS - trials, dim)))])
+        trials = LEAST_TRIALS
+    side = draw.normal(size=tried.shape)
+    side = unit(side - (side * tried).sum(axis=1, keepdims=True) * tried) if dim > 1 else np.zeros_like(tried)
+    cosine = draw.uniform(least, least + (1 - least) / 4, (trials, 1))
+    partners = cosine * tried + np.sqrt(1 - cosine * cosine) * side
+    count = pivots or min(MOST_PIVOTS, max(PIVOTS, int(GROWTH * rows ** (1 / 3))))
+    found = []
+    while True:
+        for apart in APART:
+            points = choose_pivots(base, dim, count, apart)
+            near, near_partners = (np.argsort(-(x @ points.T), axis=1, kind="stable") for x in (tried, partners))
+            for nearest, shared in (s for s in SCHEMES if s[0] <= count):
+                flags, others = np.zeros((trials, count), np.float32), np.zeros((trials, count), np.float32)
+                np.put_along_axis(flags, near[:, :nearest], 1, axis=1)
+                np.put_along_axis(others, near_partners[:, :nearest], 1, axis=1)
+                recall = float(((flags * others).sum(axis=1) >= shared).mean())
+                common = np.rint(flags @ flags.T).astype(int)[np.triu_indices(trials, 1)]
+                met = sum(comb(o, shared) * n for o, n in enumerate(np.bincount(common))) / len(common)
+                cost = met * rows * rows / 2 + ENTRY_COST * comb(nearest, shared) * rows
+                found.append((recall < RECALL, cost if recall >= RECALL else -recall, len(found), Index(points, nearest, shared)))
+        best = min(found, key=lambda f: f[:3])
+        if not best[0] or pivots or count < 8 * max(k for k, _ in SCHEMES):
+            return best[3]
+        count //= 8  # in few dimensions many points are too fine
+
+
 def _list_keys(tops: np.ndarray, shared: int) -> np.ndarray:
     """A key for each combination of ``shared`` pivots of a row: rows with so many pivots in common share a key."""
     columns = list(combinations(range(tops.shape[1]), shared))
@@ -87,7 +142,7 @@ def _compare(x: np.ndarray, block: np.ndarray, tops: np.ndarray, weight: np.ndar
         group = new
 
 
-def _walk(shared: int, least: float):
+def _walk(shared: Mapping[int, int], least: float):
     """Compare the lists of a partition, which come sorted; a list may run over several batches."""
     columns = ["label", "dim", "key", "at"]
 
@@ -107,13 +162,13 @@ def _walk(shared: int, least: float):
             if not len(rows):
                 continue
             ids, weight, block = rows["id"].to_numpy(), rows["size"].to_numpy(), rows["own"].to_numpy()
-            keys, ats = rows["key"].to_numpy(), rows["at"].to_numpy()
+            keys, ats, dims = rows["key"].to_numpy(), rows["at"].to_numpy(), rows["dim"].to_numpy()
             out = []
             for i, j in zip(starts[:-1], starts[1:], strict=True):
                 if j - i > 1:
                     x = unit(np.stack(rows["vec"].iloc[i:j].to_numpy()))
                     tops = np.stack(rows["tops"].iloc[i:j].to_numpy())
-                    links, group = _compare(x, block[i:j], tops, weight[i:j], int(keys[i]), int(ats[i]), shared, least)
+                    links, group = _compare(x, block[i:j], tops, weight[i:j], int(keys[i]), int(ats[i]), shared.get(int(dims[i]), SHARED), least)
                     some = (links > 0) | (group != np.arange(j - i))
                     out.append((ids[i:j][some], links[some], ids[i:j][group[some]]))
             if out:
@@ -131,22 +186,22 @@ def _pairs_of(list_size: Column, block: Column) -> Column:
 
 def similar_vectors(
     rows: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = LEAST,
-    pivots: int = PIVOTS, nearest: int = NEAREST, shared: int = SHARED,
+    pivots: int | None = None,
 ) -> DataFrame:
     """One row per row of ``rows``: key, n_links, component_id (long) and kept (boolean).
 
     Two vectors are linked if their labels are equal and not null and their cosine is at least ``least``. Equal
-    vectors of a label are one class from the start. Each class is described by its ``nearest`` reference points;
-    inverted lists hold, for each combination of ``shared`` points, the classes that have them all, so classes meet when
-    they share that many. Every list is compared in full, long ones in blocks of BLOCK rows spread over tasks: a list of n rows is
+    vectors of a label are one class from the start. Each class is described by its nearest reference points;
+    inverted lists hold, for each combination of so many points, the classes that have them all, so classes meet when
+    they share that many. Points and numbers come from ``fit_index`` for each length of vectors; ``pivots`` fixes the number of points. Every list is compared in full, long ones in blocks of BLOCK rows spread over tasks: a list of n rows is
     shuffled ceil(n / BLOCK) times. Links are found with a high but not full recall (see the tests); none is wrong.
 
     Null or zero vectors, and ones with null, NaN or infinite components, link with nothing; so do vectors without a
     label, and vectors of different lengths with each other. Rows without a key are alone: component null, kept true. Repeated rows are
     vectors of their own, linked with each other; other columns are left out; an empty table gives an empty one.
     """
-    if max(pivots, 2) > 2 ** (62 // shared):
-        raise ValueError(f"at most {2 ** (62 // shared)} pivots when {shared} are shared")
+    if pivots and pivots > MOST_PIVOTS:
+        raise ValueError(f"at most {MOST_PIVOTS} pivots")
     key, vector, label = quoted(key), quoted(vector), quoted(label)
     space = Workspace(rows.sparkSession, "vectors")
     value = F.transform(F.col(vector), lambda v: v.cast("double") + F.lit(0.0))
@@ -163,15 +218,16 @@ def similar_vectors(
     by_dim: dict[int, list] = {}
     for v in some:
         by_dim.setdefault(len(v), []).append(v)
-    points = {d: choose_pivots(np.array(vs, np.float64), d, pivots) for d, vs in by_dim.items()}
+    total = classes.count()
+    indexes = {d: fit_index(np.array(vs, np.float64), d, total, least, pivots) for d, vs in by_dim.items()}
 
     def describe(parts):
         for part in parts:
             for d, of_dim in part.groupby(part["vec"].map(len)):
-                base = points.get(d)
-                tops = permutation_prefix(np.stack(of_dim["vec"].to_numpy()), choose_pivots(np.empty((0, d)), d, pivots) if base is None else base, nearest)
+                index = indexes.get(d) or Index(choose_pivots(np.empty((0, d)), d), NEAREST, SHARED)
+                tops = permutation_prefix(np.stack(of_dim["vec"].to_numpy()), index.pivots, index.nearest)
                 out = of_dim[["id", "size", "label", "vec"]].copy()
-                out["dim"], out["tops"], out["keys"] = d, list(tops), list(_list_keys(tops, shared))
+                out["dim"], out["tops"], out["keys"] = d, list(tops), list(_list_keys(tops, index.shared))
                 yield out
 
     kind = table.schema["label"].dataType.simpleString()
@@ -186,7 +242,7 @@ def similar_vectors(
 
     by_list = ["label", "dim", "key", "at"]
     together = members.repartition(*by_list).sortWithinPartitions(*by_list)
-    met = space.write(together.mapInPandas(_walk(shared, least), "id long, links long, low long"), "links")
+    met = space.write(together.mapInPandas(_walk({d: index.shared for d, index in indexes.items()}, least), "id long, links long, low long"), "links")
     links = met.groupBy("id").agg(F.sum("links").alias("_links"))
     found = connected_components(met.select(F.col("id").alias("a"), F.col("low").alias("b")))
     of_class = (

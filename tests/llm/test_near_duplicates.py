@@ -1,4 +1,6 @@
+import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -127,6 +129,54 @@ def test_recall_next_to_the_threshold(spark):
     assert 0.92 * 3000 <= got <= 3000
 
 
+def exact_cosine(a, b):
+    """Cosine of two vectors in exact arithmetic, but for the root."""
+    a, b = ([Fraction(v) for v in x] for x in (a, b))
+    dot, size = sum(x * y for x, y in zip(a, b)), sum(x * x for x in a) * sum(y * y for y in b)
+    square = float(dot * dot / size) if size else 0.0
+    return math.sqrt(square) * (1 if dot > 0 else -1)
+
+
+def test_very_large_and_very_small_components(spark):
+    rng = np.random.default_rng(12)
+    vs = [[1e-200, 1e-203], [1e-203, 1e-200], [1e200, 2e200], [1e200, 2.1e200], [1e300, 1e-300], [1e300, 1e290], [5e-324, 0.0], [1.7e308, 1.7e308], [-1e-310, -1e-310], [1.0, 1.01], [1e-160, -1e-160]]
+    vs += [(v * 10.0 ** int(e)).tolist() for v, e in zip(rng.normal(size=(40, 2)), rng.integers(-200, 200, 40))]
+    rows = [(k, v, "a") for k, v in enumerate(vs)]
+    got = {r.vec_id: r.n_links for r in vectors.similar_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    want = {i: sum(exact_cosine(a, b) >= 0.93 for j, b in enumerate(vs) if j != i) for i, a in enumerate(vs)}
+    assert got[0] == want[0] and got[2] == want[2] > 0 and all(got[k] <= want[k] for k in want) and sum(got.values()) >= 0.9 * sum(want.values())
+
+
+@pytest.mark.parametrize("shape", ["independent", "common mean", "clusters", "unequal axes"])
+def test_index_of_skewed_vectors(shape):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(8000, 64))
+    x = {"independent": x, "common mean": x + 1.5, "clusters": rng.normal(size=(50, 64))[rng.integers(0, 50, 8000)] + 0.7 * x, "unequal axes": x * np.exp(rng.normal(size=64))}[shape]
+    index = vectors.fit_index(x[:4096], 64, 20_000, vectors.LEAST)
+    u = vectors.unit(x[4096:])
+    side = rng.normal(size=u.shape)
+    side = vectors.unit(side - (side * u).sum(1, keepdims=True) * u)
+    c = rng.uniform(0.931, 0.95, (len(u), 1))
+    tops, partners = (vectors.permutation_prefix(v, index.pivots, index.nearest) for v in (u, c * u + np.sqrt(1 - c * c) * side))
+    recall = np.mean([len(np.intersect1d(a, b)) >= index.shared for a, b in zip(tops, partners)])
+    keys = vectors._list_keys(tops, index.shared)
+    n = np.unique(keys, return_counts=True)[1].astype(float)
+    assert recall >= 0.9 and (n * (n - 1)).sum() / len(u) ** 2 < 0.05
+
+
+def test_recall_of_vectors_with_a_common_mean(spark):
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(1200, 32)) + 1.0
+    u = vectors.unit(x)
+    side = rng.normal(size=u.shape)
+    side = vectors.unit(side - (side * u).sum(1, keepdims=True) * u)
+    both = np.vstack([u, 0.945 * u + np.sqrt(1 - 0.945**2) * side])
+    rows = [(k, v.tolist(), "a") for k, v in enumerate(both)]
+    got = vectors.similar_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).toPandas().n_links.sum()
+    want = int((both @ both.T >= vectors.LEAST).sum()) - len(both)
+    assert 0.9 * want <= got <= want + 2
+
+
 def test_strips_and_blocks_give_the_same(spark, monkeypatch):
     rng = np.random.default_rng(8)
     base = rng.normal(size=(6, 16)).repeat(15, 0) + 0.12 * rng.normal(size=(90, 16))
@@ -136,7 +186,7 @@ def test_strips_and_blocks_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(vectors, "STRIP", 4)
     assert sorted(map(tuple, vectors.similar_vectors(df).collect())) == one
     with pytest.raises(ValueError):
-        vectors.similar_vectors(df, pivots=2**21)
+        vectors.similar_vectors(df, pivots=vectors.MOST_PIVOTS + 1)
 
 
 def test_long_lists_and_hot_sets_are_dealt(spark, monkeypatch):
