@@ -87,52 +87,83 @@ def barrier_sweep(exits: DataFrame, reward: float = 2.0) -> DataFrame:
     return out.withColumn("pf", F.round(F.try_divide(F.col("wins") * reward, "losses"), 6))
 
 
-def entries(bars: DataFrame, signal: str, offset: int = 1, atr: str = "atr", stop_mult: float = 1.5, target_mult: float = 2.0) -> DataFrame:
-    """Trades to be opened ``offset`` bars after a signal, at the open, in both directions.
-
-    symbol, bar_no (of the entry), direction, entry, stop, target. Signals without that many later bars are dropped.
+def entries(
+    bars: DataFrame, signal: str, offset: int = 1, atr: str = "atr", stop_mult: float = 1.5, target_mult: float = 2.0, direction: int = 0, points: float | None = None,
+    zone: tuple[str, str] | None = None, buffer: float = 5.0, session: Column | None = None, clamp: bool = False, atr_at: str = "signal",
+) -> DataFrame:
+    """Trades to be opened ``offset`` bars after a signal (one at least), at the open, in one ``direction`` or, for 0, in both.
+
+    symbol, bar_no (of the entry), direction, entry, stop, target. The stop lies ``stop_mult`` ATRs away, or ``points``, or ``buffer`` points beyond the bounds of a
+    ``zone`` (columns of its high and low at the signal; without a zone there the other rule holds); the target lies ``target_mult`` times as far. ``session``
+    keeps signals where it holds. Signals without that many later bars are dropped, or with ``clamp`` enter at the last bar. ``atr_at`` 'entry' takes the ATR of the entry bar, as the
+    original does, though it isn't known at its open; without an ATR above 0 there is no trade.
     """
+    offset = max(offset, 1)
 
     def build(b: DataFrame) -> DataFrame:
-        b = b.withColumn("_open", F.lead("open", offset).over(by_chunk())).withColumn("_no", F.lead("bar_no", offset).over(by_chunk()))
-        return b
-
-    e = windowed(bars, build, ahead=offset).where(F.col(signal) & F.col("_no").isNotNull() & F.col(atr).isNotNull())
-    e = e.withColumn("direction", F.explode(F.array(F.lit(1), F.lit(-1)))).withColumn("_risk", F.col(atr) * stop_mult)
-    return e.select(
-        "symbol", F.col("_no").alias("bar_no"), "direction", F.col("_open").alias("entry"),
-        (F.col("_open") - F.col("direction") * F.col("_risk")).alias("stop"), (F.col("_open") + F.col("direction") * F.col("_risk") * target_mult).alias("target"),
-    )
-
-
-def moving_stop_exit(events: DataFrame, bars: DataFrame, n: int, trail: float | None = None, activation: float = 0.0, break_even: float | None = None) -> DataFrame:
-    """First exit when the stop follows the price: exit_step, exit_price and outcome.
+        ahead = by_chunk().rowsBetween(0, offset)
+        at = (lambda c: F.last(c).over(ahead)) if clamp else (lambda c: F.lead(c, offset).over(by_chunk()))
+        return b.withColumns({"_open": at("open"), "_no": at("bar_no"), **({"_atr": at(atr) if atr_at == "entry" else F.col(atr)} if points is None else {})})
+
+    e = windowed(bars, build, ahead=offset).where(F.col(signal) & F.col("_no").isNotNull())
+    if session is not None:
+        e = e.where(session)
+    if points is None:
+        e = e.where("_atr > 0")
+    e = e.withColumn("direction", F.explode(F.array(F.lit(1), F.lit(-1))) if direction == 0 else F.lit(direction))
+    risk, d = F.lit(points) if points is not None else F.col("_atr") * stop_mult, F.col("direction")
+    e = e.withColumn("_stop", F.col("_open") - d * risk)
+    if zone:
+        high, low = zone
+        bound = F.when(d > 0, F.col(low) - buffer).otherwise(F.col(high) + buffer)
+        e = e.withColumn("_stop", F.when(F.col(high).isNotNull() & F.col(low).isNotNull(), bound).otherwise(F.col("_stop")))
+        risk = F.abs(F.col("_open") - F.col("_stop"))
+    return e.select("symbol", F.col("_no").alias("bar_no"), "direction", F.col("_open").alias("entry"), F.col("_stop").alias("stop"), (F.col("_open") + d * risk * target_mult).alias("target"))
+
+
+def moving_stop_exit(
+    events: DataFrame, bars: DataFrame, n: int, trail: float | None = None, activation: float = 0.0, break_even: float | None = None, after_break_even: bool = False,
+    stops: tuple[str, str] | None = None, targets: tuple[str, str] | None = None,
+) -> DataFrame:
+    """First exit when stop and target move: exit_step, exit_price and outcome.
 
     The stop at a bar comes from the bars before it: the initial stop, the entry once the best price is ``break_even`` initial
-    risks away, and ``trail`` points behind the best price once that is ``activation`` points away. Whichever is tightest
-    counts; it never loosens. Both barriers in one bar: the one nearer to the open, the stop if equal. No exit within ``n`` bars: timeout.
+    risks away, ``trail`` points behind the best price once that is ``activation`` points away (with ``after_break_even`` only once the stop is at the entry), and the levels of ``stops``, columns
+    for long and short trades. Whichever is tightest counts; it never loosens. The target is the last level of ``targets`` before the bar, either way, else the initial one.
+    Levels count from the bar after the entry on; null ones and 0 are none. Both barriers in one bar: the one nearer to the open, the stop if equal. No exit within ``n`` bars: timeout.
     """
     events = _counted(events)
-    steps = forward_join(events, bars, n, ["open", "high", "low"])
+    columns = [*(stops or ()), *(targets or ())]
+    steps = forward_join(events, bars, n, list(dict.fromkeys(["open", "high", "low", *columns])))
     d = F.col("direction")
     # one coordinate for both directions
     steps = (
         steps.withColumn("_e", F.col("entry") * d).withColumn("_s", F.col("stop") * d).withColumn("_t", F.col("target") * d).withColumn("_o", F.col("open") * d)
         .withColumn("_h", F.when(d > 0, F.col("high")).otherwise(-F.col("low"))).withColumn("_l", F.when(d > 0, F.col("low")).otherwise(-F.col("high")))
     )
-    path = Window.partitionBy(*events.columns).orderBy("step")
-    best = F.greatest(F.col("_e"), F.max("_h").over(path.rowsBetween(Window.unboundedPreceding, -1)))
+    path = Window.partitionBy(*events.columns).orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    for name, pair in (("_level", stops), ("_aim", targets)):
+        if pair:
+            level = F.when(d > 0, F.col(pair[0])).otherwise(F.col(pair[1])).cast("double")
+            steps = steps.withColumn(name, F.when((level != 0) & ~F.isnan(level), level * d))
+    best = F.greatest(F.col("_e"), F.max("_h").over(path))
     steps = steps.withColumn("_best", F.coalesce(best, F.col("_e")))
+    gain, risk = F.col("_best") - F.col("_e"), F.abs(F.col("_e") - F.col("_s"))
+    even = gain >= break_even * risk if break_even is not None else F.lit(False)
     levels: list[Column] = [F.col("_s")]
     if break_even is not None:
-        levels.append(F.when(F.col("_best") - F.col("_e") >= break_even * (F.col("_e") - F.col("_s")), F.col("_e")))
+        levels.append(F.when(even, F.col("_e")))
     if trail is not None:
-        levels.append(F.when(F.col("_best") - F.col("_e") >= activation, F.col("_best") - trail))
+        levels.append(F.when((gain >= activation) & (even if after_break_even else F.lit(True)), F.col("_best") - trail))
+    if stops:
+        levels.append(F.max("_level").over(path))
     steps = steps.withColumn("_stop", F.greatest(*levels) if len(levels) > 1 else levels[0])
+    if targets:
+        steps = steps.withColumn("_t", F.coalesce(F.last("_aim", ignorenulls=True).over(path), F.col("_t")))
     at_stop, at_target = F.col("_l") <= F.col("_stop"), F.col("_h") >= F.col("_t")
     nearer = F.abs(F.col("_t") - F.col("_o")) < F.abs(F.col("_stop") - F.col("_o"))
     hit = F.when(flag(at_stop) & flag(at_target), F.when(nearer, "target").otherwise("stop")).when(flag(at_stop), "stop").when(flag(at_target), "target")
-    price = F.when(hit == "target", F.col("target")).otherwise(F.col("_stop") * d)
+    price = F.when(hit == "target", F.col("_t") * d).otherwise(F.col("_stop") * d)
     return _first_hits(events, steps.withColumn("_hit", hit).withColumn("_p", price), {"exit_price": "_p"})
 
 

@@ -329,16 +329,20 @@ def zone_age(bars: DataFrame, birth: str, out: str = "zone_age") -> DataFrame:
     return carried(born, {"_last": "_born"}).withColumn(out, F.col("bar_no") - F.col("_last")).drop("_born", "_last")
 
 
-def regime_masks(bars: DataFrame, n: int = 60, part: float = 0.2) -> DataFrame:
-    """trending: the close lies in the outer ``part`` of the range of the n bars before; volatility: their deviation."""
+def regime_masks(bars: DataFrame, n: int = 60, part: float = 0.2, history: int = 500, share: float = 0.66) -> DataFrame:
+    """trending: the close lies in the outer ``part`` of the range of the n bars before; volatility: their deviation; high_volatility: it lies above the ``share``
+    quantile of the volatilities of the ``history`` bars before."""
 
     def build(b: DataFrame) -> DataFrame:
         frame = last(n, including=False)
         lo, hi = F.min("low").over(frame), F.max("high").over(frame)
         place = F.try_divide(F.col("close") - lo, hi - lo)
-        return b.withColumn("volatility", F.stddev_pop("close").over(frame)).withColumn("trending", flag((place <= part) | (place >= 1 - part)))
+        return b.withColumn("volatility", F.round(F.stddev_pop("close").over(frame), 9)).withColumn("trending", flag((place <= part) | (place >= 1 - part)))
 
-    return windowed(bars, build, back=n)
+    def above(b: DataFrame) -> DataFrame:
+        return b.withColumn("high_volatility", flag(F.col("volatility") > F.percentile("volatility", F.lit(share)).over(last(history, including=False))))
+
+    return windowed(windowed(bars, build, back=n), above, back=history)
 
 
 def ou_half_life(bars: DataFrame, n: int = 60, max_half_life: float = 30.0, critical: float = -2.91) -> DataFrame:

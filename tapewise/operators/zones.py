@@ -166,39 +166,51 @@ def visit_summary(zones: DataFrame, most: int = 3) -> DataFrame:
     return v.groupBy("symbol", "side", "visit", "result").agg(F.count("*").alias("n"), F.sum("bars").alias("bars"))
 
 
-def overlap_outcomes(bars: DataFrame, prefix: str = "fvg") -> DataFrame:
-    """At the first touch of each bull zone's middle: does an active bear zone overlap it; did the close hold the middle."""
-    b = bars.withColumn("_mid", F.col(f"{prefix}_bull_mid"))
-    hit = flag((F.col("low") <= F.col("_mid")) & (F.col("high") >= F.col("_mid")) & ~F.col(f"{prefix}_bull"))
-    first = b.where(hit).groupBy("symbol", F.col(f"{prefix}_bull_id").alias("zone_id")).agg(F.min("bar_no").alias("bar_no"))
-    at = first.join(b, ["symbol", "bar_no"])
-    over = flag(~((F.col(f"{prefix}_bull_high") < F.col(f"{prefix}_bear_low")) | (F.col(f"{prefix}_bull_low") > F.col(f"{prefix}_bear_high"))))
-    return at.groupBy("symbol", over.cast("int").alias("overlap")).agg(F.count("*").alias("touches"), F.count(F.when(F.col("close") < F.col("_mid"), 1)).alias("below_mid"))
+def mid_touches(bars: DataFrame, prefix: str = "fvg", *extra: str) -> DataFrame:
+    """First bar after its birth that holds the middle of an active zone, per side: symbol, side, zone_id, bar_no, ts, close, mid, zone_high, zone_low, held, the
+    other side's active zone at that bar (other_high, other_low) and ``extra`` columns of the bar.
+
+    ``held``: the close lies on the far side of the middle (below it for bull zones, above it for bear zones), which the original counts as a bounce.
+    """
+    sides = []
+    for side, other in (("bull", "bear"), ("bear", "bull")):
+        sides.append(F.struct(
+            F.lit(side).alias("side"), F.col(f"{prefix}_{side}_id").alias("zone_id"), F.col(f"{prefix}_{side}").alias("birth"), F.col(f"{prefix}_{side}_mid").alias("mid"),
+            F.col(f"{prefix}_{side}_high").alias("zone_high"), F.col(f"{prefix}_{side}_low").alias("zone_low"), F.col(f"{prefix}_{other}_high").alias("other_high"), F.col(f"{prefix}_{other}_low").alias("other_low"),
+        ))
+    every = bars.select("symbol", "bar_no", "ts", "low", "high", "close", *extra, F.inline(F.array(*sides)))
+    hits = every.where(~F.col("birth") & flag((F.col("low") <= F.col("mid")) & (F.col("high") >= F.col("mid"))))
+    kept = ["bar_no", "ts", "close", "mid", "zone_high", "zone_low", "other_high", "other_low", *extra]
+    first = hits.groupBy("symbol", "side", "zone_id").agg(F.min_by(F.struct(*kept), "bar_no").alias("t")).select("symbol", "side", "zone_id", "t.*")
+    return first.withColumn("held", F.when(F.col("side") == "bull", F.col("close") < F.col("mid")).otherwise(F.col("close") > F.col("mid")))
 
 
+def _held(touches: DataFrame, by: Column, name: str) -> DataFrame:
+    return touches.groupBy("symbol", "side", by.cast("int").alias(name)).agg(F.count("*").alias("touches"), F.count_if("held").alias("bounce"), F.count_if(~F.col("held")).alias("through"))
 
-def near_level(bars: DataFrame, level: str, prefix: str = "fvg", distance: float = 20.0) -> DataFrame:
-    """First touch of each active bull zone's middle: touches near and away from a level, and how many close below the middle."""
-    mid = F.col(f"{prefix}_bull_mid")
-    hit = bars.where(flag((F.col("low") <= mid) & (F.col("high") >= mid)) & ~F.col(f"{prefix}_bull"))
-    first = hit.groupBy("symbol", F.col(f"{prefix}_bull_id").alias("zone_id")).agg(
-        F.min_by(F.struct(mid.alias("mid"), F.col("close"), F.col(level).alias("level")), "bar_no").alias("r")
-    )
-    near = flag(F.abs(F.col("r.level") - F.col("r.mid")) <= distance)
-    return first.groupBy("symbol", near.cast("int").alias("near")).agg(F.count("*").alias("touches"), F.count_if(F.col("r.close") < F.col("r.mid")).alias("below_mid"))
 
+def overlap_outcomes(bars: DataFrame, prefix: str = "fvg") -> DataFrame:
+    """At the first touch of each zone's middle, per side: does the other side's active zone overlap it; touches, bounces and the rest. A zone of the same side can't, there is one at a time."""
+    over = flag((F.col("zone_high") >= F.col("other_low")) & (F.col("other_high") >= F.col("zone_low")))
+    return _held(mid_touches(bars, prefix), over, "overlap")
 
-def nested_zones(lower: DataFrame, higher: DataFrame, prefix: str = "fvg") -> DataFrame:
-    """Bars with an active bull zone in both frames: per symbol how many, and in how many the lower frame's zone lies within the other or overlaps it.
 
-    ``higher`` has symbol, ts (from when its values are known) and htf_high, htf_low.
-    """
-    names = ["symbol", "ts", "bar_no", f"{prefix}_bull_high", f"{prefix}_bull_low"]
-    both = asof(lower.where(F.col(f"{prefix}_bull_active")).select(*names), higher, ["htf_high", "htf_low"]).where("htf_high is not null")
-    hi, lo = F.col(f"{prefix}_bull_high"), F.col(f"{prefix}_bull_low")
-    inside = (hi <= F.col("htf_high")) & (lo >= F.col("htf_low"))
-    over = (hi >= F.col("htf_low")) & (lo <= F.col("htf_high"))
-    return both.groupBy("symbol").agg(F.count("*").alias("bars"), F.count_if(inside).alias("inside"), F.count_if(over).alias("overlapping"))
+def near_level(bars: DataFrame, level: str, prefix: str = "fvg", distance: float = 20.0) -> DataFrame:
+    """First touch of each active zone's middle, per side: touches near (``distance`` at most) and away from a level, bounces and the rest."""
+    return _held(mid_touches(bars, prefix, level), flag(F.abs(F.col(level) - F.col("mid")) <= distance), "near")
+
+
+def nested_zones(lower: DataFrame, higher: DataFrame, prefix: str = "fvg", nesting: str = "contained") -> DataFrame:
+    """First touches of the middles of the higher frame's zones, per side: is a zone of the same side active in the lower frame at its first bar at or after the touch's time, and contained in
+    the touched one (``nesting`` 'overlap': or overlapping it); touches, bounces and the rest."""
+    bounds = [f"{prefix}_{side}_{edge}" for side in ("bull", "bear") for edge in ("high", "low")]
+    touches = mid_touches(higher, prefix).select("symbol", "ts", "side", "zone_high", "zone_low", "held")
+    met = asof(touches, lower.select("symbol", "ts", *bounds), bounds, forward=True)
+    bull = F.col("side") == "bull"
+    high, low = (F.when(bull, F.col(f"{prefix}_bull_{edge}")).otherwise(F.col(f"{prefix}_bear_{edge}")) for edge in ("high", "low"))
+    inside = (F.col("zone_low") <= low) & (high <= F.col("zone_high"))
+    over = (F.col("zone_high") >= low) & (high >= F.col("zone_low"))
+    return _held(met, flag({"contained": inside, "overlap": over}[nesting]), "nested")
 
 
 def visit_durations(zones: DataFrame, most: int = 4, within: int = 120) -> DataFrame:

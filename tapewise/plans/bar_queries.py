@@ -170,11 +170,12 @@ def settlements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.settlements(_bars(spark, sf_dir)).select("symbol", "bar_no", "close")
 
 
-@query(f"""SELECT symbol, bar_no, round(stddev_pop(close) OVER p, 6) AS volatility,
+@query(f"""SELECT symbol, bar_no, round(v, 6) AS volatility, trending, coalesce(v > quantile_cont(v, 0.66) OVER ({W} ROWS BETWEEN 500 PRECEDING AND 1 PRECEDING), false) AS high_volatility FROM (
+        SELECT symbol, bar_no, round(stddev_pop(close) OVER p, 9) AS v,
            coalesce((close - min(low) OVER p) / nullif(max(high) OVER p - min(low) OVER p, 0) <= 0.2 OR (close - min(low) OVER p) / nullif(max(high) OVER p - min(low) OVER p, 0) >= 1 - 0.2, false) AS trending
-    FROM bars WINDOW p AS ({W} ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)""")
+        FROM bars WINDOW p AS ({W} ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING))""")
 def regime_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signals.regime_masks(_bars(spark, sf_dir)).select("symbol", "bar_no", F.round("volatility", 6).alias("volatility"), "trending")
+    return signals.regime_masks(_bars(spark, sf_dir)).select("symbol", "bar_no", F.round("volatility", 6).alias("volatility"), "trending", "high_volatility")
 
 
 @query(f"SELECT symbol, bar_no, bar_no - last_value(CASE WHEN bull THEN bar_no END IGNORE NULLS) OVER ({W}) AS zone_age FROM gaps")

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import local
 from ..operators import chains, levels, outcomes, regimes, signals
+from ..operators.frames import last, windowed
 from ..sources.bars import keyed_event_bars
 from ..sources.store import stage
 from .registry import query
 from .sql import W
+from .zone_queries import _FILLS, _GAP_STATE
 
 LEVELS = ["prev_day_high", "prev_day_low", "prev_week_high", "prev_week_low"]
 
@@ -194,6 +196,38 @@ def trade_drawdowns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcomes.max_drawdown(_trades(spark, sf_dir), "symbol", "direction")
 
 
+#: Entries two bars after a gap of the London hours, stops five points beyond the zone, else 25 points; levels of the day before as targets, the low and high of the last bars as stops.
+_LEVELLED = {
+    "fills": _FILLS, "gap_state": _GAP_STATE,
+    "signals_": f"SELECT *, last_value(open) OVER x AS o2, last_value(bar_no) OVER x AS n2 FROM gap_state WINDOW x AS ({W} ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)",
+    "entries_": """SELECT symbol, n2 AS bar_no, d AS direction, o2 AS entry, stop, o2 + d * abs(o2 - stop) * 2 AS target FROM (SELECT *, CASE WHEN b_lo IS NULL THEN o2 - d * 25 WHEN d > 0 THEN b_lo - 5 ELSE b_hi + 5 END AS stop
+        FROM signals_, (SELECT unnest([1, -1]) AS d) WHERE bull AND date_part('hour', ts) >= 7 AND date_part('hour', ts) < 16)""",
+    "levelled": f"SELECT *, min(low) OVER ({W} ROWS 4 PRECEDING) AS floor_, max(high) OVER ({W} ROWS 4 PRECEDING) AS ceiling_, CASE WHEN bar_no % 3 = 0 THEN high + 10 END AS aim_up, CASE WHEN bar_no % 3 = 0 THEN low - 10 END AS aim_down FROM bars",
+    "path": """SELECT e.*, b.bar_no - e.bar_no AS step, entry * direction AS e, e.stop * direction AS s, target * direction AS t, b.open * direction AS o, CASE WHEN direction > 0 THEN b.high ELSE -b.low END AS h,
+        CASE WHEN direction > 0 THEN b.low ELSE -b.high END AS l, CASE WHEN direction > 0 THEN floor_ ELSE ceiling_ END * direction AS level, CASE WHEN direction > 0 THEN aim_up ELSE aim_down END * direction AS aim
+        FROM entries_ e JOIN levelled b ON b.symbol = e.symbol AND b.bar_no BETWEEN e.bar_no + 1 AND e.bar_no + 60""",
+    "moved": """SELECT *, greatest(s, max(level) OVER q) AS x, coalesce(last_value(aim IGNORE NULLS) OVER q, t) AS y FROM path WINDOW q AS (PARTITION BY symbol, bar_no, direction, entry, stop, target ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+    "decided": "SELECT *, CASE WHEN l <= x AND h >= y THEN CASE WHEN abs(y - o) < abs(x - o) THEN 'target' ELSE 'stop' END WHEN l <= x THEN 'stop' WHEN h >= y THEN 'target' END AS hit FROM moved",
+    "closed": "SELECT symbol, bar_no, direction, entry, stop, target, min(step) AS exit_step, arg_min(hit, step) AS outcome, arg_min(CASE WHEN hit = 'target' THEN y ELSE x END * direction, step) AS exit_price FROM decided WHERE hit IS NOT NULL GROUP BY ALL",
+}
+
+
+@query("""SELECT e.symbol, e.bar_no, e.direction, round(e.stop, 6) AS stop, coalesce(outcome, 'timeout') AS outcome, exit_step, round(exit_price, 6) AS exit_price FROM (SELECT DISTINCT * FROM entries_) e LEFT JOIN closed USING (symbol, bar_no, direction, entry, stop, target)""", **_LEVELLED)
+def moving_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries by session and zone, exits at levels that move."""
+    b = stage(signals.fair_value_gap(keyed_event_bars(spark, sf_dir)), "bars")
+
+    def levels(x: DataFrame) -> DataFrame:
+        return x.withColumn("floor_", F.min("low").over(last(5))).withColumn("ceiling_", F.max("high").over(last(5)))
+
+    third = F.col("bar_no") % 3 == 0
+    levelled = stage(windowed(b, levels, back=5).withColumn("aim_up", F.when(third, F.col("high") + 10)).withColumn("aim_down", F.when(third, F.col("low") - 10)), "levelled")
+    hour = F.hour("ts")
+    e = outcomes.entries(b, "fvg_bull", 2, points=25.0, zone=("fvg_bull_high", "fvg_bull_low"), session=(hour >= 7) & (hour < 16), clamp=True).distinct()
+    out = outcomes.moving_stop_exit(e, levelled, 60, stops=("floor_", "ceiling_"), targets=("aim_up", "aim_down"))
+    return out.select("symbol", "bar_no", "direction", F.round("stop", 6).alias("stop"), "outcome", "exit_step", F.round("exit_price", 6).alias("exit_price"))
+
+
 _SINGLE = _TRADES | {
     "arrived": "SELECT symbol, bar_no AS entry_no, arg_max(direction, -direction) AS direction, arg_max(exit_price, -direction) AS exit_price, arg_max(entry, -direction) AS entry, arg_max(bar_no + exit_step, -direction) AS exit_no FROM closed GROUP BY 1, 2",
     "single": """SELECT a.* FROM arrived a JOIN (SELECT symbol, unnest(list_reduce(list_prepend({'till': -1::BIGINT, 'at': []::BIGINT[]}, list({'till': exit_no, 'at': [entry_no]} ORDER BY entry_no)),

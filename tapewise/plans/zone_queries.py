@@ -115,17 +115,23 @@ def fair_value_gaps_aged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars.groupBy("symbol").agg(F.count_if("fvg_bull_active").alias("active"), F.count_if("fvg_bull").alias("births"))
 
 
-@query("""SELECT symbol, overlap, count(*) AS touches, count(*) FILTER (close < mid) AS below_mid FROM (
-        SELECT g.symbol, g.close, (b_lo + b_hi) / 2 AS mid, coalesce(NOT (b_hi < s_lo OR b_lo > s_hi), false)::INT AS overlap,
-               row_number() OVER (PARTITION BY symbol, bull_id ORDER BY bar_no) AS k
-        FROM gap_state g WHERE NOT bull AND low <= (b_lo + b_hi) / 2 AND high >= (b_lo + b_hi) / 2) WHERE k = 1 GROUP BY 1, 2""", fills=_FILLS, gap_state=_GAP_STATE)
+#: First bar after the birth that holds the middle of an active zone, for a table of bars with both sides' active zones.
+_TOUCHED = {
+    "fills": _FILLS, "gap_state": _GAP_STATE,
+    "sided": """SELECT symbol, bar_no, ts, low, high, close, 'bull' AS side, bull_id AS zone_id, bull AS birth, b_hi AS zh, b_lo AS zl, s_hi AS oh, s_lo AS ol FROM gap_state
+        UNION ALL SELECT symbol, bar_no, ts, low, high, close, 'bear', bear_id, bear, s_hi, s_lo, b_hi, b_lo FROM gap_state""",
+    "touched": """SELECT *, CASE side WHEN 'bull' THEN close < (zh + zl) / 2 ELSE close > (zh + zl) / 2 END AS held FROM (SELECT *, row_number() OVER (PARTITION BY symbol, side, zone_id ORDER BY bar_no) AS k FROM sided
+        WHERE NOT birth AND low <= (zh + zl) / 2 AND high >= (zh + zl) / 2) WHERE k = 1""",
+}
+_HELD = "count(*) AS touches, count(*) FILTER (held) AS bounce, count(*) FILTER (NOT held) AS through"
+
+
+@query(f"SELECT symbol, side, coalesce(NOT (zh < ol OR oh < zl), false)::INT AS overlap, {_HELD} FROM touched GROUP BY 1, 2, 3", **_TOUCHED)
 def zone_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zones.overlap_outcomes(gap_bars(spark, sf_dir))
 
 
-@query("""SELECT symbol, near, count(*) AS touches, count(*) FILTER (close < mid) AS below_mid FROM (
-        SELECT g.symbol, g.close, (b_lo + b_hi) / 2 AS mid, coalesce(abs(l.h - (b_lo + b_hi) / 2) <= 20, false)::INT AS near, row_number() OVER (PARTITION BY g.symbol, bull_id ORDER BY g.bar_no) AS k
-        FROM gap_state g LEFT JOIN ld l ON l.symbol = g.symbol AND l.p = date_trunc('day', g.ts) WHERE NOT bull AND low <= (b_lo + b_hi) / 2 AND high >= (b_lo + b_hi) / 2) WHERE k = 1 GROUP BY 1, 2""", fills=_FILLS, gap_state=_GAP_STATE,
+@query(f"""SELECT t.symbol, side, coalesce(abs(l.h - (zh + zl) / 2) <= 20, false)::INT AS near, {_HELD} FROM touched t LEFT JOIN ld l ON l.symbol = t.symbol AND l.p = date_trunc('day', t.ts) GROUP BY 1, 2, 3""", **_TOUCHED,
     pd="SELECT symbol, date_trunc('day', ts) AS p, max(high) AS h FROM bars GROUP BY 1, 2", ld="SELECT symbol, p, lag(h) OVER (PARTITION BY symbol ORDER BY p) AS h FROM pd")
 def zone_near_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zones.near_level(signals.previous_levels(gap_bars(spark, sf_dir), ("day",)), "prev_day_high")
@@ -143,14 +149,30 @@ def any_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return concepts.any_query(gap_bars(spark, sf_dir), ["FVG", "nothing"], {"FVG": ["fvg_bull", "fvg_bear"]}).select("symbol", "bar_no")
 
 
-@query("""SELECT symbol, count(*) AS bars, count(*) FILTER (bull_top <= h.t AND bull_bottom >= h.b) AS inside, count(*) FILTER (bull_top >= h.b AND bull_bottom <= h.t) AS overlapping FROM (
-        SELECT l.*, (SELECT arg_max({'t': z.bull_top, 'b': z.bull_bottom}, z.ts) FROM two_active z WHERE z.symbol = l.symbol AND z.bull_top IS NOT NULL AND z.ts + INTERVAL 2 HOUR <= l.ts) AS h FROM one_active l WHERE bull_top IS NOT NULL) WHERE h IS NOT NULL GROUP BY 1""",
-    **zone_sql("one", "bars"), **frame_sql("two", "2 HOURS"), **zone_sql("two", "two_bars"))
-def zone_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
+_NESTED = {
+    **zone_sql("one", "bars"), **frame_sql("two", "2 HOURS"), **zone_sql("two", "two_bars"),
+    "two_sided": """SELECT i.symbol, i.bar_no, i.ts, i.low, i.high, i.close, 'bull' AS side, i.bull_id AS zone_id, i.bull AS birth, a.bull_top AS zh, a.bull_bottom AS zl FROM two_ids i JOIN two_active a USING (symbol, bar_no)
+        UNION ALL SELECT i.symbol, i.bar_no, i.ts, i.low, i.high, i.close, 'bear', i.bear_id, i.bear, a.bear_top, a.bear_bottom FROM two_ids i JOIN two_active a USING (symbol, bar_no)""",
+    "two_touched": """SELECT *, CASE side WHEN 'bull' THEN close < (zh + zl) / 2 ELSE close > (zh + zl) / 2 END AS held FROM (SELECT *, row_number() OVER (PARTITION BY symbol, side, zone_id ORDER BY bar_no) AS k FROM two_sided
+        WHERE NOT birth AND low <= (zh + zl) / 2 AND high >= (zh + zl) / 2) WHERE k = 1""",
+    "two_met": """SELECT t.*, (SELECT arg_min(CASE t.side WHEN 'bull' THEN {'h': o.bull_top, 'l': o.bull_bottom} ELSE {'h': o.bear_top, 'l': o.bear_bottom} END, o.ts) FROM one_active o WHERE o.symbol = t.symbol AND o.ts >= t.ts) AS z FROM two_touched t""",
+}
+
+
+def _nesting(spark: SparkSession, sf_dir: str, nesting: str) -> DataFrame:
     bars = gap_bars(spark, sf_dir)
-    four = stage(keyed(resample(bars, "2 hours")), "higher")
-    higher = signals.fair_value_gap(four).where("fvg_bull_active").select("symbol", F.expr("ts + INTERVAL 2 HOURS").alias("ts"), F.col("fvg_bull_high").alias("htf_high"), F.col("fvg_bull_low").alias("htf_low"))
-    return zones.nested_zones(bars, higher)
+    higher = signals.fair_value_gap(stage(keyed(resample(bars, "2 hours")), "higher"))
+    return zones.nested_zones(bars, higher, nesting=nesting)
+
+
+@query(f"SELECT symbol, side, coalesce(zl <= z.l AND z.h <= zh, false)::INT AS nested, {_HELD} FROM two_met GROUP BY 1, 2, 3", **_NESTED)
+def zone_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nesting(spark, sf_dir, "contained")
+
+
+@query(f"SELECT symbol, side, coalesce(NOT (zh < z.l OR z.h < zl), false)::INT AS nested, {_HELD} FROM two_met GROUP BY 1, 2, 3", **_NESTED)
+def zone_nesting_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nesting(spark, sf_dir, "overlap")
 
 
 @query(f"SELECT symbol, side, {_CLASS} AS class, context, count(*) AS zones FROM returned JOIN (SELECT symbol, side, zone_id, max((px * CASE side WHEN 'bull' THEN 1 ELSE -1 END > o)::INT) AS context FROM zone_open GROUP BY 1, 2, 3) c USING (symbol, side, zone_id) GROUP BY 1, 2, 3, 4",
