@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.clock import CHICAGO, local, minute_of_day
 from ..sources.bars import keyed
 from ..sources.store import stage
-from .frames import by_chunk, carried, flag, last, recursion, rising, running_sum, running_sums, windowed
+from .frames import by_chunk, carried, flag, last, recursion, rising, running_sum, windowed
 
 SIDES = ("bull", "bear")
 
@@ -46,36 +46,60 @@ def smoothed_atr(bars: DataFrame, n: int = 14, smooth: int = 50, out: str = "atr
 
 def fair_value_gap(bars: DataFrame, min_gap: float = 0.0, max_age: int = 0, prefix: str = "fvg") -> DataFrame:
     """Three-bar gaps as zones, per side: {prefix}_bull (new zone), _bull_id (zones so far), _bull_high, _bull_low,
-    _bull_mid, _bull_active and _bull_filled.
+    _bull_mid, _bull_active, _bull_filled and _bull_zone (born, ts, high and low of the last zone, filled or not).
 
     A bull gap is low - high[two bars ago] > min_gap; its zone runs from that high to the low. At each bar the zone
     before the bar may be filled (low <= zone low), then a new zone may replace it. ``max_age``: bars after which a zone is
     no longer active (0: never). Bounds are there while the zone is active; sides are independent.
+
+    One pass sorts the chunks' bars and follows the zones born in each; a row for each chunk says with which zone it ends, and composing these rows gives the zone with which
+    each chunk begins.
     """
+    before, up_to = (by_chunk().rowsBetween(Window.unboundedPreceding, to) for to in (-1, 0))
+    kind = "struct<born: bigint, ts: timestamp, high: double, low: double>"
 
-    def births(b: DataFrame) -> DataFrame:
+    def follow(b: DataFrame) -> DataFrame:
+        own = F.col("chunk") == F.col("_home")  # not one of the copies from the chunk before
         high, low = F.lag("high", 2).over(by_chunk()), F.lag("low", 2).over(by_chunk())
-        b = b.withColumn(f"{prefix}_bull", flag(F.col("low") - high > min_gap)).withColumn(f"{prefix}_bear", flag(low - F.col("high") > min_gap))
-        for side, top, bottom in (("bull", F.col("low"), high), ("bear", low, F.col("high"))):
-            new = F.col(f"{prefix}_{side}")
-            b = b.withColumn(f"_{side}_new", F.when(new, F.struct(F.col("bar_no").alias("born"), top.alias("high"), bottom.alias("low")))).withColumn(f"_{side}_n", new.cast("long"))
-        return b
-
-    out = running_sums(stage(windowed(bars, births, back=2), "gaps"), {f"{prefix}_{side}_id": f"_{side}_n" for side in SIDES})
-    # the zone after each bar and the one before it, carried along chunk by chunk; then the births of zones that a bar hits, likewise
-    out = carried(out, {f"_{side}_zone": f"_{side}_new" for side in SIDES}, before="_was")
-    for side, hit in (("bull", F.col("low") <= F.col("_bull_zone_was.low")), ("bear", F.col("high") >= F.col("_bear_zone_was.high"))):
-        out = out.withColumn(f"_{side}_hit", F.when(hit, F.col(f"_{side}_zone_was.born")))
-    out = carried(out, {f"_{side}_gone": f"_{side}_hit" for side in SIDES}, before="_was")
+        born = {"bull": flag(F.col("low") - high > min_gap), "bear": flag(low - F.col("high") > min_gap)}
+        bounds = {"bull": (F.col("low"), high), "bear": (low, F.col("high"))}
+        b = b.withColumns({f"{prefix}_{side}": born[side] for side in SIDES} | {f"_{side}_new": F.when(born[side] & own, F.struct(
+            F.col("bar_no").cast("long").alias("born"), F.col("ts").cast("timestamp").alias("ts"), bounds[side][0].cast("double").alias("high"), bounds[side][1].cast("double").alias("low"))) for side in SIDES})
+        # what a zone from an earlier chunk meets: the furthest price of the chunk's bars before and up to the bar
+        reach = {"bull": F.min(F.when(own, F.col("low"))), "bear": F.max(F.when(own, F.col("high")))}
+        b = b.withColumns({f"_{side}_{name}": value for side in SIDES for name, value in (
+            ("n", F.count(f"_{side}_new").over(up_to)), ("own", F.last(f"_{side}_new", ignorenulls=True).over(up_to)), ("was", F.last(f"_{side}_new", ignorenulls=True).over(before)),
+            ("far", reach[side].over(up_to)), ("far_was", reach[side].over(before)))})
+        hit = {"bull": F.col("low") <= F.col("_bull_was.low"), "bear": F.col("high") >= F.col("_bear_was.high")}
+        b = b.withColumns({f"_{side}_hit": F.when(hit[side], F.col(f"_{side}_was.born")) for side in SIDES})
+        return b.withColumns({f"_{side}_{name}": F.last(f"_{side}_hit", ignorenulls=True).over(frame) for side in SIDES for name, frame in (("gone", up_to), ("gone_was", before))})
+
+    followed = stage(windowed(bars, follow, back=2), "gaps")
+    reached = {"bull": F.min("low"), "bear": F.max("high")}
+    ends = followed.groupBy("symbol", "chunk").agg(F.struct(*[F.struct(
+        F.count(f"_{side}_new").alias("n"), F.max_by(f"_{side}_own", "bar_no").alias("zone"), F.max_by(F.coalesce(F.col(f"_{side}_gone") == F.col(f"_{side}_own.born"), F.lit(False)), "bar_no").alias("gone"),
+        reached[side].cast("double").alias("far")).alias(side) for side in SIDES]).alias("e"))
+    ends = ends.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("chunk", "e"))).alias("p"))  # as long as a symbol has chunks
+    steps = ", ".join(f"""named_struct('n', s[size(s) - 1].{side}.n + c.e.{side}.n, 'zone', coalesce(c.e.{side}.zone, s[size(s) - 1].{side}.zone), 'gone', IF(c.e.{side}.zone IS NOT NULL, c.e.{side}.gone,
+        s[size(s) - 1].{side}.gone OR coalesce({reach}, false))) AS {side}""" for side, reach in (("bull", "c.e.bull.far <= s[size(s) - 1].bull.zone.low"), ("bear", "c.e.bear.far >= s[size(s) - 1].bear.zone.high")))
+    start = ", ".join(f"named_struct('n', 0L, 'zone', cast(null AS {kind}), 'gone', false) AS {side}" for side in SIDES)
+    fold = F.expr(f"aggregate(p, array(struct({start})), (s, c) -> concat(s, array(struct({steps}))))")
+    into = ends.select("symbol", F.explode(F.arrays_zip(F.transform("p", lambda c: c["chunk"]).alias("chunk"), F.slice(fold, F.lit(1), F.size("p")).alias("s"))).alias("x"))
+    out = followed.join(into.select("symbol", "x.chunk", "x.s"), ["symbol", "chunk"])
     for side in SIDES:
-        zone, hit, gone, gone_was = (F.col(f"_{side}_{k}") for k in ("zone", "hit", "gone", "gone_was"))
-        active = flag(zone.isNotNull() & ~flag(gone == zone["born"]))
+        name, c, s_ = f"{prefix}_{side}", (lambda k, side=side: F.col(f"_{side}_{k}")), F.col("s")[side]
+        beyond = (lambda far, zone: far <= zone["low"]) if side == "bull" else (lambda far, zone: far >= zone["high"])
+        # zones of the chunk itself, else the one with which it began
+        zone, gone = F.coalesce(c("own"), s_["zone"]), F.when(c("own").isNotNull(), flag(c("gone") == c("own")["born"])).otherwise(s_["gone"] | flag(beyond(c("far"), s_["zone"])))
+        filled = F.when(c("was").isNotNull(), c("hit").isNotNull() & ~flag(c("gone_was") == c("hit")))
+        filled = filled.otherwise(~s_["gone"] & ~flag(beyond(c("far_was"), s_["zone"])) & flag(beyond(F.col("low" if side == "bull" else "high"), s_["zone"])))
+        active = zone.isNotNull() & ~gone
         if max_age:
             active = active & (F.col("bar_no") - zone["born"] <= max_age)
-        on, name = F.col(f"{prefix}_{side}_active"), f"{prefix}_{side}"
-        out = out.withColumn(f"{name}_active", active).withColumn(f"{name}_high", F.when(on, zone["high"])).withColumn(f"{name}_low", F.when(on, zone["low"]))
-        out = out.withColumn(f"{name}_mid", F.when(on, (zone["high"] + zone["low"]) / 2)).withColumn(f"{name}_filled", hit.isNotNull() & ~flag(gone_was == hit))
-    return out.drop(*[f"_{s}_{c}" for s in SIDES for c in ("n", "new", "zone", "zone_was", "hit", "gone", "gone_was")])
+        out = out.withColumns({f"{name}_id": c("n") + s_["n"], f"{name}_zone": zone, f"{name}_active": active, f"{name}_filled": filled})
+        on = F.col(f"{name}_active")
+        out = out.withColumns({f"{name}_high": F.when(on, F.col(f"{name}_zone.high")), f"{name}_low": F.when(on, F.col(f"{name}_zone.low")), f"{name}_mid": F.when(on, (F.col(f"{name}_zone.high") + F.col(f"{name}_zone.low")) / 2)})
+    return out.drop("s", *[f"_{s}_{c}" for s in SIDES for c in ("n", "new", "own", "was", "far", "far_was", "hit", "gone", "gone_was")])
 
 
 def break_of_structure(bars: DataFrame, n: int = 5) -> DataFrame:

@@ -20,23 +20,21 @@ HORIZONS = (15, 30, 60, 120)
 def zone_bars(bars: DataFrame, prefix: str = "fvg", context: str | None = None) -> DataFrame:
     """Bars after the birth of a zone, per side: symbol, side, zone_id, bar_no, ts, born_no, born_ts, entry, far, lo, hi, px (close).
 
-    A zone's birth and bounds are carried along chunk by chunk, so a zone that lasts for months is no hot key.
-
-    ``bars`` has the birth flags, the number of zones so far and the bounds of ``prefix``; ``context`` is one more flag to carry.
+    ``bars`` has the birth flags, the number of zones so far and the last zone ({prefix}_bull_zone: born, ts, high, low) of ``prefix``, so this moves no rows; where there is no such
+    column, zones are carried along from the bounds at their birth, chunk by chunk. ``context`` is one more flag to carry.
     """
-    born, sides = {}, []
+    if f"{prefix}_bull_zone" not in bars.columns:
+        born = {f"_{side}_born": F.when(F.col(f"{prefix}_{side}"), F.struct(F.col("bar_no").alias("born"), "ts", F.col(f"{prefix}_{side}_high").alias("high"), F.col(f"{prefix}_{side}_low").alias("low"))) for side in SIDES}
+        bars = carried(bars.withColumns(born), {f"{prefix}_{side}_zone": f"_{side}_born" for side in SIDES})
+    sides = []
     for side, sign, up, down in (("bull", 1, "high", "low"), ("bear", -1, "low", "high")):
         name = f"{prefix}_{side}"
-        zone = F.struct(F.col("bar_no").alias("no"), "ts", (F.col(f"{name}_{up}") * sign).alias("entry"), (F.col(f"{name}_{down}") * sign).alias("far"))
-        born[f"_{side}_zone"] = F.when(F.col(name), zone)
         sides.append(F.struct(
             F.lit(side).alias("side"), F.col(f"{name}_id").alias("zone_id"), (F.col(down) * sign).alias("lo"), (F.col(up) * sign).alias("hi"), (F.col("close") * sign).alias("px"),
-            F.col(name).alias("birth"), F.col(f"_{side}").alias("zone"),
+            F.col(name).alias("birth"), F.col(f"{name}_zone.born").alias("born_no"), F.col(f"{name}_zone.ts").alias("born_ts"), (F.col(f"{name}_zone")[up] * sign).alias("entry"), (F.col(f"{name}_zone")[down] * sign).alias("far"),
         ))
-    b = carried(bars.withColumns(born), {"_bull": "_bull_zone", "_bear": "_bear_zone"})
     kept = ["symbol", "bar_no", "chunk", "chunk_len", "ts", *([F.col(context).alias("context")] if context else [])]
-    b = b.select(*kept, F.inline(F.array(*sides))).where("zone is not null")
-    return b.select("*", F.col("zone.no").alias("born_no"), F.col("zone.ts").alias("born_ts"), "zone.entry", "zone.far").drop("zone")
+    return bars.select(*kept, F.inline(F.array(*sides))).where("born_no is not null")
 
 
 def episodes(zones: DataFrame) -> DataFrame:
@@ -79,10 +77,11 @@ def returns(zones: DataFrame, bars: DataFrame, horizon: int = 120) -> DataFrame:
     filled = e.where("fill_no is not null").select("symbol", "side", "zone_id", "far", "fill_no")
     steps = forward_join(filled, bars, horizon, ["high", "low"], at="fill_no", including=True)
     bull = F.col("side") == "bull"
-    steps = steps.withColumn("hi", F.when(bull, F.col("high")).otherwise(-F.col("low"))).withColumn("beyond", F.col("far") - F.when(bull, F.col("low")).otherwise(-F.col("high")))
-    back = steps.groupBy("symbol", "side", "zone_id").agg(F.min(F.when((F.col("step") > 0) & (F.col("hi") >= F.col("far")), F.col("step"))).alias("back_after"))
-    path = steps.join(back, ["symbol", "side", "zone_id"]).where("back_after is null or step <= back_after")
-    far = path.groupBy("symbol", "side", "zone_id").agg(F.first("back_after").alias("back_after"), F.max("beyond").alias("excursion"))
+    step = F.struct("step", F.when(bull, F.col("high")).otherwise(-F.col("low")).alias("hi"), (F.col("far") - F.when(bull, F.col("low")).otherwise(-F.col("high"))).alias("beyond"))
+    path = steps.groupBy("symbol", "side", "zone_id").agg(F.first("far").alias("far"), F.collect_list(step).alias("p"))  # as long as the horizon
+    back = F.array_min(F.transform(F.filter("p", lambda s: (s["step"] > 0) & (s["hi"] >= F.col("far"))), lambda s: s["step"]))
+    path = path.select("symbol", "side", "zone_id", back.alias("back_after"), "p")
+    far = path.select("symbol", "side", "zone_id", "back_after", F.array_max(F.transform(F.filter("p", lambda s: F.col("back_after").isNull() | (s["step"] <= F.col("back_after"))), lambda s: s["beyond"])).alias("excursion"))
     return e.join(far, ["symbol", "side", "zone_id"], "left")
 
 
