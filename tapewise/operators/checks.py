@@ -221,11 +221,13 @@ def atr_trail_exit(events: DataFrame, bars: DataFrame, n: int, distance: float,
 
 
 def extremes(trades: DataFrame, by: str, k: int = 5, value: str = "pnl", key: str = "entry_no") -> DataFrame:
-    """The ``k`` best and worst trades of each group, with ``place`` (best: 1.., worst: -1..)."""
-    up, down = Window.partitionBy(by).orderBy(F.col(value).desc(), key), Window.partitionBy(by).orderBy(value, key)
-    t = trades.withColumn("_u", F.row_number().over(up)).withColumn("_d", F.row_number().over(down)).where((F.col("_u") <= k) | (F.col("_d") <= k))
-    places = F.array_compact(F.array(F.when(F.col("_u") <= k, F.col("_u")), F.when(F.col("_d") <= k, -F.col("_d"))))
-    return t.withColumn("place", F.explode(places)).drop("_u", "_d")
+    """The ``k`` best and worst trades of each group, with ``place`` (best: 1.., worst: -1..); a trade may be both. Each task keeps its own ``k`` before the shuffle."""
+
+    def first(order: Column, sign: int) -> DataFrame:
+        places = F.row_number().over(Window.partitionBy(by).orderBy(order, key))
+        return trades.withColumn("place", places).where(F.col("place") <= k).withColumn("place", F.col("place") * sign)
+
+    return first(F.col(value).desc(), 1).unionByName(first(F.col(value).asc(), -1))
 
 
 def session_ranges(bars: DataFrame, labels: Column, sessions: Sequence[str], horizons: Sequence[int] = (5, 15, 60)) -> DataFrame:

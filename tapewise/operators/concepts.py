@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.draws import drawn
 from .frames import last, windowed
 
 PRICES = ("symbol", "ts", "open", "high", "low", "close", "volume", "bar_no", "chunk", "chunk_len")
@@ -76,6 +77,6 @@ def any_query(df: DataFrame, concepts: Sequence[str], columns: Mapping[str, Sequ
 
 
 def sampled(events: DataFrame, key: Sequence[str], by: Sequence[str], most: int, seed: int = 0) -> DataFrame:
-    """At most ``most`` events of each group, the same ones however the data are partitioned."""
-    order = Window.partitionBy(*by).orderBy(F.xxhash64(F.lit(seed), *key), *key)
+    """At most ``most`` events of each group, drawn by their key: the same ones however the data are partitioned. Each task keeps its own ``most`` before the shuffle."""
+    order = Window.partitionBy(*by).orderBy(drawn(seed, *key), *key)
     return events.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most).drop("_k")

@@ -47,6 +47,18 @@ def signal_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("symbol").agg(F.count("*").alias("bars"), F.count_if("fvg_bull").alias("fvg_bull"), F.count_if("fvg_bear").alias("fvg_bear"), F.round(F.sum("ker"), 4).alias("ker"))
 
 
+@query(f"""SELECT symbol, count(*) AS bars, count(*) FILTER (bull) AS fvg_bull, count(*) FILTER (bear) AS fvg_bear, round(sum(ker), 4) AS ker FROM (
+        SELECT g.*, round(abs(k.close - k.c20) / nullif(k.s, 0), 6) AS ker FROM gaps g JOIN (
+            SELECT symbol, bar_no, close, lag(close, 20) OVER ({{W}}) AS c20, sum(d) OVER ({{W}} ROWS 19 PRECEDING) AS s FROM (SELECT *, abs(close - lag(close) OVER ({{W}})) AS d FROM bars)) k USING (symbol, bar_no)) GROUP BY 1""".replace("{W}", "PARTITION BY symbol ORDER BY bar_no"))
+def signal_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from shards that need no shuffle to meet."""
+    path, bars = folder(spark, "buckets"), keyed_event_bars(spark, sf_dir)
+    files.write_signal_buckets(signals.fair_value_gap(bars), path, "fvg", tuple(bars.columns), 8)
+    files.write_signal_buckets(signals.efficiency_ratio(bars).withColumn("ker", F.round("ker", 6)), path, "ker", tuple(bars.columns), 8)
+    both = files.read_signal_buckets(spark, path, ["fvg", "ker"], 8)
+    return both.groupBy("symbol").agg(F.count("*").alias("bars"), F.count_if("fvg_bull").alias("fvg_bull"), F.count_if("fvg_bear").alias("fvg_bear"), F.round(F.sum("ker"), 4).alias("ker"))
+
+
 @query("""SELECT signal, params_hash, input_id, code_version FROM wanted w WHERE NOT EXISTS (SELECT 1 FROM present p WHERE p.signal = w.signal AND p.params_hash = w.params_hash AND p.input_id = w.input_id AND p.code_version = w.code_version)""",
     wanted="SELECT DISTINCT p_name AS signal, md5(CAST(p_size AS VARCHAR)) AS params_hash, p_brand AS input_id, p_type AS code_version FROM part",
     present="SELECT DISTINCT p_name AS signal, md5(CAST(p_size AS VARCHAR)) AS params_hash, p_brand AS input_id, CASE WHEN p_size % 5 = 0 THEN 'older' ELSE p_type END AS code_version FROM part WHERE p_partkey % 3 <> 0")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.clock import SESSION_MAPS, in_session, local, session_map
+from ..functions.draws import drawn_sql
 from ..operators import concepts, ideas, joins, outcomes, regimes, registry, reviews, signals, studies, zones
 from ..operators.frames import last, windowed
 from ..sources.bars import keyed, keyed_event_bars, order_bars, read_table
@@ -305,11 +306,14 @@ def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("symbol", "mult", "reward", "trades", F.round("objective", 4).alias("objective"), "oos_trades", F.round("oos_total", 4).alias("oos_total"))
 
 
-@query("SELECT l_returnflag || l_linestatus AS g, least(count(*), 500) AS n FROM lineitem GROUP BY 1")
+_SAMPLE_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+@query(f"""SELECT g, {", ".join(_SAMPLE_KEY)} FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY {drawn_sql("0", *_SAMPLE_KEY)}, {", ".join(_SAMPLE_KEY)}) AS k
+        FROM (SELECT *, l_returnflag || l_linestatus AS g FROM lineitem)) WHERE k <= 500""")
 def sampled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem").withColumn("g", F.concat("l_returnflag", "l_linestatus"))
-    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-    return concepts.sampled(li, key, ["g"], 500).groupBy("g").agg(F.count("*").alias("n"))
+    return concepts.sampled(li, list(_SAMPLE_KEY), ["g"], 500).select("g", *_SAMPLE_KEY)
 
 
 # rolling models and regimes

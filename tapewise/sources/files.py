@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Buckets of the signal shards of a store.
+BUCKETS = 64
 CALENDAR = "date string, time_et string, impact string, title string"
 TRADES = "run_id string, symbol string, entry_time timestamp, exit_time timestamp, direction int, entry_price double, exit_price double, pnl_points double"
 
@@ -27,6 +31,31 @@ def read_signals(spark: SparkSession, path: str, names: list[str], since: str |
     return out
 
 
+def _shard(path: str, name: str) -> str:
+    """Name of a bucketed shard in the session's catalogue."""
+    return f"signals_{hashlib.md5(f'{path}/{name}'.encode()).hexdigest()}"
+
+
+def write_signal_buckets(bars: DataFrame, path: str, name: str, known: tuple[str, ...], buckets: int = BUCKETS) -> None:
+    """One shard of a signal as ``write_signals`` has it, in ``buckets`` of (symbol, ts), each sorted: shards of as many buckets meet without a shuffle."""
+    new = [f.name for f in bars.schema if f.name not in known and isinstance(f.dataType, (T.BooleanType, T.DoubleType, T.FloatType))]
+    out = bars.select("symbol", "ts", *new).repartition(buckets, "symbol", "ts")  # one file for each bucket
+    out.write.mode("overwrite").bucketBy(buckets, "symbol", "ts").sortBy("symbol", "ts").option("path", f"{path}/{name}").saveAsTable(_shard(path, name))
+
+
+def read_signal_buckets(spark: SparkSession, path: str, names: list[str], buckets: int = BUCKETS) -> DataFrame:
+    """Bucketed shards side by side on (symbol, ts), in any session; of columns that come twice the first shard's stays."""
+    out = None
+    for name in names:
+        shard = _shard(path, name)
+        if not spark.catalog.tableExists(shard):
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(f"{path}/{name}").schema)
+            spark.sql(f"CREATE TABLE {shard} ({columns}) USING parquet CLUSTERED BY (symbol, ts) SORTED BY (symbol, ts) INTO {buckets} BUCKETS LOCATION '{path}/{name}'")
+        table = spark.table(shard)
+        out = table if out is None else out.join(table.drop(*[c for c in table.columns if c in out.columns and c not in ("symbol", "ts")]), ["symbol", "ts"], "full_outer")
+    return out
+
+
 def stale_signals(wanted: DataFrame, manifest: DataFrame) -> DataFrame:
     """Wanted shards (signal, params_hash, input_id, code_version) that the manifest does not hold in just this form."""
     return wanted.join(manifest, ["signal", "params_hash", "input_id", "code_version"], "left_anti")
