@@ -122,14 +122,14 @@ def entries(
 
 
 def moving_stop_exit(
-    events: DataFrame, bars: DataFrame, n: int, trail: float | None = None, activation: float = 0.0, break_even: float | None = None, after_break_even: bool = False,
+    events: DataFrame, bars: DataFrame, n: int, trail: float | str | None = None, activation: float | str = 0.0, break_even: float | str | None = None, after_break_even: bool = False,
     stops: tuple[str, str] | None = None, targets: tuple[str, str] | None = None,
 ) -> DataFrame:
     """First exit when stop and target move: exit_step, exit_price and outcome.
 
     The stop at a bar comes from the bars before it: the initial stop, the entry once the best price is ``break_even`` initial
     risks away, ``trail`` points behind the best price once that is ``activation`` points away (with ``after_break_even`` only once the stop is at the entry), and the levels of ``stops``, columns
-    for long and short trades. Whichever is tightest counts; it never loosens. The target is the last level of ``targets`` before the bar, either way, else the initial one.
+    for long and short trades. Whichever is tightest counts; it never loosens. Each of the three may be the name of a column of the events. The target is the last level of ``targets`` before the bar, either way, else the initial one.
     Levels count from the bar after the entry on; null ones and 0 are none. Both barriers in one bar: the one nearer to the open, the stop if equal. No exit within ``n`` bars: timeout.
     """
     events = _counted(events)
@@ -149,12 +149,13 @@ def moving_stop_exit(
     best = F.greatest(F.col("_e"), F.max("_h").over(path))
     steps = steps.withColumn("_best", F.coalesce(best, F.col("_e")))
     gain, risk = F.col("_best") - F.col("_e"), F.abs(F.col("_e") - F.col("_s"))
-    even = gain >= break_even * risk if break_even is not None else F.lit(False)
+    given = lambda v: F.col(v) if isinstance(v, str) else F.lit(v)
+    even = gain >= given(break_even) * risk if break_even is not None else F.lit(False)
     levels: list[Column] = [F.col("_s")]
     if break_even is not None:
         levels.append(F.when(even, F.col("_e")))
     if trail is not None:
-        levels.append(F.when((gain >= activation) & (even if after_break_even else F.lit(True)), F.col("_best") - trail))
+        levels.append(F.when((gain >= given(activation)) & (even if after_break_even else F.lit(True)), F.col("_best") - given(trail)))
     if stops:
         levels.append(F.max("_level").over(path))
     steps = steps.withColumn("_stop", F.greatest(*levels) if len(levels) > 1 else levels[0])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import SESSION_MAPS, in_session, local, session_map
 from ..functions.draws import drawn_sql
-from ..operators import concepts, ideas, joins, outcomes, regimes, registry, reviews, signals, studies, zones
+from ..operators import concepts, ideas, joins, outcomes, regimes, registry, reviews, search, signals, studies, zones
 from ..operators.frames import last, windowed
 from ..sources.bars import keyed, keyed_event_bars, order_bars, read_table
 from ..sources.store import stage
@@ -306,6 +306,68 @@ def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("symbol", "mult", "reward", "trades", F.round("objective", 4).alias("objective"), "oos_trades", F.round("oos_total", 4).alias("oos_total"))
 
 
+#: The search's bars end where the held-out ones begin.
+_HOLDOUT, _CONFIGS, _HORIZON = 600, 12, 96
+_U = [f"{drawn_sql('1', 'k', str(at))} / 4294967296.0" for at in range(6)]
+_SEARCH = {
+    "configs": f"""SELECT k AS config_id, round(1.0 + 1.0 * {_U[0]}, 6) AS atr_mult, round(1.5 + 3.5 * {_U[1]}, 6) AS tp_mult, CAST(floor({_U[2]} * 6) AS INT) AS entry_offset, round(0.8 + 0.7 * {_U[3]}, 6) AS breakeven_rr,
+        round(5.0 + 20.0 * {_U[4]}, 6) AS trail_activation, round(5.0 + 15.0 * {_U[5]}, 6) AS trail_distance FROM (SELECT range AS k FROM range({_CONFIGS}))""",
+    "gap_atr": "SELECT a.*, bull FROM atrs a JOIN gaps USING (symbol, bar_no)",
+    "candidates_": """SELECT DISTINCT s.symbol, e.bar_no, c.config_id, breakeven_rr, trail_activation, trail_distance, e.open AS entry, e.open - s.atr * atr_mult AS stop, e.open + s.atr * atr_mult * tp_mult AS target
+        FROM gap_atr s CROSS JOIN configs c JOIN (SELECT symbol, max(bar_no) AS top FROM bars GROUP BY 1) m ON m.symbol = s.symbol JOIN bars e ON e.symbol = s.symbol AND e.bar_no = least(s.bar_no + greatest(entry_offset, 1), top) WHERE s.bull AND s.atr > 0""",
+    "search_path": f"SELECT e.*, b.bar_no - e.bar_no AS step, b.open AS o, b.high AS h, b.low AS l FROM candidates_ e JOIN bars b ON b.symbol = e.symbol AND b.bar_no BETWEEN e.bar_no + 1 AND e.bar_no + {_HORIZON}",
+    "search_best": "SELECT *, greatest(entry, coalesce(max(h) OVER (PARTITION BY symbol, bar_no, config_id, entry, stop ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), entry)) AS best FROM search_path",
+    "search_moved": """SELECT *, greatest(stop, CASE WHEN best - entry >= breakeven_rr * abs(entry - stop) THEN entry END, CASE WHEN best - entry >= breakeven_rr * abs(entry - stop) AND best - entry >= trail_activation THEN best - trail_distance END) AS x FROM search_best""",
+    "search_hit": "SELECT *, CASE WHEN l <= x AND h >= target THEN CASE WHEN abs(target - o) < abs(x - o) THEN 'target' ELSE 'stop' END WHEN l <= x THEN 'stop' WHEN h >= target THEN 'target' END AS hit FROM search_moved",
+    "search_all": """SELECT symbol, config_id, bar_no AS entry_no, bar_no + step AS exit_no, CASE WHEN hit = 'target' THEN target ELSE x END - entry - 1.35 AS pnl, entry, stop, target FROM (
+        SELECT *, row_number() OVER (PARTITION BY symbol, bar_no, config_id, entry, stop ORDER BY step) AS k FROM search_hit WHERE hit IS NOT NULL) WHERE k = 1""",
+    "spans": f"""SELECT symbol, w AS window_, phase, CASE phase WHEN 'is' THEN w * o ELSE w * o + i END AS first_no, CASE phase WHEN 'is' THEN w * o + i - 1 ELSE w * o + i + o - 1 END AS last_no FROM (
+        SELECT symbol, floor(count(*) * 0.75)::BIGINT AS i, floor(count(*) * 0.25 / 3)::BIGINT AS o, count(*) AS n FROM bars WHERE bar_no < {_HOLDOUT} GROUP BY 1), (SELECT unnest([0, 1, 2]) AS w), (SELECT unnest(['is', 'oos']) AS phase) WHERE i > 0 AND o > 0 AND w * o + i + o <= n""",
+    "in_span": """SELECT t.symbol, s.window_, s.phase, t.config_id, t.entry_no, arg_max(t.exit_no, (t.entry, t.stop, t.target)) AS exit_no, arg_max(t.pnl, (t.entry, t.stop, t.target)) AS pnl
+        FROM search_all t JOIN spans s ON s.symbol = t.symbol AND t.entry_no >= s.first_no AND t.exit_no <= s.last_no GROUP BY 1, 2, 3, 4, 5""",
+    "one_at_a_time": """SELECT i.* FROM in_span i JOIN (SELECT symbol, window_, phase, config_id, unnest(list_reduce(list_prepend({'till': -1::BIGINT, 'at': []::BIGINT[]}, list({'till': exit_no, 'at': [entry_no]} ORDER BY entry_no)),
+        lambda s, x: CASE WHEN x.at[1] > s.till THEN {'till': x.till, 'at': list_append(s.at, x.at[1])} ELSE s END).at) AS entry_no FROM in_span GROUP BY 1, 2, 3, 4) USING (symbol, window_, phase, config_id, entry_no)""",
+    "search_perf": """SELECT symbol, window_, phase, config_id, count(*) AS trades, round(sum(greatest(pnl, 0)) / nullif(sum(greatest(-pnl, 0)), 0), 3) AS pf, round(avg((pnl > 0)::INT), 6) AS win_rate, round(sum(pnl), 6) AS total, round(max(greatest(peak, 0) - run), 6) AS dd
+        FROM (SELECT *, max(run) OVER q AS peak FROM (SELECT *, sum(pnl) OVER (PARTITION BY symbol, window_, phase, config_id ORDER BY entry_no ROWS UNBOUNDED PRECEDING) AS run FROM one_at_a_time)
+              WINDOW q AS (PARTITION BY symbol, window_, phase, config_id ORDER BY entry_no ROWS UNBOUNDED PRECEDING)) GROUP BY 1, 2, 3, 4""",
+    "search_chosen": """SELECT * FROM (SELECT *, CASE WHEN trades >= 5 THEN coalesce(pf, 0) * (1 + win_rate) - dd / 100 ELSE 0 END AS objective FROM search_perf WHERE phase = 'is')
+        QUALIFY row_number() OVER (PARTITION BY symbol, window_ ORDER BY objective DESC, config_id) = 1""",
+    "walked": """SELECT b.symbol, b.window_, b.config_id, b.trades AS is_trades, b.objective, coalesce(o.trades, 0) AS oos_trades, o.pf AS oos_pf, coalesce(o.total, 0) AS oos_total
+        FROM search_chosen b LEFT JOIN search_perf o ON o.symbol = b.symbol AND o.window_ = b.window_ AND o.config_id = b.config_id AND o.phase = 'oos'""",
+}
+
+
+def _searched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Configurations, their closed trades, and what became of the best of each window."""
+    b = stage(signals.atr(signals.fair_value_gap(keyed_event_bars(spark, sf_dir))), "bars")
+    configs = stage(search.design(spark, _CONFIGS), "configs")
+    trades = stage(search.closed(search.candidates(b, "fvg_bull", configs).distinct(), b, _HORIZON), "trades")
+    evaluation = stage(search.evaluated(trades, search.window_bounds(b.where(F.col("bar_no") < _HOLDOUT))), "evaluation")
+    return configs, trades, stage(search.walked_forward(evaluation, configs), "walked")
+
+
+@query("""SELECT w.symbol, CAST(w.window_ AS INT) AS "window", w.config_id, c.entry_offset, is_trades, round(objective, 4) AS objective, oos_trades, round(oos_total, 4) AS oos_total,
+        round(sum(oos_total) OVER (PARTITION BY w.symbol ORDER BY w.window_), 4) AS oos_so_far FROM walked w JOIN configs c USING (config_id)""", **_SEARCH)
+def rolling_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six axes drawn from a seed, all windows in one job, the best configuration of each window out of sample."""
+    out = _searched(spark, sf_dir)[2]
+    return out.select("symbol", "window", "config_id", "entry_offset", "is_trades", F.round("objective", 4).alias("objective"), "oos_trades", F.round("oos_total", 4).alias("oos_total"), F.round("oos_so_far", 4).alias("oos_so_far"))
+
+
+@query(f"""SELECT b.symbol, b.config_id, coalesce(h.trades, 0) AS holdout_trades, h.pf AS holdout_pf, CASE WHEN coalesce(h.trades, 0) < 10 THEN 'not validated' WHEN h.pf >= 0.8 * b.oos_pf THEN 'real edge' WHEN h.pf >= 1 THEN 'partial'
+        WHEN 1 - h.pf / nullif(b.oos_pf, 0) > 0.5 THEN 'curve-fitted' ELSE 'regime shift' END AS class FROM (SELECT symbol, config_id, oos_pf FROM walked QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY window_ DESC) = 1) b LEFT JOIN (
+            SELECT symbol, config_id, count(*) AS trades, round(sum(greatest(pnl, 0)) / nullif(sum(greatest(-pnl, 0)), 0), 3) AS pf FROM late_kept GROUP BY 1, 2) h USING (symbol, config_id)""", **_SEARCH,
+    late=f"SELECT symbol, config_id, entry_no, arg_max(exit_no, (entry, stop, target)) AS exit_no, arg_max(pnl, (entry, stop, target)) AS pnl FROM search_all WHERE entry_no >= {_HOLDOUT} GROUP BY 1, 2, 3",
+    late_kept="""SELECT i.* FROM late i JOIN (SELECT symbol, config_id, unnest(list_reduce(list_prepend({'till': -1::BIGINT, 'at': []::BIGINT[]}, list({'till': exit_no, 'at': [entry_no]} ORDER BY entry_no)),
+        lambda s, x: CASE WHEN x.at[1] > s.till THEN {'till': x.till, 'at': list_append(s.at, x.at[1])} ELSE s END).at) AS entry_no FROM late GROUP BY 1, 2) USING (symbol, config_id, entry_no)""")
+def holdout_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last window's best configuration on bars that no window has seen, and what that says of it."""
+    _, trades, walked = _searched(spark, sf_dir)
+    last_ = walked.groupBy("symbol").agg(F.max_by(F.struct("config_id", F.col("oos_pf").alias("avg_oos_pf")), "window").alias("r")).select("symbol", "r.*")
+    out = registry.holdout_class(search.held_out(last_, trades, _HOLDOUT))
+    return out.select("symbol", "config_id", "holdout_trades", "holdout_pf", "class")
+
+
 _SAMPLE_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
