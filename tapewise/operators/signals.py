@@ -57,27 +57,35 @@ def fair_value_gap(bars: DataFrame, min_gap: float = 0.0, max_age: int = 0, pref
     """
     before, up_to = (by_chunk().rowsBetween(Window.unboundedPreceding, to) for to in (-1, 0))
     kind = "struct<born: bigint, ts: timestamp, high: double, low: double>"
+    edge = {"bull": "low", "bear": "high"}  # where a zone ends, and the price that gets there
 
     def follow(b: DataFrame) -> DataFrame:
         own = F.col("chunk") == F.col("_home")  # not one of the copies from the chunk before
         high, low = F.lag("high", 2).over(by_chunk()), F.lag("low", 2).over(by_chunk())
-        born = {"bull": flag(F.col("low") - high > min_gap), "bear": flag(low - F.col("high") > min_gap)}
-        bounds = {"bull": (F.col("low"), high), "bear": (low, F.col("high"))}
-        b = b.withColumns({f"{prefix}_{side}": born[side] for side in SIDES} | {f"_{side}_new": F.when(born[side] & own, F.struct(
-            F.col("bar_no").cast("long").alias("born"), F.col("ts").cast("timestamp").alias("ts"), bounds[side][0].cast("double").alias("high"), bounds[side][1].cast("double").alias("low"))) for side in SIDES})
-        # what a zone from an earlier chunk meets: the furthest price of the chunk's bars before and up to the bar
+        b = b.withColumns({f"{prefix}_bull": flag(F.col("low") - high > min_gap), f"{prefix}_bear": flag(low - F.col("high") > min_gap), "_high2": high, "_low2": low})
+        # bar, bounds and time of new zones; and what a zone from an earlier chunk meets: the furthest price of the chunk's bars
+        new = {"bull": ("low", "_high2"), "bear": ("_low2", "high")}
+        b = b.withColumns({f"_{side}_{name}": F.when(F.col(f"{prefix}_{side}") & own, F.col(value)) for side in SIDES for name, value in (("born", "bar_no"), ("top", new[side][0]), ("bottom", new[side][1]), ("ts", "ts"))})
+        last_ = lambda c, frame: F.last(c, ignorenulls=True).over(frame)
         reach = {"bull": F.min(F.when(own, F.col("low"))), "bear": F.max(F.when(own, F.col("high")))}
+        limit = {"bull": "bottom", "bear": "top"}
         b = b.withColumns({f"_{side}_{name}": value for side in SIDES for name, value in (
-            ("n", F.count(f"_{side}_new").over(up_to)), ("own", F.last(f"_{side}_new", ignorenulls=True).over(up_to)), ("was", F.last(f"_{side}_new", ignorenulls=True).over(before)),
-            ("far", reach[side].over(up_to)), ("far_was", reach[side].over(before)))})
-        hit = {"bull": F.col("low") <= F.col("_bull_was.low"), "bear": F.col("high") >= F.col("_bear_was.high")}
-        b = b.withColumns({f"_{side}_hit": F.when(hit[side], F.col(f"_{side}_was.born")) for side in SIDES})
-        return b.withColumns({f"_{side}_{name}": F.last(f"_{side}_hit", ignorenulls=True).over(frame) for side in SIDES for name, frame in (("gone", up_to), ("gone_was", before))})
+            ("n", F.count(f"_{side}_born").over(up_to)), *((f"own_{k}", last_(f"_{side}_{k}", up_to)) for k in ("born", "top", "bottom", "ts")), ("was", last_(f"_{side}_born", before)),
+            ("limit", last_(f"_{side}_{limit[side]}", before)), ("far", reach[side].over(up_to)), ("far_was", reach[side].over(before)))})
+        hit = {"bull": F.col("low") <= F.col("_bull_limit"), "bear": F.col("high") >= F.col("_bear_limit")}
+        b = b.withColumns({f"_{side}_hit": F.when(hit[side], F.col(f"_{side}_was")) for side in SIDES})
+        b = b.withColumns({f"_{side}_{name}": last_(f"_{side}_hit", frame) for side in SIDES for name, frame in (("gone", up_to), ("gone_was", before))})
+        return b.drop("_high2", "_low2", *[f"_{side}_{k}" for side in SIDES for k in ("top", "bottom", "ts", "limit")])
 
     followed = stage(windowed(bars, follow, back=2), "gaps")
     reached = {"bull": F.min("low"), "bear": F.max("high")}
+
+    def zone_of(side: str) -> Column:
+        born, ts, top, bottom = (F.col(f"_{side}_own_{k}") for k in ("born", "ts", "top", "bottom"))
+        return F.when(born.isNotNull(), F.struct(born.cast("long").alias("born"), ts.cast("timestamp").alias("ts"), top.cast("double").alias("high"), bottom.cast("double").alias("low")))
+
     ends = followed.groupBy("symbol", "chunk").agg(F.struct(*[F.struct(
-        F.count(f"_{side}_new").alias("n"), F.max_by(f"_{side}_own", "bar_no").alias("zone"), F.max_by(F.coalesce(F.col(f"_{side}_gone") == F.col(f"_{side}_own.born"), F.lit(False)), "bar_no").alias("gone"),
+        F.count(f"_{side}_born").alias("n"), F.max_by(zone_of(side), "bar_no").alias("zone"), F.max_by(flag(F.col(f"_{side}_gone") == F.col(f"_{side}_own_born")), "bar_no").alias("gone"),
         reached[side].cast("double").alias("far")).alias(side) for side in SIDES]).alias("e"))
     ends = ends.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("chunk", "e"))).alias("p"))  # as long as a symbol has chunks
     steps = ", ".join(f"""named_struct('n', s[size(s) - 1].{side}.n + c.e.{side}.n, 'zone', coalesce(c.e.{side}.zone, s[size(s) - 1].{side}.zone), 'gone', IF(c.e.{side}.zone IS NOT NULL, c.e.{side}.gone,
@@ -85,21 +93,27 @@ def fair_value_gap(bars: DataFrame, min_gap: float = 0.0, max_age: int = 0, pref
     start = ", ".join(f"named_struct('n', 0L, 'zone', cast(null AS {kind}), 'gone', false) AS {side}" for side in SIDES)
     fold = F.expr(f"aggregate(p, array(struct({start})), (s, c) -> concat(s, array(struct({steps}))))")
     into = ends.select("symbol", F.explode(F.arrays_zip(F.transform("p", lambda c: c["chunk"]).alias("chunk"), F.slice(fold, F.lit(1), F.size("p")).alias("s"))).alias("x"))
-    out = followed.join(into.select("symbol", "x.chunk", "x.s"), ["symbol", "chunk"])
+    began = [F.col(f"x.s.{side}.{k}").alias(f"_{side}_s_{k}") for side in SIDES for k in ("n", "gone")] + [F.col(f"x.s.{side}.zone.{k}").alias(f"_{side}_s_{k}") for side in SIDES for k in ("born", "ts", "high", "low")]
+    out = followed.join(into.select("symbol", "x.chunk", *began), ["symbol", "chunk"])
+    c = {side: (lambda k, side=side: F.col(f"_{side}_{k}")) for side in SIDES}
+    beyond = {"bull": lambda far: flag(far <= c["bull"]("s_low")), "bear": lambda far: flag(far >= c["bear"]("s_high"))}
+    # zones of the chunk itself, else the one with which it began
+    out = out.withColumns({f"_{side}_{z}": F.coalesce(c[side](f"own_{k}"), c[side](f"s_{z}")) for side in SIDES for z, k in (("born", "born"), ("ts", "ts"), ("high", "top"), ("low", "bottom"))} | {
+        f"_{side}_alive": ~F.when(c[side]("own_born").isNotNull(), flag(c[side]("gone") == c[side]("own_born"))).otherwise(c[side]("s_gone") | beyond[side](c[side]("far"))) for side in SIDES
+    })
+    active = {side: c[side]("born").isNotNull() & c[side]("alive") & ((F.col("bar_no") - c[side]("born") <= max_age) if max_age else F.lit(True)) for side in SIDES}
+    out = out.withColumns({f"{prefix}_{side}_active": flag(active[side]) for side in SIDES})
+    told = {}
     for side in SIDES:
-        name, c, s_ = f"{prefix}_{side}", (lambda k, side=side: F.col(f"_{side}_{k}")), F.col("s")[side]
-        beyond = (lambda far, zone: far <= zone["low"]) if side == "bull" else (lambda far, zone: far >= zone["high"])
-        # zones of the chunk itself, else the one with which it began
-        zone, gone = F.coalesce(c("own"), s_["zone"]), F.when(c("own").isNotNull(), flag(c("gone") == c("own")["born"])).otherwise(s_["gone"] | flag(beyond(c("far"), s_["zone"])))
-        filled = F.when(c("was").isNotNull(), c("hit").isNotNull() & ~flag(c("gone_was") == c("hit")))
-        filled = filled.otherwise(~s_["gone"] & ~flag(beyond(c("far_was"), s_["zone"])) & flag(beyond(F.col("low" if side == "bull" else "high"), s_["zone"])))
-        active = zone.isNotNull() & ~gone
-        if max_age:
-            active = active & (F.col("bar_no") - zone["born"] <= max_age)
-        out = out.withColumns({f"{name}_id": c("n") + s_["n"], f"{name}_zone": zone, f"{name}_active": active, f"{name}_filled": filled})
-        on = F.col(f"{name}_active")
-        out = out.withColumns({f"{name}_high": F.when(on, F.col(f"{name}_zone.high")), f"{name}_low": F.when(on, F.col(f"{name}_zone.low")), f"{name}_mid": F.when(on, (F.col(f"{name}_zone.high") + F.col(f"{name}_zone.low")) / 2)})
-    return out.drop("s", *[f"_{s}_{c}" for s in SIDES for c in ("n", "new", "own", "was", "far", "far_was", "hit", "gone", "gone_was")])
+        name, on, high, low = f"{prefix}_{side}", F.col(f"{prefix}_{side}_active"), c[side]("high").cast("double"), c[side]("low").cast("double")
+        filled = F.when(c[side]("was").isNotNull(), c[side]("hit").isNotNull() & ~flag(c[side]("gone_was") == c[side]("hit")))
+        zone = F.struct(c[side]("born").cast("long").alias("born"), c[side]("ts").cast("timestamp").alias("ts"), high.alias("high"), low.alias("low"))
+        told |= {
+            f"{name}_id": c[side]("n") + c[side]("s_n"), f"{name}_zone": F.when(c[side]("born").isNotNull(), zone), f"{name}_high": F.when(on, high), f"{name}_low": F.when(on, low), f"{name}_mid": F.when(on, (high + low) / 2),
+            f"{name}_filled": filled.otherwise(~c[side]("s_gone") & ~beyond[side](c[side]("far_was")) & beyond[side](F.col(edge[side]))),
+        }
+    out = out.withColumns(told)
+    return out.select(*[x for x in out.columns if not (x.startswith("_bull_") or x.startswith("_bear_"))])
 
 
 def break_of_structure(bars: DataFrame, n: int = 5) -> DataFrame:

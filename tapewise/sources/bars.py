@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .store import stage
 
-#: Bars of a symbol that one task handles together; window operators copy a few rows over each cut.
-CHUNK = 50_000
+#: Least bars of a symbol that one task handles together, and the most chunks of a symbol; window operators copy a few rows over each cut.
+CHUNK, MOST_CHUNKS = 10_000, 4096
 REQUIRED = ("symbol", "ts", "open", "high", "low", "close")
 
 
@@ -86,17 +86,19 @@ def resample_rows(bars: DataFrame, period: int) -> DataFrame:
 def keyed(bars: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Add ``bar_no`` (from 0 per symbol, by ts), ``chunk_len`` and ``chunk`` = bar_no div chunk_len.
 
-    Numbering runs within calendar months, whose counts give the offsets, so no task sorts a whole symbol.
+    A chunk has ``chunk`` bars, or more where a symbol would have more than MOST_CHUNKS of them. Numbering runs within calendar months, whose counts give the offsets, so no task sorts a whole symbol.
     """
     if "bar_no" in bars.columns:
         return bars
     month = bars.withColumn("_month", F.date_trunc("month", "ts"))
     before = Window.partitionBy("symbol").orderBy("_month").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = month.groupBy("symbol", "_month").agg(F.count("*").alias("_n")).withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    offsets = month.groupBy("symbol", "_month").agg(F.count("*").alias("_n")).withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    offsets = offsets.withColumn("_bars", F.sum("_n").over(Window.partitionBy("symbol"))).drop("_n")
     in_month = Window.partitionBy("symbol", "_month").orderBy("ts")
     numbered = month.withColumn("_at", F.row_number().over(in_month)).join(offsets, ["symbol", "_month"])
     numbered = numbered.withColumn("bar_no", (F.col("_offset") + F.col("_at") - 1).cast("long"))
-    return numbered.withColumn("chunk_len", F.lit(chunk).cast("long")).withColumn("chunk", F.expr("bar_no div chunk_len")).drop("_month", "_at", "_offset")
+    length = F.greatest(F.lit(chunk), F.ceil(F.col("_bars") / MOST_CHUNKS)).cast("long")
+    return numbered.withColumn("chunk_len", length).withColumn("chunk", F.expr("bar_no div chunk_len")).drop("_month", "_at", "_offset", "_bars")
 
 
 def event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
