@@ -77,8 +77,11 @@ def regime_filter(bars: DataFrame, higher: DataFrame, seconds: int, n: int = 20,
     return asof(bars, score, ["ker"]).withColumn("lrl", F.col("ker") < limit)
 
 
-def ema_trend(bars: DataFrame, n: int = 200) -> DataFrame:
-    """above_ema: the close lies above its exponential mean ``ema``, which begins with the first close; true where there is no mean."""
+def ema_trend(bars: DataFrame, n: int = 200, reach: int | None = None) -> DataFrame:
+    """above_ema: the close lies above its exponential mean ``ema``, which begins with the first close; true where there is no mean.
+
+    The mean is exact; ``reach``, once the bars after which weights were cut off, has no effect.
+    """
     alpha = 2.0 / (n + 1)
     b = keyed(bars).withColumn("_x", F.when(F.col("bar_no") == 0, F.col("close")).otherwise(alpha * F.col("close")))
     return recursion(b, {"ema": "_x"}, 1 - alpha).drop("_x").withColumn("above_ema", F.coalesce(F.col("close") > F.col("ema"), F.lit(True)))
