@@ -11,39 +11,49 @@ from pyspark.sql import functions as F
 
 from .joins import fuzzy_duplicates
 
-#: Concept, role ('' for none) and keywords, in the order in which concepts are reported. Entries by kind of touch follow in TOUCHES.
+#: Concept, role ('' for none) and keywords, in the order in which concepts are reported.
 CONCEPTS = (
     ("BOS", "entry", ("bos",)), ("CHOCH", "entry", ("choch",)), ("DISPLACEMENT", "entry", ("displacement",)), ("FVG", "zone", ("fvg",)), ("OB", "zone", ("order block", "ob")),
     ("OTE", "zone", ("ote",)), ("SWEEP", "entry", ("sweep",)), ("JUDAS", "entry", ("judas swing", "judas")), ("SILVER_BULLET", "entry", ("silver bullet",)),
     ("BREAKER", "zone", ("breaker block", "breaker")), ("RB", "zone", ("rejection block", "rb")), ("VB", "zone", ("vacuum block", "vb")), ("MMXM", "entry", ("mmxm",)),
     ("MB", "zone", ("mitigation block", "mb")), ("NDOG", "entry", ("ndog",)), ("NWOG", "entry", ("nwog",)), ("EHPDA_BOUNCE", "entry", ("ehpda bounce", "ehpda_bounce")),
     ("NARRATIVE", "context", ("narrative",)), ("KILLZONE", "timing", ("killzone",)), ("MACRO_TIMING", "timing", ("macro timing",)),
-    ("MAKRO_ZEITFENSTER", "timing", ("makro zeitfenster", "makro-zeitfenster")), ("PREMIUM", "context", ("premium",)), ("DISCOUNT", "context", ("discount",)),
-    ("CBDR", "context", ("cbdr",)), ("DEALING_RANGE", "context", ("dealing range",)), ("CISD", "entry", ("cisd",)), ("OPENING_RANGE", "zone", ("opening range",)),
-    ("MIDNIGHT_OPEN", "context", ("midnight open",)), ("HRL_LRL", "context", ("hrl lrl", "hrl/lrl")), ("PDA_REGIME", "context", ("pd array regime", "pda regime", "roentgenblick")),
+    ("MAKRO_ZEITFENSTER", "timing", ("makro zeitfenster", "makro-zeitfenster")), ("PREMIUM", "context", ("premium",)), ("DISCOUNT", "context", ("discount",)), ("CBDR", "context", ("cbdr",)),
+    ("DEALING_RANGE", "context", ("dealing range",)), ("CISD", "entry", ("cisd",)), ("OPENING_RANGE", "zone", ("opening range",)), ("MIDNIGHT_OPEN", "context", ("midnight open",)),
+    ("HRL_LRL", "context", ("hrl lrl", "hrl/lrl")), ("PDA_REGIME", "context", ("pd array regime", "pda regime", "roentgenblick")),
     ("STAT_REGIME", "context", ("stat regime", "statistisches regime", "oberflaeche")), ("QUARTERLY_THEORY", "context", ("quarterly theory",)),
     ("SESSION_TIMING", "timing", ("session timing",)), ("SPECIAL_TIMING", "timing", ("special timing",)), ("WEEK_LEVELS", "zone", ("week levels",)),
-    ("RTH_FILTER", "timing", ("rth filter",)), ("SMC_FVG", "zone", ("smc fvg",)), ("SMC_SESSIONS", "timing", ("smc sessions",)),
-    ("SHANNON_CAPACITY", "context", ("shannon capacity",)), ("PRIGOGINE", "context", ("prigogine",)), ("CUSUM", "context", ("cusum",)),
-    ("FVG_STANDARD", "entry", ("fvg standard", "fvg std", "3. fvg", "3 fvg")), ("IFVG_1WOCHE", "entry", ("ifvg 1woche", "ifvg woche", "4a", "ifvg 1w")),
-    ("IFVG_SAMEDAY", "entry", ("ifvg sameday", "ifvg same", "4b")), ("FVG_2TAGE", "entry", ("fvg 2tage", "fvg 2t", "5a")),
-    ("FVG_1_2WOCHEN", "entry", ("fvg 1-2wochen", "fvg wochen", "5b")), ("OB_CHAOS", "entry", ("ob chaos", "chaos ob", "chaos orderblock", "chaos order block", "7a")),
-    ("OB_TAGESHOCH", "entry", ("ob tageshoch", "tageshoch ob", "tageshoch orderblock", "7b")), ("OB_SESSION", "entry", ("ob session", "session ob", "session orderblock", "7c")),
-    ("OB_SESSION_HTIEF", "entry", ("ob session hoch-tief", "session hoch-tief", "7d", "s_ob htief")), ("MACRO_SHORT", "timing", ("macro short", "macro time short", "6a")),
-    ("MACRO_LONG", "timing", ("macro long", "macro time long", "6b")),
+    ("RTH_FILTER", "timing", ("rth filter",)), ("SMC_FVG", "zone", ("smc fvg",)), ("SMC_SESSIONS", "timing", ("smc sessions",)), ("SHANNON_CAPACITY", "context", ("shannon capacity",)),
+    ("PRIGOGINE", "context", ("prigogine",)), ("CUSUM", "context", ("cusum",)), ("FVG_STANDARD", "entry", ("fvg standard", "fvg std", "3. fvg", "3 fvg")),
+    ("IFVG_1WOCHE", "entry", ("ifvg 1woche", "ifvg woche", "4a", "ifvg 1w")), ("IFVG_SAMEDAY", "entry", ("ifvg sameday", "ifvg same", "4b")),
+    ("FVG_2TAGE", "entry", ("fvg 2tage", "fvg 2t", "5a")), ("FVG_1_2WOCHEN", "entry", ("fvg 1-2wochen", "fvg wochen", "5b")),
+    ("OB_CHAOS", "entry", ("ob chaos", "chaos ob", "chaos orderblock", "chaos order block", "7a")), ("OB_TAGESHOCH", "entry", ("ob tageshoch", "tageshoch ob", "tageshoch orderblock", "7b")),
+    ("OB_SESSION", "entry", ("ob session", "session ob", "session orderblock", "7c")), ("OB_SESSION_HTIEF", "entry", ("ob session hoch-tief", "session hoch-tief", "7d", "s_ob htief")),
+    ("MACRO_SHORT", "timing", ("macro short", "macro time short", "6a")), ("MACRO_LONG", "timing", ("macro long", "macro time long", "6b")),
+    ("FVG_STD_FT", "entry", ("fvg standard first touch", "fvg std ft", "3 ft")), ("IFVG_1W_FT", "entry", ("ifvg 1woche first touch", "ifvg 1w ft", "4a ft")),
+    ("IFVG_SD_FT", "entry", ("ifvg sameday first touch", "ifvg sd ft", "4b ft")), ("FVG_2T_FT", "entry", ("fvg 2tage first touch", "fvg 2t ft", "5a ft")),
+    ("FVG_12W_FT", "entry", ("fvg 1-2wochen first touch", "fvg 12w ft", "5b ft")), ("OB_CHAOS_FT", "entry", ("ob chaos first touch", "chaos ob ft", "7a ft")),
+    ("OB_TAGH_FT", "entry", ("ob tageshoch first touch", "tageshoch ob ft", "7b ft")), ("OB_SESS_FT", "entry", ("ob session first touch", "session ob ft", "7c ft")),
+    ("S_OB_SESS_FT", "entry", ("s ob sess ft", "session ob ft small")), ("FVG_STD_ST50", "entry", ("fvg standard second touch", "fvg std st50", "3 st50")),
+    ("IFVG_1W_ST50", "entry", ("ifvg 1woche second touch", "ifvg 1w st50", "4a st50")), ("IFVG_SD_ST50", "entry", ("ifvg sameday second touch", "ifvg sd st50", "4b st50")),
+    ("FVG_2T_ST50", "entry", ("fvg 2tage second touch", "fvg 2t st50", "5a st50")), ("FVG_12W_ST50", "entry", ("fvg 1-2wochen second touch", "fvg 12w st50", "5b st50")),
+    ("OB_CHAOS_ST50", "entry", ("ob chaos second touch", "chaos ob st50", "7a st50")), ("OB_TAGH_ST50", "entry", ("ob tageshoch second touch", "tageshoch ob st50", "7b st50")),
+    ("OB_SESS_ST50", "entry", ("ob session second touch", "session ob st50", "7c st50")), ("S_OB_SESS_ST50", "entry", ("s ob sess st50", "session ob st50 small")),
     ("MANIP", "entry", ("manip", "manipulation", "liquidity sweep", "liquidity grab")), ("MANIP_BEAR", "entry", ("manip bear", "manip short", "bear manip", "liquidity sweep short")),
     ("TURTLE_SOUP", "context", ("turtle soup", "turtle_soup", "ts filter")), ("EXIT_ATR_TRAIL", "exit", ("exit atr trail", "atr trail")),
     ("EXIT_BREAKEVEN", "exit", ("exit breakeven", "breakeven")), ("EXIT_NEXT_ZONE", "exit", ("exit next zone", "next zone")),
     ("EXIT_SESSION_LEVEL", "exit", ("exit session level", "session level")), ("HURST", "context", ("hurst", "hurst exp", "mean reversion filter")),
+    ("FVG_STD_DP", "entry", ("fvg standard displacement", "fvg std dp", "3 dp")), ("IFVG_1W_DP", "entry", ("ifvg 1woche displacement", "ifvg 1w dp", "4a dp")),
+    ("IFVG_SD_DP", "entry", ("ifvg sameday displacement", "ifvg sd dp", "4b dp")), ("FVG_2T_DP", "entry", ("fvg 2tage displacement", "fvg 2t dp", "5a dp")),
+    ("FVG_12W_DP", "entry", ("fvg 1-2wochen displacement", "fvg 12w dp", "5b dp")), ("OB_CHAOS_DP", "entry", ("ob chaos displacement", "chaos ob dp", "7a dp")),
+    ("OB_TAGH_DP", "entry", ("ob tageshoch displacement", "tageshoch ob dp", "7b dp")), ("OB_SESS_DP", "entry", ("ob session displacement", "session ob dp", "7c dp")),
+    ("S_OB_SESS_DP", "entry", ("s ob sess dp", "session ob dp small")),
 )
-#: A zone with its own entries: prefix of their names, the zone, and how ideas call it before the kind of touch (long, short, code).
-TOUCHED = (
-    ("FVG_STD", "FVG_STANDARD", ("fvg standard", "fvg std", "3")), ("IFVG_1W", "IFVG_1WOCHE", ("ifvg 1woche", "ifvg 1w", "4a")), ("IFVG_SD", "IFVG_SAMEDAY", ("ifvg sameday", "ifvg sd", "4b")),
-    ("FVG_2T", "FVG_2TAGE", ("fvg 2tage", "fvg 2t", "5a")), ("FVG_12W", "FVG_1_2WOCHEN", ("fvg 1-2wochen", "fvg 12w", "5b")), ("OB_CHAOS", "OB_CHAOS", ("ob chaos", "chaos ob", "7a")),
-    ("OB_TAGH", "OB_TAGESHOCH", ("ob tageshoch", "tageshoch ob", "7b")), ("OB_SESS", "OB_SESSION", ("ob session", "session ob", "7c")), ("S_OB_SESS", "OB_SESSION", ()),
-)
-#: Kind of touch, its long and its short form.
-TOUCHES = (("FT", "first touch", "ft"), ("ST50", "second touch", "st50"), ("DP", "displacement", "dp"))
+#: Prefix of the entries by kind of touch, and the zone that they belong to.
+ENTRY_ZONES = {
+    "FVG_STD": "FVG_STANDARD", "IFVG_1W": "IFVG_1WOCHE", "IFVG_SD": "IFVG_SAMEDAY", "FVG_2T": "FVG_2TAGE", "FVG_12W": "FVG_1_2WOCHEN",
+    "OB_CHAOS": "OB_CHAOS", "OB_TAGH": "OB_TAGESHOCH", "OB_SESS": "OB_SESSION", "S_OB_SESS": "OB_SESSION",
+}
 #: Stop in points where an idea names none; twice as much for long ideas on the second group.
 GAP_STOP, GAP_ZONES = 5.0, ("FVG_STANDARD", "IFVG_1WOCHE", "IFVG_SAMEDAY", "FVG_2TAGE", "FVG_1_2WOCHEN")
 BLOCK_STOP, BLOCK_ZONES = 10.0, ("OB_CHAOS", "OB_TAGESHOCH", "OB_SESSION", "OB_SESSION_HTIEF")
@@ -57,21 +67,12 @@ EXITS = (
 SESSIONS = ("LONDON", "NY", "ASIA")
 
 
-def touch_concepts() -> list[tuple[str, str, tuple[str, ...]]]:
-    """The entries of each zone by kind of touch, with their keywords."""
-    out = []
-    for touch, whole, brief in TOUCHES:
-        for prefix, _, names in TOUCHED:
-            words = tuple(f"{n} {whole if k == 0 else brief}" for k, n in enumerate(names)) or (f"s ob sess {brief}", f"session ob {brief} small")
-            out.append((f"{prefix}_{touch}", "entry", words))
-    return out
-
-
-def vocabulary() -> list[tuple[str, str, tuple[str, ...]]]:
-    """All concepts with role and keywords, in the order in which they are reported."""
-    touches = touch_concepts()
-    at, end = ([c for c, _, _ in CONCEPTS].index(x) for x in ("MANIP", "HURST"))
-    return [*CONCEPTS[:at], *touches[: 2 * len(TOUCHED)], *CONCEPTS[at : end + 1], *touches[2 * len(TOUCHED) :]]
+def entries_of_zones() -> dict[str, list[str]]:
+    """The entries by kind of touch of each zone that has such."""
+    of_zone: dict[str, list[str]] = {}
+    for prefix, zone in ENTRY_ZONES.items():
+        of_zone.setdefault(zone, []).extend(c for c, _, _ in CONCEPTS if c.rpartition("_")[0] == prefix)
+    return of_zone
 
 
 def whole_words(keywords: Sequence[str]) -> str:
@@ -85,7 +86,7 @@ def words_of(text: Column) -> Column:
 
 def tag(ideas: DataFrame, text: str = "idea", keywords: Sequence[tuple[str, str, Sequence[str]]] | None = None) -> DataFrame:
     """``concepts``: those of which the text holds a keyword as whole words, in table order; ``roles``: theirs, each once."""
-    table = vocabulary() if keywords is None else keywords
+    table = CONCEPTS if keywords is None else keywords
     found = F.array_compact(F.array(*[F.when(F.col(text).rlike(whole_words(k)), F.struct(F.lit(c).alias("concept"), F.lit(r).alias("role"))) for c, r, k in table]))
     return ideas.withColumn("concepts", F.transform(found, lambda x: x["concept"])).withColumn("roles", F.array_distinct(F.transform(found, lambda x: x["role"])))
 
@@ -97,14 +98,12 @@ def parse(ideas: DataFrame, text: str = "idea") -> DataFrame:
     'short' and 'long' in the name of a concept are no direction. Without a stop in points the first concept that has a usual one gives it.
     """
     t = tag(ideas, text).drop("roles")
-    of_zone: dict[str, list[str]] = {}
-    for prefix, zone, _ in TOUCHED:
-        of_zone.setdefault(zone, []).extend(f"{prefix}_{k}" for k, _, _ in TOUCHES)
+    of_zone = entries_of_zones()
     names = lambda values: F.array(*map(F.lit, values))
     replaced = F.array_compact(F.array(*[F.when(F.arrays_overlap("concepts", names(v)), F.lit(z)) for z, v in of_zone.items()]))
     t = t.withColumn("concepts", F.array_except("concepts", replaced))
     for role in ("entry", "zone", "context", "timing"):
-        t = t.withColumn(role, F.array_intersect("concepts", names([c for c, r, _ in vocabulary() if r == role])))
+        t = t.withColumn(role, F.array_intersect("concepts", names([c for c, r, _ in CONCEPTS if r == role])))
     bear = F.array_contains("concepts", "MANIP_BEAR")
     t = t.withColumn("entry", F.when(bear, F.array_remove("entry", "MANIP")).otherwise(F.col("entry")))
     low = F.lower(F.col(text))

@@ -84,12 +84,10 @@ def _held(keywords) -> str:
     return "regexp_matches(idea, '(?i)(^|[^\\w])(" + "|".join(ideas.re.escape(k).replace("'", "''") for k in keywords) + ")([^\\w]|$)')"
 
 
-_FOUND = "SELECT p_partkey, idea, list_filter([" + ", ".join(f"CASE WHEN {_held(k)} THEN '{c}' END" for c, _, k in ideas.vocabulary()) + "], lambda x: x IS NOT NULL) AS c FROM idea_texts"
-_OF_ZONE: dict[str, list[str]] = {}
-for _prefix, _zone, _ in ideas.TOUCHED:
-    _OF_ZONE.setdefault(_zone, []).extend(f"{_prefix}_{k}" for k, _, _ in ideas.TOUCHES)
+_FOUND = "SELECT p_partkey, idea, list_filter([" + ", ".join(f"CASE WHEN {_held(k)} THEN '{c}' END" for c, _, k in ideas.CONCEPTS) + "], lambda x: x IS NOT NULL) AS c FROM idea_texts"
+_OF_ZONE = ideas.entries_of_zones()
 _KEPT = "SELECT p_partkey, idea, list_filter(c, lambda x: NOT CASE x " + " ".join(f"WHEN '{z}' THEN len(list_intersect(c, {v!r})) > 0" for z, v in _OF_ZONE.items()) + " ELSE false END) AS c FROM found"
-_ROLE = {r: repr([c for c, x, _ in ideas.vocabulary() if x == r]) for r in ("entry", "zone", "context", "timing")}
+_ROLE = {r: repr([c for c, x, _ in ideas.CONCEPTS if x == r]) for r in ("entry", "zone", "context", "timing")}
 _PARSED = f"""SELECT p_partkey, c, list_filter(c, lambda x: list_contains({_ROLE['entry']}, x) AND NOT (x = 'MANIP' AND list_contains(c, 'MANIP_BEAR'))) AS entry,
         array_to_string(list_filter(c, lambda x: list_contains({_ROLE['zone']}, x)), ',') AS zone, array_to_string(list_filter(c, lambda x: list_contains({_ROLE['context']}, x)), ',') AS context,
         array_to_string(list_filter(c, lambda x: list_contains({_ROLE['timing']}, x)), ',') AS timing,

@@ -76,7 +76,7 @@ def test_parsed_ideas(spark):
     assert (e.session, e.exit_mode) == ("asia", "next_zone") and got[texts[8]].concepts == []
     assert "S_OB_SESS_FT" in got[texts[9]].concepts and "OB_SESSION" not in got[texts[9]].concepts
     assert got[texts[10]].exit_mode == "session_level" and got[texts[10]].entry == ["MANIP"]
-    assert len(ideas.vocabulary()) == 87 and len({c for c, _, _ in ideas.vocabulary()}) == 87
+    assert len(ideas.CONCEPTS) == 87 and len({c for c, _, _ in ideas.CONCEPTS}) == 87
 
 
 def test_failures_neighbours_and_hashes(spark):
