@@ -215,16 +215,18 @@ def overfitting(series: DataFrame, splits: int = 8) -> DataFrame:
     """Probability of backtest overfitting by combinatorially symmetric cross-validation.
 
     ``series``: (trial, block, pnl) with blocks 0..splits-1. For each half of the blocks the trial that is best there is ranked
-    on the other half; the result is the share of halves where it ranks below the median.
+    on the other half; the result is the share of halves where it ranks below the median. Of trials that tie the smallest is the best.
+    Trials meet only in partial aggregates by half.
     """
-    sums = series.groupBy("trial", "block").agg(F.round(F.sum("pnl"), 9).alias("s"))
-    halves = series.sparkSession.range(1 << splits).where(F.bit_count("id") == splits // 2).withColumnRenamed("id", "half")
-    both = sums.join(F.broadcast(halves)).groupBy("half", "trial").agg(
-        F.round(F.sum(F.when(F.getbit("half", F.col("block")) == 1, F.col("s")).otherwise(0.0)), 9).alias("inside"), F.round(F.sum(F.when(F.getbit("half", F.col("block")) == 0, F.col("s")).otherwise(0.0)), 9).alias("outside")
-    )
-    w = Window.partitionBy("half")
-    both = both.withColumn("_best", F.row_number().over(w.orderBy(F.col("inside").desc(), "trial"))).withColumn("_rank", F.percent_rank().over(w.orderBy("outside")))
-    return both.where("_best = 1").agg(F.count("*").alias("halves"), F.round(F.avg((F.col("_rank") < 0.5).cast("int")), 6).alias("pbo"))
+    of_block = [F.round(F.coalesce(F.sum(F.when(F.col("block") == b, F.col("pnl"))), F.lit(0.0)), 9) for b in range(splits)]
+    halves = [h for h in range(1 << splits) if h.bit_count() == splits // 2]
+    split = series.groupBy("trial").agg(F.array(*of_block).alias("sums")).select("trial", "sums", F.explode(F.array(*map(F.lit, halves))).alias("half"))
+    side = lambda bit: F.expr(f"round(aggregate(transform(sums, (s, i) -> IF(getbit(half, i) = {bit}, s, 0.0D)), 0.0D, (a, s) -> a + s), 9)")
+    split = split.select("half", "trial", side(1).alias("inside"), side(0).alias("outside"))
+    best = split.groupBy("half").agg(F.min_by("outside", F.struct(-F.col("inside"), "trial")).alias("chosen"))  # a row a half, whatever the trials
+    rank = F.count(F.when(F.col("outside") < F.col("chosen"), 1)) / F.greatest(F.count("*") - 1, F.lit(1))
+    ranks = split.join(F.broadcast(best), "half").groupBy("half").agg(rank.alias("rank"))
+    return ranks.agg(F.count("*").alias("halves"), F.round(F.avg((F.col("rank") < 0.5).cast("int")), 6).alias("pbo"))
 
 
 def feature_rows(runs: DataFrame, target: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from tapewise.operators import checks, concepts, reviews
+from tapewise.operators import checks, concepts, registry, reviews
 from tapewise.sources import files
 
 
@@ -56,3 +56,21 @@ def test_bucketed_shards_meet_without_a_shuffle(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert both.columns == ["symbol", "ts", "up", "twice"] and len(rows) == 600
     assert sum(r.up for r in rows) == 200 and sum(r.twice is None for r in rows) == 100 and all(r.twice == 2 * (r.ts - start).seconds // 60 for r in rows if r.twice is not None)
+
+
+def test_overfitting_equals_ranking_every_half(spark):
+    draw = random.Random(5)
+    series = [(t, b, float(draw.randint(-3, 3))) for t in range(12) for b in range(8) for _ in range(2) if draw.random() < 0.9]
+    sums = {(t, b): 0.0 for t in range(12) for b in range(8)}
+    for t, b, v in series:
+        sums[t, b] += v
+    below = []
+    for half in range(256):
+        if half.bit_count() == 4:
+            inside, outside = ({t: sum(sums[t, b] for b in range(8) if (half >> b & 1) == bit) for t in range(12)} for bit in (1, 0))
+            best = min(range(12), key=lambda t: (-inside[t], t))
+            below.append(sum(outside[t] < outside[best] for t in range(12)) / 11 < 0.5)
+    got = registry.overfitting(spark.createDataFrame(series, "trial int, block int, pnl double"))
+    assert tuple(got.first()) == (70, round(sum(below) / 70, 6)) and "Window" not in plan(got)
+    one = registry.overfitting(spark.createDataFrame([(1, 0, 1.0)], "trial int, block int, pnl double")).first()
+    assert tuple(one) == (70, 1.0)
