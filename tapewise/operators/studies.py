@@ -34,8 +34,15 @@ def enrich_trades(trades: DataFrame, bars: DataFrame, atr: str = "atr") -> DataF
 
 
 def trade_distribution(trades: DataFrame, *dims: str) -> DataFrame:
-    """n, wins, mean points and USD of trades for each dimension and all of them together (rollup; null: all)."""
-    return trades.rollup(*dims).agg(F.count("*").alias("n"), F.count_if(F.col("pnl") > 0).alias("wins"), F.round(F.sum("pnl"), 4).alias("points"), F.round(F.sum("pnl_usd"), 4).alias("usd"))
+    """n, wins, points and USD of trades for each dimension and all of them together (rollup; null: all).
+
+    The row of all trades is there without any trade too, as in SQL; a rollup alone gives none then.
+    """
+    sums = ("n", "wins", "points", "usd")
+    cells = trades.groupBy(*dims).agg(F.count("*").alias("n"), F.count_if(F.col("pnl") > 0).alias("wins"), F.sum("pnl").alias("points"), F.sum("pnl_usd").alias("usd"))
+    rolled = cells.rollup(*dims).agg(*[F.sum(c).alias(c) for c in sums], F.grouping_id().alias("_level")).where(F.col("_level") < (1 << len(dims)) - 1).drop("_level")
+    out = rolled.unionByName(cells.agg(*[F.sum(c).alias(c) for c in sums]), allowMissingColumns=True)
+    return out.select(*dims, *[F.coalesce(c, F.lit(0)).alias(c) for c in sums[:2]], *[F.round(c, 4).alias(c) for c in sums[2:]])
 
 
 def weekday_hours(trades: DataFrame) -> DataFrame:
