@@ -65,11 +65,12 @@ def stream_news_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, state, lift, CASE WHEN lift >= 3 THEN 'A' WHEN lift >= 2 THEN 'B' WHEN lift >= 1 THEN 'C' ELSE 'D' END AS grade FROM (
-        SELECT s.symbol, s.bar_no, s.ts, s.state, any_value(s.ts) AS s_ts, arg_max(l.lift, c.length) FILTER (l.lift IS NOT NULL) AS lift FROM states s LEFT JOIN chained c USING (symbol, bar_no) LEFT JOIN lifts l ON l.symbol = s.symbol AND l.length = c.length AND l.chain = c.chain GROUP BY 1, 2, 3, 4) WHERE s_ts <= (SELECT max(ts) - INTERVAL 1 DAY FROM bars)""", chained=_CHAINED, lifts=_LIFTS)
+        SELECT s.symbol, s.bar_no, s.ts, s.state, arg_max(l.lift, c.length) FILTER (l.lift IS NOT NULL) AS lift FROM states s LEFT JOIN chained c USING (symbol, bar_no) LEFT JOIN lifts l ON l.symbol = s.symbol AND l.length = c.length AND l.chain = c.chain GROUP BY 1, 2, 3, 4)""", chained=_CHAINED, lifts=_LIFTS)
 def stream_watch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every bar is told of: the stream's end is marked."""
     states = _states(spark, sf_dir)
     lifts = stage(chains.chain_lift(states, _moved()), "lifts")
-    bars = stage(states.select("symbol", "ts", "state"), "bars")
+    bars = stage(streams.ended(states.select("symbol", "ts", "state")), "bars")
     stream = spark.readStream.schema(bars.schema).parquet(_folder(bars))
     return streams.drain(streams.watch_chains(stream, lifts), store=streams.ROCKS).withColumn("ts", stamp("ts"))
 
