@@ -6,7 +6,8 @@ gives an empty one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewise.llm import minhash, mixing, packing, quality, secrets
@@ -54,14 +55,26 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return slots.repartitionByRange("slot").sortWithinPartitions("slot").select(*unboxed("doc", docs.columns))
 
 
+def _order(docs: DataFrame) -> list[Column]:
+    """File and row number of each row: a table's rows in the order in which they were written. Rows of no file have their partition instead."""
+    try:
+        found = [F.col("_metadata.file_name"), F.col("_metadata.row_index")]
+        docs.select(*found).schema  # fails where the rows come from no Parquet file
+        return found
+    except AnalysisException:
+        return [F.lpad(F.spark_partition_id().cast("string"), 9, "0"), F.monotonically_increasing_id() % (1 << 33)]
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' token pieces, each with its sequence and its place there.
+    """The documents' token pieces, each with its sequence and its place there; sequences follow the order of the documents, which is the mixture's.
 
-    Null and empty texts are one piece, the end id alone; null keys and repeated rows are pieces of their own.
+    Null and empty texts are one piece, the end id alone; null keys and repeated rows are pieces of their own. Part files follow the sequences.
     """
-    pieces = docs.select("doc_id", "source", F.explode(packing.token_pieces(F.col("text"), tokenizer_path())).alias("p"))
-    pieces = materialise(pieces.select("doc_id", "source", "p.*"), "pieces")
-    return packing.pack(pieces, ["doc_id", "piece", "ids_crc32"])
+    file, row = _order(docs)
+    pieces = docs.select("doc_id", "source", file.alias("_of"), row.alias("_at"), F.explode(packing.token_pieces(F.col("text"), tokenizer_path())).alias("p"))
+    pieces = materialise(pieces.select("doc_id", "source", "_of", "_at", "p.*"), "pieces")
+    packed = packing.pack_in_order(pieces, ["_of", "_at"])
+    return packed.repartitionByRange("sequence_id").sortWithinPartitions("sequence_id", "offset")
 
 
 STAGES = [

@@ -9,10 +9,10 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import boxed, hash_bucket, quoted, rank_in_groups, seeded_hash, unboxed
+from .common import RANK_BUCKETS, boxed, hash_bucket, quoted, rank_in_groups, seeded_hash, unboxed
 
 CAPACITY, END_ID = 4096, 1
 #: Entries in each of a worker's two caches; a full cache is emptied.
@@ -264,3 +264,29 @@ def pack(pieces: DataFrame, keys: list[str], length: str = "length", capacity: i
     """
     placed = ranked.join(F.broadcast(places), "_length").withColumn("_place", F.expr(bisect))
     return placed.select(*unboxed("_row", names), (F.col("_place.sequence") + F.col("_rank") - F.col("_place.from")).alias("sequence_id"), F.col("_place.offset").alias("offset"))
+
+
+def pack_in_order(pieces: DataFrame, order: list[str], length: str = "length", capacity: int = CAPACITY) -> DataFrame:
+    """As ``pack``, with sequences that follow the rows' order: by ``order``, two columns, (file, row number within it).
+
+    The sequences of a line of the plan are spread evenly over time, each line from a start of its own; a length's rows take its places in their order. So row
+    number r of n stands near r / n of all sequences, and with rows in mixture order every stretch of sequences holds the mixture. ``pieces`` is read
+    several times, so it should be a table; rows of one file and number are one document's, in any order.
+    """
+    spark, (file, row) = pieces.sparkSession, order
+    counts = {r[0]: r[1] for r in pieces.groupBy(quoted(length)).count().collect()}
+    lines = [(k, many, list(map(int, items))) for k, (items, many) in enumerate(plan(counts, capacity))]
+    lines = spark.createDataFrame(lines, "_line long, _many long, _items array<long>").repartition("_line")
+    early = lambda c: F.least(F.floor(F.col(c) * RANK_BUCKETS), F.lit(RANK_BUCKETS - 1))
+    made = lines.select("_line", "_items", F.explode(F.expr("transform(sequence(0L, _many - 1), k -> (k + (_line * 0.6180339887498949D) % 1) / _many)")).alias("_time"))
+    made = rank_in_groups(made, [], early("_time"), [F.col("_time"), F.col("_line")], "sequence_id", "_n")
+    places = made.select("_time", "sequence_id", F.explode(F.expr("transform(_items, (x, i) -> struct(x AS length, aggregate(slice(_items, 1, i), 0L, (a, b) -> a + b) AS offset))")).alias("p"))
+    places = places.select("_time", "sequence_id", "p.offset", F.col("p.length").alias("_length"))
+    places = rank_in_groups(places, ["_length"], early("_time"), [F.col("sequence_id"), F.col("offset")], "_rank", "_n").select("_length", "_rank", "sequence_id", "offset")
+    names = [c for c in pieces.columns if c not in (file, row, "sequence_id", "offset")]
+    files = pieces.groupBy(F.col(file).alias("_file")).agg((F.max(row) + 1).alias("_rows"))
+    files = files.select("_file", (F.sum("_rows").over(Window.orderBy("_file")) - F.col("_rows")).alias("_before"), F.sum("_rows").over(Window.partitionBy()).alias("_all"))  # one row for each file
+    rows = pieces.select(boxed(pieces.select(*[F.col(quoted(c)) for c in names])).alias("_row"), F.col(quoted(length)).cast("long").alias("_length"), F.col(file).alias("_file"), F.col(row).alias("_at_row"))
+    rows = rows.join(F.broadcast(files), "_file").withColumn("_at_all", F.col("_before") + F.col("_at_row")).withColumn("_time", F.col("_at_all") / F.col("_all"))
+    ranked = rank_in_groups(rows.select("_row", "_length", "_at_all", "_time"), ["_length"], early("_time"), [F.col("_at_all"), F.col("_row")], "_rank", "_n")
+    return ranked.join(places, ["_length", "_rank"]).select(*unboxed("_row", names), "sequence_id", "offset")
