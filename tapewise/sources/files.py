@@ -96,9 +96,14 @@ def back_fill(results: DataFrame, runs: DataFrame, other_runs: DataFrame, other_
     return results.unionByName(new.select(*results.columns))
 
 
-def parse_reports(spark: SparkSession, path: str) -> DataFrame:
-    """Run reports (one text file each) to registry rows: idea, tier, pf and trades from their labelled lines."""
-    text = spark.read.text(path, wholetext=True)
+def pack_reports(reports: DataFrame, path: str) -> None:
+    """Texts of reports (value) as records of a few files, a JSON line each, so that many reports don't make as many files."""
+    reports.select("value").write.json(path)
+
+
+def parse_reports(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
+    """Run reports (one text file each, or ``packed``) to registry rows: idea, tier, pf and trades from their labelled lines."""
+    text = spark.read.schema("value string").json(path) if packed else spark.read.text(path, wholetext=True)
     part = lambda p: F.nullif(F.regexp_extract("value", p, 1), F.lit(""))
     return text.select(
         part(r"(?mi)^#\s*(.+?)\s*$").alias("idea"), part(r"(?mi)^\W*tier\W+([A-Z])\b").alias("tier"),
