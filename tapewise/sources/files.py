@@ -79,11 +79,11 @@ def read_calendar(spark: SparkSession, path: str, impact: str = "HIGH") -> DataF
     return rows.withColumn("event_ts", F.to_utc_timestamp(local, "America/New_York")).where("event_ts is not null")
 
 
-def export_registry(runs: DataFrame, results: DataFrame, path: str) -> None:
-    """Runs as CSV by tier, and one JSON document for each run with its results in order of rank."""
+def export_registry(runs: DataFrame, results: DataFrame, path: str, compression: str = "none") -> None:
+    """Runs as CSV by tier, and one JSON document for each run with its results in order of rank; ``compression`` of the JSON files, say gzip. ``runs`` is read twice."""
     runs.write.mode("overwrite").partitionBy("tier").option("header", True).csv(f"{path}/csv")
     nested = results.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("rank", *[c for c in results.columns if c not in ("run_id", "rank")]))).alias("results"))
-    runs.join(nested, "run_id", "left").write.mode("overwrite").json(f"{path}/json")
+    runs.join(nested, "run_id", "left").write.mode("overwrite").option("compression", compression).json(f"{path}/json")
 
 
 def back_fill(results: DataFrame, runs: DataFrame, other_runs: DataFrame, other_results: DataFrame) -> DataFrame:
