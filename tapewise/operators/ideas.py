@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import stage
 from .joins import fuzzy_duplicates
 
 #: Concept, role ('' for none) and keywords, in the order in which concepts are reported.
@@ -96,7 +97,15 @@ def parse(ideas: DataFrame, text: str = "idea") -> DataFrame:
 
     A zone's entry by kind of touch replaces the zone itself; a zone that stays brings all its entries along, at the end of ``concepts``.
     'short' and 'long' in the name of a concept are no direction. Without a stop in points the first concept that has a usual one gives it.
+    Each distinct text is looked at once, however many ideas have it.
     """
+    found = _parsed(ideas.select(F.col(text).alias("_text")).distinct(), "_text")
+    kinds = stage(found, "parsed")
+    return ideas.drop(*[c for c in found.columns if c != "_text"]).join(kinds, F.col(text).eqNullSafe(F.col("_text")), "left").drop("_text")
+
+
+def _parsed(ideas: DataFrame, text: str) -> DataFrame:
+    """``parse``, row by row."""
     t = tag(ideas, text).drop("roles")
     of_zone = entries_of_zones()
     names = lambda values: F.array(*map(F.lit, values))
