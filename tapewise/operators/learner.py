@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import drawn
 from ..sources.store import remove, shared_dir, stage
+from .registry import alike
 from .reviews import diverse
 
 #: The concepts and sessions that ideas are described by, and the bands of a suggestion.
@@ -66,15 +67,16 @@ def with_features(rows: DataFrame, ctx: DataFrame, concepts: Sequence[str] = CON
     return rows.crossJoin(F.broadcast(ctx)).withColumn("x", x).drop("ctx")  # one row
 
 
-def nodes_of(model, spark) -> DataFrame:
-    """The nodes of a fitted tree ensemble: tree, id (from 0, the root), feature (-1: leaf), threshold, left, right, value, share (class 1 among the node's weights) and rows."""
+def nodes_of(model, spark, weighted: bool = False) -> DataFrame:
+    """The nodes of a fitted tree ensemble: tree, id (from 0, the root), feature (-1: leaf), threshold, left, right, value, share (class 1 among the node's weights) and rows
+    (``weighted``: of a regression, the sum of their weights)."""
     path = f"{shared_dir(spark).rstrip('/')}/model-{uuid.uuid4().hex}"
     model.write().save(path)
     n = "nodeData"
     data = spark.read.parquet(f"{path}/data").select(
         F.col("treeID").alias("tree"), f"{n}.id", F.col(f"{n}.split.featureIndex").alias("feature"), F.try_element_at(F.col(f"{n}.split.leftCategoriesOrThreshold"), F.lit(1)).alias("threshold"),
         F.col(f"{n}.leftChild").alias("left"), F.col(f"{n}.rightChild").alias("right"), F.col(f"{n}.prediction").alias("value"),
-        F.try_divide(F.try_element_at(F.col(f"{n}.impurityStats"), F.lit(2)), F.aggregate(f"{n}.impurityStats", F.lit(0.0), lambda t, v: t + v)).alias("share"), F.col(f"{n}.rawCount").alias("rows"),
+        F.try_divide(F.try_element_at(F.col(f"{n}.impurityStats"), F.lit(2)), F.aggregate(f"{n}.impurityStats", F.lit(0.0), lambda t, v: t + v)).alias("share"), (F.col(f"{n}.impurityStats")[0] if weighted else F.col(f"{n}.rawCount")).alias("rows"),
     )
     kept = stage(data, "nodes")
     remove(spark, path)
@@ -118,6 +120,8 @@ def _forest(rows: DataFrame, trees: int, depth: int, seed: int):
     """A forest on x and y whose classes weigh the same."""
     share = rows.agg(F.avg("y")).first()[0]
     weight = F.when(F.col("y") == 1, 0.5 / max(share, 1e-9)).otherwise(0.5 / max(1 - share, 1e-9))
+    if "run_id" in rows.columns:  # small files make few partitions, and one task walks its rows through all trees
+        rows = rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, "run_id").sortWithinPartitions("run_id")
     rows = rows.select("y", weight.alias("w"), array_to_vector("x").alias("features"))
     return RandomForestClassifier(labelCol="y", weightCol="w", numTrees=trees, maxDepth=depth, seed=seed).fit(rows)
 
@@ -161,8 +165,10 @@ def fit(runs: DataFrame, good: Column, concepts: Sequence[str] = CONCEPTS, sessi
         seen = rows.where(~F.col("fold").isin(f, after)) if k > 1 else rows
         ctx = stage(context(seen), "context")
         forest = stage(packed(nodes_of(_forest(with_features(seen, ctx, concepts, sessions), trees, depth, seed + f), spark)), "forest")
-        unseen = with_features(rows.where(F.col("fold").isin(f, after)), ctx, concepts, sessions).crossJoin(F.broadcast(forest))  # one row
-        unseen = stage(unseen.select("run_id", "y", "fold", _mean(votes("trees", "x", depth)).alias("score")), "scores")
+        unseen = rows.where(F.col("fold").isin(f, after))
+        kinds = with_features(unseen.select("concepts", "sessions").distinct(), ctx, concepts, sessions).crossJoin(F.broadcast(forest))  # one row; the forest meets each description once
+        kinds = stage(kinds.select("concepts", "sessions", _mean(votes("trees", "x", depth)).alias("score")), "kinds")
+        unseen = stage(unseen.join(kinds, ["concepts", "sessions"]).select("run_id", "y", "fold", "score"), "scores")
         fitted.append(Fold(forest, ctx, *sigmoid(unseen.where(F.col("fold") == after))))
         own = unseen.where(F.col("fold") == f).withColumn("prob", _curve(F.col("score"), fitted[f].slope, fitted[f].offset))
         scores = own if scores is None else scores.unionByName(own)
@@ -215,8 +221,8 @@ def novelty(ideas: DataFrame, known: DataFrame) -> DataFrame:
 def judged(learner: Learner, ideas: DataFrame, known: DataFrame) -> DataFrame:
     """Ideas (id, idea) with prob (mean of the folds' calibrated forests), uncertainty (deviation of the votes of all trees), novelty against ``known`` (idea), band,
     and top: the most important concept or session that the idea names ('-' if none)."""
-    rows = stage(described(ideas, learner.concepts, learner.sessions), "judged")
-    probs = []
+    every = stage(described(ideas, learner.concepts, learner.sessions), "judged")
+    rows, probs = every.select("concepts", "sessions").distinct(), []  # the forests meet each description once
     for n, f in enumerate(learner.folds):
         rows = with_features(rows, f.ctx, learner.concepts, learner.sessions).crossJoin(F.broadcast(f.trees))  # one row
         rows = rows.withColumn(f"_p{n}", _curve(_mean(votes("trees", "x", learner.depth)), f.slope, f.offset)).drop("x", "trees")
@@ -230,6 +236,7 @@ def judged(learner: Learner, ideas: DataFrame, known: DataFrame) -> DataFrame:
     ranking = learner.importance.where(F.col("importance") > 0).agg(F.transform(order, lambda r: r["feature"]).alias("_ranking"))  # one row, as long as the list of features
     rows = rows.crossJoin(F.broadcast(ranking)).withColumn("top", F.coalesce(F.try_element_at(F.array_intersect("_ranking", F.concat("concepts", "sessions")), F.lit(1)), F.lit("-")))
     rows = rows.drop("_v", "_m", "_ranking", *[f"_p{n}" for n in range(len(probs))])
+    rows = every.join(stage(rows, "judged"), ["concepts", "sessions"]).select(*every.columns, "prob", "uncertainty", "top")
     rows = novelty(stage(rows, "judged"), described(known, learner.concepts, learner.sessions))
     return rows.withColumn("band", band(F.col("prob"), F.col("uncertainty"))).withColumn("prob", F.round("prob", 4)).withColumn("uncertainty", F.round("uncertainty", 4))
 
@@ -312,18 +319,21 @@ def attributions(nodes: DataFrame, weights: Sequence[float], rows: DataFrame, de
     share = f"""CASE size(l.others) WHEN 0 THEN {one[0]}D WHEN 1 THEN {two[0]}D * {r} + {two[1]}D * {a}
         ELSE {three[0]!r}D * {r} * {s} + {three[1]!r}D * ({a} * {s} + {r} * {b}) + {three[2]!r}D * {a} * {b} END"""
     phi = f"transform(model, m -> named_struct('feature', m.feature, 'phi', aggregate(m.leaves, 0D, (t, l) -> t + l.value * ({on('l.own')} - l.own.part) * {share})))"
-    found = rows.select(key, "x").crossJoin(F.broadcast(model)).select(key, F.explode(F.expr(phi)).alias("f")).select(key, "f.feature", "f.phi")  # one row
+    kinds = stage(rows.select("x").distinct().crossJoin(F.broadcast(model)).select("x", F.expr(phi).alias("f")), "kinds")  # one row; the leaves meet equal rows once
+    found = rows.select(key, "x").join(kinds, "x").select(key, F.explode("f").alias("f")).select(key, "f.feature", "f.phi")
     return Attribution(found, base)
 
 
 def boosted(rows: DataFrame, trees: int = 20, depth: int = 3, seed: int = 1) -> tuple[DataFrame, list[float], object]:
-    """Boosted regression trees on x and label: nodes, weights of the trees, model."""
-    model = GBTRegressor(maxIter=trees, maxDepth=depth, seed=seed).fit(rows.select(array_to_vector("x").alias("features"), "label"))
-    return nodes_of(model, rows.sparkSession), [float(w) for w in model.treeWeights], model
+    """Boosted regression trees on x and label: nodes, weights of the trees, model. Rows with equal x are fitted as one of their weight."""
+    met = alike(rows, "x").select(array_to_vector("x").alias("features"), "label", "weight")
+    model = GBTRegressor(maxIter=trees, maxDepth=depth, seed=seed, weightCol="weight").fit(met)
+    return nodes_of(model, rows.sparkSession, weighted=True), [float(w) for w in model.treeWeights], model
 
 
-def mean_attribution(found: Attribution, names: Sequence[str], rows: int) -> DataFrame:
-    """Per feature the mean absolute attribution over ``rows`` rows; features that no path asks for have 0."""
-    per = found.rows.groupBy("feature").agg((F.sum(F.abs("phi")) / rows).alias("_m"))
+def mean_attribution(found: Attribution, names: Sequence[str], rows: float, weights: DataFrame | None = None) -> DataFrame:
+    """Per feature the mean absolute attribution over ``rows`` rows; features that no path asks for have 0. ``weights`` (run_id, weight): how many rows each one stands for."""
+    weighed = found.rows.withColumn("weight", F.lit(1.0)) if weights is None else found.rows.join(weights, "run_id")
+    per = weighed.groupBy("feature").agg((F.sum(F.abs("phi") * F.col("weight")) / rows).alias("_m"))
     named = found.rows.sparkSession.createDataFrame(list(enumerate(names)), "feature int, token string")
     return named.join(per, "feature", "left").select("token", F.round(F.coalesce("_m", F.lit(0.0)), 6).alias("weight"))
