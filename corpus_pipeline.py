@@ -71,7 +71,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are one piece, the end id alone; null keys and repeated rows are pieces of their own. Part files follow the sequences.
     """
     file, row = _order(docs)
-    pieces = docs.select("doc_id", "source", file.alias("_of"), row.alias("_at"), F.explode(packing.token_pieces(F.col("text"), tokenizer_path())).alias("p"))
+    pieces = docs.select("doc_id", "source", file.alias("_of"), row.alias("_at"), F.explode(packing.token_pieces(F.col("text"), tokenizer_path(), cache=packing.SHORT)).alias("p"))
     pieces = materialise(pieces.select("doc_id", "source", "_of", "_at", "p.*"), "pieces")
     packed = packing.pack_in_order(pieces, ["_of", "_at"])
     return packed.repartitionByRange("sequence_id").sortWithinPartitions("sequence_id", "offset")

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from .common import RANK_BUCKETS, boxed, hash_bucket, quoted, rank_in_groups, seeded_hash, unboxed
 
 CAPACITY, END_ID = 4096, 1
-#: Entries in each of a worker's two caches; a full cache is emptied.
-CACHE = 600_000
+#: Entries in each of a worker's two caches; a full cache is emptied. SHORT: where other steps use the same workers, for which the caches are emptied after each task.
+CACHE, SHORT = 600_000, 100_000
 #: What the tokenizer's own splitting rule does within a chunk of printable Latin-1 text.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
 _WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
@@ -44,19 +44,19 @@ class Coder:
     to the tokenizer as they are, and so do whole texts if the file has other settings.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.chunks, self.words = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.cache, self.chunks, self.words = Tokenizer.from_file(path), cache, {}, {}
         with open(path, encoding="utf-8") as f:
             self.by_words = splits_as_expected(json.load(f))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_words:
             return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        if len(self.chunks) > CACHE:
+        if len(self.chunks) > self.cache:
             self.chunks = {}
-        if len(self.words) > CACHE:
+        if len(self.words) > self.cache:
             self.words = {}
         split = [t.replace("\n", " ").split(" ") for t in texts]
         new = set().union(*split).difference(self.chunks)
@@ -75,6 +75,10 @@ class Coder:
         found = self.chunks.__getitem__
         return [b"".join(map(found, chunks)) for chunks in split]
 
+    def forget(self) -> None:
+        """Empty both caches."""
+        self.chunks, self.words = {}, {}
+
     def _learn(self, words: list[str]) -> None:
         for i in range(0, len(words), 64):
             part = words[i : i + 64]
@@ -88,34 +92,43 @@ class Coder:
                 self.words[w] = data[4 * cuts[k] : 4 * cuts[k + 1]]
 
 
-_coders: dict[str, Coder] = {}
+_coders: dict[tuple[str, int], Coder] = {}
 
 
-def coder(path: str) -> Coder:
-    """This process's coder for a tokenizer file."""
-    if path not in _coders:
-        _coders[path] = Coder(path)
-    return _coders[path]
+def coder(path: str, cache: int = CACHE) -> Coder:
+    """This process's coder for a tokenizer file and a size of its caches."""
+    if (path, cache) not in _coders:
+        _coders[path, cache] = Coder(path, cache)
+    return _coders[path, cache]
 
 
-def token_pieces(text: Column, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> Column:
+def cut_texts(parts: Iterator[pd.Series], c: Coder, capacity: int, end_id: int, with_ids: bool, forget: bool) -> Iterator[pd.Series]:
+    """The texts' pieces, part by part; ``forget`` empties the coder's caches after the last."""
+    last = int(end_id).to_bytes(4, "little")
+    try:
+        for texts in parts:
+            out, values = [], [t or "" for t in texts]
+            for i in range(0, len(values), 500):
+                for data in c.encode(values[i : i + 500]):
+                    data += last
+                    cuts = [data[k : k + 4 * capacity] for k in range(0, len(data), 4 * capacity)]
+                    rows = [{"piece": k, "start": k * capacity, "length": len(p) // 4, "ids_crc32": zlib.crc32(p)} for k, p in enumerate(cuts)]
+                    out.append([r | {"ids": p} for r, p in zip(rows, cuts, strict=True)] if with_ids else rows)
+            yield pd.Series(out)
+    finally:
+        if forget:
+            c.forget()
+
+
+def token_pieces(text: Column, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, cache: int | None = None) -> Column:
     """Array of a text's pieces: struct of piece (int), start, length, ids_crc32 (long) and, if asked for, ids (binary).
 
     The ids of the whole text and ``end_id`` are cut every ``capacity`` ids, however long it is; null and empty texts are just
-    ``end_id``. Equal texts give equal pieces. Being a column expression, it leaves other columns alone.
+    ``end_id``. Equal texts give equal pieces. Being a column expression, it leaves other columns alone. ``cache`` limits the
+    entries of a worker's caches, which are then emptied after each task.
     """
-    last = int(end_id).to_bytes(4, "little")
-
-    def cut(texts: pd.Series) -> pd.Series:
-        out, c = [], coder(path)
-        values = [t or "" for t in texts]
-        for i in range(0, len(values), 500):
-            for data in c.encode(values[i : i + 500]):
-                data += last
-                parts = [data[k : k + 4 * capacity] for k in range(0, len(data), 4 * capacity)]
-                rows = [{"piece": k, "start": k * capacity, "length": len(p) // 4, "ids_crc32": zlib.crc32(p)} for k, p in enumerate(parts)]
-                out.append([r | {"ids": p} for r, p in zip(rows, parts, strict=True)] if with_ids else rows)
-        return pd.Series(out)
+    def cut(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from cut_texts(parts, coder(path, cache or CACHE), capacity, end_id, with_ids, cache is not None)
 
     kind = "piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids
     return F.pandas_udf(cut, f"array<struct<{kind.replace(' ', ':').replace(',:', ', ')}>>")(text)

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -81,6 +82,25 @@ def test_other_tokenizers_code_whole_texts(tmp_path):
     assert [np.frombuffer(x, "<u4").tolist() for x in packing.Coder(path).encode(ODD)] == [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in ODD]
 
 
+def test_short_caches_give_the_same_and_are_emptied():
+    parts = [pd.Series([*ODD, None, " ".join(f"w{k} Word{k}." for k in range(n))]) for n in (700, 900)]
+    short, usual = packing.Coder(PATH, 50), packing.Coder(PATH)
+    cut = [list(itertools.chain(*packing.cut_texts(iter(parts), c, 64, 1, True, c is short))) for c in (short, usual)]
+    assert cut[0] == cut[1]
+    assert not short.chunks and not short.words and usual.chunks and usual.words
+
+
+def test_packing_stage_leaves_no_cached_words_in_workers(spark):
+    @F.pandas_udf("long")
+    def cached(ids: pd.Series) -> pd.Series:
+        left = sum(len(c.chunks) + len(c.words) for (_, cache), c in packing._coders.items() if cache == packing.SHORT)
+        return pd.Series([left if any(cache == packing.SHORT for _, cache in packing._coders) else -1] * len(ids))
+
+    corpus_pipeline.pack(spark, spark.read.parquet(f"{DATA}/documents.parquet"), DATA).collect()
+    found = {r[0] for r in spark.range(0, 64, 1, 32).select(cached("id")).collect()}
+    assert 0 in found and max(found) == 0
+
+
 def test_packing_keeps_columns_of_any_name(spark):
     df = spark.createDataFrame([(k, 100 + k % 3, 1, 2, 3, 4) for k in range(90)], "doc_id long, length long, _hash int, _length int, _rank int, `a.b` int")
     got = packing.pack(df, ["doc_id"]).collect()
