@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import drawn
 from ..sources.store import remove, shared_dir, stage
+from .forests import grow
 from .registry import alike
 from .reviews import diverse
 
@@ -44,11 +45,19 @@ def described(ideas: DataFrame, concepts: Sequence[str] = CONCEPTS, sessions: Se
     return ideas.withColumn("concepts", named(concepts)).withColumn("sessions", named(sessions))
 
 
-def context(known: DataFrame) -> DataFrame:
-    """One row: ``ctx``, the mean avg_pf, avg_trades and mc of the runs that name each concept (missing values are neutral ones)."""
-    per = known.select(F.explode("concepts").alias("c"), *[F.coalesce(F.col(n).cast("double"), F.lit(v)).alias(n) for n, v in NEUTRAL.items()])
-    per = per.groupBy("c").agg(F.struct(*[F.avg(n).alias(n) for n in NEUTRAL]).alias("s"))
-    return per.agg(F.map_from_entries(F.collect_list(F.struct("c", "s"))).alias("ctx"))  # as long as the list of concepts
+def counted(rows: DataFrame, *by: str) -> DataFrame:
+    """Described rows that agree (also in ``by``) as one, with ``n``, how many they are, and the sums of avg_pf, avg_trades and mc (missing values are neutral ones)."""
+    sums = [F.sum(F.coalesce(F.col(n).cast("double"), F.lit(v))).alias(n) for n, v in NEUTRAL.items()]
+    return rows.groupBy(*by, "concepts", "sessions").agg(F.count("*").alias("n"), *sums)
+
+
+def context(known: DataFrame, *by: str) -> DataFrame:
+    """One row (for each ``by``): ``ctx``, the mean avg_pf, avg_trades and mc of the runs that name each concept. ``known`` are runs or what ``counted`` makes of them."""
+    known = known if "n" in known.columns else counted(known, *by)
+    per = known.select(*by, F.explode_outer("concepts").alias("c"), "n", *NEUTRAL).groupBy(*by, "c")
+    per = per.agg(F.struct(*[F.round(F.sum(n) / F.sum("n"), 9).alias(n) for n in NEUTRAL]).alias("s"))  # rounded, as sums hang on the order of tasks
+    named = F.collect_list(F.when(F.col("c").isNotNull(), F.struct("c", "s")))  # as long as the list of concepts
+    return per.groupBy(*by).agg(F.map_from_entries(named).alias("ctx"))
 
 
 def feature_names(concepts: Sequence[str] = CONCEPTS, sessions: Sequence[str] = SESSIONS) -> list[str]:
@@ -56,7 +65,7 @@ def feature_names(concepts: Sequence[str] = CONCEPTS, sessions: Sequence[str] =
 
 
 def with_features(rows: DataFrame, ctx: DataFrame, concepts: Sequence[str] = CONCEPTS, sessions: Sequence[str] = SESSIONS) -> DataFrame:
-    """``rows`` (described) with ``x``: a flag per concept and session, the number of concepts (5 at most) and the means of their contexts."""
+    """``rows`` (described) with ``x``: a flag per concept and session, the number of concepts (5 at most) and the means of their contexts (those of the row's forest, if ``ctx`` has more)."""
     flags = [F.array(*[F.array_contains(of, F.lit(c)).cast("double") for c in known]) for known, of in ((concepts, "concepts"), (sessions, "sessions"))]
     size = F.size("concepts")
     means = []
@@ -64,7 +73,8 @@ def with_features(rows: DataFrame, ctx: DataFrame, concepts: Sequence[str] = CON
         total = F.aggregate("concepts", F.lit(0.0), lambda t, c: t + F.coalesce(F.try_element_at("ctx", c)[n], F.lit(v)))
         means.append(F.when(size > 0, total / size).otherwise(v) / (100 if n == "avg_trades" else 1))
     x = F.concat(*flags, F.array(F.least(size, F.lit(5)).cast("double"), *means))
-    return rows.crossJoin(F.broadcast(ctx)).withColumn("x", x).drop("ctx")  # one row
+    met = rows.join(F.broadcast(ctx), "forest") if "forest" in ctx.columns else rows.crossJoin(F.broadcast(ctx))  # one row, or one for each forest
+    return met.withColumn("x", x).drop("ctx")
 
 
 def nodes_of(model, spark, weighted: bool = False) -> DataFrame:
@@ -83,10 +93,10 @@ def nodes_of(model, spark, weighted: bool = False) -> DataFrame:
     return kept
 
 
-def packed(nodes: DataFrame) -> DataFrame:
-    """One row: ``trees``, for each tree the array of its nodes."""
-    trees = nodes.groupBy("tree").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "feature", "threshold", "left", "right", "share"))), lambda n: n.dropFields("id")).alias("t"))
-    return trees.agg(F.transform(F.array_sort(F.collect_list(F.struct("tree", "t"))), lambda t: t["t"]).alias("trees"))
+def packed(nodes: DataFrame, *by: str) -> DataFrame:
+    """One row (for each ``by``): ``trees``, for each tree the array of its nodes."""
+    trees = nodes.groupBy(*by, "tree").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "feature", "threshold", "left", "right", "share"))), lambda n: n.dropFields("id")).alias("t"))
+    return trees.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("tree", "t"))), lambda t: t["t"]).alias("trees"))
 
 
 def votes(trees: str, x: str, depth: int) -> Column:
@@ -117,7 +127,7 @@ class Learner(NamedTuple):
 
 
 def _forest(rows: DataFrame, trees: int, depth: int, seed: int):
-    """A forest on x and y whose classes weigh the same."""
+    """Spark's own forest on x and y, whose classes weigh the same. It walks every row through every tree; ``forests.grow`` draws from the same law, and the tests compare the two."""
     share = rows.agg(F.avg("y")).first()[0]
     weight = F.when(F.col("y") == 1, 0.5 / max(share, 1e-9)).otherwise(0.5 / max(1 - share, 1e-9))
     if "run_id" in rows.columns:  # small files make few partitions, and one task walks its rows through all trees
@@ -131,16 +141,17 @@ def _mean(values: Column) -> Column:
 
 
 def sigmoid(scores: DataFrame) -> tuple[float, float]:
-    """Slope and offset of the logistic curve through (score, y), with the targets (n + 1) / (n + 2) and 1 / (n + 2) instead of 1 and 0, so that it is always finite."""
-    n1, n = scores.agg(F.coalesce(F.sum("y"), F.lit(0.0)), F.count("*")).first()
+    """Slope and offset of the logistic curve through (score, y), each for ``n`` runs, with the targets (good + 1) / (good + 2) and 1 / (bad + 2) instead of 1 and 0, so that it is always finite."""
+    n1, n = scores.agg(F.coalesce(F.sum(F.col("y") * F.col("n")), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     high, low = (n1 + 1) / (n1 + 2), 1 / (n - n1 + 2)
     target = F.when(F.col("y") == 1, high).otherwise(low)
-    both = scores.select(array_to_vector(F.array("score")).alias("features"), F.explode(F.array(F.struct(F.lit(1.0).alias("y"), target.alias("w")), F.struct(F.lit(0.0).alias("y"), (1 - target).alias("w")))).alias("r"))
+    sides = F.array(*[F.struct(F.lit(y).alias("y"), (F.col("n") * w).alias("w")) for y, w in ((1.0, target), (0.0, 1 - target))])
+    both = scores.select(array_to_vector(F.array("score")).alias("features"), F.explode(sides).alias("r"))
     fit = LogisticRegression(labelCol="y", weightCol="w", standardization=False, tol=1e-9).fit(both.select("features", "r.y", "r.w"))
     return float(fit.coefficients[0]), float(fit.intercept)
 
 
-def _curve(score: Column, slope: float, offset: float) -> Column:
+def _curve(score: Column, slope: float | Column, offset: float | Column) -> Column:
     return 1 / (1 + F.exp(-(score * slope + offset)))
 
 
@@ -153,29 +164,39 @@ def fit(runs: DataFrame, good: Column, concepts: Sequence[str] = CONCEPTS, sessi
     """
     spark = runs.sparkSession
     rows = described(runs, concepts, sessions).withColumn("y", F.coalesce(good, F.lit(False)).cast("double"))
+    rows = stage(rows.select("run_id", "concepts", "sessions", "y", drawn(seed, "run_id").alias("deal"), *NEUTRAL), "learned")
     total, positive = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0.0))).first()
     if total < LEAST_RUNS:
         raise ValueError(f"needs {LEAST_RUNS} runs or more, has {total}")
     k = folds if positive >= 2 * folds else 3 if positive >= 6 else 1
-    rows = stage(rows.withColumn("fold", (drawn(seed, "run_id") % k).cast("int")), "learned")
+    rows = rows.withColumn("fold", (F.col("deal") % k).cast("int"))
+    kinds = stage(counted(rows, "fold", "y"), "kinds")  # runs meet the forests and the sigmoids as these
+
+    after = [(f + 1) % k for f in range(k)]
+    learns = [(f, g) for f in range(k) for g in range(k) if k == 1 or g not in (f, after[f])] + [(k, g) for g in range(k)]  # the last forest is the one over all runs
+    seen = kinds.join(F.broadcast(spark.createDataFrame(learns, "forest int, fold int")), "fold")
+    contexts = stage(context(seen, "forest"), "contexts")
+    met = with_features(seen.select("forest", "concepts", "sessions", "y", "n"), contexts, concepts, sessions)
+    nodes, importances = grow(met, trees, depth, seed)
+    grown = stage(packed(nodes, "forest"), "forests")
+
+    judges = spark.createDataFrame(sorted({(f, g) for f in range(k) for g in (f, after[f])}), "forest int, fold int")
+    posed = kinds.join(F.broadcast(judges), "fold").select("forest", "concepts", "sessions").distinct().repartition(spark.sparkContext.defaultParallelism)
+    posed = with_features(posed, contexts, concepts, sessions).join(F.broadcast(grown), "forest")  # one row for each forest
+    scored = stage(posed.select("forest", "concepts", "sessions", _mean(votes("trees", "x", depth)).alias("score")), "scored")
+
+    of = lambda table, f, column: table.where(F.col("forest") == f).select(column)
     fitted: list[Fold] = []
-    scores: DataFrame | None = None
     for f in range(k):
-        after = (f + 1) % k
-        seen = rows.where(~F.col("fold").isin(f, after)) if k > 1 else rows
-        ctx = stage(context(seen), "context")
-        forest = stage(packed(nodes_of(_forest(with_features(seen, ctx, concepts, sessions), trees, depth, seed + f), spark)), "forest")
-        unseen = rows.where(F.col("fold").isin(f, after))
-        kinds = with_features(unseen.select("concepts", "sessions").distinct(), ctx, concepts, sessions).crossJoin(F.broadcast(forest))  # one row; the forest meets each description once
-        kinds = stage(kinds.select("concepts", "sessions", _mean(votes("trees", "x", depth)).alias("score")), "kinds")
-        unseen = stage(unseen.join(kinds, ["concepts", "sessions"]).select("run_id", "y", "fold", "score"), "scores")
-        fitted.append(Fold(forest, ctx, *sigmoid(unseen.where(F.col("fold") == after))))
-        own = unseen.where(F.col("fold") == f).withColumn("prob", _curve(F.col("score"), fitted[f].slope, fitted[f].offset))
-        scores = own if scores is None else scores.unionByName(own)
-    ctx = stage(context(rows), "context")
-    model = _forest(with_features(rows, ctx, concepts, sessions), trees, depth, seed)
-    importance = spark.createDataFrame(list(zip(feature_names(concepts, sessions), map(float, model.featureImportances.toArray()))), "feature string, importance double")
-    base = Fold(stage(packed(nodes_of(model, spark)), "forest"), ctx, 1.0, 0.0)
+        held = kinds.where(F.col("fold") == after[f]).join(scored.where(F.col("forest") == f), ["concepts", "sessions"])
+        fitted.append(Fold(of(grown, f, "trees"), of(contexts, f, "ctx"), *sigmoid(held.select("score", "y", "n"))))
+    curves = spark.createDataFrame([(f, c.slope, c.offset) for f, c in enumerate(fitted)], "forest int, slope double, offset double")
+    own = scored.join(F.broadcast(curves), "forest").withColumn("prob", _curve(F.col("score"), F.col("slope"), F.col("offset")))
+    own = stage(own.select(F.col("forest").alias("fold"), "concepts", "sessions", "score", "prob"), "judges")
+    scores = rows.join(own, ["fold", "concepts", "sessions"]).select("run_id", "y", "fold", "score", "prob")
+
+    importance = spark.createDataFrame(list(zip(feature_names(concepts, sessions), importances[k])), "feature string, importance double")
+    base = Fold(of(grown, k, "trees"), of(contexts, k, "ctx"), 1.0, 0.0)
     return Learner(fitted, base, importance, concepts, sessions, depth, scores)
 
 
