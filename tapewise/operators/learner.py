@@ -258,7 +258,7 @@ def judged(learner: Learner, ideas: DataFrame, known: DataFrame) -> DataFrame:
     rows = rows.crossJoin(F.broadcast(ranking)).withColumn("top", F.coalesce(F.try_element_at(F.array_intersect("_ranking", F.concat("concepts", "sessions")), F.lit(1)), F.lit("-")))
     rows = rows.drop("_v", "_m", "_ranking", *[f"_p{n}" for n in range(len(probs))])
     rows = every.join(stage(rows, "judged"), ["concepts", "sessions"]).select(*every.columns, "prob", "uncertainty", "top")
-    rows = novelty(stage(rows, "judged"), described(known, learner.concepts, learner.sessions))
+    rows = novelty(stage(rows, "judged"), described(known.select("idea").distinct(), learner.concepts, learner.sessions))  # each text is split once
     return rows.withColumn("band", band(F.col("prob"), F.col("uncertainty"))).withColumn("prob", F.round("prob", 4)).withColumn("uncertainty", F.round("uncertainty", 4))
 
 
